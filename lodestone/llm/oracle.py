@@ -50,4 +50,29 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not 100 * lost_chars > 40 * word_chars as kept, lost_chars from base
 """
 
-SQL = {"op8_url_filter": URLS, "op10_quality_rules": QUALITY}
+DECONTAMINATION = f"""
+with masks(m, o) as (values (0, [0, 1, 2, 4, 5, 6]), (1, [0, 1, 3, 4, 6, 7]), (2, [0, 1, 4, 6, 8, 9])),
+plain as (select 'd' as t, doc_id as id, regexp_replace(lower(coalesce(text, '')), '[[:punct:]]+', '', 'g') as x from documents
+  union all select 'b', item_id, regexp_replace(lower(coalesce(text, '')), '[[:punct:]]+', '', 'g') from benchmark),
+w as (select t, id, {_words("x")} as ws from plain),
+d as (select id as doc_id, ws from w where t = 'd'),
+b as (select min(id) as item_id, ws from w where t = 'b' group by ws),
+dk as (select doc_id, m, p, array_to_string(list_transform(o, lambda x: ws[p + x + 1]), ' ') as k
+  from (select doc_id, m, o, ws, unnest(range(0, len(ws) - o[-1])) as p from d, masks)),
+bk as (select item_id, m, p, array_to_string(list_transform(o, lambda x: ws[p + x + 1]), ' ') as k
+  from (select item_id, m, o, ws, unnest(range(0, len(ws) - o[-1])) as p from b, masks)),
+diag as (select distinct doc_id, item_id, dk.p - bk.p as g from dk join bk using (m, k)),
+side as (select doc_id, item_id, g, least(13, len(b.ws)) as win, d.ws as dw, b.ws as bw,
+  unnest(range(greatest(g, 0), least(len(d.ws), len(b.ws) + g))) as p from diag join d using (doc_id) join b using (item_id)),
+eq as (select doc_id, item_id, g, win, p, cast(dw[p + 1] = bw[p - g + 1] as int) as e from side),
+sums as (select *, sum(e) over (partition by doc_id, item_id, g order by p rows between 12 preceding and current row) as s13,
+  sum(e) over (partition by doc_id, item_id, g order by p) as run, row_number() over (partition by doc_id, item_id, g order by p) as k from eq),
+best as (select doc_id, item_id, g, win, greatest(g, 0) as doc_at, count(*) as aligned, sum(e) as matched,
+  max(case when k >= win then (case when win = 13 then s13 else run end) end) as best from sums group by all),
+fine as (select * from best where 100 * best >= 80 * win)
+select doc_id, item_id, cast(doc_at as int) as doc_at, cast(aligned as int) as aligned, cast(matched as int) as matched, cast(best as int) as best, n as diagonals
+from (select *, count(*) over (partition by doc_id, item_id) as n,
+  row_number() over (partition by doc_id, item_id order by best desc, matched desc, doc_at, aligned desc) as r from fine) where r = 1
+"""
+
+SQL = {"op6_decontamination": DECONTAMINATION, "op8_url_filter": URLS, "op10_quality_rules": QUALITY}

@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle, quality, urls
-from .common import table
+from . import decontam, oracle, packing, quality, shards, urls
+from .common import shared_dir, table
 
 #: The rules of the url query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    where = shared_dir(spark, "op2")
+    shards.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), where)
+    return shards.read(spark, where).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "judged.*")
@@ -25,5 +41,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op8_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_sstable_shards, op3_best_fit_packing, op6_decontamination, op8_url_filter, op10_quality_rules)}
 ORACLE_SQL = oracle.SQL
