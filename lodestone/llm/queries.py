@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, oracle, packing, quality, shards, urls
+from . import decontam, oracle, packing, quality, shards, toxicity, urls
 from .common import shared_dir, table
 
 #: The rules of the url query.
@@ -41,5 +41,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_sstable_shards, op3_best_fit_packing, op6_decontamination, op8_url_filter, op10_quality_rules)}
+def _fold(divisor: int):
+    """The remainder of crc32(doc_id as text); a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.where(_fold(5) != 0), labels.where(_fold(5) != 0))
+    worst = F.array_max(F.transform("spans", lambda s: F.struct(s["score"].alias("score"), (-s["start"]).alias("first"), s["end"].alias("end"))))
+    return (
+        toxicity.scored(docs, model)
+        .withColumn("worst", worst)
+        .select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), (-F.col("worst.first")).alias("worst_start"), F.col("worst.end").alias("worst_end"))
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_sstable_shards, op3_best_fit_packing, op6_decontamination, op8_url_filter, op9_toxicity, op10_quality_rules)}
 ORACLE_SQL = oracle.SQL
