@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are what stands between these characters; the same set in Java, RE2 and Python.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -52,10 +54,22 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts lineage and outlives executors."""
     spark = frame.sparkSession
     path = shared_dir(spark, label)
-    frame.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Within it, a query's shuffle files go when the query ends, as its result is kept elsewhere."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+
+
 def fits(frame: DataFrame, most: int) -> bool:
     """Whether the frame has at most so many rows: a bounded count, for the choice to broadcast."""
     return frame.limit(most + 1).count() <= most

@@ -81,7 +81,7 @@ def packed(docs: DataFrame, id: str = "doc_id", text: str = "text", sizes: tuple
         .withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
     )
 
-    def pack(t: pa.Table) -> pa.Table:
+    def pack(t):
         t = t.take(pc.sort_indices(t, [("n_tokens", "descending"), ("id", "ascending"), ("piece", "ascending")]))
         placed = np.array(best_fit(t["n_tokens"].to_pylist(), sizes), dtype=np.int32).reshape(-1, 2)
         filled = np.bincount(placed[:, 0], weights=t["n_tokens"].to_numpy()).astype(np.int32)

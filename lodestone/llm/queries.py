@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, oracle, packing, quality, shards, toxicity, urls
+from . import decontam, langmodel, oracle, packing, quality, shards, toxicity, urls
 from .common import shared_dir, table
 
 #: The rules of the url query.
@@ -28,6 +28,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores, _ = langmodel.fit_and_score(docs, _fold(7) != 2)
+    return scores.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "judged.*")
@@ -57,5 +63,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_sstable_shards, op3_best_fit_packing, op6_decontamination, op8_url_filter, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sstable_shards, op3_best_fit_packing, op6_decontamination, op8_url_filter, op9_toxicity, op10_quality_rules)}
 ORACLE_SQL = oracle.SQL
