@@ -36,23 +36,28 @@ def normal_words(text: Column) -> Column:
     return F.transform(words(plain), lambda w: F.xxhash64(w))
 
 
-def _seeds(frame: DataFrame, h: str, kept: list[str]) -> DataFrame:
-    """A row per mask and place of it: `kept`, the place `at`, and its `seed`."""
-    offsets = [[i for i, x in enumerate(m) if x == "1"] for m in MASKS]
-    n, slots = F.size(h), F.explode(F.sequence(F.lit(0), F.size(h) * len(MASKS) - 1))
-    at = F.expr(f"slot div {len(MASKS)}").cast("int")
-    key = F.lit(None).cast("long")
-    for m, places in enumerate(offsets):
-        hashed = F.xxhash64(F.lit(m), *[F.get(F.col(h), F.col("at") + p) for p in places])
-        key = F.when((F.col("slot") % len(MASKS) == m) & (F.col("at") + len(MASKS[m]) <= n), hashed).otherwise(key)
-    return (
-        frame.where(n >= min(map(len, MASKS)))
-        .select(*kept, h, slots.alias("slot"))
-        .withColumn("at", at)
-        .withColumn("seed", key)
-        .where("seed is not null")
-        .drop("slot")
-    )
+def _masks() -> Column:
+    return F.array(*[F.array(*[F.lit(i) for i, x in enumerate(m) if x == "1"]) for m in MASKS])
+
+
+def _seeds_at(h: Column, at: Column) -> Column:
+    """The seed of each mask laid at a place. Past the end it lacks words, and the check will tell."""
+    return F.transform(_masks(), lambda m: F.xxhash64(m, F.transform(m, lambda o: F.get(h, at + o))))
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(bkey, item_at, seed, pair) of the benchmark: masks that lie within the item."""
+    spans = F.array(*[F.lit(len(m)) for m in MASKS])
+    laid = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.greatest(F.size("b") - min(map(len, MASKS)), F.lit(0)))))
+    fit = F.filter(_seeds_at(F.col("b"), F.col("item_at")), lambda s, k: F.col("item_at") + F.get(spans, k) <= F.size("b"))
+    return laid.select("bkey", "item_at", F.xxhash64(F.get("b", F.col("item_at")), F.get("b", F.col("item_at") + 1)).alias("pair"), F.explode(fit).alias("seed"))
+
+
+def _around(hits: DataFrame, longest: int, *more: str) -> DataFrame:
+    """Each hit with the words around it, as far as an item can reach, in place of all the text's."""
+    low = F.greatest(F.col("at") - longest, F.lit(0))
+    around = F.slice("h", low + 1, F.col("at") - low + longest + max(map(len, MASKS)))
+    return hits.select("doc_id", "at", low.alias("low"), around.alias("h"), *more)
 
 
 def _window(item: Column, limits: Limits) -> Column:
@@ -76,22 +81,32 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
         .select(F.xxhash64("b").alias("bkey"), "item_id", "b")
     )
     items = written(items, "items")
-    seeds = _seeds(items, "b", ["bkey"]).select("bkey", F.col("at").alias("item_at"), "seed")
-    small = fits(seeds, most_seeds)
-    keyed = _seeds(d, "h", ["doc_id"])
-    if small:
-        hits = keyed.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "bkey")
+    seeds = _item_seeds(items)
+    longest = items.agg(F.max(F.size("b"))).first()[0] or 0
+    places = F.sequence(F.lit(0), F.size("h") - min(map(len, MASKS)))
+    # An outer explode: an inner one would have Spark work the words out twice, for an inferred filter.
+    laid = F.explode_outer(F.when(F.size("h") >= min(map(len, MASKS)), places)).alias("at")
+    if fits(seeds, most_seeds):
+        # All masks begin with two words that count: most places end with that test.
+        pairs = F.broadcast(seeds.select("pair").distinct())
+        pair = F.xxhash64(F.get("h", F.col("at")), F.get("h", F.col("at") + 1))
+        near = d.select("doc_id", "h", laid).where("at is not null").join(pairs, pair == F.col("pair"), "left_semi")
+        near = _around(near, longest)
+        near = near.withColumn("seed", F.explode(_seeds_at(F.col("h"), F.col("at") - F.col("low"))))
+        hits = near.join(F.broadcast(seeds.drop("pair")), "seed").join(F.broadcast(items), "bkey")
     else:
-        found = keyed.select("doc_id", "at", "seed").join(seeds, "seed").select("doc_id", "at", "bkey", "item_at")
-        hits = found.withColumnRenamed("doc_id", "hit_id").join(d, F.col("hit_id").eqNullSafe(F.col("doc_id"))).drop("hit_id").join(items, "bkey")
+        keyed = d.select("doc_id", F.posexplode_outer(F.when(F.size("h") >= min(map(len, MASKS)), F.transform(places, lambda i: _seeds_at(F.col("h"), i)))).alias("at", "all"))
+        found = keyed.select(F.col("doc_id").alias("hit_id"), "at", F.explode("all").alias("seed")).join(seeds.drop("pair"), "seed").drop("seed").distinct()
+        near = _around(found.join(d, F.col("hit_id").eqNullSafe(F.col("doc_id"))), longest, "bkey", "item_at")
+        hits = near.join(items, "bkey")
     start = F.greatest(F.col("diagonal"), F.lit(0))
-    length = F.least(F.size("h") - start, F.size("b") - (start - F.col("diagonal")))
-    equal = F.zip_with(F.slice("h", start + 1, length), F.slice("b", start - F.col("diagonal") + 1, length), lambda x, y: (x == y).cast("int"))
+    length = F.least(F.size("h") + F.col("low") - start, F.size("b") - (start - F.col("diagonal")))
+    equal = F.zip_with(F.slice("h", start - F.col("low") + 1, length), F.slice("b", start - F.col("diagonal") + 1, length), lambda x, y: (x == y).cast("int"))
     w = _window(F.col("b"), limits)
     sums = F.transform(F.sequence(F.lit(1), F.size("equal") - w + 1), lambda i: F.aggregate(F.slice(F.col("equal"), i, w), F.lit(0), lambda a, x: a + x))
     # A hit is left to the one before it on its diagonal where the words before both agree as well.
     span = min(map(len, MASKS))
-    before = [F.coalesce(F.get("h", F.col("at") + j) == F.get("b", F.col("item_at") + j), F.lit(False)) for j in range(-1, span)]
+    before = [F.coalesce(F.get("h", F.col("at") - F.col("low") + j) == F.get("b", F.col("item_at") + j), F.lit(False)) for j in range(-1, span)]
     runs_on = before[0]
     for x in before[1:]:
         runs_on = runs_on & x
