@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langmodel, nearcopies, oracle, packing, quality, shards, toxicity, urls
+from . import decontam, langmodel, lines, nearcopies, oracle, packing, quality, shards, toxicity, urls
 from .common import shared_dir, table
 
 #: The rules of the url query.
@@ -24,6 +24,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("body", "class_body")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,5 +71,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sstable_shards, op3_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op8_url_filter, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sstable_shards, op3_best_fit_packing, op4_line_dedup, op5_minhash_near_dedup, op6_decontamination, op8_url_filter, op9_toxicity, op10_quality_rules)}
 ORACLE_SQL = oracle.SQL
