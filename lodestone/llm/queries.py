@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langmodel, lines, nearcopies, oracle, packing, quality, shards, toxicity, urls
+from . import decontam, langmodel, licenses, lines, nearcopies, oracle, packing, quality, shards, toxicity, urls
 from .common import shared_dir, table
 
 #: The rules of the url query.
@@ -42,6 +42,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: theirs are made of source, language and id, and a text of under 400
+    characters that names a license passes for the license file of its directory."""
+    docs = table(spark, sf_dir, "documents")
+    gives = (F.length("text") < 400) & F.lower("text").contains("licens")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (F.col("doc_id") % 4).cast("string")), F.when(gives, "LICENSE").otherwise(F.concat(F.lit("doc"), F.col("doc_id").cast("string"))))
+    return licenses.scanned(docs.select("doc_id", "text", path.alias("path")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "judged.*")
@@ -71,5 +80,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sstable_shards, op3_best_fit_packing, op4_line_dedup, op5_minhash_near_dedup, op6_decontamination, op8_url_filter, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sstable_shards, op3_best_fit_packing, op4_line_dedup, op5_minhash_near_dedup, op6_decontamination, op7_license_scan, op8_url_filter, op9_toxicity, op10_quality_rules)}
 ORACLE_SQL = oracle.SQL
