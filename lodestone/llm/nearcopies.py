@@ -8,10 +8,10 @@ similarity (1 - edits / longer length) of 0.8 or more; classes are the component
 
 How the work is dealt. Texts of equal words are one node. In a group of one sketch every node is
 aligned with the group's least node first, which settles a group of copies in as many alignments as
-it has nodes. Pairs of a group that still lie in different classes are then tried all of them: the
-group's nodes are cut into blocks, pairs of blocks are tasks' work, and a bound on the edits from
-word counts (no pair of the wanted similarity fails it) leaves few pairs to align. No group is
-dropped or capped, and none is one task's.
+it has nodes. Pairs of a group that still lie in different classes are then tried, all of them: the
+group's nodes are cut into blocks and pairs of blocks are tasks' work; a bound on the edits from word
+counts (no pair of the wanted similarity fails it) leaves few pairs to align, and a link found makes
+two classes one for the rest of the task. No group is dropped or capped, and none is one task's.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
+from .editing import edit_distance
 from .hashing import U, mix, runs, word_hashes
 
 RUN, PICK, SKETCHES, SIMILARITY = 5, 2, 16, 0.8
-#: Word counts are kept in so many bins; nodes to a block; characters hashed at once.
+#: Words are counted in so many bins; nodes to a block; characters hashed at once.
 BINS, BLOCK, AT_ONCE = 128, 256, 2_000_000
 _FACTORS = mix(np.arange(101, 101 + SKETCHES, dtype=np.uint64)) | U(1)
 _SALTS = mix(np.arange(501, 501 + SKETCHES, dtype=np.uint64))
@@ -73,12 +74,6 @@ def order_sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bins(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    flat = owner * BINS + (hashes % U(BINS)).astype(np.int64)
-    return np.minimum(np.bincount(flat, minlength=len(sizes) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-
-
 def names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A number for each text's words in their order."""
     stop = np.cumsum(sizes)
@@ -88,7 +83,7 @@ def names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, node, n, sketches, bins) a row: node names the word sequence, n its length."""
+    """(id, node, n, sketches) a row: node names the word sequence, n its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,71 +105,24 @@ def sketched(docs: DataFrame, id: str, text: str) -> DataFrame:
                         pa.array(names(hashes, sizes), pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(sketches, pa.list_(pa.int64())),
-                        pa.array([x.tobytes() for x in _bins(hashes, sizes)], pa.binary()),
                     ],
-                    names=["id", "node", "n", "sketches", "bins"],
+                    names=["id", "node", "n", "sketches"],
                 )
                 at = end
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, node long, n long, sketches array<long>, bins binary")
-
-
-def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """The edit distance of two sequences, or `most` + 1 if it is larger: a band of diagonals is
-    followed, each as far as equal elements run, for one more edit at a time."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return most + 1
-    width = 2 * most + 3
-    far = np.full(width, -2, np.int64)  # furthest place in a on diagonal k (b's place less a's), at k + most + 1
-    diagonals = np.arange(width) - most - 1
-
-    def slide(far: np.ndarray, live: np.ndarray) -> None:
-        x, k = far[live], diagonals[live]
-        go = np.arange(len(live))
-        while len(go):
-            ok = (x[go] < n) & (x[go] + k[go] < m)
-            go = go[ok]
-            go = go[a[x[go]] == b[x[go] + k[go]]]
-            x[go] += 1
-        far[live] = x
-
-    def stretch(far: np.ndarray, i: int) -> None:
-        x, y = int(far[i]), int(far[i] + diagonals[i])
-        while x < n and y < m:
-            span = min(n - x, m - y, 4096)
-            differ = np.flatnonzero(a[x : x + span] != b[y : y + span])
-            step = int(differ[0]) if len(differ) else span
-            x, y = x + step, y + step
-            if len(differ):
-                break
-        far[i] = x
-
-    zero, goal = most + 1, m - n + most + 1
-    far[zero] = 0
-    stretch(far, zero)
-    if far[goal] >= n and goal == zero:
-        return 0
-    for e in range(1, most + 1):
-        step = np.maximum(far + 1, np.maximum(np.append(far[1:] + 1, -2), np.insert(far[:-1], 0, -2)))
-        lo, hi = zero - e, zero + e
-        new = far.copy()
-        new[lo : hi + 1] = np.minimum(step[lo : hi + 1], np.minimum(n, m - diagonals[lo : hi + 1]))
-        live = np.arange(lo, hi + 1)
-        live = live[(new[live] >= 0) & (new[live] + diagonals[live] >= 0)]
-        slide(new, live)
-        far = new
-        if far[goal] >= n:
-            return e
-    return most + 1
+    return rows.mapInArrow(run, f"id {kind}, node long, n long, sketches array<long>")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - similarity) * longer + 1e-9)
-    return edits(a, b, most) <= most
+    """Whether a banded alignment of two word sequences takes few enough edits. The words that one
+    has over the other, each way, bound the edits from below; most unlike pairs end with that."""
+    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    d = np.bincount(a % 1021, minlength=1021) - np.bincount(b % 1021, minlength=1021)
+    if max(int(d[d > 0].sum()), int(-d[d < 0].sum())) > most:
+        return False
+    return edit_distance(a.tolist(), b.tolist(), most) <= most
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
@@ -202,8 +150,8 @@ def _bodies(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame
     return found.mapInArrow(run, "node long, words binary").groupBy("node").agg(F.any_value("words").alias("words"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts align; texts are read for the nodes in pairs alone."""
+def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts align."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +159,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text
             good = [alike(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), similarity) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "id"), "node")
-    words = written(_bodies(docs, wanted, id, text), "words")
     both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
@@ -222,21 +168,31 @@ def _lengths_fit(similarity: float):
     return F.abs(n - m) <= (1 - similarity) * F.greatest(n, m) + 1e-9
 
 
-def _rest(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of one group and different classes that the bound on edits lets through."""
+def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join classes which share a group still: every pair of a group whose classes
+    differ is tried in the first sketch that the two share, until a link makes their classes one, so
+    a task gives out fewer links than it has nodes."""
 
     def run(key, t):
-        n, cls, node, main = (t[c].to_numpy() for c in ("n", "class", "node", "main"))
-        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        found: set = set()
-        cross = key[1].as_py()
+        cls, main, node = t["class"].to_numpy().copy(), t["main"].to_numpy(zero_copy_only=False), t["node"].to_numpy()
+        texts = [np.frombuffer(w, "<u4") for w in t["words"].to_pylist()]
+        n = np.array([len(w) for w in texts])
+        bins = np.array([np.bincount(w % BINS, minlength=BINS) for w in texts])
+        sketches = np.array(t["sketches"].to_pylist(), np.int64)
+        at = int(np.argmax(sketches[0] == key[0].as_py()))
+        cross, found = key[1].as_py(), []
         for i in np.flatnonzero(main) if cross else range(len(n)):
             others = np.flatnonzero((cls != cls[i]) & ~main) if cross else i + 1 + np.flatnonzero(cls[i + 1 :] != cls[i])
             most = (1 - similarity) * np.maximum(n[i], n[others]) + 1e-9
-            others, most = others[np.abs(n[others] - n[i]) <= most], most[np.abs(n[others] - n[i]) <= most]
+            ok = np.abs(n[others] - n[i]) <= most
+            ok[ok] = ~(sketches[others[ok], :at] == sketches[i, :at]).any(axis=1)
+            others, most = others[ok], most[ok]
             d = bins[others] - bins[i]
-            ok = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most
-            found.update((min(node[i], x), max(node[i], x)) for x in node[others[ok]])
+            others = others[np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most]
+            for j in others:
+                if cls[j] != cls[i] and alike(texts[i], texts[j], similarity):
+                    found.append((node[i], node[j]))
+                    cls[cls == cls[j]] = cls[i]
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -245,24 +201,18 @@ def _rest(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: flo
         rows.groupBy("sketch")
         .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.when(F.col("node") == F.col("least"), F.col("class"))).alias("of"), F.count("*").alias("all"))
         .where("lo <> hi")
-        .select("sketch", "of", "all")
     )
-    rows = rows.join(mixed, "sketch").withColumn("main", F.col("class") == F.col("of"))
-    sides = rows.groupBy("sketch").agg(F.count_if("main").alias("m"), F.count_if(~F.col("main")).alias("o"))
-    small = F.col("all") <= BLOCK
-    rows = rows.join(sides, "sketch").withColumns({"bm": F.ceil(F.col("m") / BLOCK), "bo": F.ceil(F.col("o") / BLOCK)})
+    sides = rows.join(mixed, "sketch").withColumn("main", F.col("class") == F.col("of"))
+    sides = written(sides.select("sketch", "node", "class", "all", "main"), "sides")
+    counts = sides.groupBy("sketch").agg(F.count_if("main").alias("m"), F.count_if(~F.col("main")).alias("o"))
+    rows = sides.join(counts, "sketch").withColumns({"bm": F.ceil(F.col("m") / BLOCK), "bo": F.ceil(F.col("o") / BLOCK)})
     i = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("bm")).otherwise(F.col("bo")))
     turns = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     across = F.transform(turns(F.when(F.col("main"), F.col("bo")).otherwise(F.col("bm"))), lambda j: F.struct(F.lit(True).alias("cross"), F.when(F.col("main"), i).otherwise(j).alias("i"), F.when(F.col("main"), j).otherwise(i).alias("j")))
     within = F.when(F.col("main"), F.array().cast("array<struct<cross:boolean,i:bigint,j:bigint>>")).otherwise(F.transform(turns(F.col("bo")), lambda j: F.struct(F.lit(False).alias("cross"), F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))))
     whole = F.array(F.struct(F.lit(False).alias("cross"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    dealt = rows.withColumn("deal", F.explode(F.when(small, whole).otherwise(F.concat(across, within)))).select("sketch", "deal.*", "node", "class", "n", "main")
-    return (
-        dealt.join(nodes.select("node", "bins"), "node")
-        .groupBy("sketch", "cross", "i", "j")
-        .applyInArrow(run, "a long, b long")
-        .distinct()
-    )
+    dealt = rows.withColumn("deal", F.explode(F.when(F.col("all") <= BLOCK, whole).otherwise(F.concat(across, within)))).select("sketch", "deal.*", "node", "class", "main")
+    return dealt.join(nodes.select("node", "sketches"), "node").join(words, "node").groupBy("sketch", "cross", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -274,7 +224,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     A text's node is a 64-bit hash of its words: of n different texts about n^2 / 2^65 pairs agree.
     """
     rows = written(sketched(docs, id, text), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches"), F.any_value("bins").alias("bins"), F.count("*").alias("copies"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches"), F.count("*").alias("copies"))
     nodes = written(nodes, "nodes")
     bands = nodes.select("node", "n", F.explode("sketches").alias("sketch"))
     groups = bands.groupBy("sketch").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").select("sketch", "least")
@@ -282,11 +232,12 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"))
     star = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
     star = written(star.join(sizes, "a").where(_lengths_fit(similarity)).select("a", "b"), "star")
-    links = _verified(star, nodes, docs, id, text, similarity)
+    wanted = shared.select("node").distinct().join(nodes.select("node", "id"), "node")
+    words = written(_bodies(docs, wanted, id, text), "words")
+    links = _verified(star, words, similarity)
     roots = written(components(links), "roots")
-    rest = written(_rest(shared, nodes, roots, similarity).join(star, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _verified(rest, nodes, docs, id, text, similarity)
+    more = written(_rest(shared, nodes, words, roots, similarity), "more")
+    if not more.isEmpty():
         # The classes so far stand for their links.
         roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     root = F.coalesce("root", "node")
