@@ -17,7 +17,7 @@ def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     where = shared_dir(spark, "op2")
     shards.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), where)
-    return shards.read(spark, where).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return shards.read(spark, where, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,16 +30,18 @@ from .common import shared_dir
 SHARD_CHARS, BLOCK_BYTES, BITS, PROBES = 24_000_000, 1 << 17, 10, 7
 FOOTER, FOOTER_BYTES, MAGIC = "<QQQQHxx4s", 40, b"LSS1"
 #: Words whose ids a task keeps at hand; beyond that it starts over.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 MANIFEST = "shard int, file string, low long, high long, docs long, tokens long"
 
 
 def encoder(path: str, end: int | None):
     """A function from texts to their ids as packed little-endian bytes, and the bytes of an id.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words one after the other; words met before are looked up. New ones are encoded many at a time
-    with a special token between them; a text that itself holds special tokens is encoded whole.
+    The tokenizer drops white space, lowers case and joins neither across white space nor across the
+    border of letters and other signs. So a text's ids are those of its words one after the other,
+    and those of a word of letters with signs behind it are those of the two parts. Words met before
+    are looked up; new ones are encoded many at a time. A text that itself holds special tokens is
+    encoded whole, as is every text for a tokenizer without the word ends that this rests on.
     """
     import os
 
@@ -48,10 +50,13 @@ def encoder(path: str, end: int | None):
 
     tok = Tokenizer.from_file(path)
     kind = np.dtype("<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-    special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
-    between = next(iter(special), None)
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    by_words = getattr(tok.model, "end_of_word_suffix", None) == "</w>"
     tail = b"" if end is None else np.array([end], kind).tobytes()
+    # Signs that may follow the letters; not the apostrophe, which the tokenizer joins with letters.
+    signs = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     known: dict[str, bytes] = {"": b""}
+    stems: dict[str, bytes] = {"": b""}
 
     def whole(text: str) -> bytes:
         return np.array(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
@@ -59,20 +64,38 @@ def encoder(path: str, end: int | None):
     def learn(new: list[str]) -> None:
         if len(known) + len(new) > KNOWN_WORDS:
             known.clear()
-            known[""] = b""
-        for k in range(0, len(new), 512):
-            some = new[k : k + 512]
-            ids = np.array(tok.encode(between.join(some), add_special_tokens=False).ids, kind)
-            cuts = np.flatnonzero(ids == special[between])
-            raw, size = ids.tobytes(), kind.itemsize
-            starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
-            known.update(zip(some, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
+            stems.clear()
+            known[""] = stems[""] = b""
+        cut = {}
+        for w in new:
+            stem = w.rstrip(signs)
+            # Letter by letter, as the tokenizer does it: no final sigma.
+            low = stem.lower() if stem.isascii() else "".join(map(str.lower, stem))
+            rest = w[len(stem) :]
+            cut[w] = low, rest
+            if not low.isalpha() or not stem.isalpha():
+                known[w] = whole(w)
+                del cut[w]
+            elif rest and rest not in stems:
+                stems[rest] = whole(rest)
+        some = list({low for low, _ in cut.values() if low not in stems})
+        for k in range(0, len(some), 1024):
+            part = some[k : k + 1024]
+            e = tok.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.array(e.ids, kind), np.array(e.word_ids)
+            ends = np.searchsorted(owner, np.arange(len(part)), "right") * kind.itemsize
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(part, ends.tolist(), strict=True):
+                stems[w] = raw[at:to]
+                at = to
+        for w, (low, rest) in cut.items():
+            known[w] = stems[low] + stems[rest]
 
     def encode(texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
             text = text or ""
-            if between is None or any(s in text for s in special):
+            if not by_words or any(s in text for s in special):
                 out.append(whole(text) + tail)
                 continue
             parts = text.replace("\n", " ").split(" ")
@@ -83,7 +106,15 @@ def encoder(path: str, end: int | None):
                 out.append(b"".join([known[w] if w in known else whole(w) for w in parts]) + tail)
         return out
 
-    return encode, kind.itemsize
+    def encode_all(texts: list[str | None]) -> list[bytes]:
+        if by_words:  # what is new in all texts at once: fewer and longer calls of the tokenizer
+            new = {w for t in texts if t and not any(s in t for s in special) for w in t.replace("\n", " ").split(" ")}
+            new = [w for w in new if w not in known]
+            for k in range(0, len(new), 100_000):
+                learn(new[k : k + 100_000])
+        return encode(texts)
+
+    return encode_all, kind.itemsize
 
 
 def key_of(id: int | None) -> bytes:
@@ -239,9 +270,9 @@ def write(docs: DataFrame, tokenizer: str, where: str | None = None, id: str = "
     return spark.read.schema(MANIFEST).parquet(f"{where}/manifest").withColumn("where", F.lit(where))
 
 
-def read(spark: SparkSession, where: str) -> DataFrame:
+def read(spark: SparkSession, where: str, with_ids: bool = True) -> DataFrame:
     """What the files hold, a row per document: id, start (ids of all documents before it), n_tokens,
-    ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and the ids themselves."""
+    ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and, if asked, the ids."""
     from pyspark.sql import Window
 
     manifest = spark.read.schema(MANIFEST).parquet(f"{where}/manifest")
@@ -255,17 +286,20 @@ def read(spark: SparkSession, where: str) -> DataFrame:
                 shard, start = Reader(data.as_buffer()), 0
                 file = path.as_py().rpartition("/")[2]
                 for k in range(len(shard.places)):
-                    rows = []
+                    i, s, n, c, v = [], [], [], [], []
                     for key, value in shard.block(k):
                         ids = np.frombuffer(value, f"<u{shard.width}").astype("<u4")
-                        rows.append((file, id_of(key), start, len(ids), zlib.crc32(ids.tobytes()), ids))
+                        i.append(id_of(key))
+                        s.append(start)
+                        n.append(len(ids))
+                        c.append(zlib.crc32(ids))
+                        v.append(ids if with_ids else None)
                         start += len(ids)
-                    f, i, s, n, c, v = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.list_(pa.int32()))], names=["file", "id", "local", "n_tokens", "ids_crc32", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(i), pa.string()), pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.list_(pa.int32()))], names=["file", "id", "local", "n_tokens", "ids_crc32", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lss").load(where).select("path", "content")
     rows = files.mapInArrow(parse, "file string, id long, local long, n_tokens long, ids_crc32 long, ids array<int>")
-    return rows.join(manifest, "file").select("id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return rows.join(manifest, "file").select("id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def lookup(spark: SparkSession, where: str, ids: list[int]) -> DataFrame:
