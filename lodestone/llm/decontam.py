@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, written, words
+from .common import fits, fresh, words, written
 
 #: Above so many seeds the join shuffles.
 MOST_SEEDS = 4_000_000
@@ -130,5 +130,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
 
 def without(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """The documents, in their own columns, that overlap with no benchmark item."""
-    bad = overlaps(docs, benchmark, id=id, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(bad, F.col(f"`{id}`").eqNullSafe(F.col("leaked_id")), "left_anti")
+    (leaked,) = fresh(docs, "leaked_id")
+    bad = overlaps(docs, benchmark, id=id, **options).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(bad, F.col(f"`{id}`").eqNullSafe(F.col(leaked)), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 from .components import components
 from .editing import edit_distance
 from .hashing import U, mix
@@ -260,6 +260,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_c
     hundredths of its characters, with the one document where they come first; and a text that would
     lose `most_lost` hundredths. Lines of under `least` characters stay. No row is added or dropped.
     """
+    of, of_body, gone_lines = fresh(docs, "gone_id", "gone_body", "gone")
     rows = classes(docs, id, text, edits, least).withColumnRenamed(id, "id")
     repeat = ~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("line") == F.col("class_line")) & (F.col("body") == F.col("class_body")))
     whole = rows.groupBy("id", "body").agg(F.sum("chars").alias("all"))
@@ -272,14 +273,15 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_c
         .withColumn("times", F.size(F.collect_set("line").over(partner)))
         .where(~(F.col("away") & (F.col("times") >= 2) & (100 * F.col("shared") >= partner_share * F.col("all"))))
         .where(100 * F.col("lost") < most_lost * F.col("all"))
-        .groupBy(F.col("id").alias("gone_id"), F.col("body").alias("gone_body"))
-        .agg(F.collect_set("line").alias("gone"))
+        .groupBy(F.col("id").alias(of), F.col("body").alias(of_body))
+        .agg(F.collect_set("line").alias(gone_lines))
     )
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    left = F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    out = docs.join(gone, F.col(f"`{id}`").eqNullSafe(F.col("gone_id")) & (F.xxhash64(t) == F.col("gone_body")), "left")
-    body = F.when(F.col("gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    left = F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains(gone_lines, i))
+    out = docs.join(gone, F.col(f"`{id}`").eqNullSafe(F.col(of)) & (F.xxhash64(t) == F.col(of_body)), "left")
+    same = F.col(gone_lines).isNull()
+    body = F.when(same, F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
     new = {text: body}
     if n_chars in docs.columns:
-        new[n_chars] = F.when(F.col("gone").isNull(), F.col(f"`{n_chars}`")).otherwise(F.length(body)).cast(docs.schema[n_chars].dataType)
+        new[n_chars] = F.when(same, F.col(f"`{n_chars}`")).otherwise(F.length(body)).cast(docs.schema[n_chars].dataType)
     return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 from .components import components
 from .editing import edit_distance
 from .hashing import U, mix, runs, word_hashes
@@ -252,8 +252,9 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
 
     Of rows that share that id and their text one stays. A class without any id keeps its rows.
     """
-    kept = classes(docs, id, text, similarity).select(F.col("class_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("kept_id")), "left_semi")
-    if docs.groupBy(id).count().where("count > 1").isEmpty():
+    (name,) = fresh(docs, "kept_id")
+    kept = classes(docs, id, text, similarity).select(F.col("class_id").alias(name)).distinct()
+    chosen = docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col(name)), "left_semi")
+    if docs.select(F.col(f"`{id}`").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return chosen
     return chosen.dropDuplicates([id, text])

@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import fresh, let, words
 
 
 @dataclass(frozen=True)
@@ -99,11 +99,11 @@ def boilerplate(text: Column) -> Column:
     return let(F.lower(text), lambda x: reduce(or_, [F.contains(x, F.lit(p)) for p in BOILERPLATE]))
 
 
-def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Every column of `docs`, and a struct `quality` of the counts, the verdict and the cleaned text.
+def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules(), to: str = "quality") -> DataFrame:
+    """Every column of `docs`, and a struct `to` of the counts, the verdict and the cleaned text.
 
     A null text counts as empty: no words, failed. An empty table gives an empty one. Repeated rows
-    are each judged. A column of the input named `quality` is replaced, whatever its case.
+    are each judged. A column of the input of the name `to` is replaced, whatever its case.
     """
     t, r = F.coalesce(F.col(f"`{text}`"), F.lit("")), rules
     lines = F.split(t, "\n", -1)
@@ -146,13 +146,14 @@ def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataF
             q["cleaned"]["text"].alias("text"),
         )
 
-    return docs.withColumn("quality", let(found, verdict))
+    return docs.withColumn(to, let(found, verdict))
 
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules(), n_chars: str = "n_chars") -> DataFrame:
     """The documents that pass, without their failing lines, in the columns of `docs`."""
-    q = judged(docs, text, rules).where(F.col("quality.kept"))
-    new = {text: F.col("quality.text")}
+    (to,) = fresh(docs, "quality")
+    q = judged(docs, text, rules, to).where(F.col(f"{to}.kept"))
+    new = {text: F.col(f"{to}.text")}
     if n_chars in docs.columns:
-        new[n_chars] = F.length(F.col("quality.text")).cast(docs.schema[n_chars].dataType)
+        new[n_chars] = F.length(F.col(f"{to}.text")).cast(docs.schema[n_chars].dataType)
     return q.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
