@@ -29,6 +29,8 @@ from .hashing import U, mix
 EDITS, LEAST_CHARS = 2, 16
 #: Characters worked on at once, characters of text to a bucket of keys, nodes to a block, bins of a line.
 AT_ONCE, BUCKET_CHARS, BLOCK, BINS = 1_000_000, 10_000_000, 256, 32
+#: Lines that a task remembers having sent.
+KEPT = 500_000
 _BASE = U(0x9E3779B97F4A7C15) | U(1)
 
 
@@ -81,6 +83,12 @@ def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.where(F.regexp_like("words", F.lit("[^\\x20\\x09-\\x0D]"))).select("id", "body", "line", F.xxhash64("words").alias("node"), F.length("words").alias("chars"))
 
 
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    """(lines, names) a text: its lines and their nodes."""
+    lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
+    return docs.select(lines.alias("lines")).select("lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("names"))
+
+
 def _entries(docs: DataFrame, text: str, edits: int, least: int, buckets: int) -> DataFrame:
     """(bucket, n, keys, nodes): index and probe keys of the distinct lines of each batch."""
 
@@ -118,7 +126,7 @@ def _entries(docs: DataFrame, text: str, edits: int, least: int, buckets: int) -
                         codes, nodes, held = [], [], 0
                     if len(line) > len(up):
                         up, down = _powers(len(line))
-                    if len(seen) > 500_000:  # only saves work: a line sent twice is one node later
+                    if len(seen) > KEPT:  # only saves work: a line sent twice is one node later
                         seen.clear()
                     seen.add(name)
                     codes.append(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4"))
@@ -127,9 +135,7 @@ def _entries(docs: DataFrame, text: str, edits: int, least: int, buckets: int) -
         if codes:
             yield emit(codes, nodes, up, down)
 
-    lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
-    rows = docs.select(lines.alias("lines")).select("lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("names"))
-    return rows.mapInArrow(run, "bucket long, n long, keys binary, nodes binary")
+    return _named(docs, text).mapInArrow(run, "bucket long, n long, keys binary, nodes binary")
 
 
 def _met(entries: DataFrame) -> DataFrame:
@@ -153,7 +159,7 @@ def _met(entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(run, "key long, node long")
 
 
-def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, text: str, wanted: DataFrame, least: int) -> DataFrame:
     """(node, words, n, bins) of the wanted nodes: the line and its counts of characters by bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +171,23 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 bins.append(np.minimum(np.bincount(codes % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("words"), pa.array(n, pa.int32()), pa.array(bins, pa.binary())], names=["node", "words", "n", "bins"])
 
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)).alias("words")).withColumn("node", F.xxhash64("words"))
-    found = lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("words").alias("words"))
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A line goes out once a task, so that a very frequent one is not one task's load in the join.
+        seen: set[int] = set()
+        for batch in batches:
+            words, nodes = [], []
+            for lines, names in zip(batch.column("lines").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                for line, name in zip(lines, names, strict=True):
+                    if len(line) >= least and name not in seen:
+                        if len(seen) > KEPT:
+                            seen.clear()
+                        seen.add(name)
+                        words.append(line)
+                        nodes.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(words, pa.string())], names=["node", "words"])
+
+    found = _named(docs, text).mapInArrow(once, "node long, words string").join(wanted, "node", "left_semi")
+    found = found.groupBy("node").agg(F.any_value("words").alias("words"))
     return found.mapInArrow(run, "node long, words string, n int, bins binary")
 
 
@@ -223,7 +244,7 @@ def links(docs: DataFrame, text: str = "text", edits: int = EDITS, least: int =
     chars = docs.agg(F.sum(F.length(f"`{text}`"))).first()[0] or 0
     buckets = max(1, -(-int(chars) // BUCKET_CHARS))
     met = written(_met(_entries(docs, text, edits, least, buckets)), "met")
-    texts = written(_texts(docs, text, met.select("node").distinct()), "texts")
+    texts = written(_texts(docs, text, met.select("node").distinct(), least), "texts")
     pairs = _candidates(met, texts, edits, buckets)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
