@@ -21,11 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .hashing import U, mix, pack, pack_counts, runs, unpack, unpack_counts, word_hashes
 
 CHUNK_CHARS, BUCKET_CHARS = 8_000_000, 6_000_000
@@ -66,11 +65,6 @@ def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.nd
     return levels, sizes
 
 
-def _distinct(levels: list[np.ndarray]) -> np.ndarray:
-    found = np.unique(np.concatenate(levels))
-    return found[found != 0]
-
-
 def _cells(chunks: DataFrame, order: int, bits: int) -> DataFrame:
     """(bucket, chunk, n, grams, train, kept): what each chunk has of each bucket's n-grams."""
 
@@ -124,19 +118,22 @@ def _answers(cells: DataFrame) -> DataFrame:
     return cells.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, n long, train binary, kept binary, types long, tokens long, kept_tokens long")
 
 
-def _looked_up(texts: pa.Table, answers: pa.Table, order: int, name: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """The count of the n-gram of each order at each token, from the chunk's answers."""
+def _looked_up(texts: pa.Table, answers: pa.Table, order: int, name: str, only: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The count of the n-gram of each order at each token, from the chunk's answers, and tokens and
+    START a text; of all texts, or of those in `only`."""
     levels, sizes = _grams(texts["text"].to_pylist(), order)
     answers = answers.sort_by("bucket")
-    counts = [unpack_counts(c, n) for c, n in zip(answers[name].to_pylist(), answers["n"].to_pylist(), strict=True)]
-    grams = _distinct(levels)
-    counts = np.concatenate(counts)
-    out = []
-    for level in levels:
-        c = counts[np.minimum(np.searchsorted(grams, level), len(grams) - 1)]
-        c[level == 0] = 0
-        out.append(c)
-    return out, sizes
+    counts = np.concatenate([unpack_counts(c, n) for c, n in zip(answers[name].to_pylist(), answers["n"].to_pylist(), strict=True)])
+    every = np.concatenate(levels)
+    if only is None:
+        grams, places = np.unique(every, return_inverse=True)
+    else:
+        grams, mine = np.unique(every), np.repeat(only, sizes)
+        levels, sizes = [level[mine] for level in levels], sizes[only]
+        places = np.searchsorted(grams, np.concatenate(levels))
+    if len(grams) and grams[0] == 0:  # the mark of places without an n-gram: it is not asked for
+        counts = np.concatenate([np.zeros(1, counts.dtype), counts])
+    return np.split(counts[places], len(levels)), sizes
 
 
 def _events(counts: list[np.ndarray], sizes: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,18 +196,15 @@ def fit_and_score(docs: DataFrame, train: Column, id: str = "doc_id", text: str
     uniform = 1 / (types + 1)
 
     def gather(key, left, right):
-        out: dict = {}
-        held = left.filter(pc.equal(left["part"], 1)) if left.num_rows else left
-        if held.num_rows:
-            counts, sizes = _looked_up(left, right, order, "kept")
-            mine = np.repeat(left["part"].to_numpy() == 1, sizes)
-            at, p, key_ = _events(counts, sizes, kept_tokens)
-            p, key_ = p[:, mine[at]], key_[mine[at]]
-            with np.errstate(divide="ignore"):
-                logs = np.where(p > 0, np.rint(np.log2(np.maximum(p, 1e-300)) * STEPS), -9999).astype(np.int64)
-            cells, n = np.unique(np.concatenate([key_[None, :], logs]), axis=1, return_counts=True)
-            out = {"cell": pa.array(cells.T.tolist(), pa.list_(pa.int64())), "n": pa.array(n, pa.int64())}
-        return pa.table(out) if out else pa.table({"cell": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.int64())})
+        held = left["part"].to_numpy() == 1
+        if not held.any():
+            return pa.table({"cell": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.int64())})
+        counts, sizes = _looked_up(left, right, order, "kept", held)
+        _, p, keys = _events(counts, sizes, kept_tokens)
+        with np.errstate(divide="ignore"):
+            logs = np.where(p > 0, np.rint(np.log2(np.maximum(p, 1e-300)) * STEPS), -9999).astype(np.int64)
+        cells, n = np.unique(np.concatenate([keys[None, :], logs]), axis=1, return_counts=True)
+        return pa.table({"cell": pa.array(cells.T.tolist(), pa.list_(pa.int64())), "n": pa.array(n, pa.int64())})
 
     asked = answers.select("chunk", "bucket", "n", "train", "kept")
     # The grid of quantised estimates is bounded whatever the input, so it may come to the driver.
@@ -218,7 +212,9 @@ def fit_and_score(docs: DataFrame, train: Column, id: str = "doc_id", text: str
         rows.select("chunk", "text", "part").groupBy("chunk").cogroup(asked.select("chunk", "bucket", "n", "kept").groupBy("chunk"))
         .applyInArrow(gather, "cell array<long>, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     )
-    model = Model(order, tokens, types, learned({tuple(r.cell): r.n for r in events.collect()}, uniform))
+    with tidy(docs.sparkSession):
+        events = {tuple(r.cell): r.n for r in events.collect()}
+    model = Model(order, tokens, types, learned(events, uniform))
 
     def score(key, left, right):
         n = left.num_rows
