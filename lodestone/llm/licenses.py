@@ -88,7 +88,7 @@ def matched(texts: DataFrame, id: str = "doc_id", text: str = "text", templates:
         .select("id", "line", "norm", "t.*")
     )
     rows = [(k, w, tf * idf[w] * idf[w] / reduce(add, [(b[x] * idf[x]) ** 2 for x in sorted(b)]) ** 0.5) for k, b in bags.items() for w, tf in b.items()]
-    known = spark.createDataFrame(rows, "license string, term string, weight double")
+    known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(w).alias("term"), F.lit(x).alias("weight")) for k, w, x in rows])))
     score = F.round(F.sum(F.col("tf") * F.col("weight")) / F.sqrt(F.first("norm")), 6)
     best = (
         found.join(F.broadcast(known), "term")
