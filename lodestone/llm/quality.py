@@ -152,7 +152,9 @@ def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules(), to: str
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules(), n_chars: str = "n_chars") -> DataFrame:
     """The documents that pass, without their failing lines, in the columns of `docs`."""
     (to,) = fresh(docs, "quality")
-    q = judged(docs, text, rules, to).where(F.col(f"{to}.kept"))
+    # An outer explode of one element keeps Spark from working the struct out for the filter and again
+    # for its fields.
+    q = judged(docs, text, rules, to).withColumn(to, F.explode_outer(F.array(to))).where(F.col(f"{to}.kept"))
     new = {text: F.col(f"{to}.text")}
     if n_chars in docs.columns:
         new[n_chars] = F.length(F.col(f"{to}.text")).cast(docs.schema[n_chars].dataType)
