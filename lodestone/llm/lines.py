@@ -17,20 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, words, written
 from .components import components
 from .editing import edit_distance
-from .hashing import U, mix
+from .hashing import U, mix, word_hashes
+from .nearcopies import SIMILARITY, alike
 
 #: Edits that two like lines may differ by; characters of a line to be compared other than for equality.
 EDITS, LEAST_CHARS = 2, 16
 #: Characters worked on at once, characters of text to a bucket of keys, nodes to a block, bins of a line.
 AT_ONCE, BUCKET_CHARS, BLOCK, BINS = 1_000_000, 10_000_000, 256, 32
-#: Lines that a task remembers having sent.
-KEPT = 500_000
+#: Lines that a task remembers having sent; parts that the pairs of one text are dealt to.
+KEPT, PARTS = 500_000, 256
 _BASE = U(0x9E3779B97F4A7C15) | U(1)
 
 
@@ -273,35 +274,86 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int
     return out.select(F.col("id").alias(id), "body", "line", "chars", F.col("lead.id").alias("class_id"), F.col("lead.line").alias("class_line"), F.col("lead.body").alias("class_body"), "copies", "n_links")
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", most_lost: int = 80, partner_share: int = 20, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with the value of a as x and of b as y. Many a may meet one b: its value is sent
+    to up to `PARTS` parts of its pairs."""
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS)))
+    of_b = dealt.select("b", "part").distinct().join(texts.select(F.col("body").alias("b"), F.col(value).alias("y")), "b")
+    return dealt.join(of_b, ["b", "part"]).drop("part").join(texts.select(F.col("body").alias("a"), F.col(value).alias("x")), "a")
+
+
+def _near(both: DataFrame, similarity: float, want: bool = True) -> DataFrame:
+    """The pairs (a, b) whose texts x and y are near-copies by words, or those that are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for k in range(0, batch.num_rows, 64):
+                some = batch.slice(k, 64)
+                hashes, sizes = word_hashes([*some.column("x").to_pylist(), *some.column("y").to_pylist()])
+                words = np.split(hashes.astype("<u4"), np.cumsum(sizes)[:-1])
+                good += [alike(x, y, similarity) == want for x, y in zip(words[: some.num_rows], words[some.num_rows :], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _copies(docs: DataFrame, rows: DataFrame, repeats: DataFrame, id: str, text: str, similarity: float) -> DataFrame:
+    """(a, b) of bodies: a repeats lines that come first in b, and is a near-copy of b, both before
+    and after the lines that repeat others have gone from the two."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    sizes = docs.select(F.xxhash64(t).alias("body"), F.size(words(t)).alias("n")).groupBy("body").agg(F.max("n").alias("n"))
+    met = repeats.where("body <> class_body").select(F.col("body").alias("a"), F.col("class_body").alias("b")).distinct()
+    met = written(_with_texts(met, sizes, "n").where(F.greatest("x", "y") - F.least("x", "y") <= (1 - similarity) * F.greatest("x", "y") + 1e-9).select("a", "b"), "met")
+    wanted = met.select(F.col("a").alias("body")).union(met.select("b")).distinct()
+    holder = rows.groupBy("body").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("one")).join(wanted, "body").select(F.col("body").alias("of"), F.col("one.id").alias("by"))
+    held = docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(t).alias("body"), t.alias("text"))
+    texts = held.join(holder, F.col("id").eqNullSafe(F.col("by")) & (F.col("body") == F.col("of"))).groupBy("body").agg(F.any_value("text").alias("text"))
+    texts = written(texts, "texts")
+    near = written(_near(_with_texts(met, texts, "text"), similarity), "near")
+    lines = repeats.join(wanted, "body", "semi").select("body", "line", "again", "class_body").distinct()
+    lines = written(lines, "lines")
+    while True:  # every round takes pairs away
+        gone = _going(lines, near).groupBy("body").agg(F.collect_set("line").alias("gone"))
+        now = texts.join(gone, "body", "left").select("body", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"), F.col("gone").isNotNull().alias("cut"))
+        both = _with_texts(near, now.withColumn("value", F.struct("text", "cut")), "value").where("x.cut or y.cut")
+        apart = written(_near(both.select("a", "b", F.col("x.text").alias("x"), F.col("y.text").alias("y")), similarity, False), "apart")
+        if apart.isEmpty():
+            return near
+        near = written(near.join(apart, ["a", "b"], "anti"), "near")
+
+
+def _going(repeats: DataFrame, near: DataFrame) -> DataFrame:
+    """The repeats that go: those of a line of the same text, and those of a text that is no near-copy."""
+    pairs = near.select(F.col("a").alias("body"), F.col("b").alias("class_body"), F.lit(True).alias("copy"))
+    return repeats.join(pairs, ["body", "class_body"], "left").where(F.col("again") | ((F.col("body") != F.col("class_body")) & F.col("copy").isNull()))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+
+
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", similarity: float = SIMILARITY, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """The documents, in their own columns, without lines that repeat a line met before.
 
-    Of each class of like lines the first stays. Two cases are left whole, since they are copies of
-    documents rather than of lines: a text that shares two or more such lines, and `partner_share`
-    hundredths of its characters, with the one document where they come first; and a text that would
-    lose `most_lost` hundredths. Lines of under `least` characters stay. No row is added or dropped.
+    Of each class of like lines the first stays, whatever share of a text the others are. Only the
+    lines that a text shares with a near-copy where they come first stay too, as the two are copies
+    of documents rather than of lines: their words, all in order, have the similarity at which
+    `nearcopies` takes one of them. Lines of under `least` characters stay. No row is added or
+    dropped; a text of nothing but repeats is left empty.
     """
     of, of_body, gone_lines = fresh(docs, "gone_id", "gone_body", "gone")
-    rows = classes(docs, id, text, edits, least).withColumnRenamed(id, "id")
-    repeat = ~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("line") == F.col("class_line")) & (F.col("body") == F.col("class_body")))
-    whole = rows.groupBy("id", "body").agg(F.sum("chars").alias("all"))
-    gone = rows.where(repeat & (F.col("chars") >= least)).withColumn("away", ~F.col("id").eqNullSafe(F.col("class_id")))
-    doc, partner = Window.partitionBy("id", "body"), Window.partitionBy("id", "body", "class_id", "class_body")
-    gone = (
-        gone.join(whole.withColumnRenamed("id", "of").withColumnRenamed("body", "ofb"), F.col("id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("ofb")))
-        .withColumn("lost", F.sum("chars").over(doc))
-        .withColumn("shared", F.sum("chars").over(partner))
-        .withColumn("times", F.size(F.collect_set("line").over(partner)))
-        .where(~(F.col("away") & (F.col("times") >= 2) & (100 * F.col("shared") >= partner_share * F.col("all"))))
-        .where(100 * F.col("lost") < most_lost * F.col("all"))
-        .groupBy(F.col("id").alias(of), F.col("body").alias(of_body))
-        .agg(F.collect_set("line").alias(gone_lines))
-    )
+    rows = written(classes(docs, id, text, edits, least).withColumnRenamed(id, "id"), "classes")
+    first = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("line") == F.col("class_line")) & (F.col("body") == F.col("class_body"))
+    own = Window.partitionBy("id", "body", "class_id", "class_line", "class_body")
+    again = F.when(F.col("body") == F.col("class_body"), F.col("line") != F.col("class_line")).otherwise(F.col("line") > F.min("line").over(own))
+    repeats = written(rows.where(~first & (F.col("chars") >= least)).withColumn("again", again).select("id", "body", "line", "again", "class_body"), "repeats")
+    near = _copies(docs, rows, repeats, id, text, similarity)
+    gone = _going(repeats, near).groupBy(F.col("id").alias(of), F.col("body").alias(of_body)).agg(F.collect_set("line").alias(gone_lines))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    left = F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains(gone_lines, i))
     out = docs.join(gone, F.col(f"`{id}`").eqNullSafe(F.col(of)) & (F.xxhash64(t) == F.col(of_body)), "left")
     same = F.col(gone_lines).isNull()
-    body = F.when(same, F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    body = F.when(same, F.col(f"`{text}`")).otherwise(_without(t, F.col(gone_lines)))
     new = {text: body}
     if n_chars in docs.columns:
         new[n_chars] = F.when(same, F.col(f"`{n_chars}`")).otherwise(F.length(body)).cast(docs.schema[n_chars].dataType)

@@ -205,6 +205,27 @@ def test_repeated_lines_go_but_copies_of_documents_stay(spark):
     assert out[10] == rows[-1][1]
 
 
+@pytest.mark.parametrize("share", [20, 50, 79])
+def test_repeats_go_whatever_their_share(spark, share):
+    passage = prose(900, share) + "\n" + prose(901, share)
+    rows = [(0, prose(0, 300) + "\n" + passage), (1, passage + "\n" + prose(1, 200 - 2 * share))]
+    rows += [(2, "\n".join(prose(k, 300) if k == 0 else prose(50 + k, 100) for k in range(4))), *((10 + k, prose(50 + k, 100)) for k in range(1, 4))]
+    rows += [(20, "\n".join([prose(70, 30)] * 9)), (30, "\n".join(prose(80 + k, 30) for k in range(10))), (31, "\n".join(prose(80 + k + (k > 7) * 20, 30) for k in range(10)))]
+    out = {r.doc_id: r.text for r in lines.without_repeats(docs(spark, rows)).collect()}
+    assert len(out) == len(rows)
+    assert out[0] == rows[0][1] and out[1] == prose(1, 200 - 2 * share)
+    assert out[2] == "\n".join(prose(50 + k, 100) for k in range(1, 4)) and [out[10 + k] for k in range(1, 4)] == ["", "", ""]
+    assert out[20] == prose(70, 30)
+    assert out[31] == rows[-1][1]  # a near-copy of 30, at 0.8
+
+
+def test_pieces_of_many_documents_go(spark):
+    rows = [(k, prose(k, 100) + "\n" + prose(50 + k, 40)) for k in range(6)]
+    rows += [(9, "\n".join(prose(50 + k, 40) for k in range(6)) + "\n" + prose(99, 10))]
+    out = {r.doc_id: r.text for r in lines.without_repeats(docs(spark, rows)).collect()}
+    assert out == {**dict(rows[:6]), 9: prose(99, 10)}
+
+
 def test_near_copies_by_brute_force(spark):
     rows = []
     for k in range(12):
