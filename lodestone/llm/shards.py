@@ -18,6 +18,7 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ def encoder(path: str, end: int | None):
     The tokenizer drops white space, lowers case and joins neither across white space nor across the
     border of letters and other signs. So a text's ids are those of its words one after the other,
     and those of a word of letters with signs behind it are those of the two parts. Words met before
-    are looked up; new ones are encoded many at a time. A text that itself holds special tokens is
+    are looked up; new ones are encoded many at a time, but by themselves where the tokenizer's NFC
+    makes other signs of letters or where it finds more words in a call than were sent. A text that itself holds special tokens is
     encoded whole, as is every text for a tokenizer without the word ends that this rests on.
     """
     import os
@@ -73,7 +75,7 @@ def encoder(path: str, end: int | None):
             low = stem.lower() if stem.isascii() else "".join(map(str.lower, stem))
             rest = w[len(stem) :]
             cut[w] = low, rest
-            if not low.isalpha() or not stem.isalpha():
+            if not all(x.isalpha() for x in (low, stem, normalize("NFC", low), normalize("NFC", stem))):
                 known[w] = whole(w)
                 del cut[w]
             elif rest and rest not in stems:
@@ -83,6 +85,9 @@ def encoder(path: str, end: int | None):
             part = some[k : k + 1024]
             e = tok.encode(" ".join(part), add_special_tokens=False)
             ids, owner = np.array(e.ids, kind), np.array(e.word_ids)
+            if len(owner) == 0 or owner.max() + 1 != len(part):
+                stems.update((w, whole(w)) for w in part)
+                continue
             ends = np.searchsorted(owner, np.arange(len(part)), "right") * kind.itemsize
             raw, at = ids.tobytes(), 0
             for w, to in zip(part, ends.tolist(), strict=True):

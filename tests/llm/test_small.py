@@ -118,6 +118,19 @@ def test_shards_round_trip(spark, odd):
     assert shards.write(empty(spark), path).count() == 0
 
 
+def test_letters_that_nfc_takes_apart():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["ab \u0958 cd ef", "\ufb2a gh", "north \u0958x, south", "x\ufb2a. east", "cd ef gh ab"]
+    encode, width = shards.encoder(path, None)
+    got = [np.frombuffer(x, f"<u{width}").tolist() for _ in range(2) for x in encode(texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts] * 2
+
+
 def test_packing_places_every_token_once(spark, odd):
     sizes = (64, 256, 1024)
     rows = packing.packed(odd, sizes=sizes, shard=10).collect()
