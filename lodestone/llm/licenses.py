@@ -2,8 +2,8 @@
 
 Only DataFrame functions run here. A text's lines are vectors over the templates' terms, each other
 term being a dimension of its own; inverse document frequencies come from all texts. A line's cosine
-with any template is at most the share of its length that template terms have, so only lines above
-the threshold by that bound are multiplied out. Texts without a license of their own take the one of
+with any template is at most what it would be if its other terms were in all texts, so only lines
+above the threshold by that bound have their other terms' frequencies counted. Texts without a license of their own take the one of
 the license file in the nearest directory above them, by joins of directories, not of files.
 """
 
@@ -17,7 +17,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import fits, let, written
 
 #: The notices that the scan knows, by SPDX identifier.
 TEMPLATES = {
@@ -33,6 +33,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.75
+#: Terms whose frequencies are asked for, up to which they are broadcast.
+MOST_TERMS = 200_000
 BETWEEN = "[^a-z0-9]+"
 
 
@@ -65,35 +67,50 @@ def matched(texts: DataFrame, id: str = "doc_id", text: str = "text", templates:
     vocabulary = sorted({w for b in bags.values() for w in b})
     n, df = frequencies(texts, text, vocabulary)
     idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
-    other = log(1 + n) + 1
     spark = texts.sparkSession
     # Templates are a handful of fixed notices: their weights are part of the plan.
     weights = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])
-    lines = texts.select(F.col(f"`{id}`").alias("id"), F.posexplode_outer(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)).alias("line", "words"))
-    found = lines.withColumn("terms", _line_terms(F.col("words")))
+    text_lines = F.posexplode_outer(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)).alias("line", "words")
+    lines = texts.select(F.col(f"`{id}`").alias("id"), text_lines).withColumn("terms", _line_terms(F.col("words")))
     inside = F.filter("terms", lambda w: w.isin(*vocabulary))
+    outside = F.filter("terms", lambda w: ~w.isin(*vocabulary))
 
     def bag(t: Column) -> Column:
         return F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("term"), F.size(F.filter(t, lambda x: x == w)).alias("tf")))
 
-    outside = F.filter("terms", lambda w: ~w.isin(*vocabulary))
     square = lambda x: x * x
-    found = found.withColumn("inside", inside).where(F.size("inside") > 0)
-    found = found.where((F.size("inside") * max(idf.values())) ** 2 >= threshold**2 * (F.size("terms") - F.size("inside")) * other**2)
+    # A term weighs 1 at least, and tf^2 is tf at least: so much do the other terms add to the square
+    # of a line's length, whatever their frequencies.
+    found = lines.withColumn("inside", inside).where(F.size("inside") > 0).withColumn("others", F.size("terms") - F.size("inside"))
     found = (
         found.withColumn("bag", let(F.col("inside"), bag))
-        .withColumn("rest", F.aggregate(let(outside, lambda o: F.transform(F.array_distinct(o), lambda w: F.size(F.filter(o, lambda x: x == w)))), F.lit(0.0), lambda a, x: a + square(x * F.lit(other))))
-        .withColumn("norm", F.aggregate("bag", F.col("rest"), lambda a, x: a + square(x["tf"] * F.element_at(weights, x["term"]))))
-        .select("id", "line", "norm", F.explode("bag").alias("t"))
-        .select("id", "line", "norm", "t.*")
+        .withColumn("norm", F.aggregate("bag", F.lit(0.0), lambda a, x: a + square(x["tf"] * F.element_at(weights, x["term"]))))
+        .where((1 - threshold**2) * F.col("norm") >= threshold**2 * F.col("others") - 1e-6)
+        .select("id", "line", "norm", "others", F.explode("bag").alias("t"))
+        .select("id", "line", "norm", "others", "t.*")
     )
     rows = [(k, w, tf * idf[w] * idf[w] / reduce(add, [(b[x] * idf[x]) ** 2 for x in sorted(b)]) ** 0.5) for k, b in bags.items() for w, tf in b.items()]
     known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(w).alias("term"), F.lit(x).alias("weight")) for k, w, x in rows])))
-    score = F.round(F.sum(F.col("tf") * F.col("weight")) / F.sqrt(F.first("norm")), 6)
-    best = (
+    near = (
         found.join(F.broadcast(known), "term")
         .groupBy("id", "line", "license")
-        .agg(score.alias("score"))
+        .agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"), F.first("others").alias("others"))
+        .where(F.col("dot") >= (threshold - 1e-6) * F.sqrt(F.col("norm") + F.col("others")))
+    )
+    near = written(near, "near")
+    # The other terms of these lines, with their frequencies in all texts.
+    at = near.where("others > 0").select(F.col("id").alias("of"), F.col("line").alias("at")).distinct()
+    more = lines.join(at, F.col("id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("at")), "left_semi")
+    more = written(more.select("id", "line", F.xxhash64("words").alias("body"), F.explode(let(outside, bag)).alias("t")).select("id", "line", "body", "t.*"), "others").distinct()
+    counts = _counts(texts, text, more.select("term").distinct())
+    weight = F.log((1 + n) / (1 + F.coalesce("n", F.lit(0)))) + 1
+    rest = more.join(counts, "term", "left").groupBy("id", "line", "body").agg(F.sum(square(F.col("tf") * weight)).alias("rest"))
+    # Rows that share an id and differ in a line: the first such line counts.
+    rest = rest.groupBy(F.col("id").alias("of"), F.col("line").alias("at")).agg(F.min_by("rest", "body").alias("rest"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("norm") + F.coalesce("rest", F.lit(0.0))), 6)
+    best = (
+        near.join(rest, F.col("id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("at")), "left")
+        .withColumn("score", score)
         .where(F.col("score") >= threshold)
         .groupBy("id")
         .agg(F.min(F.struct((-F.col("score")).alias("minus"), "line", "license")).alias("best"))
@@ -101,6 +118,17 @@ def matched(texts: DataFrame, id: str = "doc_id", text: str = "text", templates:
     return best.select("id", "best.license", (-F.col("best.minus")).alias("score"), "best.line")
 
 
+def _counts(texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(term, n) of the wanted terms: the texts that hold each."""
+    held = texts.select(F.explode(F.array_distinct(_line_terms(F.coalesce(F.col(f"`{text}`"), F.lit(""))))).alias("term"))
+    wanted = written(wanted, "terms")
+    if wanted.isEmpty():
+        return wanted.withColumn("n", F.lit(0).cast("long"))
+    if fits(wanted, MOST_TERMS):
+        return held.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return held.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi")
+
+
 def scanned(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "text", is_license_file: Column | None = None, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of `files`: id, license, score, origin ('own', 'inherited' or 'none'), from_dir.
 

@@ -314,6 +314,29 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id bigint, path string, text string")).count() == 0
 
 
+def test_license_terms_weigh_by_their_texts(spark):
+    common = "It is and the of to in on."
+    notice = "Licensed under the Apache License, Version 2.0. " + common
+    texts = {0: notice, **{i: common + f" rare{i}" for i in range(1, 400)}, 400: None, 401: "nothing\nLicensed under the Apache License, Version 2.0. zig zag"}
+    held = {i: set(licenses.terms(t or "")) for i, t in texts.items()}
+    weigh = lambda w: math.log((1 + len(texts)) / (1 + sum(w in h for h in held.values()))) + 1
+    vector = lambda t: {w: c * weigh(w) for w, c in Counter(licenses.terms(t)).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for i, t in texts.items():
+        for k, line in enumerate((t or "").split("\n")):
+            v = vector(line)
+            for name, body in licenses.TEMPLATES.items():
+                u = vector(body)
+                score = round(sum(x * v.get(w, 0) for w, x in u.items()) / (size(u) * size(v)), 6) if v else 0
+                if score >= licenses.THRESHOLD:
+                    want[i] = min(want.get(i, (0, 0, "")), (-score, k, name))
+    assert 0 in want
+    got = licenses.matched(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.id: (r.license, r.line) for r in got} == {i: (n, k) for i, (_, k, n) in want.items()}
+    assert all(r.score == pytest.approx(-want[r.id][0], abs=2e-6) for r in got)
+
+
 def test_urls_both_ways(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.org", "/x", "block"), ("a.org", "/x", "allow"), (None, "/", "block")], "host string, path string, verdict string")
     rows = [("http://q.example.NET/en/1?a#b", "example.net/en/", "allow"), ("http://example.net/fr", "net/", "block"), ("http://example.net", None, "allow"), ("https://w.a.org/xyz", "a.org/x", "block"), ("http://ba.org/x", None, "allow"), ("nothing", None, "allow"), (None, None, "allow"), ("", None, "allow")]
