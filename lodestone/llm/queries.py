@@ -12,16 +12,21 @@ from .common import shared_dir, table
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer() -> str:
+    """The tokenizer file of the queries of token ids, the same on every machine."""
     import public_tokenizers
 
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = shared_dir(spark, "op2")
-    shards.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), where)
+    shards.write(table(spark, sf_dir, "documents"), tokenizer(), where)
     return shards.read(spark, where, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

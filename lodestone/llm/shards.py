@@ -18,10 +18,10 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,96 +30,147 @@ from .common import shared_dir
 #: Characters of text to a shard, ids' bytes to a block, bits of the filter to a key, its hashes.
 SHARD_CHARS, BLOCK_BYTES, BITS, PROBES = 24_000_000, 1 << 17, 10, 7
 FOOTER, FOOTER_BYTES, MAGIC = "<QQQQHxx4s", 40, b"LSS1"
-#: Words whose ids a task keeps at hand; beyond that it starts over.
-KNOWN_WORDS = 600_000
+#: Items of words whose ids a task keeps at hand, beyond which it starts over; bytes of text encoded at once.
+KNOWN_ITEMS, AT_ONCE = 600_000, 8_000_000
+#: How the tokenizers of the word-wise kind cut texts, and the words that are cut here: letters
+#: that composing leaves alone (not the one whose lower case has a mark of its own) and digits, then signs. Not
+#: the apostrophe, which those tokenizers join with letters.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT = r"""^(?P<stem>[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]+)(?P<rest>[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)$"""
 MANIFEST = "shard int, file string, low long, high long, docs long, tokens long"
 
 
-def encoder(path: str, end: int | None):
-    """A function from texts to their ids as packed little-endian bytes, and the bytes of an id.
+class Encoder:
+    """Texts to their ids, many texts at a time, for any tokenizer file.
 
-    The tokenizer drops white space, lowers case and joins neither across white space nor across the
-    border of letters and other signs. So a text's ids are those of its words one after the other,
-    and those of a word of letters with signs behind it are those of the two parts. Words met before
-    are looked up; new ones are encoded many at a time, but by themselves where the tokenizer's NFC
-    makes other signs of letters or where it finds more words in a call than were sent. A text that itself holds special tokens is
-    encoded whole, as is every text for a tokenizer without the word ends that this rests on.
+    A text is cut at blanks and line breaks, across which no tokenizer of the kind that `by_words`
+    admits joins or orders characters. Equal words are found by Arrow's dictionary encoding, so Python
+    sees a word once a batch. A word of Latin letters and digits with ASCII signs behind it is two
+    items, as such a tokenizer ends a token between a letter and a sign; any other word is one item.
+    Items not met before go to the tokenizer as a list that is cut already: it then says of every id
+    which item it is of, whatever its normaliser makes of the letters. Texts are their items' ids, put
+    together by index. A text that itself holds special tokens is encoded whole, as is every text for
+    a tokenizer of another kind.
     """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    kind = np.dtype("<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    by_words = getattr(tok.model, "end_of_word_suffix", None) == "</w>"
-    tail = b"" if end is None else np.array([end], kind).tobytes()
-    # Signs that may follow the letters; not the apostrophe, which the tokenizer joins with letters.
-    signs = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    known: dict[str, bytes] = {"": b""}
-    stems: dict[str, bytes] = {"": b""}
-
-    def whole(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
-
-    def learn(new: list[str]) -> None:
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            stems.clear()
-            known[""] = stems[""] = b""
-        cut = {}
-        for w in new:
-            stem = w.rstrip(signs)
-            # Letter by letter, as the tokenizer does it: no final sigma.
-            low = stem.lower() if stem.isascii() else "".join(map(str.lower, stem))
-            rest = w[len(stem) :]
-            cut[w] = low, rest
-            if not all(x.isalpha() for x in (low, stem, normalize("NFC", low), normalize("NFC", stem))):
-                known[w] = whole(w)
-                del cut[w]
-            elif rest and rest not in stems:
-                stems[rest] = whole(rest)
-        some = list({low for low, _ in cut.values() if low not in stems})
-        for k in range(0, len(some), 1024):
-            part = some[k : k + 1024]
-            e = tok.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(e.ids, kind), np.array(e.word_ids)
-            if len(owner) == 0 or owner.max() + 1 != len(part):
-                stems.update((w, whole(w)) for w in part)
-                continue
-            ends = np.searchsorted(owner, np.arange(len(part)), "right") * kind.itemsize
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(part, ends.tolist(), strict=True):
-                stems[w] = raw[at:to]
-                at = to
-        for w, (low, rest) in cut.items():
-            known[w] = stems[low] + stems[rest]
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            text = text or ""
-            if not by_words or any(s in text for s in special):
-                out.append(whole(text) + tail)
-                continue
-            parts = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join([known[w] for w in parts]) + tail)
-            except KeyError:
-                learn(list({w for w in parts if w not in known}))
-                out.append(b"".join([known[w] if w in known else whole(w) for w in parts]) + tail)
-        return out
-
-    def encode_all(texts: list[str | None]) -> list[bytes]:
-        if by_words:  # what is new in all texts at once: fewer and longer calls of the tokenizer
-            new = {w for t in texts if t and not any(s in t for s in special) for w in t.replace("\n", " ").split(" ")}
-            new = [w for w in new if w not in known]
-            for k in range(0, len(new), 100_000):
-                learn(new[k : k + 100_000])
-        return encode(texts)
 
-    return encode_all, kind.itemsize
+    def __init__(self, path: str, end: int | None):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tail = np.array([] if end is None else [end], self.kind)
+        with open(path) as f:
+            self.by_words = by_words(json.load(f))
+        self.forget()
+
+    def forget(self) -> None:
+        self.items: dict[str, int] = {"": 0}
+        self.ids, self.starts, self.held = np.zeros(1 << 16, self.kind), np.zeros(1 << 14, np.int64), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def learn(self, new: list[str]) -> None:
+        """Gives each new item a number and keeps its ids."""
+        for k in range(0, len(new), 512):
+            part = new[k : k + 512]
+            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, self.kind)
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part)), "right")
+            first = len(self.items)
+            while first + len(part) >= len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            while self.held + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.held : self.held + len(ids)] = ids
+            # starts[k] is where item k begins; item 0, the empty one, has no ids.
+            self.starts[first + 1 : first + 1 + len(part)] = self.held + ends
+            self.held += len(ids)
+            self.items.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        found = words.dictionary_encode()
+        names = found.dictionary.to_pylist()
+        new = [x for x in names if x not in self.items]
+        if new:
+            self.learn(new)
+        return np.fromiter(map(self.items.__getitem__, names), np.int64, len(names))[found.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, each text's end id included, and each text's number of ids."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_words:
+            parts = [np.concatenate([self.whole(t), self.tail]) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, self.kind), *parts]), np.array([len(x) for x in parts], np.int64)
+        odd = np.zeros(len(texts), bool)
+        for x in self.special:
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if odd.any():
+            return self._mixed(texts, odd)
+        if len(self.items) > KNOWN_ITEMS:
+            self.forget()
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        cut = pc.extract_regex(words.dictionary, CUT)
+        plain = cut.is_valid()
+        first = self.numbers(pc.if_else(plain, pc.utf8_lower(pc.struct_field(cut, "stem")), words.dictionary))
+        rest = self.numbers(pc.if_else(plain, pc.struct_field(cut, "rest"), pa.scalar("", pa.large_string())))
+        # Each word is two items; each text ends with one more, for the end id.
+        at = words.indices.to_numpy()
+        ends = 2 * (lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]) + np.arange(len(texts))
+        last = np.zeros(2 * len(at) + len(texts), bool)
+        last[ends] = True
+        item = np.zeros(len(last), np.int64)
+        item[~last] = np.stack([first[at], rest[at]], axis=1).ravel()
+        sizes = self.starts[item + 1] - self.starts[item]
+        sizes[last] = len(self.tail)
+        stop = np.cumsum(sizes)
+        ids = self.ids[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.starts[item] - (stop - sizes), sizes)]
+        if len(self.tail):
+            ids[stop[ends] - 1] = self.tail[0]
+        return ids, np.diff(stop[ends], prepend=0)
+
+    def _mixed(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.encode(texts.filter(pa.array(~odd)))
+        parts = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+        out = [np.concatenate([self.whole(t.as_py()), self.tail]) if o else next(parts) for t, o in zip(texts, odd, strict=True)]
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def values(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, worked out for a bounded number of characters at once."""
+        for some in _slices(texts):
+            ids, sizes = self.encode(some)
+            yield from np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+    def sizes(self, texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[self.encode(some)[1] for some in _slices(texts)]])
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer file's steps are those that the word-wise way rests on: characters composed,
+    white space made blanks, letters lower-cased, tokens cut where letters, digits and signs meet."""
+    steps = spec.get("normalizer") or {}
+    steps = steps.get("normalizers", [steps])
+    plain = all(x.get("type") in ("NFC", "Lowercase") or (x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " ") for x in steps)
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    cut = len(cuts) == 2 and cuts[0].get("type") == "Split" and cuts[0].get("pattern") == {"Regex": SPLIT} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") and cuts[1].get("type") == "ByteLevel" and not cuts[1].get("add_prefix_space")
+    lower = any(x.get("type") == "Lowercase" for x in steps)
+    return bool(plain and lower and cut and not spec.get("post_processor") and not (spec.get("model") or {}).get("dropout"))
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 0
+    ends = np.cumsum(sizes)
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 def key_of(id: int | None) -> bytes:
@@ -245,25 +296,27 @@ def put(url: str, data: bytes) -> None:
 def write(docs: DataFrame, tokenizer: str, where: str | None = None, id: str = "doc_id", text: str = "text", end: int | None = 2, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Writes the documents' shards and gives their manifest, itself a table at `where`/manifest.
 
-    Null texts have the end id alone. Documents are in the order of (id, text), null ids first;
-    documents that share an id are all kept, side by side. An empty table gives an empty manifest.
+    Null texts have the end id alone. Documents are in the order of their ids, null ids first; those
+    that share an id are all kept, side by side in the order of a hash of their texts, and may take
+    up several shards. An empty table gives an empty manifest.
     A task that is run again writes the same bytes under the same name.
     """
     spark = docs.sparkSession
     where = where or shared_dir(spark, "shards")
     chars = docs.agg(F.sum(F.length(f"`{text}`") + 1)).first()[0] or 0
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.repartitionByRange(max(1, -(-int(chars) // shard_chars)), "id").sortWithinPartitions("id", "text")
+    rows = rows.withColumn("body", F.xxhash64("text"))
+    rows = rows.repartitionByRange(max(1, -(-int(chars) // shard_chars)), "id", "body").sortWithinPartitions("id", "body", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, width = encoder(tokenizer, end)
-        out, low, high = Writer(width), None, None
+        encoder = Encoder(tokenizer, end)
+        out, low, high = Writer(encoder.kind.itemsize), None, None
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            for i, value in zip(ids, encode(batch.column("text").to_pylist()), strict=True):
-                out.add(key_of(i), value)
+            for i, value in zip(ids, encoder.values(batch.column("text")), strict=True):
+                out.add(key_of(i), value.tobytes())
                 low, high = i if low is None else low, i
         if out.keys:
             shard = TaskContext.get().partitionId()

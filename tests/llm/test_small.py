@@ -108,7 +108,7 @@ def test_shards_round_trip(spark, odd):
     shards.write(frame, path, where, shard_chars=60_000)
     got = sorted(((r.start, r.id, r.n_tokens, r.ids_crc32, r.ids) for r in shards.read(spark, where).collect()), key=lambda r: r[0])
     want, start = [], 0
-    for i, t in sorted(frame.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode())):
+    for i, t, _ in sorted(frame.withColumn("h", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((start, i, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)), ids))
         start += len(ids)
@@ -118,22 +118,54 @@ def test_shards_round_trip(spark, odd):
     assert shards.write(empty(spark), path).count() == 0
 
 
-def test_letters_that_nfc_takes_apart():
+def test_every_letter_alone_and_between_words():
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    import numpy as np
+    import sys
+
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    texts = ["ab \u0958 cd ef", "\ufb2a gh", "north \u0958x, south", "x\ufb2a. east", "cd ef gh ab"]
-    encode, width = shards.encoder(path, None)
-    got = [np.frombuffer(x, f"<u{width}").tolist() for _ in range(2) for x in encode(texts)]
-    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts] * 2
+    letters = [c for c in map(chr, range(1, sys.maxunicode)) if c.isalpha() and not 0x3400 < ord(c) < 0x9FFF and not 0xAC00 < ord(c) < 0xD7A0 and ord(c) < 0x17000]
+    texts = [f"one two {c} three{c}, {c}four five!{c}" for c in letters]
+    texts += ["ab \u0958 cd ef", "north \u0958x, south", "x\ufb2a. east", "a\u0301?! \u0301b", "q'' don't!! it's?", "1st2 \u00b2x \u2460.", "a\tb\u00a0c\x1cd", " ".join(letters[:3000])]
+    encoder = shards.Encoder(path, None)
+    assert encoder.by_words
+    for _ in range(2):  # the second time all words are known
+        got = [v.tolist() for v in encoder.values(pa.array(texts))]
+        bad = [t for t, g in zip(texts, got) if g != tok.encode(t, add_special_tokens=False).ids]
+        assert bad == []
+    plain = [f"plain{chr(97 + k % 26)}{chr(97 + k // 26)} words" for k in range(300)]
+    assert [v.tolist() for v in encoder.values(pa.array(plain))] == [tok.encode(t, add_special_tokens=False).ids for t in plain]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    assert shards.by_words(spec)
+    assert not shards.by_words({**spec, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}})
+    assert not shards.by_words({**spec, "normalizer": {"type": "NFKC"}})
+
+
+def _words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or "")) + 1
+
 
+@pytest.mark.parametrize("path", [None, "word_bpe_49k.json"])
+def test_packing_places_every_token_once(spark, odd, path):
+    sizes, count = (64, 256, 1024), _words
+    if path:
+        public_tokenizers = pytest.importorskip("public_tokenizers")
+        from tokenizers import Tokenizer
 
-def test_packing_places_every_token_once(spark, odd):
-    sizes = (64, 256, 1024)
-    rows = packing.packed(odd, sizes=sizes, shard=10).collect()
+        path = public_tokenizers.path(path)
+        tok = Tokenizer.from_file(path)
+        count = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    rows = packing.packed(odd, path, sizes=sizes, shard=10).collect()
     bins = {}
     for r in rows:
         bins.setdefault((r.shard, r.bin), []).append(r)
@@ -144,8 +176,30 @@ def test_packing_places_every_token_once(spark, odd):
             assert r.offset == at
             at += r.n_tokens
         assert at == held[0].filled <= held[0].capacity and held[0].capacity == min(s for s in sizes if s >= at)
-    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1
-    assert sum(r.n_tokens for r in rows) == sum(words(r.text) for r in odd.select("text").collect())
+    assert sum(r.n_tokens for r in rows) == sum(count(r.text) for r in odd.select("text").collect())
+
+
+def test_sequences_hold_the_ids_of_the_shards(spark, odd):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    where = shards.shared_dir(spark, "test")
+    shards.write(odd, path, where)
+    want = Counter((r.id, tuple(r.ids)) for r in shards.read(spark, where).collect())
+    parts = {}
+    for r in packing.sequences(odd.select("doc_id", "text"), path, sizes=(256, 1024), shard=10).collect():
+        assert len(r.ids) <= r.capacity and sum(d.n_tokens for d in r.docs) == len(r.ids)
+        for d in r.docs:
+            parts.setdefault((d.id, d.piece), []).append(tuple(r.ids[d.offset : d.offset + d.n_tokens]))
+    assert sum(map(len, parts.values())) == sum(-(-len(ids) // 1024) * n for (_, ids), n in want.items())
+    assert Counter({(i, ids): n for (i, ids), n in want.items() if len(ids) <= 1024}) == Counter((i, ids) for (i, p), some in parts.items() for ids in some if len(ids) < 1024 and p == 0)
+    long = next(ids for (i, ids) in want if i == 4)
+    assert sum((parts[4, p][0] for p in range(-(-len(long) // 1024))), ()) == long
+
+
+def test_packing_of_clashing_ids(spark):
+    frame = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "shard long, text string")
+    assert packing.packed(frame, id="shard").columns[0] == "shard_"
+    assert packing.packed(frame, id="shard").count() == 3
 
 
 def test_best_fit_by_brute_force():
