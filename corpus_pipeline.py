@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, lines, nearcopies, packing, quality
+from lodestone.llm import decontam, lines, nearcopies, packing, quality, queries
 from lodestone.llm.common import shared_dir, table, tidy
 
 
@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's tokens lie in the sequences."""
-    return packing.packed(docs.select("doc_id", "text"))
+    return packing.packed(docs.select("doc_id", "text"), queries.tokenizer())
 
 
 STAGES = [
