@@ -1,14 +1,16 @@
 """Line dedup by a segment-partition edit join.
 
-A line of n characters is cut into `EDITS` + 1 segments. Of two lines within `EDITS` edits one holds
-a segment of the other unchanged, not far from its place. So every line enters its segments in an
-index under (length, segment number, hash), and probes the index for its own and each shorter length
-with the substrings that may be that segment. Lines that meet are verified by a banded bit-parallel
-edit distance.
+Two lines are like if no more than one edit for each `CHARS_PER_EDIT` characters of the shorter tells
+them apart, and no more than `EDITS`; lines too short for an edit are like equal lines alone. A line
+that allows e edits is cut into e + 1 segments. Of two like lines one holds a segment of the other
+unchanged, not far from its place. So every line enters its segments in an index under (length,
+segment number, hash), and probes the index for its own and each shorter length with the substrings
+that may be that segment. Lines that meet are verified by a banded bit-parallel edit distance.
 
 How the work is dealt. Equal lines are one node; hashes travel, packed by bucket, not texts. Only
-the nodes that meet are then joined with their texts. Nodes that meet under one key are checked in
-blocks of a bounded size, by a bound from counts of characters first.
+the nodes that meet are then joined with their texts, and checked in blocks of a bounded size, by a
+bound from counts of characters first. Pairs are counted where they are found, each under the first
+key that the two share, and leave a block as a number of links a node and a forest that connects them.
 """
 
 from __future__ import annotations
@@ -26,10 +28,15 @@ from .editing import edit_distance
 from .hashing import U, mix, word_hashes
 from .nearcopies import SIMILARITY, alike
 
-#: Edits that two like lines may differ by; characters of a line to be compared other than for equality.
-EDITS, LEAST_CHARS = 2, 16
-#: Characters worked on at once, characters of text to a bucket of keys, nodes to a block, bins of a line.
-AT_ONCE, BUCKET_CHARS, BLOCK, BINS = 1_000_000, 10_000_000, 256, 32
+#: Edits that two like lines may differ by at most; characters of the shorter line to an edit.
+EDITS, CHARS_PER_EDIT = 2, 8
+#: Lines of fewer characters are left in a text however often they repeat: heads, marks, single words.
+LEAST_CHARS = 16
+#: Characters worked on at once, characters of text to a bucket of keys, nodes to a block, bins of a
+#: line, rows of small groups to a part.
+AT_ONCE, BUCKET_CHARS, BLOCK, BINS, DEAL = 1_000_000, 10_000_000, 256, 32, 1_000
+#: White space of lines that have no word.
+BLANK = " \t\n\x0b\x0c\r"
 #: Lines that a task remembers having sent; parts that the pairs of one text are dealt to.
 KEPT, PARTS = 500_000, 256
 _BASE = U(0x9E3779B97F4A7C15) | U(1)
@@ -52,28 +59,44 @@ def segments(n: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(lengths, axis=1) - lengths, lengths
 
 
-def keys(n: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(line, place, length, salt, is index) for all segments and then for all probes of the lines.
+def allowed(n: np.ndarray, edits: int) -> np.ndarray:
+    """The edits that a line of n characters and a like one may differ by, where it is the shorter."""
+    return np.clip(n // CHARS_PER_EDIT, 0, edits)
 
-    Probes of a segment are the places that leave no more edits than there are to either side of it
-    (multi-match-aware): a line d characters longer than the indexed one, segment i of k, may move
-    by at most i to the left of its place and k - 1 - i to the right of the place from the end.
-    """
-    k = edits + 1
-    for d in range(edits + 1):
-        shorter = n - d
-        starts, lengths = segments(shorter, edits)
-        for i in range(k):
-            salt = mix(shorter.astype(np.uint64) * U(k) + U(i))
-            if d == 0:
-                yield np.arange(len(n)), starts[:, i], lengths[:, i], salt, True
-            for move in range(-edits, edits + 1):
-                left, right = abs(move), abs(d - move)
-                if left > i or right > k - 1 - i or left + right > edits:
-                    continue
-                place = starts[:, i] + move
-                ok = np.flatnonzero((place >= 0) & (place + lengths[:, i] <= n) & (shorter >= k))
-                yield ok, place[ok], lengths[ok, i], salt[ok], False
+
+def moves(e: int, d: int, i: int) -> list[int]:
+    """How far segment i of e + 1 may lie from its place in a line d characters longer: as far as leaves
+    no more edits than there are to either side of it (multi-match-aware)."""
+    return [m for m in range(-e, e + 1) if abs(m) <= i and abs(d - m) <= e - i and abs(m) + abs(d - m) <= e]
+
+
+def keys(n: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, bool]]:
+    """(line, place, length, salt, segment, is index) for all segments and all probes of the lines."""
+    for e in range(1, edits + 1):
+        for d in range(e + 1):
+            here = np.flatnonzero((n >= d) & (allowed(n - d, edits) == e))
+            shorter = n[here] - d
+            starts, lengths = segments(shorter, e)
+            for i in range(e + 1):
+                salt = mix(shorter.astype(np.uint64) * U(edits + 1) + U(i))
+                if d == 0:
+                    yield here, starts[:, i], lengths[:, i], salt, i, True
+                for move in moves(e, d, i):
+                    place = starts[:, i] + move
+                    ok = np.flatnonzero((place >= 0) & (place + lengths[:, i] <= n[here]))
+                    yield here[ok], place[ok], lengths[ok, i], salt[ok], i, False
+
+
+def first_segment(short: str, long: str, e: int) -> int:
+    """The first segment of a line that a like one holds near its place, or -1."""
+    n, d = len(short), len(long) - len(short)
+    for i in range(e + 1):
+        size = n // (e + 1) + (i >= e + 1 - n % (e + 1))
+        start = n // (e + 1) * i + max(0, i - (e + 1 - n % (e + 1)))
+        part = short[start : start + size]
+        if any(start + m >= 0 and long[start + m : start + m + size] == part for m in moves(e, d, i)):
+            return i
+    return -1
 
 
 def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -90,7 +113,7 @@ def _named(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(lines.alias("lines")).select("lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("names"))
 
 
-def _entries(docs: DataFrame, text: str, edits: int, least: int, buckets: int) -> DataFrame:
+def _entries(docs: DataFrame, text: str, edits: int, buckets: int) -> DataFrame:
     """(bucket, n, keys, nodes): index and probe keys of the distinct lines of each batch."""
 
     def emit(codes: list[np.ndarray], nodes: list[int], up: np.ndarray, down: np.ndarray) -> pa.RecordBatch:
@@ -99,11 +122,11 @@ def _entries(docs: DataFrame, text: str, edits: int, least: int, buckets: int) -
         flat = np.concatenate(codes).astype(np.uint64) + U(1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * up[: len(flat)], dtype=np.uint64)])
         node, found, owner = np.array(nodes, np.int64), [], []
-        for line, place, length, salt, index in keys(n, edits):
+        for line, place, length, salt, segment, index in keys(n, edits):
             a = at[line] + place
             part = (sums[a + length] - sums[a]) * down[a]
-            # The last bit tells index from probe, so that a key sorts with its own.
-            found.append(mix(part ^ salt) & ~U(1) | U(index))
+            # The last bit tells index from probe, so that a key sorts with its own; four before it the segment.
+            found.append(mix(part ^ salt) & ~U(31) | U(segment << 1 | index))
             owner.append(node[line])
         key, owner = np.concatenate(found), np.concatenate(owner)
         bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
@@ -120,7 +143,7 @@ def _entries(docs: DataFrame, text: str, edits: int, least: int, buckets: int) -
         for batch in batches:
             for lines, names in zip(batch.column("lines").to_pylist(), batch.column("names").to_pylist(), strict=True):
                 for line, name in zip(lines, names, strict=True):
-                    if len(line) < least or name in seen or line.isspace():
+                    if len(line) < CHARS_PER_EDIT or name in seen or not line.strip(BLANK):
                         continue
                     if held + len(line) > AT_ONCE and codes:
                         yield emit(codes, nodes, up, down)
@@ -140,7 +163,8 @@ def _entries(docs: DataFrame, text: str, edits: int, least: int, buckets: int) -
 
 
 def _met(entries: DataFrame) -> DataFrame:
-    """(key, node) of the nodes under each key that an index entry and another node share."""
+    """(key, node, index) of the nodes under each key that an index entry and another node share, and
+    whether the key is of a segment of the node itself."""
 
     def run(key, t):
         keys_ = np.concatenate([np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist()])
@@ -155,12 +179,12 @@ def _met(entries: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
         sizes = np.diff(np.append(starts, len(plain)))
         keep = np.repeat((sizes > 1) & np.maximum.reduceat(index, starts), sizes)
-        return pa.table({"key": pa.array(plain[keep].view(np.int64), pa.int64()), "node": pa.array(nodes[keep], pa.int64())})
+        return pa.table({"key": pa.array(plain[keep].view(np.int64), pa.int64()), "node": pa.array(nodes[keep], pa.int64()), "index": pa.array(index[keep], pa.bool_())})
 
-    return entries.groupBy("bucket").applyInArrow(run, "key long, node long")
+    return entries.groupBy("bucket").applyInArrow(run, "key long, node long, index boolean")
 
 
-def _texts(docs: DataFrame, text: str, wanted: DataFrame, least: int) -> DataFrame:
+def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """(node, words, n, bins) of the wanted nodes: the line and its counts of characters by bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +203,7 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame, least: int) -> DataFra
             words, nodes = [], []
             for lines, names in zip(batch.column("lines").to_pylist(), batch.column("names").to_pylist(), strict=True):
                 for line, name in zip(lines, names, strict=True):
-                    if len(line) >= least and name not in seen:
+                    if len(line) >= CHARS_PER_EDIT and name not in seen:
                         if len(seen) > KEPT:
                             seen.clear()
                         seen.add(name)
@@ -192,77 +216,90 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame, least: int) -> DataFra
     return found.mapInArrow(run, "node long, words string, n int, bins binary")
 
 
-def _candidates(met: DataFrame, texts: DataFrame, edits: int, buckets: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that met and that lengths and counts of characters let through."""
+def _linked(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(a, b, n): with b, links that connect what is like in a block, fewer than its nodes; without b,
+    the number n of like lines that node a has under the keys of the block."""
 
     def run(key, t):
         order = np.argsort(t["key"].to_numpy(), kind="stable")
         keys_, node, n = (t[c].to_numpy()[order] for c in ("key", "node", "n"))
-        side = t["side"].to_numpy(zero_copy_only=False)[order]
+        side, index = (t[c].to_numpy(zero_copy_only=False)[order] for c in ("side", "index"))
+        words = t["words"].take(pa.array(order))
         bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)[order].astype(np.int16)
-        starts = np.flatnonzero(np.concatenate([[True], keys_[1:] != keys_[:-1]]))
-        ends = np.append(starts[1:], len(keys_))
-        left, right = [], []
+        ends = np.searchsorted(keys_, keys_, "right")
+        root, links, forest = {}, {}, []
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
         # Neighbours at each distance within their group, all groups at once.
-        last = np.repeat(ends, ends - starts)
-        for step in range(1, int((ends - starts).max())):
-            i = np.flatnonzero(np.arange(len(keys_)) + step < last)
+        for step in range(1, int((ends - np.searchsorted(keys_, keys_)).max())):
+            i = np.flatnonzero(np.arange(len(keys_)) + step < ends)
             j = i + step
-            ok = (np.abs(n[i] - n[j]) <= edits) & (node[i] != node[j]) & ((side[i] != side[j]) | (side[i] == 2))
-            i, j = i[ok], j[ok]
+            # The shorter line, of equal ones the lesser node, is the one whose segment is looked for.
+            swap = (n[i] > n[j]) | ((n[i] == n[j]) & (node[i] > node[j]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            most = allowed(n[i], edits)
+            ok = index[i] & (n[j] - n[i] <= most) & (node[i] != node[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            i, j, most = i[ok], j[ok], most[ok]
             d = bins[i] - bins[j]
-            ok = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= edits
-            left.append(np.minimum(node[i[ok]], node[j[ok]]))
-            right.append(np.maximum(node[i[ok]], node[j[ok]]))
-        pairs = np.unique(np.array([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+            ok = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most
+            for p, q, e in zip(i[ok].tolist(), j[ok].tolist(), most[ok].tolist(), strict=True):
+                x, y = words[p].as_py(), words[q].as_py()
+                if first_segment(x, y, e) != keys_[p] & 15 or edit_distance(x, y, e) > e:
+                    continue
+                a, b = int(node[p]), int(node[q])
+                links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+                u, v = find(a), find(b)
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    forest.append((a, b))
+        rows = [(a, b, 0) for a, b in forest] + [(a, None, k) for a, k in links.items()]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 3)], names=["a", "b", "n"])
 
     sizes = met.groupBy("key").agg(F.count("*").alias("all"))
+    deals = max(64, met.count() // DEAL)
     nb = F.ceil(F.col("all") / BLOCK)
-    rows = met.join(sizes, "key").join(texts.select("node", "n", "bins"), "node")
-    # Small groups go many to a task; large ones by pairs of blocks. side 2: every pair of the block.
-    small = rows.where(F.col("all") <= BLOCK).select(F.pmod("key", F.lit(buckets)).alias("deal"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(2).alias("side"), "key", "node", "n", "bins")
-    own = F.pmod(F.xxhash64("node"), nb)
+    rows = met.join(written(sizes, "sizes"), "key").join(texts, "node")
+    # Small groups go many to a part; large ones by pairs of blocks. side 2: every pair of the block.
+    more = ["key", "index", "node", "words", "n", "bins"]
+    whole = F.lit(-1).cast("long")
+    small = rows.where(F.col("all") <= BLOCK).select(F.pmod(F.xxhash64("key"), F.lit(deals)).alias("deal"), whole.alias("i"), whole.alias("j"), F.lit(2).alias("side"), *more)
     large = (
         rows.where(F.col("all") > BLOCK)
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("node"), nb))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), nb - 1)))
-        .select(F.col("key").alias("deal"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "key", "node", "n", "bins")
+        .select(F.col("key").alias("deal"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *more)
     )
-    return small.unionByName(large).groupBy("deal", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
+    return small.unionByName(large).groupBy("deal", "i", "j").applyInArrow(run, "a long, b long, n long")
 
-def links(docs: DataFrame, text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b), a < b, of all different lines of at least `least` characters within `edits` edits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [edit_distance(x, y, edits) <= edits for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    if least <= edits:
-        raise ValueError("lines that are compared must be longer than the edits between them")
+def links(docs: DataFrame, text: str = "text", edits: int = EDITS) -> DataFrame:
+    """(a, b, n): with b, links that connect all different like lines, as few as connect a block's;
+    without b, rows whose sum of n is the number of like lines of node a. Every pair of like lines is
+    found and counted, and none is a row of its own."""
     chars = docs.agg(F.sum(F.length(f"`{text}`"))).first()[0] or 0
     buckets = max(1, -(-int(chars) // BUCKET_CHARS))
-    met = written(_met(_entries(docs, text, edits, least, buckets)), "met")
-    texts = written(_texts(docs, text, met.select("node").distinct(), least), "texts")
-    pairs = _candidates(met, texts, edits, buckets)
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    met = written(_met(_entries(docs, text, edits, buckets)), "met")
+    texts = written(_texts(docs, text, met.select("node").distinct()), "texts")
+    return written(_linked(met, texts, edits), "links")
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
     """A row per line with a word: `id`, body, line (from 0), chars, class_id and class_line (the first
     line of its class, by id, then number), copies (equal lines) and n_links (different like lines).
 
-    Lines are split at \\n and compared as they are. Lines of under `least` characters are of one class
-    with equal lines only. Null and empty texts have no line; null ids come after others. Rows that
-    share an id have their lines each, told apart by body, a hash of the text; equal rows stay equal.
+    Lines are split at \\n and compared as they are. Lines of under `CHARS_PER_EDIT` characters allow no
+    edit and are of one class with equal lines. Null and empty texts have no line; null ids come after
+    others. Rows that share an id have their lines each, told apart by body, a hash of the text; equal
+    rows stay equal. An id column of the name of another column here is named id_.
     """
     rows = written(occurrences(docs, id, text), "lines")
-    linked = links(docs, text, edits, least)
-    roots = components(linked)
-    degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = links(docs, text, edits)
+    roots = components(linked.where("b is not null").select("a", "b"))
+    degree = linked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "line", "body"))
     nodes = rows.groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"))
     nodes = nodes.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -271,7 +308,9 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int
     many = nodes.where("n_links > 0").groupBy("root").agg(F.min("first").alias("lead"))
     nodes = nodes.join(many, "root", "left").select("node", "copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("lead", "first").alias("lead"))
     out = rows.join(nodes, "node")
-    return out.select(F.col("id").alias(id), "body", "line", "chars", F.col("lead.id").alias("class_id"), F.col("lead.line").alias("class_line"), F.col("lead.body").alias("class_body"), "copies", "n_links")
+    others = ["body", "line", "chars", "class_id", "class_line", "class_body", "copies", "n_links"]
+    name = f"{id}_" if id.lower() in others else id
+    return out.select(F.col("id").alias(name), "body", "line", "chars", F.col("lead.id").alias("class_id"), F.col("lead.line").alias("class_line"), F.col("lead.body").alias("class_body"), "copies", "n_links")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, value: str) -> DataFrame:
@@ -343,7 +382,9 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_c
     dropped; a text of nothing but repeats is left empty.
     """
     of, of_body, gone_lines = fresh(docs, "gone_id", "gone_body", "gone")
-    rows = written(classes(docs, id, text, edits, least).withColumnRenamed(id, "id"), "classes")
+    found = classes(docs, id, text, edits)
+    # Equal rows are one here, so that what is grouped by text below is a text's lines at most.
+    rows = written(found.withColumnRenamed(found.columns[0], "id").distinct(), "classes")
     first = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("line") == F.col("class_line")) & (F.col("body") == F.col("class_body"))
     own = Window.partitionBy("id", "body", "class_id", "class_line", "class_body")
     again = F.when(F.col("body") == F.col("class_body"), F.col("line") != F.col("class_line")).otherwise(F.col("line") > F.min("line").over(own))

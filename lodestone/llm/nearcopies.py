@@ -1,10 +1,12 @@
 """Near-copies of documents by order min-hash, verified by banded alignment.
 
-Each of `SKETCHES` sketches takes the two five-word runs of a text with the least hashes, runs being
-labelled by their occurrence so that repeats count, and keeps them in the order of the text. Texts
-that share a sketch are candidates: unlike a plain min-hash it asks for two runs in the same order,
-which follows edit similarity. Candidates are links if a banded alignment of their words has a
-similarity (1 - edits / longer length) of 0.8 or more; classes are the components of the links.
+Each of `ROUNDS` hashes deals the five-word runs of a text, labelled by their occurrence so that
+repeats count, to `PARTS` parts. A sketch takes the two runs of a part with the least hashes and keeps
+them in the order of the text. Texts that share a sketch are candidates: unlike a plain min-hash it
+asks for two runs in the same order, which follows edit similarity. Candidates are links if a banded
+alignment of their words has a similarity (1 - edits / longer length) of 0.8 or more; classes are the
+components of the links. Of pairs at just 0.8, with edits at random places, nine in ten share a
+sketch; edits laid out so that no five words in a row stay, as every fifth word, leave nothing to find.
 
 How the work is dealt. Texts of equal words are one node. In a group of one sketch every node is
 aligned with the group's least node first, which settles a group of copies in as many alignments as
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, written
@@ -28,16 +30,19 @@ from .components import components
 from .editing import edit_distance
 from .hashing import U, mix, runs, word_hashes
 
-RUN, PICK, SKETCHES, SIMILARITY = 5, 2, 16, 0.8
+RUN, ROUNDS, PARTS, SIMILARITY = 5, 4, 20, 0.8
+SKETCHES = ROUNDS * PARTS
 #: Words are counted in so many bins; nodes to a block; characters hashed at once.
-BINS, BLOCK, AT_ONCE = 128, 256, 2_000_000
-_FACTORS = mix(np.arange(101, 101 + SKETCHES, dtype=np.uint64)) | U(1)
+BINS, BLOCK, AT_ONCE = 128, 128, 2_000_000
+_FACTORS = mix(np.arange(101, 101 + ROUNDS, dtype=np.uint64)) | U(1)
 _SALTS = mix(np.arange(501, 501 + SKETCHES, dtype=np.uint64))
-_MOST = U(0xFFFFFFFFFFFFFFFF)
+#: Bits of a hash that order the runs of a part.
+_LOW = 40
 
 
 def order_sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(texts, SKETCHES) of 64-bit sketches of texts with words; a text shorter than a run is one run."""
+    """(texts, SKETCHES) of 64-bit sketches of texts with words; a text shorter than a run is one run.
+    A part with one run has a sketch of that one, a part with none has 0, which stands for no sketch."""
     at = np.cumsum(sizes) - sizes
     n_runs = np.maximum(sizes - RUN + 1, 1)
     owner = np.repeat(np.arange(len(sizes)), n_runs)
@@ -56,21 +61,20 @@ def order_sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         first = np.concatenate([[0], np.where(same, 0, index[1:])])
         label[order] = index - np.maximum.accumulate(first)
     labelled = np.where(label > 0, mix(keys + label.astype(np.uint64) * U(0x9E3779B97F4A7C15)), keys)
-    starts, out = np.cumsum(n_runs) - n_runs, np.empty((len(sizes), SKETCHES), np.uint64)
-    for s in range(SKETCHES):
-        v = (labelled ^ _SALTS[s]) * _FACTORS[s]
-        picked = []
-        for _ in range(PICK):
-            least = np.minimum.reduceat(v, starts)
-            where = np.flatnonzero(v == least[owner])
-            spot = where[np.searchsorted(owner[where], np.arange(len(sizes)))]
-            picked.append(spot)
-            v[spot] = _MOST
-        picked = np.sort(np.array(picked), axis=0)
-        sketch = np.full(len(sizes), _SALTS[s])
-        for spot in picked:
-            sketch = mix(sketch * U(3) + keys[spot])
-        out[:, s] = sketch
+    out = np.zeros((len(sizes), SKETCHES), np.uint64)
+    for r in range(ROUNDS):
+        v = mix(labelled * _FACTORS[r])
+        part = owner * PARTS + ((v >> U(_LOW)) % U(PARTS)).astype(np.int64)
+        order = np.argsort(part.astype(np.uint64) << U(_LOW) | v & U((1 << _LOW) - 1))
+        part = part[order]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        part, second = part[first], np.minimum(first + 1, len(order) - 1)
+        two = np.diff(first, append=len(order)) > 1
+        a, b = order[first], np.where(two, order[second], order[first])
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        salt = _SALTS[r * PARTS + part % PARTS]
+        sketch = mix(mix(salt + keys[a]) * U(3) + np.where(two, keys[b], U(0)))
+        out[part // PARTS, r * PARTS + part % PARTS] = np.maximum(sketch, U(1))
     return out
 
 
@@ -83,7 +87,7 @@ def names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, node, n, sketches) a row: node names the word sequence, n its length."""
+    """(id, key, node, n, sketches) a row: node names the word sequence, n its length, key id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,17 +106,23 @@ def sketched(docs: DataFrame, id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(at, end - at),
+                        batch.column("key").slice(at, end - at),
                         pa.array(names(hashes, sizes), pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(sketches, pa.list_(pa.int64())),
                     ],
-                    names=["id", "node", "n", "sketches"],
+                    names=["id", "key", "node", "n", "sketches"],
                 )
                 at = end
 
     kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, node long, n long, sketches array<long>")
+    rows = docs.select(F.col(f"`{id}`").alias("id"), row_key(id, text).alias("key"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, key long, node long, n long, sketches array<long>")
+
+
+def row_key(id: str, text: str) -> Column:
+    """A 64-bit name of a row's id and text; null and empty texts are one."""
+    return F.xxhash64(F.col(f"`{id}`").isNull(), F.col(f"`{id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -126,7 +136,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """(node, words) of the wanted (node, id): word hashes, four bytes each, of one text of the node."""
+    """(node, words) of the wanted (node, key): word hashes, four bytes each, of one text of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,15 +148,12 @@ def _bodies(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame
                     end += 1
                 hashes, sizes = word_hashes(texts[at:end])
                 low, stop = hashes.astype("<u4"), np.cumsum(sizes)
-                mine = names(hashes, sizes)
-                keep = [i for i in range(end - at) if mine[i] == nodes[at + i]]
-                words = [low[stop[i] - sizes[i] : stop[i]].tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(mine[keep], pa.int64()), pa.array(words, pa.binary())], names=["node", "words"])
+                words = [low[b - n : b].tobytes() for b, n in zip(stop, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at:end], pa.int64()), pa.array(words, pa.binary())], names=["node", "words"])
                 at = end
 
-    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    found = rows.join(wanted.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("node", "text")
-    # Rows that share an id may give a node's words twice.
+    found = docs.select(row_key(id, text).alias("key"), F.col(f"`{text}`").alias("text")).join(wanted, "key").select("node", "text")
+    # Equal rows give a node's words more than once.
     return found.mapInArrow(run, "node long, words binary").groupBy("node").agg(F.any_value("words").alias("words"))
 
 
@@ -185,7 +192,7 @@ def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFram
             others = np.flatnonzero((cls != cls[i]) & ~main) if cross else i + 1 + np.flatnonzero(cls[i + 1 :] != cls[i])
             most = (1 - similarity) * np.maximum(n[i], n[others]) + 1e-9
             ok = np.abs(n[others] - n[i]) <= most
-            ok[ok] = ~(sketches[others[ok], :at] == sketches[i, :at]).any(axis=1)
+            ok[ok] = ~((sketches[others[ok], :at] == sketches[i, :at]) & (sketches[i, :at] != 0)).any(axis=1)
             others, most = others[ok], most[ok]
             d = bins[others] - bins[i]
             others = others[np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most]
@@ -223,16 +230,24 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     are not the least unless a class has no other. An empty table gives no rows.
     A text's node is a 64-bit hash of its words: of n different texts about n^2 / 2^65 pairs agree.
     """
+    rows = _classed(docs, id, text, similarity)
+    return rows.select(F.col("id").alias(id), F.col("first.id").alias("class_id"), "class_size", "n_words")
+
+
+def _classed(docs: DataFrame, id: str, text: str, similarity: float) -> DataFrame:
+    """(id, key, n_words, first, class_size) a row: first is the (no, id, key) of the least row of its class."""
     rows = written(sketched(docs, id, text), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("first")
+    nodes = rows.groupBy("node").agg(first, F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches"), F.count("*").alias("copies"))
     nodes = written(nodes, "nodes")
-    bands = nodes.select("node", "n", F.explode("sketches").alias("sketch"))
+    bands = nodes.select("node", "n", F.explode("sketches").alias("sketch")).where("sketch <> 0")
     groups = bands.groupBy("sketch").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").select("sketch", "least")
-    shared = written(bands.join(groups, "sketch"), "shared")
+    # A table of its own, so that the join below is of two shuffles and a large group can be split.
+    shared = written(bands.join(written(groups, "groups"), "sketch"), "shared")
     sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"))
     star = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
     star = written(star.join(sizes, "a").where(_lengths_fit(similarity)).select("a", "b"), "star")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "id"), "node")
+    wanted = shared.select("node").distinct().join(nodes.select("node", F.col("first.key").alias("key")), "node")
     words = written(_bodies(docs, wanted, id, text), "words")
     links = _verified(star, words, similarity)
     roots = written(components(links), "roots")
@@ -240,21 +255,15 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     if not more.isEmpty():
         # The classes so far stand for their links.
         roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
-    root = F.coalesce("root", "node")
-    of = nodes.select("node", "id", "copies").join(roots, "node", "left").select("node", root.alias("root"), "id", "copies")
-    named = of.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    out = rows.select("id", "node", F.col("n").alias("n_words")).join(of.select("node", "root").join(named, "root"), "node")
-    return out.select(F.col("id").alias(id), "class_id", "class_size", "n_words")
+    of = nodes.select("node", "first", "copies").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "copies")
+    named = of.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
+    return rows.select("id", "key", "node", F.col("n").alias("n_words")).join(of.select("node", "root").join(named, "root"), "node")
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, in their own columns, that carry the least id of their class; equal rows once.
-
-    Of rows that share that id and their text one stays. A class without any id keeps its rows.
-    """
-    (name,) = fresh(docs, "kept_id")
-    kept = classes(docs, id, text, similarity).select(F.col("class_id").alias(name)).distinct()
-    chosen = docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col(name)), "left_semi")
-    if docs.select(F.col(f"`{id}`").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return chosen
-    return chosen.dropDuplicates([id, text])
+    """The documents, in their own columns, that are the first of their class: by id, null ids last,
+    then by a hash of the text. Of equal rows one stays, so a class keeps one document always."""
+    mine, kept = fresh(docs, "own_key", "kept_key")
+    first = _classed(docs, id, text, similarity).where(F.col("key") == F.col("first.key")).select(F.col("key").alias(kept)).distinct()
+    chosen = docs.withColumn(mine, row_key(id, text)).join(first, F.col(mine) == F.col(kept))
+    return chosen.dropDuplicates([mine]).select(*[F.col(f"`{c}`") for c in docs.columns])

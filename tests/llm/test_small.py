@@ -243,24 +243,58 @@ def test_edit_distance_by_brute_force():
         assert editing.edit_distance(list(a), list(b), most) == min(distance(a, b), most + 1)
 
 
+def like(a, b):
+    return a != b and distance(a, b) <= min(lines.EDITS, min(len(a), len(b)) // lines.CHARS_PER_EDIT)
+
+
 def test_line_links_by_brute_force(spark):
     base = [prose(k, 4, 99) for k in range(30)]
     more = [b[:5] + "q" + b[6:] for b in base[:10]] + [b[:-2] for b in base[5:12]] + ["z" + b + "z" for b in base[3:9]] + base[:4]
-    rows = [(i, "\n".join([x, "short", x.upper()])) for i, x in enumerate(base + more)]
-    texts = sorted({x for _, t in rows for x in t.split("\n") if len(x) >= lines.LEAST_CHARS})
-    want = {frozenset((a, b)) for k, a in enumerate(texts) for b in texts[k + 1 :] if distance(a, b) <= lines.EDITS}
+    more += [w + x for w in ("onetwo78", "onetwo8", "fifteen chars 5", "fifteen chars 56", "no", "sevench") for x in ("", "1", "2", "ab")]
+    more += ["\u00a0" * 9, "\u00a0" * 10, "bad" * 3, "bid" * 3]
+    rows = [(i, "\n".join([x, "short", x.upper(), " \t"])) for i, x in enumerate(base + more)]
+    texts = sorted({x for _, t in rows for x in t.split("\n") if x.strip(lines.BLANK)})
+    want = {x: sum(like(x, y) for y in texts) for x in texts}
+    root = {x: x for x in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, x in enumerate(texts):
+        for y in texts[k + 1 :]:
+            if like(x, y):
+                root[max(find(x), find(y))] = min(find(x), find(y))
     frame = docs(spark, rows)
     name = {r.n: r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("n"), "t").collect()}
-    assert {frozenset((name[r.a], name[r.b])) for r in lines.links(frame).collect()} == want
-    classes = lines.classes(frame).collect()
-    assert len(classes) == 3 * len(rows)
-    assert all(r.copies == len(rows) and r.n_links == 0 for r in classes if r.chars == 5)
-    saved = lines.BLOCK
-    try:  # blocks of two: every pair of a group must still meet
-        lines.BLOCK = 2
-        assert {frozenset((name[r.a], name[r.b])) for r in lines.links(frame).collect()} == want
-    finally:
-        lines.BLOCK = saved
+    found = lines.classes(frame).collect()
+    line = {(r.doc_id, r.line): rows[r.doc_id][1].split("\n")[r.line] for r in found}
+    assert len(found) == 3 * len(rows)
+    for block, deal in ((lines.BLOCK, lines.DEAL), (2, 1)):  # blocks of two: every pair of a group must still meet, once
+        saved = lines.BLOCK, lines.DEAL
+        try:
+            lines.BLOCK, lines.DEAL = block, deal
+            got = Counter()
+            for r in lines.links(frame).collect():
+                got[name[r.a]] += r.n
+                assert r.b is None or find(name[r.a]) == find(name[r.b])
+            assert {x: n for x, n in got.items() if n} == {x: n for x, n in want.items() if n}
+        finally:
+            lines.BLOCK, lines.DEAL = saved
+    by_class = {}
+    for r in found:
+        assert r.n_links == want[line[r.doc_id, r.line]]
+        by_class.setdefault((r.class_id, r.class_line), set()).add(find(line[r.doc_id, r.line]))
+    assert all(len(x) == 1 for x in by_class.values()) and len(by_class) == len({find(x) for x in texts})
+    assert all(r.copies == len(rows) and r.n_links == 0 for r in found if r.chars == 5)
+
+
+def test_lines_of_clashing_ids(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e g")], "line long, text string")
+    got = lines.classes(frame, id="line")
+    assert got.columns[:3] == ["line_", "body", "line"]
+    assert sorted((r.line_ or 0, r.class_id, r.copies, r.n_links) for r in got.collect()) == [(0, 1, 1, 1), (1, 1, 2, 1), (1, 1, 2, 1)]
 
 
 def test_repeated_lines_go_but_copies_of_documents_stay(spark):
@@ -331,6 +365,33 @@ def test_near_copies_by_brute_force(spark):
     assert kept == sorted(set(got.values()))
 
 
+def test_one_of_each_by_row_not_by_id(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(3, b), (5, a), (5, b), (7, a), (None, c), (None, c), (None, a), (8, None), (9, ""), (9, "")]
+    got = Counter((r.doc_id, r.text) for r in nearcopies.one_of_each(docs(spark, rows)).collect())
+    assert got == Counter([(3, b), (5, a), (None, c), (8, None)])
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in nearcopies.classes(docs(spark, rows)).collect())
+    assert got == Counter({(3, 3, 2): 1, (5, 5, 3): 1, (5, 3, 2): 1, (7, 5, 3): 1, (None, 5, 3): 1, (None, None, 2): 2, (8, 8, 3): 1, (9, 8, 3): 2})
+
+
+@pytest.mark.parametrize(("similarity", "spread", "least"), [(0.95, "random", 0.99), (0.9, "random", 0.99), (0.9, "even", 0.99), (0.85, "random", 0.97), (0.8, "random", 0.9)])
+def test_recall_of_sketches(similarity, spread, least):
+    import random
+
+    from lodestone.llm.hashing import word_hashes
+
+    rng, texts = random.Random(11), []
+    for _ in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        edits = round(300 * (1 - similarity))
+        at = rng.sample(range(300), edits) if spread == "random" else [i * 300 // edits for i in range(edits)]
+        other = [f"x{rng.randrange(10**6)}" if i in set(at) else w for i, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(other)]
+    sketches = nearcopies.order_sketches(*word_hashes(texts))
+    shared = ((sketches[::2] == sketches[1::2]) & (sketches[1::2] != 0)).any(axis=1)
+    assert shared.mean() >= least
+
+
 def test_components_of_a_path_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
