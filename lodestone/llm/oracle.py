@@ -76,25 +76,27 @@ from (select *, count(*) over (partition by doc_id, item_id) as n,
   row_number() over (partition by doc_id, item_id order by best desc, matched desc, doc_at, aligned desc) as r from fine) where r = 1
 """
 
-_TEMPLATES = ", ".join(f"('{k}', '{_q(v)}')" for k, v in TEMPLATES.items())
+_TEMPLATES = ", ".join(f"('{k}', {i}, '{_q(v)}')" for k, vs in TEMPLATES.items() for i, v in enumerate(vs))
 _TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
 
 LICENSES = f"""
-with tpl(license, body) as (values {_TEMPLATES}),
-tt as (select license, term, cast(count(*) as double) as tf from (select license, unnest({_TERMS.format("body")}) as term from tpl) group by all),
-docs as (select doc_id, coalesce(text, '') as text, concat_ws('/', source, lang, 'd' || (doc_id % 4)) as dir, length(text) < 400 and contains(lower(text), 'licens') as gives from documents),
+with tpl(license, k, body) as (values {_TEMPLATES}),
+tt as (select license, k, term, cast(count(*) as double) as tf from (select license, k, unnest({_TERMS.format("body")}) as term from tpl) group by all),
+docs as (select doc_id, lower(coalesce(text, '')) as text, concat_ws('/', source, lang, 'd' || (doc_id % 4), case when doc_id % 2 = 1 then 'e' || (doc_id % 63) end) as dir from documents),
 n as (select count(*) as n from docs),
-df as (select term, count(distinct doc_id) as df from (select doc_id, unnest({_TERMS.format("text")}) as term from docs) where term in (select term from tt) group by term),
-idf as (select v.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 as w from (select distinct term from tt) v left join df using (term), n),
-size as (select license, sqrt(sum((tf * w) * (tf * w))) as len from tt join idf using (term) group by license),
-line as (select doc_id, unnest(range(0, len(ls))) as line, unnest(ls) as l from (select doc_id, string_split(text, chr(10)) as ls from docs)),
-bag as (select doc_id, line, term, cast(count(*) as double) as tf from (select doc_id, line, unnest({_TERMS.format("l")}) as term from line) group by all),
-vec as (select bag.*, coalesce(w, ln(1 + n) + 1) as w, w is not null as known from bag left join idf using (term), n),
-norm as (select doc_id, line, sqrt(sum((tf * w) * (tf * w))) as norm from vec group by all having bool_or(known)),
-score as (select doc_id, line, license, round(sum(vec.tf * vec.w * tt.tf * vec.w) / any_value(len) / any_value(norm), 6) as score
-  from vec join norm using (doc_id, line) join tt using (term) join size using (license) group by all),
-own as (select doc_id, license, score from score where score >= {THRESHOLD} qualify row_number() over (partition by doc_id order by score desc, line, license) = 1),
-rows as (select docs.doc_id, dir, gives, license, score from docs left join own using (doc_id)),
+df as (select term, count(distinct doc_id) as df from (select doc_id, unnest({_TERMS.format("text")}) as term from docs) group by term),
+tw as (select license, k, tt.term, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) as x from tt left join df using (term), n),
+size as (select license, k, sqrt(sum(x * x)) as len from tw group by all),
+part as (select doc_id, 0 as kind, string_split(text, chr(10)) as ps from docs
+  union all select doc_id, 1, regexp_split_to_array(text, '\\n[^a-z0-9]*\\n') from docs union all select doc_id, 2, [text] from docs),
+unit as (select doc_id, kind, unnest(range(0, len(ps))) as pos, unnest(ps) as u from part),
+bag as (select doc_id, kind, pos, term, cast(count(*) as double) as tf from (select doc_id, kind, pos, unnest({_TERMS.format("u")}) as term from unit) group by all),
+vec as (select doc_id, kind, pos, term, tf * (ln((1 + n) / (1 + df)) + 1) as x from bag join df using (term), n),
+norm as (select doc_id, kind, pos, sqrt(sum(x * x)) as norm from vec group by all),
+score as (select doc_id, kind, pos, license, k, round(sum(vec.x * tw.x) / any_value(len) / any_value(norm), 6) as score
+  from vec join tw using (term) join norm using (doc_id, kind, pos) join size using (license, k) group by all),
+own as (select doc_id, license, score, pos from score where score >= {THRESHOLD} qualify row_number() over (partition by doc_id order by score desc, kind, pos, license) = 1),
+rows as (select docs.doc_id, dir, pos = 0 as gives, license, score from docs left join own using (doc_id)),
 given as (select dir as from_dir, license as dir_license, score as dir_score from rows where gives and license is not null qualify row_number() over (partition by dir order by score desc, license) = 1),
 near as (select d.dir, g.*, row_number() over (partition by d.dir order by length(g.from_dir) desc) as k from (select distinct dir from rows) d join given g on d.dir = g.from_dir or starts_with(d.dir, g.from_dir || '/'))
 select doc_id, coalesce(license, dir_license) as license, coalesce(score, dir_score) as score,

@@ -48,12 +48,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: theirs are made of source, language and id, and a text of under 400
-    characters that names a license passes for the license file of its directory."""
+    """Documents have no paths: theirs are made of source, language and id, odd ids one directory
+    deeper, and a text that begins with a license passes for a license file of its directory."""
     docs = table(spark, sf_dir, "documents")
-    gives = (F.length("text") < 400) & F.lower("text").contains("licens")
-    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (F.col("doc_id") % 4).cast("string")), F.when(gives, "LICENSE").otherwise(F.concat(F.lit("doc"), F.col("doc_id").cast("string"))))
-    return licenses.scanned(docs.select("doc_id", "text", path.alias("path")))
+    n = F.col("doc_id")
+    deeper = F.when(n % 2 == 1, F.concat(F.lit("e"), (n % 63).cast("string")))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (n % 4).cast("string")), deeper, F.concat(F.lit("doc"), n.cast("string")))
+    return licenses.scanned(docs.select("doc_id", "text", path.alias("path")), is_license_file=F.col("at") == 0)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

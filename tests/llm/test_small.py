@@ -429,27 +429,62 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id bigint, path string, text string")).count() == 0
 
 
-def test_license_terms_weigh_by_their_texts(spark):
-    common = "It is and the of to in on."
-    notice = "Licensed under the Apache License, Version 2.0. " + common
-    texts = {0: notice, **{i: common + f" rare{i}" for i in range(1, 400)}, 400: None, 401: "nothing\nLicensed under the Apache License, Version 2.0. zig zag"}
+def license_scores(texts):
+    """By brute force: the best (minus score, kind, at, license) of each text."""
     held = {i: set(licenses.terms(t or "")) for i, t in texts.items()}
     weigh = lambda w: math.log((1 + len(texts)) / (1 + sum(w in h for h in held.values()))) + 1
     vector = lambda t: {w: c * weigh(w) for w, c in Counter(licenses.terms(t)).items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(name, vector(body)) for name, bodies in licenses.TEMPLATES.items() for body in bodies]
     want = {}
     for i, t in texts.items():
-        for k, line in enumerate((t or "").split("\n")):
-            v = vector(line)
-            for name, body in licenses.TEMPLATES.items():
-                u = vector(body)
-                score = round(sum(x * v.get(w, 0) for w, x in u.items()) / (size(u) * size(v)), 6) if v else 0
-                if score >= licenses.THRESHOLD:
-                    want[i] = min(want.get(i, (0, 0, "")), (-score, k, name))
-    assert 0 in want
-    got = licenses.matched(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
-    assert {r.id: (r.license, r.line) for r in got} == {i: (n, k) for i, (_, k, n) in want.items()}
-    assert all(r.score == pytest.approx(-want[r.id][0], abs=2e-6) for r in got)
+        t = (t or "").lower()
+        for kind, parts in enumerate((t.split("\n"), re.split(r"\n[^a-z0-9]*\n", t), [t])):
+            for k, unit in enumerate(parts):
+                v = vector(unit)
+                for name, u in known if v else ():
+                    score = round(sum(x * v.get(w, 0) for w, x in u.items()) / (size(u) * size(v)), 6)
+                    if score >= licenses.THRESHOLD:
+                        want[i] = min(want.get(i, (0, 0, 0, "")), (-score, kind, k, name))
+    return want
+
+
+def wrapped(text, width, mark):
+    out, line = [], mark
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = mark
+        line += " " + w
+    return "\n".join([*out, line])
+
+
+def test_licenses_by_brute_force(spark):
+    common = "It is and the of to in on."
+    notice = "Licensed under the Apache License, Version 2.0. " + common
+    mit, gpl, apache = licenses.TEMPLATES["MIT"][-1], licenses.TEMPLATES["GPL-3.0"][-1], licenses.TEMPLATES["Apache-2.0"][-1]
+    file = "MIT License\n\nCopyright (c) 2020 A. Name\n\n" + mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS", 1)
+    texts = {0: notice, **{i: common + f" rare{i}" for i in range(1, 300)}, 400: None, 401: "nothing\nLicensed under the Apache License, Version 2.0. zig zag"}
+    texts |= {500: wrapped(gpl, 70, "//") + "\n\n" + prose(1, 300), 501: wrapped(mit, 76, " *"), 502: file, 503: "#!/bin/sh\n#\n" + wrapped(apache, 72, "#") + "\n#\n" + prose(2, 200)}
+    texts |= {504: "# SPDX-License-Identifier: Apache-2.0\n" + prose(3, 50), 505: "SPDX-License-Identifier: Unheard-Of-9", 506: prose(4, 20_000) + "\nAll rights reserved.", 507: "permission to use the license", 508: "x" * 50_000}
+    want = license_scores(texts)
+    rows = [(i, t) for i, t in texts.items()]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    body = {r.doc_id: r.b for r in frame.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("b")).collect()}
+    got = {r.body: r for r in licenses.matched(frame).collect()}
+    assert set(got) == {body[i] for i in want}
+    for i, (minus, kind, at, name) in want.items():
+        r = got[body[i]]
+        assert (r.license, r.unit, r.at) == (name, licenses.UNITS[kind], at) and r.score == pytest.approx(-minus, abs=2e-6)
+    assert {i: want[i][3] for i in (0, 500, 501, 502, 503, 504, 506)} == {0: "Apache-2.0", 500: "GPL-3.0", 501: "MIT", 502: "MIT", 503: "Apache-2.0", 504: "Apache-2.0", 506: "Proprietary"}
+    assert 505 not in want and 507 not in want
+
+
+def test_licenses_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a/x", "Released under the MIT License."), (1, "a/x", "Released under the MIT License."), (1, "b/y", "words under the license"), (None, "a/LICENSE", "Released under the MIT License.")]
+    frame = spark.createDataFrame(rows, "score bigint, path string, text string").withColumn("body", F.lit(1)).withColumn("license", F.lit("none"))
+    got = licenses.scanned(frame, id="score").collect()
+    assert Counter((r.score_, r.license, r.score, r.origin) for r in got) == Counter({(1, "MIT", 1.0, "own"): 2, (1, None, None, "none"): 1, (None, "MIT", 1.0, "own"): 1})
 
 
 def test_urls_both_ways(spark):
