@@ -46,18 +46,17 @@ def _seeds_at(h: Column, at: Column) -> Column:
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(bkey, item_at, seed, pair) of the benchmark: masks that lie within the item."""
+    """(bkey, item_at, item_words, pair, seed) of the benchmark: masks that lie within the item."""
     spans = F.array(*[F.lit(len(m)) for m in MASKS])
     laid = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.greatest(F.size("b") - min(map(len, MASKS)), F.lit(0)))))
     fit = F.filter(_seeds_at(F.col("b"), F.col("item_at")), lambda s, k: F.col("item_at") + F.get(spans, k) <= F.size("b"))
-    return laid.select("bkey", "item_at", F.xxhash64(F.get("b", F.col("item_at")), F.get("b", F.col("item_at") + 1)).alias("pair"), F.explode(fit).alias("seed"))
+    return laid.select("bkey", "item_at", F.size("b").alias("item_words"), F.xxhash64(F.get("b", F.col("item_at")), F.get("b", F.col("item_at") + 1)).alias("pair"), F.explode(fit).alias("seed"))
 
 
-def _around(hits: DataFrame, longest: int, *more: str) -> DataFrame:
-    """Each hit with the words around it, as far as an item can reach, in place of all the text's."""
-    low = F.greatest(F.col("at") - longest, F.lit(0))
-    around = F.slice("h", low + 1, F.col("at") - low + longest + max(map(len, MASKS)))
-    return hits.select("doc_id", "at", low.alias("low"), around.alias("h"), *more)
+def _around(hits: DataFrame, before: Column, after: Column, *more: str) -> DataFrame:
+    """Each hit with the words from `before` places ahead of it to `after` behind, in place of all the text's."""
+    low = F.greatest(F.col("at") - before, F.lit(0))
+    return hits.select("doc_id", "at", low.alias("low"), F.slice("h", low + 1, F.col("at") - low + after + max(map(len, MASKS))).alias("h"), *more)
 
 
 def _window(item: Column, limits: Limits) -> Column:
@@ -78,26 +77,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
         benchmark.select(F.col(f"`{item}`").alias("item_id"), normal_words(F.col(f"`{item_text}`")).alias("b"))
         .groupBy("b")
         .agg(F.min("item_id").alias("item_id"))
+        # Shorter items have no seed. Of the others a word has two seeds or more on average, nearly
+        # all places having one a mask, so a bound on seeds is one on the items' words.
+        .where(F.size("b") >= min(map(len, MASKS)))
         .select(F.xxhash64("b").alias("bkey"), "item_id", "b")
     )
     items = written(items, "items")
     seeds = _item_seeds(items)
-    longest = items.agg(F.max(F.size("b"))).first()[0] or 0
     places = F.sequence(F.lit(0), F.size("h") - min(map(len, MASKS)))
     # An outer explode: an inner one would have Spark work the words out twice, for an inferred filter.
     laid = F.explode_outer(F.when(F.size("h") >= min(map(len, MASKS)), places)).alias("at")
     if fits(seeds, most_seeds):
         # All masks begin with two words that count: most places end with that test.
-        pairs = F.broadcast(seeds.select("pair").distinct())
+        # A place takes along the words that an item with its pair can reach.
+        pairs = F.broadcast(seeds.groupBy("pair").agg(F.max("item_at").alias("before"), F.max(F.col("item_words") - F.col("item_at")).alias("after")))
         pair = F.xxhash64(F.get("h", F.col("at")), F.get("h", F.col("at") + 1))
-        near = d.select("doc_id", "h", laid).where("at is not null").join(pairs, pair == F.col("pair"), "left_semi")
-        near = _around(near, longest)
+        near = d.select("doc_id", "h", laid).where("at is not null").join(pairs, pair == F.col("pair"))
+        near = _around(near, F.col("before"), F.col("after"))
         near = near.withColumn("seed", F.explode(_seeds_at(F.col("h"), F.col("at") - F.col("low"))))
-        hits = near.join(F.broadcast(seeds.drop("pair")), "seed").join(F.broadcast(items), "bkey")
+        hits = near.join(F.broadcast(seeds.drop("pair", "item_words")), "seed").join(F.broadcast(items), "bkey")
     else:
         keyed = d.select("doc_id", F.posexplode_outer(F.when(F.size("h") >= min(map(len, MASKS)), F.transform(places, lambda i: _seeds_at(F.col("h"), i)))).alias("at", "all"))
         found = keyed.select(F.col("doc_id").alias("hit_id"), "at", F.explode("all").alias("seed")).join(seeds.drop("pair"), "seed").drop("seed").distinct()
-        near = _around(found.join(d, F.col("hit_id").eqNullSafe(F.col("doc_id"))), longest, "bkey", "item_at")
+        # Each hit takes along the words that its own item can reach.
+        near = _around(found.join(d, F.col("hit_id").eqNullSafe(F.col("doc_id"))), F.col("item_at"), F.col("item_words") - F.col("item_at"), "bkey", "item_at")
         hits = near.join(items, "bkey")
     start = F.greatest(F.col("diagonal"), F.lit(0))
     length = F.least(F.size("h") + F.col("low") - start, F.size("b") - (start - F.col("diagonal")))

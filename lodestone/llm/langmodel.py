@@ -151,25 +151,32 @@ def _events(counts: list[np.ndarray], sizes: np.ndarray, tokens: int) -> tuple[n
     return at, np.array(estimates), level * 64 + bucket
 
 
-def learned(events: dict, uniform: float) -> dict:
-    """EM over gathered events {(level * 64 + bucket, quantised log2 estimates): times}."""
-    weights = {}
-    by: dict[int, list] = {}
-    for (key, *logs), n in events.items():
-        by.setdefault(key, []).append((logs, n))
-    for key, rows in by.items():
-        level = key // 64
-        p = np.array([[uniform, *(0.0 if x < -9000 else 2.0 ** (x / STEPS) for x in logs[:level])] for logs, _ in rows])
-        n = np.array([n for _, n in rows], float)
-        w = np.full(level + 1, 1 / (level + 1))
-        for _ in range(ROUNDS):
-            share = w * p
-            share = share / share.sum(axis=1, keepdims=True)
-            # One more event each keeps every order in the mix.
-            w = (share * n[:, None]).sum(axis=0) + 1e-3
-            w = w / w.sum()
-        weights[key] = w
-    return weights
+def learned(level: int, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """EM: the mix of `level` + 1 estimates, columns of p, under which n times each row is likeliest."""
+    w = np.full(level + 1, 1 / (level + 1))
+    for _ in range(ROUNDS):
+        share = w * p
+        share = share / share.sum(axis=1, keepdims=True)
+        # One more event each keeps every order in the mix.
+        w = (share * n[:, None]).sum(axis=0) + 1e-3
+        w = w / w.sum()
+    return w
+
+
+def _weights(events: DataFrame, uniform: float) -> DataFrame:
+    """(key, weights) of each (level, bucket): EM over the cells of a bucket, whose number the grid of
+    quantised estimates bounds whatever the input."""
+
+    def run(key, t):
+        level = key[0].as_py() // 64
+        t = t.sort_by("cell_text")
+        logs = np.array(t["cell"].to_pylist(), np.int64).reshape(t.num_rows, -1)[:, 1 : level + 1]
+        p = np.concatenate([np.full((len(logs), 1), uniform), np.where(logs < -9000, 0.0, 2.0 ** (logs / STEPS))], axis=1)
+        return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "weights": pa.array([learned(level, p, t["n"].to_numpy().astype(float)).tolist()], pa.list_(pa.float64()))})
+
+    # Sorted, so that sums are the same however the cells come in.
+    keyed = events.select(F.get("cell", F.lit(0)).alias("key"), "cell", F.array_join(F.col("cell").cast("array<string>"), ",").alias("cell_text"), "n")
+    return keyed.groupBy("key").applyInArrow(run, "key long, weights array<double>")
 
 
 def fit_and_score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text", order: int = 2, held_tenths: int = 1) -> tuple[DataFrame, Model]:
@@ -207,14 +214,14 @@ def fit_and_score(docs: DataFrame, train: Column, id: str = "doc_id", text: str
         return pa.table({"cell": pa.array(cells.T.tolist(), pa.list_(pa.int64())), "n": pa.array(n, pa.int64())})
 
     asked = answers.select("chunk", "bucket", "n", "train", "kept")
-    # The grid of quantised estimates is bounded whatever the input, so it may come to the driver.
     events = (
         rows.select("chunk", "text", "part").groupBy("chunk").cogroup(asked.select("chunk", "bucket", "n", "kept").groupBy("chunk"))
         .applyInArrow(gather, "cell array<long>, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     )
     with tidy(docs.sparkSession):
-        events = {tuple(r.cell): r.n for r in events.collect()}
-    model = Model(order, tokens, types, learned(events, uniform))
+        # A row a level and power of two: at most 64 a level.
+        weights = {r.key: np.array(r.weights) for r in _weights(events, uniform).collect()}
+    model = Model(order, tokens, types, weights)
 
     def score(key, left, right):
         n = left.num_rows

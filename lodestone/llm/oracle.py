@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
 from .licenses import TEMPLATES, THRESHOLD
-from .quality import BOILERPLATE, CLOSERS, MARKS
+from .quality import BOILERPLATE, CLOSERS, CRUMB, MARKS, MENU, NO_LETTER
 
 W = "[\\x20\\x09-\\x0D]+"
 
@@ -24,7 +24,8 @@ fit as (select part.*, h || p as rule, v, row_number() over (partition by page_i
 select page_id, host, path, rule, coalesce(v, 'allow') as verdict from fit where k = 1
 """
 
-_BOIL = " or ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
+_BOIL = " or ".join(f"contains(lower(l), '{_q(p)}')" for p in BOILERPLATE)
+_MENU = ", ".join(f"'{w}'" for w in MENU)
 _MARKS = ", ".join(f"'{m}'" for m in MARKS)
 
 QUALITY = f"""
@@ -35,12 +36,14 @@ grams as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as g from win),
 twice as (select doc_id, i from grams qualify count(*) over (partition by doc_id, g) > 1),
 covered as (select doc_id, count(distinct i + j) as n from twice, range(0, 5) as r(j) group by doc_id),
 line as (select doc_id, unnest(ls) as l from w),
-words as (select doc_id, l, {_words("l")} as lw from line),
+words as (select doc_id, l, {_words("l")} as lw, len(regexp_split_to_array(l, '{CRUMB}')) as items, list_filter(regexp_split_to_array(lower(l), '{NO_LETTER}'), lambda w: w <> '') as lets from line),
 failing as (select doc_id, sum(length(array_to_string(lw, ''))) as lost from words where len(lw) > 0 and (
   100 * length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) > 30 * len(lw)
   or (length(l) - length(replace(l, '!!', ''))) >= 6
   or (len(lw) >= 5 and upper(l) = l and lower(l) <> l)
   or (len(lw) >= 4 and right(rtrim(l, '{_q(CLOSERS)}'), 1) not in ({_MARKS}))
+  or (items >= 3 and len(lw) <= 4 * items and not starts_with(l, '|'))
+  or (len(lw) between 2 and 12 and 100 * len(list_filter(lets, lambda x: x in ({_MENU}))) >= 60 * len(lets))
   or {_BOIL}) group by doc_id),
 dup as (select doc_id, count(*) - count(distinct l) as n from words where len(lw) > 0 group by doc_id),
 base as (select w.doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,

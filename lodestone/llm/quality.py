@@ -27,11 +27,30 @@ class Rules:
     shouts: int = 3
     caps_words: int = 5
     ended_words: int = 4
+    crumbs: int = 2
+    crumb_words: int = 4
+    menu_words: int = 12
+    menu_share: int = 60
     most_lost: int = 40
 
 
-#: Phrases that mark a line as boilerplate of web pages, in lower case.
-BOILERPLATE = ("lorem ipsum", "enable javascript", "use of cookies", "uses cookies", "accept all cookies", "terms of use", "privacy policy", "click here to", "sign up for our newsletter", "page not found")
+#: Phrases that mark a line as boilerplate of web pages, in lower case, by language.
+BOILERPLATES = {
+    "en": ("lorem ipsum", "enable javascript", "use of cookies", "uses cookies", "accept all cookies", "terms of use", "privacy policy", "click here to", "sign up for our newsletter", "page not found", "skip to content"),
+    "de": ("verwendet cookies", "cookies akzeptieren", "datenschutzerkl\u00e4rung", "allgemeine gesch\u00e4ftsbedingungen", "newsletter anmelden", "seite nicht gefunden", "javascript aktivieren", "hier klicken"),
+    "fr": ("utilise des cookies", "accepter les cookies", "politique de confidentialit\u00e9", "conditions d'utilisation", "mentions l\u00e9gales", "abonnez-vous \u00e0 notre", "page introuvable", "activer javascript", "cliquez ici"),
+    "es": ("utiliza cookies", "aceptar cookies", "pol\u00edtica de privacidad", "t\u00e9rminos de uso", "aviso legal", "suscr\u00edbete a nuestro", "p\u00e1gina no encontrada", "habilitar javascript", "haga clic aqu\u00ed"),
+}
+BOILERPLATE = tuple(p for ps in BOILERPLATES.values() for p in ps)
+#: Words of menus, in lower case, by language; and what stands between crumbs and links.
+MENUS = {
+    "en": ("home", "about", "contact", "login", "logout", "register", "menu", "search", "next", "previous", "prev", "top", "sitemap", "faq", "help", "share", "print", "subscribe", "blog", "news", "shop", "cart"),
+    "de": ("startseite", "kontakt", "impressum", "datenschutz", "anmelden", "abmelden", "suche", "weiter", "zur\u00fcck", "hilfe", "\u00fcbersicht", "warenkorb", "drucken"),
+    "fr": ("accueil", "connexion", "rechercher", "suivant", "pr\u00e9c\u00e9dent", "retour", "aide", "panier", "imprimer", "partager", "boutique"),
+    "es": ("inicio", "contacto", "buscar", "siguiente", "anterior", "ayuda", "acceder", "carrito", "imprimir", "compartir", "tienda"),
+}
+MENU = tuple(w for ws in MENUS.values() for w in ws)
+CRUMB, NO_LETTER = "[ \\t]*[|\u00bb\u203a\u00b7\u2022][ \\t]*|[ \\t][>/][ \\t]", "[^a-z\u00df-\u00f6\u00f8-\u00ff]+"
 SYMBOLS = "#*$%&|<>"
 #: What may close a line: sentence marks, then closing quotes, brackets and white space.
 MARKS = (".", "!", "?", ":", ";", "\u2026", "\u3002")
@@ -90,11 +109,21 @@ def line_stands(line: Column, r: Rules) -> Column:
         unended = (n >= r.ended_words) & ~F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1)).isin(*MARKS)
         shouted = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) >= 2 * r.shouts
         capitals = (n >= r.caps_words) & (F.upper(line) == line) & (F.lower(line) != line)
-        return (n == 0) | ~(symbols | unended | shouted | capitals | boilerplate(line))
+        return (n == 0) | ~(symbols | unended | shouted | capitals | boilerplate(line) | navigation(line, n, r))
 
     return let(F.size(words(line)), of)
 
 
+def navigation(line: Column, n: Column, r: Rules) -> Column:
+    """Whether a line of n words is a breadcrumb or a row of links, short items between separators, or
+    a menu: few words, most of them such as menus have."""
+    crumbs = F.size(F.split(line, CRUMB)) - 1
+    short = (crumbs >= r.crumbs) & (n <= r.crumb_words * (crumbs + 1)) & ~line.startswith("|")
+    words_ = F.filter(F.split(F.lower(line), NO_LETTER), lambda w: w != "")
+    menu = let(words_, lambda w: 100 * F.size(F.filter(w, lambda x: x.isin(*MENU))) >= r.menu_share * F.size(w))
+    return short | ((n >= 2) & (n <= r.menu_words) & menu)
+
+
 def boilerplate(text: Column) -> Column:
     return let(F.lower(text), lambda x: reduce(or_, [F.contains(x, F.lit(p)) for p in BOILERPLATE]))
 
@@ -116,18 +145,18 @@ def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules(), to: str
             repeat_words(w, r.window).alias("n_repeat_words"),
         ),
     )
-    failing = F.filter(lines, lambda x: ~line_stands(x, r))
+
+    def parted(stands: Column) -> Column:
+        # Which lines stand is worked out once; lines keep to it by their number.
+        lost = F.filter(lines, lambda x, i: ~F.get(stands, i))
+        left = F.when(F.forall(stands, lambda x: x), t).otherwise(F.array_join(F.filter(lines, lambda x, i: F.get(stands, i)), "\n"))
+        return F.struct(left.alias("text"), word_chars(words(F.array_join(lost, "\n"))).alias("lost"))
+
     found = F.struct(
         counts.alias("c"),
         n_symbols(t).cast("long").alias("n_symbols"),
         let(worded, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_dup_lines"),
-        let(
-            failing,
-            lambda x: F.struct(
-                F.when(F.size(x) == 0, t).otherwise(F.array_join(F.filter(lines, lambda y: ~F.array_contains(x, y)), "\n")).alias("text"),
-                word_chars(words(F.array_join(x, "\n"))).alias("lost"),
-            ),
-        ).alias("cleaned"),
+        let(F.transform(lines, lambda x: line_stands(x, r)), parted).alias("cleaned"),
     )
 
     def verdict(q: Column) -> Column:

@@ -4,8 +4,8 @@ A sentence's score is a logistic function of the features it holds, words and ru
 them; a document's is the noisy-or of its sentences'. Only documents carry labels, so the gradient reaches a sentence through
 that noisy-or. After training, sentences that score high on their own are the offending ones.
 
-The fit takes a bounded sample of labelled rows (`FIT_DOCS`), those of least hash, whatever the
-size of the input; scoring covers every sentence of every whole text, in place and unshuffled.
+The fit takes a bounded sample of labelled rows (`FIT_DOCS` texts of `FIT_CHARS` characters in all),
+those of least hash, whatever the size of the input; scoring covers every sentence of every whole text, in place and unshuffled.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from math import exp, expm1, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents that the fit sees at most, features that carry weights, a feature's least documents.
-FIT_DOCS, VOCABULARY, LEAST_DOCS = 12_000, 3_000, 5
+#: Labelled texts that the fit sees at most and their characters in all, features that carry weights,
+#: a feature's least documents.
+FIT_DOCS, FIT_CHARS, VOCABULARY, LEAST_DOCS = 12_000, 60_000_000, 3_000, 5
 #: Lengths of the runs of letters, the mark of a word's start counted; words that a task remembers.
 RUNS, MEMO = (4, 5, 6), 200_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
@@ -86,16 +87,22 @@ def _bags(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return texts.select("toxic", "text").mapInArrow(run, "toxic int, bags array<array<int>>, rest long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = FIT_DOCS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> dict:
     """The model {'weights': {feature: weight}, 'bias': b} from the labelled rows given.
 
-    Rows without a label or an id are left out, null texts count as empty. Of several labels for an
-    id the largest holds. Without any labelled row, or with labels of one kind only, no feature weighs.
+    Rows without a label or an id are left out, null texts count as empty, equal rows as one. Of
+    several labels for an id the largest holds. Without any labelled row, or with labels of one kind
+    only, no feature weighs. The fit reads the `fit_docs` texts of least hash of id and text, and of
+    these those that have `fit_chars` characters in all: a longer sample stops before them.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
-    rows = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(known, "id")
-    chosen = rows.select("id", "toxic").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_docs)
-    sample = rows.join(F.broadcast(chosen.select("id")), "id", "left_semi")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id}`").alias("id"), t.alias("text"), F.xxhash64(F.col(f"`{id}`"), t).alias("key")).join(known, "id")
+    chosen = rows.select("key", F.length("text").cast("long").alias("chars")).distinct().orderBy("key").limit(fit_docs)
+    # The window is over the bounded sample's keys and lengths.
+    sofar = F.sum("chars").over(Window.orderBy("key"))
+    chosen = chosen.withColumn("sofar", sofar).where(F.col("sofar") <= fit_chars).select("key")
+    sample = rows.join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"])
     n = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
     pos, neg = float(n.pos or 0), float(n.n - (n.pos or 0))
     if not pos or not neg:
@@ -115,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def _learn(t: pa.Table, vocabulary: dict[str, int]) -> dict:
-    """Full-batch Adam on the noisy-or likelihood of the sample."""
+    """Full-batch Adam on the noisy-or likelihood of the sample, whose characters are bounded."""
     y = t["toxic"].to_numpy().astype(float)
     rest = t["rest"].to_numpy().astype(float)
     bags = t["bags"].to_pylist()
@@ -126,15 +133,7 @@ def _learn(t: pa.Table, vocabulary: dict[str, int]) -> dict:
     w, b = np.zeros(len(vocabulary)), -6.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(sentence, weights=w[word], minlength=len(flat))
-        # log(1 - P) = sum of log(1 - p_s) = -sum of softplus(z_s)
-        log_clean = -np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(y)) - rest * np.logaddexp(0, b)
-        clean = np.exp(np.minimum(log_clean, -1e-9))
-        # d(-log likelihood)/d log_clean
-        g = np.where(y > 0, clean / (1 - clean), -1.0)
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
-        per = -g[doc] * p
-        grad = np.concatenate([np.bincount(word, weights=per[sentence], minlength=len(w)), [per.sum() - (g * rest).sum() * p0]]) / len(y)
+        grad = loss(w, b, y, rest, doc, sentence, word)[1]
         grad[:-1] += RIDGE * w / len(w)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -142,6 +141,24 @@ def _learn(t: pa.Table, vocabulary: dict[str, int]) -> dict:
     return {"weights": {x: float(w[k]) for x, k in vocabulary.items()}, "bias": float(b)}
 
 
+def loss(w: np.ndarray, b: float, y: np.ndarray, rest: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarray) -> tuple[float, np.ndarray]:
+    """Minus the mean log likelihood of the labels, and its gradient by weights and bias.
+
+    `word` holds features one after the other, `sentence` the sentence of each, `doc` the document of
+    each sentence, `rest` the sentences of a document that hold no feature, `y` its label."""
+    n = len(doc)
+    z = b + np.bincount(sentence, weights=w[word], minlength=n)
+    # log(1 - P) = sum of log(1 - p_s) = -sum of softplus(z_s)
+    log_clean = -np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(y)) - rest * np.logaddexp(0, b)
+    clean = np.exp(np.minimum(log_clean, -1e-9))
+    # d(-log likelihood)/d log_clean
+    g = np.where(y > 0, clean / (1 - clean), -1.0)
+    p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+    per = -g[doc] * p
+    grad = np.concatenate([np.bincount(word, weights=per[sentence], minlength=len(w)), [per.sum() - (g * rest).sum() * p0]]) / len(y)
+    return float(-np.where(y > 0, np.log1p(-clean), log_clean).mean()), grad
+
+
 def scored(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text", at_least: float = 0.5) -> DataFrame:
     """`id`, score (0 to 1), and spans: start, end and score of the offending sentences, in order.
 

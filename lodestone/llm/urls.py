@@ -69,7 +69,8 @@ def _below(node: dict, segments: list[str]) -> tuple[str, str] | None:
 
 
 def judged(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", most_rules: int = MOST_RULES) -> DataFrame:
-    """Every column of `pages`, and a struct `judged` of host, path, rule and verdict.
+    """Every column of `pages`, and a struct `judged` of host, path, rule and verdict; a column of the
+    input of that name is replaced.
 
     `rules`: host, path, verdict (allow or block). A rule fits its host and all subdomains where the
     url's path starts with the rule's. Most host labels win, then the longest path; of two equal

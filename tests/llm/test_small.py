@@ -410,6 +410,16 @@ def test_overlaps_tolerate_substitutions_both_ways_of_joining(spark):
         assert (got[1, 7].doc_at, got[1, 7].matched, got[2, 7].matched) == (40, 30, 27)
 
 
+def test_overlaps_with_long_items_and_ties(spark):
+    long, short = " ".join(f"w{k * 7919 % 100_003}" for k in range(6_000)), prose(21, 30)
+    rows = [(1, prose(5, 50) + " " + " ".join(long.split()[3000:3040])), (2, short + " x " + short), (None, " ".join(long.split()[-20:])), (4, short), (4, short)]
+    bench = spark.createDataFrame([(1, long), (2, short), (3, "just six words are not enough"), (4, None)], BENCH)
+    wanted = {(1, 1): (0, 40), (2, 2): (0, 30), (None, 1): (0, 20), (4, 2): (0, 30)}
+    for most in (10**6, 1):
+        got = decontam.overlaps(docs(spark, rows), bench, most_seeds=most).collect()
+        assert {(r.doc_id, r.item_id): (r.doc_at, r.matched) for r in got} == wanted
+
+
 def test_licenses_and_inheritance(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
@@ -497,6 +507,17 @@ def test_urls_both_ways(spark):
         assert got[0].host == "q.example.net" and got[0].path == "/en/1"
 
 
+def test_urls_of_odd_pages(spark):
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    long = "http://a.net/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "http://" + "a." * 20_000 + "net/")], "page_id long, url string").withColumn("judged", F.lit("old"))
+    for most in (100, 0):
+        got = urls.judged(pages, rules, most_rules=most).collect()
+        assert [r.judged.verdict for r in got] == ["block"] * 3
+        assert urls.judged(pages.limit(0), rules, most_rules=most).count() == 0
+        assert {r.judged.verdict for r in urls.judged(pages, rules.limit(0), most_rules=most).collect()} == {"allow"}
+
+
 def test_toxicity_finds_the_sentence(spark):
     bad = "You are a worthless idiot."
     rows = [(i, prose(i, 60) + (" " + bad + " " if i % 3 == 0 else " ") + prose(200 + i, 30)) for i in range(120)]
@@ -509,12 +530,72 @@ def test_toxicity_finds_the_sentence(spark):
     assert toxicity.fit(docs(spark, rows), labels.where("toxic = 0"))["weights"] == {}
 
 
+def test_noisy_or_by_brute_force(spark):
+    import numpy as np
+
+    rows = [(1, "Bad day. good bad bad day! nothing here\nbad"), (2, None), (3, "..."), (4, "good. good. good."), (4, "bad " * 9), (5, prose(1, 5_000) + " BAD?")]
+    weights, bias = {"^bad$": 3.5, "^good": -1.25, "bad$": 0.5, "^day$": 1.0}, -3.0
+
+    def chance(sentence):
+        held = set().union(*[toxicity.features(w) for w in re.findall(r"[^\W\d_]+", sentence)])
+        return 1 / (1 + math.exp(-bias - sum(x for f, x in weights.items() if f in held)))
+
+    got = toxicity.scored(docs(spark, rows), {"weights": weights, "bias": bias}).collect()
+    for r, (i, t) in zip(sorted(got, key=lambda r: (r.doc_id, r.score)), sorted(rows, key=lambda x: (x[0], "bad" in (x[1] or "")))):
+        low = (t or "").lower()
+        parts = [m for m in re.finditer(r"[^.!?\n]+[.!?\n]*", low)]
+        assert r.doc_id == i and r.score == pytest.approx(1 - math.prod(1 - chance(m.group()) for m in parts), abs=1e-12)
+        assert [(s.start, s.end) for s in r.spans] == [m.span() for m in parts if chance(m.group()) >= 0.5]
+    # The gradient, against differences of the likelihood worked out in loops.
+    bags, y, rest = [[[0, 2], [1]], [[1, 2]], [], [[0]]], np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.0, 2.0, 1.0, 0.0])
+    flat = [s for b in bags for s in b]
+    doc = np.repeat(np.arange(4), [len(b) for b in bags])
+    sentence, word = np.repeat(np.arange(len(flat)), [len(s) for s in flat]), np.array([k for s in flat for k in s])
+
+    def slow(w, b):
+        total = 0.0
+        for d in range(4):
+            clean = math.prod(1 - 1 / (1 + math.exp(-b - sum(w[k] for k in s))) for s in bags[d]) * (1 - 1 / (1 + math.exp(-b))) ** rest[d]
+            total -= math.log(1 - clean) if y[d] else math.log(clean)
+        return total / 4
+
+    w, b, h = np.array([0.3, -0.7, 1.1]), -0.4, 1e-6
+    value, grad = toxicity.loss(w, b, y, rest, doc, sentence, word)
+    assert value == pytest.approx(slow(w, b), rel=1e-9)
+    numeric = [(slow(w + h * np.eye(3)[k], b) - slow(w - h * np.eye(3)[k], b)) / (2 * h) for k in range(3)] + [(slow(w, b + h) - slow(w, b - h)) / (2 * h)]
+    assert grad == pytest.approx(numeric, rel=1e-5, abs=1e-8)
+
+
+def test_toxicity_fit_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, None), (5, 1), (5, 0), (8, 0), (None, 1), (4, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels)
+    assert set(model) == {"weights", "bias"}
+    assert toxicity.fit(empty(spark), labels)["weights"] == {} and toxicity.fit(odd, labels.where("false"))["weights"] == {}
+    rows = [(i, ("awful " if i % 2 else "fine ") + prose(i, 12)) for i in range(60)] * 3
+    many = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    whole = toxicity.fit(docs(spark, rows), many)
+    assert whole == toxicity.fit(docs(spark, rows[:60]), many)  # equal rows count as one
+    few = toxicity.fit(docs(spark, rows), many, fit_chars=10)
+    assert few["weights"] == {}  # no text is within the bound
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     out = toxicity.scored(odd, {"weights": {"^bad$": 3.0}, "bias": -8.0}).collect()
     assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
     assert toxicity.scored(empty(spark), {"weights": {}, "bias": -8.0}).count() == 0
 
 
+def test_lines_of_web_pages_fail(spark):
+    bad = ["Home | About | Contact us", "Start \u00bb Produkte \u00bb Schuhe und Taschen", "Home > Shop > Shoes", "Startseite Impressum Kontakt", "Accueil Connexion", "Inicio Buscar Ayuda", "This site uses cookies to serve you.", "Diese Seite verwendet Cookies.", "Lisez les mentions l\u00e9gales.", "Lea la pol\u00edtica de privacidad.", "Seite nicht gefunden.", "BUY NOW BUY NOW BUY NOW", "no full stop at its end"]
+    good = ["We went home to search for the next bus.", "Er ging zur\u00fcck nach Hause.", "A | B is a choice.", "| a | b | c |", "home", "Fin.", ""]
+    got = quality.judged(docs(spark, [(i, x) for i, x in enumerate(bad + good)])).select("doc_id", "quality.lost_chars", "quality.word_chars", "quality.text").collect()
+    for r in got:
+        if r.doc_id < len(bad):
+            assert r.lost_chars == r.word_chars > 0 and r.text == "", bad[r.doc_id]
+        elif "|" not in good[r.doc_id - len(bad)]:
+            assert r.lost_chars == 0, good[r.doc_id - len(bad)]
+
+
 def test_repeat_words_by_brute_force(spark):
     texts = ["a b c d e a b c d e", "a " * 12, "a b c d e f g", "", None, "x a b c d e y a b c d e z a b c d e", "a b c d"]
     want = []
