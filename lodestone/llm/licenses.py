@@ -154,19 +154,18 @@ def frequencies(texts: DataFrame, text: str, vocabulary: list[str]) -> tuple[int
     return got.pop("", 0), got
 
 
-def needed(bags: list[dict[str, float]], threshold: float) -> list[str]:
+def needed(bags: list[dict[str, float]], often: dict[str, int], threshold: float) -> list[str]:
     """Terms one of which every unit like a template holds: all but the commonest, as many of these
     as leave each template less than `threshold` of its length. `bags` are tf times idf by term."""
-    weight = {w: max(b.get(w, 0.0) for b in bags) for b in bags for w in b}
     size = [sum(x * x for x in b.values()) for b in bags]
     held, common = [0.0] * len(bags), set()
-    for w in sorted(weight, key=lambda w: (weight[w], w)):
+    vocabulary = {w for b in bags for w in b}
+    for w in sorted(vocabulary, key=lambda w: (-often.get(w, 0), w)):
         now = [h + b.get(w, 0.0) ** 2 for h, b in zip(held, bags, strict=True)]
-        if any(x >= (threshold - 1e-6) ** 2 * s for x, s in zip(now, size, strict=True)):
-            continue
-        held = now
-        common.add(w)
-    return sorted(set(weight) - common)
+        if all(x < (threshold - 1e-6) ** 2 * s for x, s in zip(now, size, strict=True)):
+            held = now
+            common.add(w)
+    return sorted(vocabulary - common)
 
 
 def units(texts: DataFrame) -> DataFrame:
@@ -192,7 +191,7 @@ def matched(texts: DataFrame, text: str = "text", templates: dict[str, tuple[str
     idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     weighed = [{w: tf * idf[w] for w, tf in b.items()} for _, b in named]
     spark = texts.sparkSession
-    asked = needed(weighed, threshold)
+    asked = needed(weighed, df, threshold)
     # Templates are a handful of fixed texts: their weights are part of the plan.
     weights = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
     rows = [(k, str(t), w, x * idf[w] / sum(y * y for y in b.values()) ** 0.5) for t, ((k, _), b) in enumerate(zip(named, weighed, strict=True)) for w, x in b.items()]
@@ -215,7 +214,7 @@ def matched(texts: DataFrame, text: str = "text", templates: dict[str, tuple[str
     all_units = units(some)
     # A term weighs 1 at least, and tf^2 is tf at least: so much do the other terms add to the square
     # of a unit's length, whatever their frequencies.
-    found = all_units.withColumn("inside", F.filter("terms", lambda w: w.isin(*vocabulary))).where(F.size("inside") > 0).withColumn("others", F.size("terms") - F.size("inside"))
+    found = all_units.withColumn("inside", F.filter("terms", lambda w: w.isin(*vocabulary))).where(F.exists("inside", lambda w: w.isin(*asked))).withColumn("others", F.size("terms") - F.size("inside"))
     found = (
         found.withColumn("bag", bag(F.col("inside")))
         .withColumn("norm", F.aggregate("bag", F.lit(0.0), lambda a, x: a + square(x["tf"] * F.element_at(weights, x["term"]))))

@@ -4,9 +4,10 @@ Each of `ROUNDS` hashes deals the five-word runs of a text, labelled by their oc
 repeats count, to `PARTS` parts. A sketch takes the two runs of a part with the least hashes and keeps
 them in the order of the text. Texts that share a sketch are candidates: unlike a plain min-hash it
 asks for two runs in the same order, which follows edit similarity. Candidates are links if a banded
-alignment of their words has a similarity (1 - edits / longer length) of 0.8 or more; classes are the
-components of the links. Of pairs at just 0.8, with edits at random places, nine in ten share a
-sketch; edits laid out so that no five words in a row stay, as every fifth word, leave nothing to find.
+alignment of their words has a similarity (1 - edits / longer length) of 0.85 or more; classes are the
+components of the links. Of pairs at just 0.85, with edits at random places, more than nine in ten share
+a sketch, of those at 0.9 nearly all; edits spread evenly leave fewer runs of five words: at 0.9 still
+more than nine in ten are found, at 0.85 about half.
 
 How the work is dealt. Texts of equal words are one node. In a group of one sketch every node is
 aligned with the group's least node first, which settles a group of copies in as many alignments as
@@ -30,10 +31,10 @@ from .components import components
 from .editing import edit_distance
 from .hashing import U, mix, runs, word_hashes
 
-RUN, ROUNDS, PARTS, SIMILARITY = 5, 4, 20, 0.8
+RUN, ROUNDS, PARTS, SIMILARITY = 5, 2, 20, 0.85
 SKETCHES = ROUNDS * PARTS
 #: Words are counted in so many bins; nodes to a block; characters hashed at once.
-BINS, BLOCK, AT_ONCE = 128, 128, 2_000_000
+BINS, BLOCK, AT_ONCE = 128, 512, 2_000_000
 _FACTORS = mix(np.arange(101, 101 + ROUNDS, dtype=np.uint64)) | U(1)
 _SALTS = mix(np.arange(501, 501 + SKETCHES, dtype=np.uint64))
 #: Bits of a hash that order the runs of a part.
