@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import geo, vector
-from .functions.text import normalize
+from .functions.text import tokens, variants, whole_word
 from .operators import fulltext, graph, joins, ranking
-from .search import Spec, program_search
+from .places import candidates, resolve_area
+from .search import Spec, first_that_answers, matching, program_search, within_results
 
 C = F.col
 
@@ -59,47 +60,79 @@ class Engine:
         return ranking.tiered([score(main, True), score(main, False), score(posts, False)], key, ["score"], k)
 
     def entity(self, iri: str) -> DataFrame:
-        return self.catalog.triples.where(C("s") == iri).groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("p", "o"))).alias("facts"))
+        """An entity's facts: each predicate with its values in order."""
+        by = self.catalog.triples.where(C("s") == iri).groupBy("s", "p").agg(F.sort_array(F.collect_set("o")).alias("os"))
+        return by.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("p", "os"))).alias("facts"))
 
     def related(self, iri: str, through: str, title: str = "title", k: int = 8) -> DataFrame:
         rows = graph.match(self.catalog.triples, [(iri, through, "?r"), ("?other", through, "?r"), ("?other", title, "?title")])
         return rows.where(C("other") != iri).select("other", "title").distinct().orderBy("title", "other").limit(max(1, min(int(k), 8)))
 
-    def resolve_location(self, place: str) -> DataFrame:
-        """Candidates for a place named in text, the longest name first: state, facilities, centroid."""
-        area = self.catalog.facility.groupBy("state").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-        said = F.concat(F.lit(" "), normalize(F.lit(place)), F.lit(" "))
-        hit = area.where(F.contains(said, F.concat(F.lit(" "), normalize(C("state")), F.lit(" "))))
-        return hit.orderBy(F.length("state").desc(), C("n").desc(), "state").limit(6)
-
-    def nearby(self, lat: float, lon: float, miles: float = 50.0, k: int = 20, employer: bool | None = None) -> DataFrame:
+    def resolve_location(self, place: str, states: dict[str, str] | None = None) -> DataFrame:
+        """The place that a text names, one row, and where it is in doubt its candidates instead:
+        label, city, state, lat, lon, zip. Facilities without a city have their state for one."""
+        f = self.catalog.facility
+        rows = f if "city" in f.columns else f.withColumn("city", C("state"))
+        found = resolve_area(place, rows, self.catalog.zcta, states or {})
+        if not found.isEmpty():
+            return found
+        nothing = [F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit("").alias("zip")]
+        return candidates(place, rows).select("label", "city", "state", *nothing)
+
+    def _within(self, lat: float, lon: float, miles: float, employer: bool | None = None, among: DataFrame | None = None) -> DataFrame:
         if not (-90 <= lat <= 90 and -180 <= lon <= 180):
             raise RequestError("coordinates out of range")
         rows = self.catalog.facility.where(C("approved") & geo.in_box(C("lat"), C("lon"), (lat, lon), miles))
         if employer is not None:
             rows = rows.where(C("is_employer") == employer)
-        rows = rows.withColumn("miles", geo.haversine(F.lit(lat), F.lit(lon), C("lat"), C("lon"))).where(C("miles") <= miles)
-        return rows.orderBy("miles", "code").limit(max(1, int(k)))
-
-    def facility_search(self, lat: float, lon: float, miles: float, vectors: DataFrame, query: list[float], least: float = 0.62, k: int = 20) -> DataFrame:
-        """Facilities in the radius by likeness of their vectors (code, embedding) to the query's;
-        distance is settled first, so that only near ones are compared."""
-        near = self.nearby(lat, lon, miles, k=1_000_000).select("code", "name", "miles")
-        q = F.array(*[F.lit(float(x)) for x in query])
-        rows = near.join(vectors.select("code", "embedding"), "code").withColumn("score", vector.cosine(C("embedding"), q)).where(C("score") >= least)
-        return rows.drop("embedding").orderBy(C("score").desc(), "miles", "code").limit(k)
-
-    def program_search(self, terms: list[str], **options) -> DataFrame:
-        return program_search(self.catalog.program, self.catalog.facility, Spec(terms, **options))
-
-    def crosswalk_search(self, soc: str, lat: float | None = None, lon: float | None = None, state: str | None = None, k: int = 20) -> DataFrame:
-        """Programs that lead to an occupation; a state given is honoured whatever the place."""
+        if among is not None:
+            rows = within_results(rows, among)
+        return rows.withColumn("miles", geo.haversine(F.lit(lat), F.lit(lon), C("lat"), C("lon"))).where(C("miles") <= miles)
+
+    def nearby(self, lat: float, lon: float, miles: float = 50.0, k: int = 20, employer: bool | None = None, among: DataFrame | None = None) -> DataFrame:
+        """The k nearest, of those of an earlier result if one is given."""
+        return self._within(lat, lon, miles, employer, among).orderBy("miles", "code").limit(max(1, int(k)))
+
+    def facility_search(self, lat: float, lon: float, miles: float, vectors: DataFrame, query: list[float], least: float = 0.62, k: int = 20, words: list[str] = (), terms: list[str] = (), among: DataFrame | None = None) -> DataFrame:
+        """Facilities in the radius by likeness of their vectors (code, embedding) to the query's and by
+        the share of its words in their names; where none is like enough, schools, then the nearest of
+        any kind, marked by stage. Those of a fallback are verified if a program of theirs has a term.
+        Distance is settled first, so that only near ones are compared."""
+        near = self._within(lat, lon, miles, among=among).select("code", "name", "miles", "is_school")
+        q, said = F.array(*[F.lit(float(x)) for x in query]), F.array(*map(F.lit, words)).cast("array<string>")
+        rows = near.join(vectors.select("code", "embedding"), "code").withColumn("score", vector.hybrid(C("embedding"), q, said, tokens(C("name")))).where(C("score") >= least).drop("embedding")
+        bare = near.withColumn("score", F.lit(None).cast("double"))
+        proof = None
+        if terms:
+            spec = Spec(list(terms))
+            proof = matching(self.catalog.program, spec, False)
+        found = first_that_answers([("alike", rows), ("school", bare.where("is_school")), ("nearest", bare)], proof)
+        return found.drop("is_school").orderBy(C("score").desc_nulls_last(), "miles", "code").limit(max(1, int(k)))
+
+    def program_search(self, terms: list[str] | str, fallback: DataFrame | None = None, **options) -> DataFrame:
+        spec = Spec.of(terms, **options) if isinstance(terms, str) else Spec(terms, **options)
+        return program_search(self.catalog.program, self.catalog.facility, spec, fallback)
+
+    def local_training(self, soc: str, lat: float, lon: float, miles: float, names: DataFrame | None = None, k: int = 20) -> DataFrame:
+        """Programs that lead to an occupation at institutions in the radius, with the facility whose name
+        is theirs: `names` (unitid, name) are the institutions' names, by default the facilities' own."""
+        found = self.crosswalk_search(soc, lat, lon, k=None).where(C("miles") <= miles)
+        f = self.catalog.facility.where("approved").select("code", C("name").alias("facility"))
+        names = names if names is not None else self.catalog.facility.select(C("code").alias("unitid"), "name")
+        named = found.select("unitid").distinct().join(names, "unitid")
+        pairs = joins.name_match(named, f, "unitid", "name", "code", "facility")
+        return found.join(pairs, "unitid", "left").orderBy("miles", C("awards").desc(), "unitid", "cip").limit(k)
+
+    def crosswalk_search(self, soc: str, lat: float | None = None, lon: float | None = None, state: str | None = None, k: int | None = 20) -> DataFrame:
+        """Programs that lead to an occupation; a state given is honoured whatever the place. All of
+        them, in no order, where k is None."""
         cips = self.catalog.crosswalk.where(C("soc") == soc).select("cip").distinct()
         rows = self.catalog.completions.join(cips, "cip").groupBy("unitid", "cip").agg(F.sum("awards").alias("awards"))
         f = self.catalog.facility.select(C("code").alias("unitid"), "name", "state", "lat", "lon")
         rows = rows.join(f.where(F.upper("state") == state.upper()) if state else f, "unitid")
         miles = F.lit(None).cast("double") if lat is None or lon is None else geo.haversine(F.lit(lat), F.lit(lon), C("lat"), C("lon"))
-        return rows.withColumn("miles", miles).orderBy(C("miles").asc_nulls_last(), C("awards").desc(), "unitid", "cip").limit(k)
+        rows = rows.withColumn("miles", miles)
+        return rows if k is None else rows.orderBy(C("miles").asc_nulls_last(), C("awards").desc(), "unitid", "cip").limit(k)
 
     def find_facility(self, code: int | None = None, name: str | None = None) -> DataFrame:
         """By code, or by name: equal once normal, else the best share of tokens."""
@@ -112,15 +145,25 @@ class Engine:
         best = joins.best_token_match(asked, f, "q", "asked", "code", "name")
         return f.join(F.broadcast(best.select("code")), "code", "left_semi")
 
-    def details(self, code: int, terms: list[str] = (), k: int = 6) -> DataFrame:
-        """A facility's programs by type: the number of all, and k of them, those that match first."""
+    def details(self, code: int, terms: list[str] = (), k: int = 6, mode: str = "sample", required: list[str] = ()) -> DataFrame:
+        """A facility's programs by type: the number of all, of those that match, and the programs of a
+        mode: all; relevant, those that match; or sample, k of them, required descriptions first, then
+        those that match. The facility's name, state and ZIP go with each type."""
+        if mode not in ("all", "relevant", "sample"):
+            raise RequestError(f"unknown mode {mode!r}")
         hit = F.lit(False)
         for term in terms:
-            hit = hit | C("description").contains(term.lower())
+            for v in variants(term):
+                hit = hit | C("description").rlike(whole_word(v))
         rows = self.catalog.program.where(C("code") == code).withColumn("hit", hit)
-        shown = ranking.pinned(rows.withColumn("score", C("hit").cast("int")), ["ptype"], "hit", "score", "description", k)
-        counts = rows.groupBy("ptype").agg(F.count("*").alias("all"))
-        return shown.groupBy("ptype").agg(F.sort_array(F.collect_list(F.struct("slot", "description"))).alias("x")).join(counts, "ptype").select("ptype", "all", F.transform("x", lambda x: x["description"]).alias("programs"))
+        rows = rows.withColumn("must", C("description").isin(*required) if required else F.lit(False)).withColumn("score", C("hit").cast("int"))
+        counts = rows.groupBy("ptype").agg(F.count("*").alias("all"), F.count_if("hit").alias("matching"))
+        shown = rows if mode == "all" else rows.where(C("hit") | C("must")) if mode == "relevant" else ranking.pinned(rows, ["ptype"], "must", "score", "description", k)
+        item = F.struct((~C("must")).alias("later"), (-C("score")).alias("less"), "description")
+        shown = shown.groupBy("ptype").agg(F.sort_array(F.collect_list(item)).alias("x"))
+        about = self.catalog.facility.where(C("code") == code).select("name", "state", "zip")
+        out = counts.join(shown, "ptype", "left").select("ptype", "all", "matching", F.coalesce(F.transform("x", lambda x: x["description"]), F.array().cast("array<string>")).alias("programs"))
+        return out.crossJoin(F.broadcast(about))
 
     def official_resources(self, topics: list[str]) -> DataFrame:
         if self.catalog.resources is None:
@@ -134,4 +177,4 @@ class Engine:
 
 
 #: The operations that can be called by name.
-OPERATIONS = ("search_entities", "entity", "related", "resolve_location", "nearby", "facility_search", "program_search", "crosswalk_search", "find_facility", "details", "official_resources", "stats")
+OPERATIONS = ("search_entities", "entity", "related", "resolve_location", "nearby", "facility_search", "program_search", "local_training", "crosswalk_search", "find_facility", "details", "official_resources", "stats")

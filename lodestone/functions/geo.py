@@ -14,7 +14,7 @@ MILES = 3958.8
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Miles between two points; null where a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * MILES * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * MILES * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def box(lat: float, lon: float, miles: float) -> tuple[float, float, float, float]:

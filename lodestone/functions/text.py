@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALNUM = "[a-z0-9]+"
 
@@ -31,11 +34,29 @@ def overlap(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, text)) / F.greatest(F.size(q), F.lit(1))
 
 
-def fold_accents(c: Column) -> Column:
-    """Latin letters without their marks, as an accent-blind index has them."""
-    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-    return F.translate(c, marked, plain)
+def _index_words(text: str | None, stemmed: bool) -> list[str]:
+    from .stem import stem
+
+    plain = "".join(c for c in unicodedata.normalize("NFD", text or "") if not unicodedata.category(c).startswith("M"))
+    found = re.findall(r"[^\W_]+", plain.lower())
+    return [stem(w) for w in found] if stemmed else found
+
+
+def index_words(text: str | None, stemmed: bool = False) -> list[str]:
+    """The words that an index holds of a text: runs of letters and digits of any script, in lower
+    case and without their marks, stemmed if asked."""
+    return _index_words(text, stemmed)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def index_tokens(texts: pd.Series) -> pd.Series:
+    """`index_words` of a column; run where an index is built, not where it is read."""
+    return texts.map(lambda t: _index_words(t, False))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stemmed_tokens(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _index_words(t, True))
 
 
 def number(c: Column) -> Column:
@@ -52,17 +73,32 @@ def present(c: Column) -> Column:
 
 
 def first_present(*cs: Column) -> Column:
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+    """The first column that is there; one that is present but empty wins over later ones."""
+    return F.coalesce(*cs)
 
 
 def address(*parts: Column) -> Column:
     return F.concat_ws(", ", *[present(p) for p in parts])
 
 
+#: The names of lines that hold nothing but an address.
+ADDRESS_LINES = "Program details|Program info|School website|Official Resources?"
+
+
 def clean_message(c: Column) -> Column:
-    """Links to their labels, emphasis and list marks away, white space evened out."""
-    steps = [(r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"https?://[^ \n]+", ""), (r"[*_`#]+", ""), (r"(?m)^[ \t]*[-+] +", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
-    return F.trim(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c))
+    """A reply as plain text: a list of suggestions at its end goes, then lines of addresses, addresses,
+    their names left alone, blank lines past one, bold marks; list marks become dashes."""
+    steps = [
+        (r"(?is)\n\s*suggestions\s*:\s*\[.*\]\s*$", ""),
+        (rf"(?im)^\s*(?:{ADDRESS_LINES}):\s*https?://\S+\s*$", ""),
+        (r"https?://\S+", ""),
+        (rf"(?m)^\s*(?:{ADDRESS_LINES}):\s*$", ""),
+        (r"\n{3,}", "\n\n"),
+        (r"\*\*(.+?)\*\*", "$1"),
+        (r"(?m)^\s*[-*]\s+", "- "),
+    ]
+    plain = reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c)
+    return F.regexp_replace(F.regexp_replace(plain, r"^\s+", ""), r"\s+$", "")
 
 
 def host(url: Column) -> Column:
@@ -82,12 +118,14 @@ def percent_encode(c: Column) -> Column:
     return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
 
 
-def json_block(c: Column) -> Column:
-    """The JSON of a fenced block, else from the first brace to the last; null where neither parses."""
-    fenced = F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
-    bare = F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
-    ok = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    return F.coalesce(ok(fenced), ok(bare))
+def json_block(c: Column, first_key: str = "message") -> Column:
+    """The JSON of a fenced block; else the text if it begins with a brace, or from the last object
+    that begins with `first_key`. Null where that does not parse: the caller falls back to the text."""
+    t = F.trim(c)
+    fenced = F.nullif(F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1), F.lit(""))
+    last = F.nullif(F.regexp_extract(t, rf'(?s)^.*(\{{"{re.escape(first_key)}".*)$', 1), F.lit(""))
+    found = F.coalesce(fenced, F.when(t.startswith("{"), t), last)
+    return F.when(F.try_parse_json(found).isNotNull(), found)
 
 
 def whole_word(term: str, tail: bool = True) -> str:
@@ -95,17 +133,18 @@ def whole_word(term: str, tail: bool = True) -> str:
     return rf"(?i)\b{re.escape(term)}{r'\w?' if tail else ''}\b"
 
 
+#: An ending, the least length of a term for it, and the endings that take its place.
+ENDINGS = (("er", 5, ("ing", "e", "ed")), ("ing", 6, ("er", "e", "ed")), ("e", 4, ("er", "ing", "ed")), ("ed", 5, ("", "er", "ing")))
+
+
 def variants(term: str, compounds: dict[str, list[str]] | None = None) -> list[str]:
-    """A term and its forms in -er, -ing, -e and -ed, with the compounds listed for it."""
-    stems = {term}
-    for ending, least in (("ing", 6), ("er", 5), ("ed", 5), ("e", 4)):
-        if term.endswith(ending) and len(term) >= least:
-            stems.add(term[: -len(ending)])
-    forms = set(stems)
-    for stem in stems - {term} or {term}:
-        if len(stem) >= 3:
-            forms |= {stem + x for x in ("er", "ing", "e", "ed")}
-    return sorted(forms | set((compounds or {}).get(term, [])))
+    """A term, its forms by `ENDINGS`, and the words listed for it. Only -ed leaves a bare root, and
+    -eed is no ending, so that care does not find car, nor speed spe."""
+    forms = {term, *(compounds or {}).get(term, ())}
+    for ending, least, others in ENDINGS:
+        if term.endswith(ending) and len(term) >= least and not term.endswith("eed"):
+            forms |= {term[: -len(ending)] + x for x in others}
+    return sorted(forms)
 
 
 def query_terms(text: str, stop: set[str], least: int = 3, allowed: set[str] = frozenset(), digits: bool = True) -> list[str]:

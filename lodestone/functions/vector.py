@@ -23,9 +23,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector over its norm; one without length stays as it is."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    """The vector over its norm, worked out once a row; one without length stays as it is."""
+    norm = F.array(F.sqrt(dot(v, v)))
+    return F.get(F.transform(norm, lambda n: F.transform(doubles(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))), F.lit(0))
+
+
+def hybrid(v: Column, query: Column, words: Column, held: Column, weight: float = 0.05) -> Column:
+    """Cosine and a small part for the share of the query's words that are there."""
+    from .text import overlap
+
+    return cosine(v, query) + F.lit(weight) * overlap(words, held)
 
 
 def hashing_encoder(dims: int = 64):

@@ -1,37 +1,75 @@
 """An inverted index as a table of postings, and ranked search over it.
 
-Postings are (doc, field, token, tf), lengths (doc, len). A query's terms are literals of the plan:
-they filter postings by prefix, which prunes row groups where postings are written sorted by token.
+Postings are (doc, field, token, tf), lengths (doc, len). An index is built once and written, postings
+sorted by token, lengths beside them; searches read it. A query's terms are literals of the plan: they
+filter postings by prefix, which prunes row groups, and texts are not read or cut into words again.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem, stem_all
-from ..functions.text import fold_accents, tokens
+from ..functions.stem import stem
+from ..functions.text import index_tokens, stemmed_tokens
+from ..sources.scratch import folder
 
 K1, B = 1.2, 0.75
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings and lengths as tables, the column of documents' keys, and whether words are stemmed."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    key: str
+    stemmed: bool = False
+
+    def matches(self, groups: list[list[str]], every: bool = True) -> DataFrame:
+        return matches(self.postings, self.key, groups, every, self.stemmed)
+
+    def bm25(self, groups: list[list[str]], **options) -> DataFrame:
+        return bm25(self.postings, self.key, groups, stemmed=self.stemmed, sizes=self.lengths, **options)
+
+
 def postings(docs: DataFrame, key: str, fields: list[str], stemmed: bool = False) -> DataFrame:
-    """(key, field, token, tf) of the fields' tokens, accents folded."""
-    parts = []
+    """(key, field, token, tf) of the fields' words, of any script, without their marks."""
+    cut, parts = stemmed_tokens if stemmed else index_tokens, []
     for f in fields:
-        words = tokens(fold_accents(F.coalesce(F.col(f), F.lit(""))))
-        words = stem_all(words) if stemmed else words
-        parts.append(docs.select(F.col(key), F.lit(f).alias("field"), F.explode(words).alias("token")))
+        parts.append(docs.select(F.col(key), F.lit(f).alias("field"), F.explode(cut(F.coalesce(F.col(f), F.lit("")))).alias("token")))
     return reduce(DataFrame.unionByName, parts).groupBy(key, "field", "token").agg(F.count("*").alias("tf"))
 
 
-def write_index(docs: DataFrame, key: str, fields: list[str], path: str, stemmed: bool = True) -> None:
+def write_index(docs: DataFrame, key: str, fields: list[str], path: str, stemmed: bool = True) -> Index:
     """Postings sorted by token within files, lengths beside them; replaces what was there."""
     p = postings(docs, key, fields, stemmed)
     p.repartitionByRange("token").sortWithinPartitions("token", key).write.mode("overwrite").parquet(f"{path}/postings")
-    p.groupBy(key).agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+    spark = docs.sparkSession
+    spark.read.schema(p.schema).parquet(f"{path}/postings").groupBy(key).agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+    return read_index(spark, key, path, stemmed)
+
+
+def read_index(spark: SparkSession, key: str, path: str, stemmed: bool = True) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), key, stemmed)
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def index_of(docs: DataFrame, key: str, fields: list[str], name: str, stemmed: bool = False) -> Index:
+    """The index of a table that `name` tells apart, written by the first call of the session and read
+    by later ones."""
+    spark = docs.sparkSession
+    known = (spark.sparkContext.applicationId, name, key, tuple(fields), stemmed)
+    if known not in _WRITTEN:
+        path = folder(spark, "index")
+        write_index(docs, key, fields, path, stemmed)
+        _WRITTEN[known] = path
+    return read_index(spark, key, _WRITTEN[known], stemmed)
 
 
 def lengths(posts: DataFrame, key: str) -> DataFrame:
@@ -62,13 +100,13 @@ def matches(posts: DataFrame, key: str, groups: list[list[str]], every: bool = T
     return hits.where(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), conds)).select(key)
 
 
-def bm25(posts: DataFrame, key: str, groups: list[list[str]], every: bool = False, compound: list[str] = (), weights: dict[str, float] | None = None, fields: list[str] | None = None, stemmed: bool = False) -> DataFrame:
+def bm25(posts: DataFrame, key: str, groups: list[list[str]], every: bool = False, compound: list[str] = (), weights: dict[str, float] | None = None, fields: list[str] | None = None, stemmed: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """(key, score) of the matching keys; more negative is better.
 
     A term counts in a row only if the branch it is in matches the row: all groups together when
     `every`, and each compound by itself. `fields` limits hits and document counts, not lengths.
     """
-    sizes = lengths(posts, key)
+    sizes = lengths(posts, key) if sizes is None else sizes
     totals = sizes.agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl"))
     searched = posts.where(F.col("field").isin(*fields)) if fields else posts
     terms = [t for g in groups for t in g] + list(compound)

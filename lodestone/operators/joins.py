@@ -52,22 +52,31 @@ def name_match(left: DataFrame, right: DataFrame, left_key: str, left_name: str,
 
 def best_token_match(queries: DataFrame, names: DataFrame, query_key: str, query: str, name_key: str, name: str, least: float = 0.75) -> DataFrame:
     """(query_key, name_key, score): share of the query's tokens in the name, `least` or more; the
-    best score, then the shorter name, then the least key. Candidates share a token."""
-    q = queries.select(F.col(query_key).alias("q"), F.array_distinct(tokens(F.col(query))).alias("qt"))
+    best score, then the shorter name, then the least key.
+
+    A name with that share of a query's n tokens holds one of any n - ceil(least n) + 1 of them. So
+    candidates meet on the query's rarest tokens only, and common words join nothing."""
+    q = queries.select(F.col(query_key).alias("q"), F.array_distinct(tokens(F.col(query))).alias("qt")).where(F.size("qt") > 0)
     n = names.select(F.col(name_key).alias("n"), F.array_distinct(tokens(F.col(name))).alias("nt"), F.length(name).alias("len"))
-    shared = q.select("q", F.size("qt").alias("all"), F.explode("qt").alias("t")).join(n.select("n", "len", F.explode("nt").alias("t")), "t")
-    scored = shared.groupBy("q", "n").agg((F.count("*") / F.max("all")).alias("score"), F.max("len").alias("len")).where(F.col("score") >= least)
-    best = scored.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "len", "n")).alias("b"))
+    asked, held = q.select("q", F.explode("qt").alias("t")), n.select("n", F.explode("nt").alias("t"))
+    often = held.groupBy("t").agg(F.count("*").alias("often"))
+    ranked = asked.join(often, "t", "left").groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "t"))).alias("ts"))
+    probes = F.size("ts") - F.ceil(F.size("ts") * F.lit(least) - 1e-9).cast("int") + 1
+    rare = ranked.select("q", F.explode(F.slice(F.col("ts.t"), F.lit(1), probes)).alias("t"))
+    pairs = rare.join(held, "t").select("q", "n").distinct().join(q, "q").join(n, "n")
+    score = F.size(F.array_intersect("qt", "nt")) / F.size("qt")
+    best = pairs.withColumn("score", score).where(F.col("score") >= least).groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "len", "n")).alias("b"))
     return best.select(F.col("q").alias(query_key), F.col("b.n").alias(name_key), (-F.col("b.s")).alias("score"))
 
 
 def named_in_text(rows: DataFrame, names: DataFrame, text: Column, name: str) -> DataFrame:
-    """Rows joined with the names that their text holds as whole words. Names are a small list."""
-    if not is_small(names):
-        raise ValueError(f"more than {MOST} names: join on a token first")
-    padded = F.concat(F.lit(" "), normalize(text), F.lit(" "))
-    held = F.contains(padded, F.concat(F.lit(" "), normalize(F.col(name)), F.lit(" ")))
-    return rows.join(F.broadcast(names), held)
+    """Rows joined with the names that their text holds as whole words, each pair once a row: a name
+    is looked for where its first word is, so names may be many. A name without a word is in no text."""
+    words = F.split(normalize(F.col(name)), " ")
+    named = names.withColumns({"_words": words, "_first": F.get(words, F.lit(0))}).where(F.col("_first") != "")
+    texts = rows.withColumn("_text", normalize(text)).withColumn("_first", F.explode(F.array_distinct(F.split("_text", " "))))
+    held = F.contains(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
+    return texts.join(named, "_first").where(held).drop("_text", "_first", "_words")
 
 
 def verified(leads: DataFrame, details: DataFrame, key: str, matching: Column) -> DataFrame:

@@ -14,12 +14,16 @@ def _picked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Upsert by replacement: of each key the row of the greatest (numeric) sequence."""
-    return _picked(rows, keys, [(-F.col(seq)).alias("o")])
+    """Upsert by replacement: of each key the row of the greatest sequence, of any type that has an
+    order. A row without a sequence wins only where its key has no other."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("o"))).alias("_row")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 
 def first_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    return _picked(rows, keys, [F.col(seq).alias("o")])
+    """Of each key the row of the least sequence; a row without one wins only where there is no other."""
+    return _picked(rows, keys, [F.col(seq).isNull().alias("none"), F.col(seq).alias("o")])
 
 
 def override(base: DataFrame, layer: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

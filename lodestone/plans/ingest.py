@@ -25,36 +25,66 @@ def _(t):
     return files.csv(t.spark, where, "c_custkey bigint, c_mktsegment string", sep="|")
 
 
-@query("src_ntriples_file", "select s, p, o from triples where p <> 'name'", "triples")
+@query("src_ntriples_file", "select s, p, o from (select * from triples union all select '_:b' || s[3:], 'note', 'say \"' || o || '\"' || chr(10) || chr(92) || 'next' from triples where p = 'title')", "triples")
 def _(t):
-    """Triples written as N-Triples lines and parsed again."""
+    """Triples written as N-Triples lines and parsed again, with blank nodes and escapes."""
     where = folder(t.spark, "nt")
-    rows = t.triples.where("p <> 'name'")
-    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    obj = F.when(C("p") == "title", F.concat(F.lit('"'), "o", F.lit('"'))).otherwise(iri(C("o")))
-    rows.select(F.concat(iri(C("s")), F.lit(" "), iri(C("p")), F.lit(" "), obj, F.lit(" ."))).write.text(where)
+    notes = t.triples.where("p = 'title'").select(F.concat(F.lit("_:b"), F.expr("substr(s, 3)")).alias("s"), F.lit("note").alias("p"), F.concat(F.lit('say "'), "o", F.lit('"\n\\next')).alias("o"))
+    rows = t.triples.unionByName(notes)
+    iri = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+    escaped = C("o")
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    obj = F.when(C("p").isin("title", "name", "note"), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(iri(C("o")))
+    rows.select(F.concat(iri(C("s")), F.lit(" <"), "p", F.lit("> "), obj, F.lit(" ."))).write.text(where)
     return files.ntriples(t.spark, where).select("s", "p", "o")
 
 
-@query("src_fingerprint")
+@query("src_fingerprint", "select * from (values ('supplier', true, false), ('part', true, false), ('documents', true, false)) v(name, same, other)")
 def _(t):
-    """A marker by table: equal as long as its files are."""
+    """A marker by table: the same as long as its files are, another for another version."""
     names = ["supplier", "part", "documents"]
-    marks = [(n, files.fingerprint(t.spark, f"{t.sf_dir}/{n}.parquet")) for n in names]
-    return t.spark.createDataFrame(marks, "name string, mark string")
+    mark = lambda n, v="1": files.fingerprint(t.spark, f"{t.sf_dir}/{n}.parquet", v)
+    return t.spark.createDataFrame([(n, mark(n) == mark(n), mark(n) == mark(n, "2")) for n in names], "name string, same boolean, other boolean")
 
 
-@query("src_rest")
+@query("src_rest", "select cast(code as varchar) as code, kind, case when code % 7 <> 0 then code end as payload_code, case when code % 7 = 0 then 'OSError: unreachable' end as error from facility, (values ('a'), ('b')) v(kind)", "facility")
 def _(t):
-    """Payloads by key from a fetcher that is passed in; every seventh key fails and says so."""
+    """Payloads by key and kind from a fetcher that is passed in; every seventh key fails and says so."""
 
-    def fetch(key: str) -> str:
+    def fetch(key: str, kind: str) -> str:
         if int(key) % 7 == 0:
             raise OSError("unreachable")
-        return f'{{"code": {key}}}'
+        return f'{{"code": {key}, "kind": "{kind}"}}'
 
-    got = files.fetched(t.facility.select("code"), "code", fetch)
-    return got.select("code", F.get_json_object("payload", "$.code").cast("bigint").alias("payload_code"), "error")
+    got = files.fetched(t.facility.select("code"), "code", fetch, kinds=["a", "b"], wait=0.0)
+    return got.select("code", "kind", F.get_json_object("payload", "$.code").cast("bigint").alias("payload_code"), "error")
+
+
+@query("src_zipped", "select cast(s_suppkey as varchar) as s_suppkey, s_name || chr(233) as s_name, cast(s_nationkey as varchar) as s_nationkey from supplier")
+def _(t):
+    """Delimited text in archives, with a byte-order mark, a line each."""
+    where = folder(t.spark, "zip")
+    rows = t.supplier.select("s_suppkey", F.concat("s_name", F.lit("é")).alias("s_name"), "s_nationkey")
+    files.write_zipped(rows.repartition(3, "s_suppkey"), ["s_nationkey", "s_suppkey", "s_name"], where)
+    return files.zipped_text(t.spark, where, ["s_suppkey", "s_name", "s_nationkey"])
+
+
+@query("src_zipped_psv", "select cast(c_custkey as varchar) as c_custkey, c_name || chr(65533) as c_name from customer")
+def _(t):
+    """Columns by their header names, separated by bars; bytes that are not UTF-8 are replaced."""
+    where = folder(t.spark, "psv")
+    rows = t.customer.select("c_custkey", F.concat("c_name", F.lit("é")).alias("c_name"))
+    files.write_zipped(rows, ["c_name", "c_custkey"], where, sep="|", member="data.txt", encode="latin-1")
+    return files.zipped_text(t.spark, where, ["c_custkey", "c_name"], sep="|")
+
+
+@query("src_xlsx_filtered", "select cast(s_suppkey as varchar) as code, s_name as name from supplier where regexp_matches(cast(s_suppkey as varchar), '^[0-9]*[02468]$')")
+def _(t):
+    """Sheets of workbooks, rows kept by a pattern."""
+    where = folder(t.spark, "xlsx")
+    files.write_sheets(t.supplier.select(C("s_name").alias("name"), C("s_suppkey").alias("code")).repartition(2, "code"), ["name", "code"], where)
+    return files.xlsx(t.spark, where, ["code", "name"]).where(C("code").rlike("^[0-9]*[02468]$"))
 
 
 @query("search_rank_name", "select code, name from facility where approved order by lower(name), code limit 100", "facility")

@@ -25,9 +25,9 @@ def _(t):
     return t.part.where(C("p_size") > 40).select("p_partkey", "p_name", "p_size")
 
 
-@query("scan_pages", "select page_id, url, cast(length(html) as bigint) as n from pages where page_id % 2 = 0")
+@query("scan_pages", "select page_id, url, cast(length(html) as bigint) as n from pages")
 def _(t):
-    return t.pages.where(C("page_id") % 2 == 0).select("page_id", "url", F.length("html").cast("bigint").alias("n"))
+    return t.pages.select("page_id", "url", F.length("html").cast("bigint").alias("n"))
 
 
 @query("point_lookup", "select s_suppkey, s_name, s_acctbal from supplier where s_suppkey = 7")
@@ -35,12 +35,16 @@ def _(t):
     return t.supplier.where(C("s_suppkey") == 7).select("s_suppkey", "s_name", "s_acctbal")
 
 
-@query("optional_table")
+@query("optional_table", "select code, name as url from facility where code % 2 = 0 union all select cast(p_partkey as bigint), p_name from part", "facility")
 def _(t):
-    """A table that may be absent gives a typed empty frame."""
+    """A table that may be absent: one that is there, and one that is not, which gives no rows."""
     from ..sources.files import optional
+    from ..sources.scratch import folder
 
-    return optional(t.spark, f"{t.sf_dir}/guesses.parquet", "code bigint, url string").unionByName(t.facility.select("code", C("name").alias("url")))
+    there = folder(t.spark, "optional")
+    t.part.select(C("p_partkey").cast("bigint").alias("code"), C("p_name").alias("url")).write.parquet(there)
+    schema, rows = "code bigint, url string", t.facility.where(C("code") % 2 == 0).select("code", C("name").alias("url"))
+    return rows.unionByName(optional(t.spark, there, schema)).unionByName(optional(t.spark, f"{there}-none", schema))
 
 
 def dynamic(rows: DataFrame, employer: bool | None = None, state: str | None = None) -> DataFrame:
@@ -63,9 +67,9 @@ def _(t):
     return t.facility.where(C("approved") & (C("is_employer") | C("is_school"))).select("code")
 
 
-@query("filter_state", "select code, state from facility where approved and lat is not null and lon is not null and state = upper('Canada')", "facility")
+@query("filter_state", "select code, state from facility where approved and lat is not null and lon is not null and state = upper('Nation_3')", "facility")
 def _(t):
-    return dynamic(t.facility, state="Canada").select("code", "state")
+    return dynamic(t.facility, state="Nation_3").select("code", "state")
 
 
 SOCS = "(select cip, list(soc order by soc) as socs from crosswalk group by cip)"
@@ -91,9 +95,9 @@ def _(t):
     return t.customer.where(C("c_name").rlike("[0-9]{5}") & C("c_custkey").cast("string").rlike("^[0-9]{3}")).select("c_custkey")
 
 
-@query("nocase_eq", "select code from facility where lower(state) = lower('cHiNa')", "facility")
+@query("nocase_eq", "select code from facility where lower(state) = lower('nAtIoN_7')", "facility")
 def _(t):
-    return t.facility.where(F.lower("state") == F.lower(F.lit("cHiNa"))).select("code")
+    return t.facility.where(F.lower("state") == F.lower(F.lit("nAtIoN_7"))).select("code")
 
 
 @query("not_ilike", "select p_partkey from part where p_name not ilike '%RED%'")
@@ -185,9 +189,13 @@ def _(t):
     return t.crosswalk.select("cip").distinct().join(titles, "cip", "left").select("cip", F.coalesce("title", "cip").alias("title"))
 
 
-@query("join_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("join_anti", "select f.code, g.u as site from facility f left join (select code, 'https://' || lower(name) as u from facility where code % 4 <> 0) g on g.code = f.code left join (select code from facility where code % 3 = 0) d on d.code = f.code where g.u is not null and d.code is null", "facility")
 def _(t):
-    return t.customer.join(t.orders.select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Those with a site of their own and none to apply at: two left joins, and what the second lacks."""
+    site = t.facility.where(C("code") % 4 != 0).select("code", F.concat(F.lit("https://"), F.lower("name")).alias("site"))
+    done = t.facility.where(C("code") % 3 == 0).select("code", F.lit(True).alias("done"))
+    rows = t.facility.select("code").join(site, "code", "left").join(done, "code", "left")
+    return rows.where("site is not null and done is null").select("code", "site")
 
 
 @query("search_join_facility", "select p.code, p.description, f.name from program p join facility f on p.code = f.code where f.approved and contains(p.description, 'blue')", "program facility")
@@ -225,16 +233,16 @@ def _(t):
 
 @query(
     "best_token_match",
-    """with q as (select p_partkey as q, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as qt from part where p_partkey % 10 = 0),
+    """with q as (select p_partkey as q, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as qt from part where p_partkey % 20 = 0),
 n as (select description as n, list_distinct(regexp_extract_all(lower(description), '[a-z0-9]+')) as nt, length(description) as l from (select distinct description from program)),
 s as (select q, n, l, cast(len(list_intersect(qt, nt)) as double) / len(qt) as score from q, n)
 select q as p_partkey, n as description, score from (select *, row_number() over (partition by q order by score desc, l, n) as k from s where score >= 0.75) where k = 1""",
     "program",
 )
 def _(t):
-    """Query names are every tenth part: the queries asked, against all descriptions."""
+    """The queries asked are those of every twentieth part, against all descriptions."""
     names = t.program.select("description").distinct()
-    return joins.best_token_match(t.part.where(C("p_partkey") % 10 == 0), names, "p_partkey", "p_name", "description", "description")
+    return joins.best_token_match(t.part.where(C("p_partkey") % 20 == 0), names, "p_partkey", "p_name", "description", "description")
 
 
 @query("text_contains_join", "select conv_id, turn, word from conversations, (values ('the'), ('and'), ('this')) v(word) where contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || word || ' ')")
@@ -346,9 +354,9 @@ def _(t):
     return top.select("code", "n", F.array_join(F.transform("first", lambda x: x["description"]), "|").alias("first"))
 
 
-@query("rank_stable", "select doc_id, pos, word from (select *, row_number() over (partition by doc_id order by length(word) desc, pos) as k from (select doc_id, unnest(range(0, len(ws))) as pos, unnest(ws) as word from (select doc_id, string_split(text, ' ')[1:40] as ws from documents))) where k <= 3")
+@query("rank_stable", "select doc_id, pos, word from (select *, row_number() over (partition by doc_id order by length(word) desc, pos) as k from (select doc_id, unnest(range(0, len(ws))) as pos, unnest(ws) as word from (select doc_id, string_split(text, ' ') as ws from documents))) where k <= 3")
 def _(t):
-    words = t.documents.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 40)).alias("pos", "word"))
+    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     return joins.numbered(words, ["doc_id"], [F.length("word").desc(), "pos"]).where(C("rank") <= 3).select("doc_id", C("pos").cast("bigint").alias("pos"), "word")
 
 
@@ -415,9 +423,9 @@ def _(t):
     return tables.first_wins(t.events.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
 
 
-@query("incremental_anti", "select code from facility where code not in (select code from program where contains(description, 'hot'))", "facility program")
+@query("incremental_anti", "select code from facility where code not in (select code from facility where code % 3 = 0)", "facility")
 def _(t):
-    return tables.pending(t.facility.select("code"), t.program.where(C("description").contains("hot")), ["code"])
+    return tables.pending(t.facility.select("code"), t.facility.where(C("code") % 3 == 0), ["code"])
 
 
 @query("incremental_changed", "select f.code, f.zip from facility f left join (select code, case when code % 2 = 0 then zip else '00000' end as zip from facility where code % 3 <> 0) d on f.code = d.code where d.code is null or f.zip is distinct from d.zip", "facility")
@@ -446,3 +454,13 @@ def _(t):
 def _(t):
     log = t.cache_log
     return tables.fresh_or_stale(log.select("cache_key"), log.select("cache_key", C("accessed_at").alias("fetched_at")), "cache_key", now(), 604_800).select("cache_key", "state")
+
+
+@query("upsert_null_sequence", "select user_id, event_id, value from (select user_id, event_id, value, case when event_id % 3 = 0 then null else ts end as seq from events) qualify row_number() over (partition by user_id order by seq desc nulls last, event_id desc) = 1")
+def _(t):
+    """A row without a sequence wins only where there is no other; sequences need not be numbers."""
+    seq = F.when(C("event_id") % 3 != 0, C("ts"))
+    rows = t.events.select("user_id", "event_id", "value", F.when(seq.isNotNull(), F.struct(seq.alias("ts"), "event_id")).alias("seq"))
+    known = tables.last_wins(rows.where("seq is not null"), ["user_id"], "seq")
+    none = tables.last_wins(rows.where("seq is null"), ["user_id"], "event_id").join(known.select("user_id"), "user_id", "left_anti")
+    return known.unionByName(none).select("user_id", "event_id", "value")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, text, vector
+from .. import places
+from ..functions import geo, intent, text, vector
 from ..operators import fulltext, graph, joins, ranking
-from ..search import Spec, program_search, semantic_programs
+from ..search import Spec, program_index, program_search, semantic_programs
 from .registry import query
 
 C = F.col
@@ -69,15 +70,30 @@ def _(t):
     return t.pages.select("page_id", text.percent_encode(F.concat("url", F.lit(" a"))).alias("x"))
 
 
-@query("clean_text", "select conv_id, turn, trim(regexp_replace(regexp_replace(text, '[*_`#]+', '', 'g'), '[ \\t]+', ' ', 'g')) as x from conversations where not contains(text, '[') and not contains(text, 'http') and not regexp_matches(text, '(^|\\n)[ \\t]*[-+] ') and not contains(text, chr(10) || chr(10) || chr(10))")
+LINES = "Program details|Program info|School website|Official Resources?"
+CLEAN = [(r"\n\s*suggestions\s*:\s*\[.*\]\s*$", "", "is"), (rf"^[^\S\n]*(?:{LINES}):\s*https?://\S+[^\S\n]*$", "", "gim"), (r"https?://\S+", "", "g"), (rf"^[^\S\n]*(?:{LINES}):[^\S\n]*$", "", "gm"), (r"\n{3,}", "\n\n", "g"), (r"\*\*(.+?)\*\*", r"\1", "g"), (r"^[^\S\n]*[-*]\s+", "- ", "gm")]
+#: A reply of every form that the cleaner knows, made of a given text.
+REPLY = "'**Note:** ' || text || chr(10) || '* first  item' || chr(10) || chr(10) || chr(10) || chr(10) || 'School website: https://a.example/b' || chr(10) || 'see http://c.example/d?e now' || chr(10) || 'Program info:' || chr(10) || 'Suggestions: [\"x\", \"y\"] '"
+
+
+def _cleaned(body: str) -> str:
+    for pattern, to, flags in CLEAN:
+        body = "regexp_replace({}, '{}', '{}', '{}')".format(body, pattern, to.replace("\n", "' || chr(10) || '"), flags.replace("m", ""))  if "m" not in flags else "regexp_replace({}, '(?m){}', '{}', '{}')".format(body, pattern, to, flags.replace("m", ""))
+    return rf"regexp_replace(regexp_replace({body}, '^\s+', ''), '\s+$', '')"
+
+
+@query("clean_text", f"select conv_id, turn, {_cleaned(REPLY)} as x from conversations")
 def _(t):
-    plain = t.conversations.where(~C("text").contains("[") & ~C("text").contains("http") & ~C("text").rlike(r"(^|\n)[ \t]*[-+] ") & ~C("text").contains("\n\n\n"))
-    return plain.select("conv_id", "turn", text.clean_message(C("text")).alias("x"))
+    parts = [F.lit("**Note:** "), C("text"), F.lit("\n* first  item\n\n\n\nSchool website: https://a.example/b\nsee http://c.example/d?e now\nProgram info:\nSuggestions: [\"x\", \"y\"] ")]
+    return t.conversations.select("conv_id", "turn", text.clean_message(F.concat(*parts)).alias("x"))
 
 
-@query("json_extract", "select event_id, props as json from events")
+@query("json_extract", "select event_id, case event_id % 4 when 3 then null else '{\"message\": ' || props || '}' end as json from events")
 def _(t):
-    reply = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```"))
+    """Fenced, bare, at the end of other text, and broken: the last has none, and its text is used."""
+    found = F.concat(F.lit('{"message": '), "props", F.lit("}"))
+    k = C("event_id") % 4
+    reply = F.when(k == 0, F.concat(F.lit("Here it is:\n```json\n"), found, F.lit("\n```"))).when(k == 1, F.concat(F.lit("  "), found)).when(k == 2, F.concat(F.lit("So {that} is "), found)).otherwise(F.concat(F.lit("none {"), "props"))
     return t.events.select("event_id", text.json_block(reply).alias("json"))
 
 
@@ -86,29 +102,43 @@ def _(t):
     return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("intent_flags", "select conv_id, turn, regexp_matches(lower(text), '\\b(the|this)\\b') as a, regexp_matches(lower(text), '\\b(any|all)\\b') and regexp_matches(lower(text), '\\band\\b') as b from conversations")
+#: Each message asks for something of each kind in turn.
+ASKS = {0: "which programs are there", 1: "what career fits me, and which schools", 2: "show all of it in the U.S. please", 3: "nation-wide", 4: "every day"}
+
+
+def _asked(t):
+    more = F.element_at(F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv]), (C("conv_id") + C("turn")) % 5)
+    return t.conversations.select("conv_id", "turn", F.concat("text", F.lit(". "), more).alias("text"), F.when(C("turn") % 2 == 1, C("role")).alias("chosen"))
+
+
+_RE2 = lambda p: p.replace("(?i)", "")
+_ASKED = "select conv_id, turn, lower(text || '. ' || case cast((conv_id + turn) % 5 as int) " + " ".join(f"when {k} then '{v}'" for k, v in ASKS.items()) + " end) as m, case when turn % 2 = 1 then role end as chosen from conversations"
+
+
+@query("intent_flags", f"select conv_id, turn, chosen is null and regexp_matches(m, '{_RE2(intent.PROGRAM)}') and not regexp_matches(m, '{_RE2(intent.EXPLORING)}') as named, regexp_matches(m, '{_RE2(intent.NATIONWIDE)}') or (regexp_matches(m, '{_RE2(intent.BROAD)}') and regexp_matches(m, '{_RE2(intent.COUNTRY)}')) as wide from ({_ASKED})")
 def _(t):
-    low = F.lower("text")
-    return t.conversations.select("conv_id", "turn", low.rlike(r"\b(the|this)\b").alias("a"), (low.rlike(r"\b(any|all)\b") & low.rlike(r"\band\b")).alias("b"))
+    return _asked(t).select("conv_id", "turn", intent.names_program(C("text"), C("chosen")).alias("named"), intent.nationwide(C("text")).alias("wide"))
+
 
+#: Replies on every topic in turn.
+REPLIES = {0: "What kind of work suits you?", 1: "Your ZIP code, please.", 2: "Is any of your GI Bill left?", 3: "A certificate may do.", 4: "Well."}
 
-@query("route_case", "select conv_id, turn, case when regexp_matches(text, '[?]') then 'ask' when regexp_matches(lower(text), '\\bthe\\b') then 'tell' when regexp_matches(text, '[0-9]') then 'count' else 'other' end as route from conversations")
+
+@query("route_case", "select conv_id, turn, case " + " ".join(f"when regexp_matches(m, '{p}') then '{n}'" for n, p in intent.TOPICS) + " else 'general' end as route from (select conv_id, turn, lower(text || ' ' || case cast((conv_id + turn) % 5 as int) " + " ".join(f"when {k} then '{v}'" for k, v in REPLIES.items()) + " end) as m from conversations)")
 def _(t):
-    route = F.when(C("text").rlike("[?]"), "ask").when(F.lower("text").rlike(r"\bthe\b"), "tell").when(C("text").rlike("[0-9]"), "count").otherwise("other")
-    return t.conversations.select("conv_id", "turn", route.alias("route"))
+    reply = F.concat("text", F.lit(" "), F.element_at(F.create_map(*[F.lit(x) for kv in REPLIES.items() for x in kv]), (C("conv_id") + C("turn")) % 5))
+    return t.conversations.select("conv_id", "turn", intent.topic(reply).alias("route"))
 
 
-@query("near_dup_pairs", f"""with n as (select p_brand, p_partkey as k, list_distinct({T1.format("p_name || ' ' || p_type")}) as ts from part),
-p as (select a.k as a, b.k as b, len(list_intersect(a.ts, b.ts)) as i, least(len(a.ts), len(b.ts)) as m, len(a.ts) as x, len(b.ts) as y from n a join n b on a.p_brand = b.p_brand and a.k < b.k)
-select a, b from p where (i = x and i = y) or (x >= 3 and y >= 3 and i >= 0.8 * m)""")
+@query("near_dup_pairs", f"""with n as (select p_brand, p_partkey as k, p_name || ' ' || p_type as l from part), d as (select p_brand, l, list_distinct({T1.format("l")}) as ts from (select distinct p_brand, l from n)),
+p as (select a.p_brand as owner, a.l as a, b.l as b, len(list_intersect(a.ts, b.ts)) as i, least(len(a.ts), len(b.ts)) as m, len(a.ts) as x, len(b.ts) as y from d a join d b on a.p_brand = b.p_brand and (length(a.l) < length(b.l) or (length(a.l) = length(b.l) and a.l < b.l)))
+select owner, a, b from p where (i = x and i = y) or (x >= 3 and y >= 3 and i >= 0.8 * m)""")
 def _(t):
-    """Pairs within a brand whose tokens are equal or nearly contained: by a join on shared tokens."""
-    n = t.part.select("p_brand", C("p_partkey").alias("k"), F.array_distinct(text.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("ts"))
-    w = n.select("p_brand", "k", F.size("ts").alias("n"), F.explode("ts").alias("w"))
-    b = w.select("p_brand", "w", C("k").alias("b"), C("n").alias("y"))
-    pairs = w.withColumnRenamed("k", "a").withColumnRenamed("n", "x").join(b, ["p_brand", "w"]).where(C("a") < C("b")).groupBy("a", "b", "x", "y").agg(F.count("*").alias("i"))
-    near = ((C("i") == C("x")) & (C("i") == C("y"))) | ((C("x") >= 3) & (C("y") >= 3) & (C("i") >= 0.8 * F.least("x", "y")))
-    return pairs.where(near).select("a", "b")
+    """Distinct labels of a brand whose tokens are equal or nearly contained: a join on rare tokens."""
+    from ..operators.dedupe import near_pairs
+
+    labels = t.part.select(C("p_brand").alias("owner"), F.concat_ws(" ", "p_name", "p_type").alias("label")).distinct()
+    return near_pairs(labels.withColumn("ts", F.array_distinct(text.tokens(C("label")))))
 
 
 @query("cache_key", "select event_id, sha256('{\"k\":\"' || event_type || '\",\"v\":' || user_id || '}') as key from events")
@@ -116,10 +146,12 @@ def _(t):
     return t.events.select("event_id", F.sha2(F.to_json(F.struct(C("event_type").alias("k"), C("user_id").alias("v"))), 256).alias("key"))
 
 
-@query("retain_note", "select conv_id, turn, case when starts_with(lower(text), 'th') then list_append(['a'], text[1:240]) else ['a'] end as notes from conversations")
+@query("retain_note", "select conv_id, turn, case when turn % 3 <> 0 and regexp_matches(m, '(?i)\\b(i|i''m|i''d|my|me)\\b') and trim(m) not in ('a', 'My note') then list_append(['a', 'My note'], trim(m)[1:240]) else ['a', 'My note'] end as notes from (select conv_id, turn, case cast(turn % 4 as int) when 1 then ' My goal: ' || text when 2 then 'My note' else text end as m from conversations)")
 def _(t):
-    notes = F.array(F.lit("a"))
-    return t.conversations.select("conv_id", "turn", F.when(F.lower("text").startswith("th"), F.array_append(notes, F.substring("text", 1, 240))).otherwise(notes).alias("notes"))
+    """A note is kept where the profile is as before, the message in the first person and new."""
+    m = F.when(C("turn") % 4 == 1, F.concat(F.lit(" My goal: "), "text")).when(C("turn") % 4 == 2, "My note").otherwise(C("text"))
+    after = F.when(C("turn") % 3 != 0, "same").otherwise("other")
+    return t.conversations.select("conv_id", "turn", intent.retained(F.array(F.lit("a"), F.lit("My note")), m, F.lit("same"), after).alias("notes"))
 
 
 @query("autolink")
@@ -158,10 +190,10 @@ def _(t):
     return _socs(t).select("cip", more.alias("more"), F.when(more == 1, "program").otherwise("programs").alias("label"))
 
 
-@query("override_list", f"select cip, case when len(list_filter(socs, lambda x: contains(x, 'E'))) > 0 then list_transform(list_filter(socs, lambda x: contains(x, 'E')), lambda x: 'near ' || x) else ['none'] end as out from {SOCS}", "crosswalk")
+@query("override_list", f"select cip, case when len(list_filter(socs, lambda x: contains(x, 'E'))) > 0 then list_filter(socs, lambda x: contains(x, 'E')) else ['none'] end as out, case when len(list_filter(socs, lambda x: contains(x, 'E'))) > 0 then 'saved' else cip end as location from {SOCS}", "crosswalk")
 def _(t):
-    hits = F.filter("socs", lambda x: x.contains("E"))
-    return _socs(t).select("cip", F.when(F.size(hits) > 0, F.transform(hits, lambda x: F.concat(F.lit("near "), x))).otherwise(F.array(F.lit("none"))).alias("out"))
+    turn = intent.overridden(F.filter("socs", lambda x: x.contains("E")), F.array(F.lit("none")), C("cip"), F.lit("saved"))
+    return _socs(t).select("cip", turn.alias("t")).select("cip", C("t.suggestions").alias("out"), C("t.location").alias("location"))
 
 
 @query("concat_context", "select cip, array_to_string(list_concat([cip], socs), ' ') as x from " + SOCS, "crosswalk")
@@ -170,17 +202,34 @@ def _(t):
     return _socs(t).select("cip", F.array_join(F.flatten(F.map_values(profile)), " ").alias("x"))
 
 
-@query("pick_best_url", f"select host_tail, page_id from (select page_id, regexp_extract(h, '[^.]+\\.[^.]+$', 0) as host_tail, row_number() over (partition by regexp_extract(h, '[^.]+\\.[^.]+$', 0) order by ends_with(h, '.org') desc, page_id) as k from (select page_id, {HOST} as h from pages) where not starts_with(h, 'm.')) where k = 1")
+@query("pick_best_url", f"""with f as (select regexp_extract(h, '[^.]+\\.[^.]+$', 0) as grp, h, url, page_id from (select page_id, url, {HOST} as h from pages)),
+n as (select grp, page_id, url, h, 'The ' || substr(regexp_extract(h, '^(m\\.)?([^.]+)', 2), 1, 3) || ' Institute' as name from f),
+ok as (select *, regexp_replace(h, '[^a-z0-9]', '', 'g') as letters, list_filter(list_distinct({T1.format('name')}), lambda w: length(w) > 2 and w not in ('the', 'institute')) as ws from n where h <> '' and not (h = 'example.net' or ends_with(h, '.example.net')) and not regexp_matches(h, 'news|^m\\.'))
+select grp, url from (select *, row_number() over (partition by grp order by not ends_with(h, '.org'), page_id) as k from ok where len(list_filter(ws, lambda w: contains(letters, w))) > 0) where k = 1""")
 def _(t):
-    rows = t.pages.select("page_id", text.host(C("url")).alias("h")).where(~C("h").startswith("m.")).withColumn("host_tail", F.regexp_extract("h", r"[^.]+\.[^.]+$", 0))
-    return joins.numbered(rows, ["host_tail"], [C("h").endswith(".org").desc(), "page_id"]).where("rank = 1").select("host_tail", "page_id")
+    """The pages of a domain as what was found for a name: blocked hosts, name words, the ending."""
+    from ..sources.web import own_site
+
+    h = text.host(C("url"))
+    name = F.concat(F.lit("The "), F.substring(F.regexp_extract(h, r"^(m\.)?([^.]+)", 2), 1, 3), F.lit(" Institute"))
+    rows = t.pages.select("page_id", "url", F.regexp_extract(h, r"[^.]+\.[^.]+$", 0).alias("grp"), name.alias("name"))
+    blocked = t.spark.createDataFrame([("example.net",)], "host string")
+    return own_site(rows, "grp", "name", "url", "page_id", blocked, r"news|^m\.", ".org")
 
 
-@query("soft404", "select a.page_id, substr(a.html, 1, 2000) = substr(b.html, 1, 2000) as soft, contains(lower(a.html), 'the') as words from pages a join pages b on b.page_id = a.page_id + 1")
+@query("soft404", f"""with a as (select page_id, url, html, page_id % 4 as k from pages), f as (select page_id, case when k = 0 then 404 else 200 end as status, case when k = 1 then 'https://' || h || '/' when k = 2 then 'https://other.example/apply' else 'https://' || h || '/apply' end as final, case when k = 3 and page_id % 8 = 7 then 'Jobs: hiring' else 'How to apply' end as title, html, k, h from (select *, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) as h from a)),
+p as (select f.*, case when page_id % 3 = 0 then html else 'not here' end as probe from f)
+select page_id, status < 400 and k not in (0, 1, 2) and title = 'How to apply' and substr(probe, 1, 2000) <> substr(html, 1, 2000) as ok from p""")
 def _(t):
-    """A page against a probe of the same site: the same beginning means that neither is there."""
-    probe = t.pages.select((C("page_id") - 1).alias("page_id"), C("html").alias("probe"))
-    return t.pages.join(probe, "page_id").select("page_id", (F.substring("html", 1, 2000) == F.substring("probe", 1, 2000)).alias("soft"), F.lower("html").contains("the").alias("words"))
+    """Pages as answers to a guessed path: lost, sent to the root, sent elsewhere, of jobs, and real ones."""
+    from ..sources.web import apply_page
+
+    k, h = C("page_id") % 4, F.regexp_extract(F.lower("url"), "^[a-z]+://([^/:?#]+)", 1)
+    site = F.concat(F.lit("https://"), h)
+    final = F.when(k == 1, F.concat(site, F.lit("/"))).when(k == 2, F.lit("https://other.example/apply")).otherwise(F.concat(site, F.lit("/apply")))
+    title = F.when(C("page_id") % 8 == 7, "Jobs: hiring").otherwise("How to apply")
+    probe = F.when(C("page_id") % 3 == 0, C("html")).otherwise(F.lit("not here"))
+    return t.pages.select("page_id", apply_page(F.when(k == 0, 404).otherwise(200), final, C("url"), title, F.array(F.lit("text")), C("html"), F.lit(200), probe).alias("ok"))
 
 
 @query("html_parse")
@@ -192,9 +241,10 @@ def _(t):
 
 @query("link_classify")
 def _(t):
-    from ..sources.web import classified, parsed
+    from ..sources.web import admission_links, classified, parsed
 
-    return classified(parsed(t.pages, "html"), "page_id", ["la", "the"], ["login"])
+    links = parsed(t.pages, "html")
+    return classified(links, "page_id", ["la", "the"], ["login"]).unionByName(admission_links(links, "page_id"))
 
 
 @query("url_join")
@@ -214,37 +264,63 @@ def _(t):
 
 # Full text
 
-POST = f"""d as (select doc_id, unnest({T1.format("strip_accents(text)")}) as token from documents where lang = 'en'),
+WORDS = "regexp_extract_all(lower(strip_accents({0})), '[\\p{{L}}\\p{{N}}]+')"
+POST = f"""d as (select doc_id, unnest({WORDS.format("text")}) as token from documents),
 posts as (select doc_id, token, count(*) as tf from d group by all), lens as (select doc_id, sum(tf) as len from posts group by doc_id)"""
 
 
-def _english(t):
-    return fulltext.postings(t.documents.where("lang = 'en'"), "doc_id", ["text"])
+def _texts(t, stemmed=False):
+    """The index of all documents: written once, read by every search."""
+    return fulltext.index_of(t.documents, "doc_id", ["text"], t.sf_dir, stemmed)
 
 
 @query("fts_postings", f"with {POST} select doc_id, token, tf from posts")
 def _(t):
-    return _english(t).select("doc_id", "token", "tf")
+    return fulltext.postings(t.documents, "doc_id", ["text"]).select("doc_id", "token", "tf")
+
+
+@query("fts_index", f"with {POST} select token, count(*) as docs, cast(sum(tf) as bigint) as tf from posts group by token")
+def _(t):
+    """What the written index holds of each word."""
+    return _texts(t).postings.groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+
+
+@query("fts_stemmed")
+def _(t):
+    """Documents by a word's stem, from the stemmed index."""
+    return _texts(t, True).bm25([["ending"], ["shed"]]).withColumn("score", F.round("score", 6))
+
+
+def _six(t):
+    """Parts as records of six text fields."""
+    sellers = t.lineitem.join(t.supplier, C("l_suppkey") == C("s_suppkey")).select(C("l_partkey").alias("p_partkey"), "s_name").distinct()
+    sellers = sellers.groupBy("p_partkey").agg(F.array_join(F.sort_array(F.collect_list("s_name")), " ").alias("sellers"))
+    rows = t.part.join(sellers, "p_partkey", "left")
+    return rows.select("p_partkey", C("p_name").alias("title"), C("p_type").alias("alternates"), C("p_brand").alias("description"), F.concat_ws(" ", "p_name", "p_type").alias("tasks"), C("p_size").cast("string").alias("features"), "sellers")
+
 
+SIX = ["title", "alternates", "description", "tasks", "features", "sellers"]
+_SIX = "(select p_partkey, p_name as title, p_type as alternates, p_brand as description, p_name || ' ' || p_type as tasks, cast(p_size as varchar) as features, s as sellers from part left join (select l_partkey, string_agg(s_name, ' ' order by s_name) as s from (select distinct l_partkey, s_name from lineitem join supplier on l_suppkey = s_suppkey) group by all) on p_partkey = l_partkey)"
 
-@query("fts_postings_fields", f"select p_partkey, 'p_name' as field, token, count(*) as tf from (select p_partkey, unnest({T1.format('p_name')}) as token from part) group by all union all select p_partkey, 'p_type', token, count(*) from (select p_partkey, unnest({T1.format('p_type')}) as token from part) group by all")
+
+@query("fts_postings_fields", " union all ".join(f"select p_partkey, '{f}' as field, token, count(*) as tf from (select p_partkey, unnest({WORDS.format(f)}) as token from {_SIX}) group by all" for f in SIX))
 def _(t):
-    return fulltext.postings(t.part, "p_partkey", ["p_name", "p_type"])
+    return fulltext.postings(_six(t), "p_partkey", SIX)
 
 
 @query("fts_prefix", f"with {POST} select distinct doc_id from posts where starts_with(token, 'inin')")
 def _(t):
-    return fulltext.matches(_english(t), "doc_id", [["inin"]])
+    return _texts(t).matches([["inin"]])
 
 
 @query("fts_and", f"with {POST} select doc_id from posts group by doc_id having bool_or(starts_with(token, 'inin') or starts_with(token, 'stea')) and bool_or(starts_with(token, 'whst'))")
 def _(t):
-    return fulltext.matches(_english(t), "doc_id", [["inin", "stea"], ["whst"]])
+    return _texts(t).matches([["inin", "stea"], ["whst"]])
 
 
-@query("fts_or", f"with {POST} select doc_id from posts group by doc_id having bool_or(starts_with(token, 'inin') or starts_with(token, 'whst'))")
+@query("fts_or", f"with {POST} select doc_id from posts group by doc_id having bool_or(starts_with(token, 'inin') or starts_with(token, 'uber'))")
 def _(t):
-    return fulltext.matches(_english(t), "doc_id", [["inin"], ["whst"]], every=False)
+    return _texts(t).matches([["inin"], ["uber"]], every=False)
 
 
 @query("fts_field_filter", "select p_partkey from part where regexp_matches(lower(p_name), '\\bbl')")
@@ -264,17 +340,17 @@ def _bm25_sql(source: str, key: str, terms: list[str], score: str, where: str, w
 
 @query("bm25", _bm25_sql(POST, "doc_id", ["inin", "whst"], f"{_leaf(0)} + {_leaf(1)}", "f0 > 0 or f1 > 0"))
 def _(t):
-    return fulltext.bm25(_english(t), "doc_id", [["inin"], ["whst"]]).withColumn("score", F.round("score", 6))
+    return _texts(t).bm25([["inin"], ["whst"]]).withColumn("score", F.round("score", 6))
 
 
 @query("fts_compound", _bm25_sql(POST, "doc_id", ["inin", "whst", "thwh"], f"case when f0 > 0 and f1 > 0 then {_leaf(0)} + {_leaf(1)} else 0 end + {_leaf(2)}", "(f0 > 0 and f1 > 0) or f2 > 0"))
 def _(t):
-    return fulltext.bm25(_english(t), "doc_id", [["inin"], ["whst"]], every=True, compound=["thwh"]).withColumn("score", F.round("score", 6))
+    return _texts(t).bm25([["inin"], ["whst"]], every=True, compound=["thwh"]).withColumn("score", F.round("score", 6))
 
 
 @query("fts_topk", _bm25_sql(POST, "doc_id", ["inin", "stea"], f"{_leaf(0)} + {_leaf(1)}", "f0 > 0 or f1 > 0") + " order by score, doc_id limit 20")
 def _(t):
-    return ranking.top(fulltext.bm25(_english(t), "doc_id", [["inin"], ["stea"]]).withColumn("score", F.round("score", 6)), ["score", "doc_id"], 20)
+    return ranking.top(_texts(t).bm25([["inin"], ["stea"]]).withColumn("score", F.round("score", 6)), ["score", "doc_id"], 20)
 
 
 PARTS = f"posts as (select p_partkey, field, token, count(*) as tf from (select p_partkey, 'p_name' as field, unnest({T1.format('p_name')}) as token from part union all select p_partkey, 'p_type', unnest({T1.format('p_type')}) from part) group by all), lens as (select p_partkey, sum(tf) as len from posts group by p_partkey)"
@@ -325,7 +401,7 @@ def _(t):
 
 # Geography
 
-MILES = "2 * 3958.8e0 * asin(sqrt(least(1.0e0, pow(sin(radians({0} - 37.0e0) / 2), 2) + cos(radians(37.0e0)) * cos(radians({0})) * pow(sin(radians({1} - -95.0e0) / 2), 2))))".format("lat", "lon")
+MILES = "(case when lat is not null and lon is not null then 2 * 3958.8e0 * asin(sqrt(least(1.0e0, pow(sin(radians({0} - 37.0e0) / 2), 2) + cos(radians(37.0e0)) * cos(radians({0})) * pow(sin(radians({1} - -95.0e0) / 2), 2)))) end)".format("lat", "lon")
 AT = (37.0, -95.0)
 
 
@@ -380,11 +456,31 @@ def _(t):
     return rows.groupBy("code").agg(F.min_by("zlat", F.struct(gap, "z")).alias("lat"))
 
 
-@query("resolve_area", "select state, country, n, round(lat, 6) as lat from (select state, country, count(*) as n, avg(lat) as lat from facility group by all) where contains(' looking in china or france ', ' ' || lower(state) || ' ') order by length(state) desc, state limit 1", "facility")
+_CITY = "select code, state as city, country as state, zip, lat, lon from facility"
+
+
+def _cities(t):
+    return t.facility.select("code", C("state").alias("city"), C("country").alias("state"), "zip", "lat", "lon")
+
+
+@query("resolve_area", f"""with c as ({_CITY}), hit as (select * from c where city = 'NATION_20' and state = 'AFRICA'),
+z as (select zip, count(*) as n from hit group by zip order by n desc, zip limit 1)
+select 'Nation_20, AFRICA' as label, 'NATION_20' as city, 'AFRICA' as state, coalesce(any_value(q.lat), avg(hit.lat)) as lat, coalesce(any_value(q.lon), avg(hit.lon)) as lon, any_value(z.zip) as zip from hit, z left join zcta q on z.zip = q.zip""", "facility zcta")
+def _(t):
+    """A city whose state is named too; nation_1 is in the text as well, but is no word of it."""
+    return places.resolve_area("schools near Nation 20 in Africa", _cities(t), t.zcta, {"africa": "AFRICA", "asia": "ASIA"})
+
+
+@query("resolve_state", f"with c as ({_CITY}) select 'AFRICA' as label, cast(null as varchar) as city, 'AFRICA' as state, avg(lat) as lat, avg(lon) as lon, (select zip from c where state = 'AFRICA' group by zip order by count(*) desc, zip limit 1) as zip from c where state = 'AFRICA'", "facility")
+def _(t):
+    return places.resolve_area("anywhere in Africa", _cities(t), t.zcta, {"africa": "AFRICA", "asia": "ASIA"})
+
+
+@query("area_candidates", f"with c as (select code, 'NATION_' || (code % 2) as city, state from ({_CITY})) select city, state, count(*) as n, upper(city[1:1]) || lower(city[2:]) || ', ' || state as label from c where city = 'NATION_1' group by all order by n desc, city, state limit 6", "facility")
 def _(t):
-    area = t.facility.groupBy("state", "country").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"))
-    found = area.where(F.contains(F.lit(" looking in china or france "), F.concat(F.lit(" "), F.lower("state"), F.lit(" "))))
-    return ranking.top(found, [F.length("state").desc(), "state"], 1).withColumn("lat", F.round("lat", 6))
+    """Places of one name in several states."""
+    rows = _cities(t).withColumn("city", F.concat(F.lit("NATION_"), (C("code") % 2).cast("string")))
+    return places.candidates("near nation 1", rows)
 
 
 # Vectors
@@ -402,11 +498,16 @@ def _(t):
     return _pair(t).select("vec_id", F.round(vector.cosine(C("embedding"), C("q")), 6).alias("score"))
 
 
-@query("hybrid_score", f"select e.vec_id, round({COS} + 0.05e0 * (case when e.label = q.label then 1 else 0 end), 6) as score from embeddings e, embeddings q where q.vec_id = 0 and {COS} + 0.05e0 * (case when e.label = q.label then 1 else 0 end) >= 0.1")
+@query("hybrid_score", f"""with v as (select vec_id, embedding, list_distinct({T1.format("name")}) as ts from embeddings join (select cast(p_partkey as bigint) as k, p_name || ' ' || p_type as name from part) on vec_id = k),
+s as (select v.vec_id, {COS.replace('e.embedding', 'v.embedding')} + 0.05e0 * cast(len(list_intersect(v.ts, ['small', 'ring', 'steel'])) as double) / 3 as score from v, embeddings q where q.vec_id = 1)
+select vec_id, round(score, 6) as score from s where score >= 0.05""")
 def _(t):
-    q = t.embeddings.where("vec_id = 0").select(C("embedding").alias("q"), C("label").alias("ql"))
-    score = vector.cosine(C("embedding"), C("q")) + 0.05 * F.when(C("label") == C("ql"), 1).otherwise(0)
-    return t.embeddings.join(F.broadcast(q)).withColumn("score", score).where("score >= 0.1").select("vec_id", F.round("score", 6).alias("score"))
+    """Likeness and a share of the query's words in the name."""
+    q = t.embeddings.where("vec_id = 1").select(C("embedding").alias("q"))
+    names = t.part.select(C("p_partkey").cast("bigint").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    rows = t.embeddings.join(names, "vec_id").join(F.broadcast(q))
+    score = vector.hybrid(C("embedding"), C("q"), F.array(*map(F.lit, ("small", "ring", "steel"))), text.tokens(C("name")))
+    return rows.withColumn("score", score).where("score >= 0.05").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("vector_topk", f"select e.vec_id, round({COS}, 6) as score from embeddings e, embeddings q where q.vec_id = 0 and {COS} >= 0.05 order by round({COS}, 6) desc, e.vec_id limit 200")
@@ -491,16 +592,25 @@ def _(t):
     return graph.pattern(t.triples, "?s", "title", "?o").select("s", graph.tail(C("s")).alias("tail"))
 
 
-@query("entity_facts", "select n.s, n.o as title, list(x.o order by x.o) as suppliers from triples n join triples a on a.o = n.s and a.p = 'inNation' join triples x on x.s = a.s and x.p = 'name' where n.p = 'title' group by all", "triples")
+@query("entity_facts", """with x as (select a.o as s, t.o as name from triples a join triples t on t.s = a.s and t.p = 'name' where a.p = 'inNation'),
+r as (select a.s, b.o as region from triples a join triples b on a.o = b.s and b.p = 'title' where a.p = 'inRegion')
+select n.s, n.o as title, (select list(name order by name) from x where x.s = n.s) as suppliers, (select count(*) from x where x.s = n.s) as n_suppliers, (select list(name order by name)[1:3] from x where x.s = n.s) as first_suppliers, r.region, (select count(*) from triples m where m.s = n.s) as n_facts
+from triples n join r on r.s = n.s where n.p = 'title'""", "triples")
 def _(t):
-    """All entities' facts in one plan: a facet is a pattern, gathered by entity."""
-    rows = graph.match(t.triples, [("?s", "title", "?title"), ("?x", "inNation", "?s"), ("?x", "name", "?name")])
-    return rows.groupBy("s", "title").agg(F.sort_array(F.collect_list("name")).alias("suppliers"))
+    """All entities' facts in one plan: each facet is a pattern, gathered by entity."""
+    own = graph.match(t.triples, [("?s", "title", "?title"), ("?s", "inRegion", "?r"), ("?r", "title", "?region")]).select("s", "title", "region")
+    sold = graph.match(t.triples, [("?x", "inNation", "?s"), ("?x", "name", "?name")]).groupBy("s").agg(F.sort_array(F.collect_list("name")).alias("suppliers"), F.count("*").alias("n_suppliers"))
+    facts = t.triples.groupBy("s").agg(F.count("*").alias("n_facts"))
+    rows = own.join(sold, "s", "left").join(facts, "s", "left")
+    return rows.select("s", "title", "suppliers", F.coalesce("n_suppliers", F.lit(0).cast("bigint")).alias("n_suppliers"), F.slice("suppliers", 1, 3).alias("first_suppliers"), "region", "n_facts")
 
 
-@query("entity_by_code", "select s, o as title, string_split(o, ' ') as words from triples where p = 'title' and s = 'n/7'", "triples")
+@query("entity_by_code", "select s, o as title, regexp_extract(o, '^([^_]*)_', 1) as category, regexp_extract(o, '_(.*)$', 1) as part from triples where p = 'title' and s = (select max(s) from triples where p = 'inRegion')", "triples")
 def _(t):
-    return graph.pattern(t.triples, "?s", "title", "?title").where("s = 'n/7'").withColumn("words", F.split("title", " "))
+    """An entity by its code, with the two sides of its category."""
+    code = graph.pattern(t.triples, "?s", "inRegion", "?r").agg(F.max("s").alias("s"))
+    halves = F.split("title", "_", 2)
+    return graph.pattern(t.triples, "?s", "title", "?title").join(F.broadcast(code), "s").withColumns({"category": F.get(halves, F.lit(0)), "part": F.get(halves, F.lit(1))})
 
 
 @query("point_lookup_norm", "select code from facility where regexp_replace(trim(lower(name)), '[ ]+', ' ', 'g') = 'supplier#000000005'", "facility")
@@ -520,7 +630,7 @@ def crosswalk_programs(t, soc=None, at=AT, k=20):
     the cut. Institutions without coordinates come last."""
     want = t.crosswalk.agg(F.min("soc").alias("soc")) if soc is None else t.spark.createDataFrame([(soc,)], "soc string")
     cips = t.crosswalk.join(F.broadcast(want), "soc").select("cip").distinct()
-    rows = t.completions.join(F.broadcast(cips) if joins.is_small(cips) else cips, "cip").groupBy("unitid", "cip").agg(F.sum("awards").alias("awards"))
+    rows = t.completions.join(cips, "cip").groupBy("unitid", "cip").agg(F.sum("awards").alias("awards"))
     rows = rows.join(t.facility.select(C("code").alias("unitid"), "lat", "lon"), "unitid")
     rows = rows.withColumn("miles", geo.haversine(F.lit(at[0]), F.lit(at[1]), C("lat"), C("lon"))).drop("lat", "lon")
     total = rows.agg(F.count("*").alias("total"))
@@ -529,17 +639,34 @@ def crosswalk_programs(t, soc=None, at=AT, k=20):
 
 # The whole search
 
-SEARCH = f"""with hit as (select p.code, p.description, f.name, f.lat, f.lon, (contains(p.description, 'blue') and contains(p.description, 'widget')) as strict,
-  cast(contains(p.description, 'blue') as int) + cast(contains(p.description, 'widget') as int) as k from program p join facility f on p.code = f.code where f.approved and (contains(p.description, 'blue') or contains(p.description, 'widget'))),
-pick as (select * from hit where strict or not exists (select 1 from hit where strict)),
-g as (select code, name, count(distinct description) as programs, max(k) as hits, min(description) as first, {MILES} as miles from pick group by code, name, lat, lon)
-select code, name, programs, hits, first, round(miles, 4) as miles from g where miles <= 2000 order by g.miles, hits desc, code limit 100"""
+def _search_sql(first: str, second: str, miles: float, order: str) -> str:
+    """The search of two terms, as SQL: BM25 of descriptions by prefix, whole words, place, then tier."""
+    return f"""with prog as (select *, code || '|' || ptype || '|' || description as pid from program), d as (select pid, unnest({T1.format("description")}) as token from prog),
+posts as (select pid, token, count(*) as tf from d group by all), lens as (select pid, sum(tf) as len from posts group by pid),
+h as (select pid, sum(case when starts_with(token, '{first}') then tf else 0 end) as f0, sum(case when starts_with(token, '{second}') then tf else 0 end) as f1 from posts group by pid),
+tot as (select count(*) as n, avg(len) as avgdl from lens), seen as (select cast(count(*) filter (where f0 > 0) as double) as d0, cast(count(*) filter (where f1 > 0) as double) as d1 from h),
+ranked as (select pid, round({_leaf(0)} + {_leaf(1)}, 6) as rank from h join lens using (pid), tot, seen where f0 > 0 or f1 > 0),
+near as (select code, name, {MILES} as miles from facility where approved and lat is not null and {MILES} <= {miles}),
+hit as (select code, ptype, description, name, miles, rank, cast(regexp_matches(description, '(?i)\\b{first}\\w?\\b') as int) + cast(regexp_matches(description, '(?i)\\b{second}\\w?\\b') as int) as hits from prog join ranked using (pid) join near using (code)),
+pick as (select *, row_number() over (partition by code order by rank, description, ptype) as k from hit where hits = 2 or (hits = 1 and not exists (select 1 from hit where hits = 2))),
+g as (select code, name, miles, count(*) as n_programs, min(rank) as best_rank, max(hits) as hits, string_agg(description, '|' order by rank, description, ptype) filter (where k <= 6) as programs from pick group by all)
+select code, name, programs, n_programs, best_rank, hits, round(miles, 4) as miles, count(*) over () as total_facilities, cast(sum(n_programs) over () as bigint) as total_programs, greatest(0, count(*) over () - 100) as remaining from g order by {order} limit 100"""
+
 
+def _found(t, terms, miles):
+    rows = program_search(t.program, t.facility, Spec(terms, at=AT, miles=miles), index=program_index(t.program, t.sf_dir))
+    return rows.select("code", "name", F.array_join(C("programs.description"), "|").alias("programs"), "n_programs", "best_rank", "hits", F.round("miles", 4).alias("miles"), "total_facilities", "total_programs", "remaining")
 
-@query("program_search", SEARCH, "program facility")
+
+@query("program_search", _search_sql("blue", "widget", 2000.0, "g.miles, best_rank, code"), "program facility")
 def _(t):
-    rows = program_search(t.program, t.facility, Spec(["blue", "widget"], at=AT, miles=2000.0))
-    return rows.select("code", "name", "programs", "hits", "first", F.round("miles", 4).alias("miles"))
+    return _found(t, ["blue", "widget"], 2000.0)
+
+
+@query("program_search_relaxed_near", _search_sql("blue", "zebra", 900.0, "g.miles, hits desc, best_rank, code"), "program facility")
+def _(t):
+    """No program has both terms near: those with one of them are taken."""
+    return _found(t, ["blue", "zebra"], 900.0)
 
 
 @query("search_rank_distance", f"select code, round({MILES}, 4) as miles from facility where lat is not null order by {MILES}, code limit 100", "facility")
@@ -551,3 +678,35 @@ def _(t):
 def _(t):
     rows = t.program.where(C("description").contains("blue")).groupBy("code").agg(F.count("*").alias("n"))
     return ranking.top(rows, [C("n").desc(), "code"], 100)
+
+
+@query("search_within", f"with r as (select code from facility where approved and lat is not null order by {MILES}, code limit 40) select p.code, count(*) as n from program p join r on p.code = r.code where contains(p.description, 'blue') group by p.code", "program facility")
+def _(t):
+    """A search within an earlier result."""
+    from ..search import within_results
+
+    near = ranking.top(t.facility.where(C("approved") & C("lat").isNotNull()).withColumn("miles", _miles(t)), ["miles", "code"], 40)
+    return within_results(t.program.where(C("description").contains("blue")), near).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("search_chain", "select code, 'school' as stage, exists (select 1 from program p where p.code = f.code and contains(p.description, 'hot')) as verified from facility f where approved and is_school", "facility program")
+def _(t):
+    """A chain of fallbacks: nothing is rated as high as is asked, so schools are taken."""
+    from ..search import first_that_answers
+
+    f = t.facility.where("approved").select("code", "rate", "is_school")
+    stages = [("employer", f.where("rate > 1e9")), ("school", f.where("is_school")), ("nearest", f)]
+    return first_that_answers(stages, t.program.where(C("description").contains("hot"))).select("code", "stage", "verified")
+
+
+@query("first_of_names", "select code, coalesce(case when code % 3 = 0 then null when code % 3 = 1 then '' else name end, state) as name from facility", "facility")
+def _(t):
+    """Present but empty wins."""
+    first = F.when(C("code") % 3 == 0, None).when(C("code") % 3 == 1, "").otherwise(C("name"))
+    return t.facility.select("code", text.first_present(first, C("state")).alias("name"))
+
+
+@query("search_rank_best", _bm25_sql(POST, "doc_id", ["inin", "stea"], f"{_leaf(0)} + {_leaf(1)}", "f0 > 0 and f1 > 0") + " order by score, doc_id limit 100")
+def _(t):
+    """Best rank first: the order of a search without a place."""
+    return ranking.top(_texts(t).bm25([["inin"], ["stea"]], every=True).withColumn("score", F.round("score", 6)), ["score", "doc_id"], 100)

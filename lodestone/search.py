@@ -1,73 +1,173 @@
-"""Program search: keywords over descriptions, strict then relaxed, by facility and distance."""
+"""Program search: keywords over descriptions, strict, then relaxed, then by meaning, by facility and place."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import geo, vector
-from .functions.text import variants, whole_word
-from .operators import ranking
+from .functions.text import query_terms, variants, whole_word
+from .operators import fulltext, joins
 
 C = F.col
+#: Programs shown of a facility, facilities of a first and of a later page.
+SHOWN, FIRST_PAGE, LATER_PAGE = 6, 100, 50
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What a catalog's wording needs, all the user's: words left out of a query, short terms that are
+    kept and must match exactly, words listed as forms of a term, a phrase that says a term in full,
+    words that mean a term, marks of a wrong match by the beginning of a term, and wrong matches."""
+
+    stop: frozenset[str] = frozenset()
+    exact: frozenset[str] = frozenset()
+    compounds: dict[str, list[str]] = field(default_factory=dict)
+    phrases: dict[str, str] = field(default_factory=dict)
+    swaps: dict[str, list[str]] = field(default_factory=dict)
+    markers: dict[str, list[str]] = field(default_factory=dict)
+    wrong: tuple[tuple, ...] = ()
 
 
 @dataclass
 class Spec:
-    """A request, checked when it is made: terms, place, radius, page, exclusions."""
+    """A request, checked when it is made: terms, place, radius, page, lexicon, excluded markers."""
 
     terms: list[str]
     at: tuple[float, float] | None = None
     miles: float | None = None
     state: str | None = None
     offset: int = 0
-    size: int = 100
+    size: int | None = None
     markers: list[str] = field(default_factory=list)
-    compounds: dict[str, list[str]] = field(default_factory=dict)
+    lexicon: Lexicon = Lexicon()
 
     def __post_init__(self):
         if not self.terms:
             raise ValueError("a search needs a term")
         if self.miles is not None and self.at is None:
             raise ValueError("a radius needs a place")
-        self.size = max(1, min(int(self.size), 1000))
         self.offset = max(0, int(self.offset))
+        self.size = (LATER_PAGE if self.offset else FIRST_PAGE) if self.size is None else max(1, int(self.size))
+
+    @classmethod
+    def of(cls, keyword: str, lexicon: Lexicon = Lexicon(), **options) -> Spec:
+        """A request from words as they are typed."""
+        return cls(query_terms(keyword, set(lexicon.stop), 3, set(lexicon.exact)), lexicon=lexicon, **options)
+
+    def _phrase(self, term: str) -> list[str]:
+        return [self.lexicon.phrases[term]] if term in self.lexicon.phrases else []
+
+    def patterns(self) -> list[list[str]]:
+        """For each term the patterns one of which a description must hold."""
+        x = self.lexicon
+        return [
+            [whole_word(v, tail=t not in x.exact) for v in variants(t, x.compounds)] + [whole_word(p, tail=False) for p in self._phrase(t)] + [whole_word(v) for v in x.swaps.get(t, ())]
+            for t in self.terms
+        ]
+
+    def prefixes(self) -> list[list[str]]:
+        """For each term the beginnings of words by which the index finds it."""
+        x = self.lexicon
+        return [[*variants(t, x.compounds), *[p.split()[0] for p in self._phrase(t)], *x.swaps.get(t, ())] for t in self.terms]
+
+    def joined(self) -> list[str]:
+        """Several terms written as one word."""
+        return ["".join(self.terms)] if len(self.terms) > 1 else []
+
+
+def _any(text: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
+
 
+def keyed(programs: DataFrame) -> DataFrame:
+    """Programs with their key in an index, and a type if they have none."""
+    if "ptype" not in programs.columns:
+        programs = programs.withColumn("ptype", F.lit(None).cast("string"))
+    return programs.withColumn("pid", F.concat_ws("|", C("code").cast("string"), "ptype", "description"))
 
-def matching(programs: DataFrame, spec: Spec) -> DataFrame:
-    """Programs that hold a form of any term as a word, with the number of terms, and tier 0 where
-    all are there, 1 otherwise. Rows with an excluded marker are left out."""
-    held = [reduce(lambda a, b: a | b, [C("description").rlike(whole_word(v)) for v in variants(term, spec.compounds)]) for term in spec.terms]
-    hits = reduce(lambda a, b: a + b, [h.cast("int") for h in held])
-    rows = programs.withColumn("hits", hits).where(C("hits") > 0)
-    for m in spec.markers:
-        rows = rows.where(~F.lower("description").contains(m.lower()))
-    return rows.withColumn("tier", F.when(C("hits") == len(held), 0).otherwise(1))
 
+def program_index(programs: DataFrame, name: str | None = None, stemmed: bool = False) -> fulltext.Index:
+    """The index of descriptions; with a name it is written once and read afterwards."""
+    rows = keyed(programs)
+    if name is not None:
+        return fulltext.index_of(rows, "pid", ["description"], name, stemmed)
+    posts = fulltext.postings(rows, "pid", ["description"], stemmed)
+    return fulltext.Index(posts, fulltext.lengths(posts, "pid"), "pid", stemmed)
 
-def program_search(programs: DataFrame, facilities: DataFrame, spec: Spec, fallback: DataFrame | None = None) -> DataFrame:
-    """Facilities with matching programs, a page of them in order: code, name, state, programs, hits,
-    first (description), miles. Programs with all terms decide if there are any, else those with any;
-    where neither gives a row, `fallback`, (code, description) rows from elsewhere, is grouped alike."""
-    approved = facilities.where("approved")
+
+def placed(facilities: DataFrame, spec: Spec) -> DataFrame:
+    """Approved facilities of the state and within the radius, with their miles; with a place asked
+    for, those without coordinates are left out."""
+    rows = facilities.where("approved")
     if spec.state:
-        approved = approved.where(F.upper("state") == spec.state.upper())
-    keep = approved.select("code", "name", "state", "lat", "lon")
-    found = matching(programs, spec).join(keep, "code")
-    rows = ranking.cascade(found)
-    if fallback is not None and rows.isEmpty():
-        rows = fallback.withColumn("hits", F.lit(0)).join(keep, "code")
-    # Descriptions are counted once a facility, not once a row that repeats them.
-    grouped = rows.groupBy("code", "name", "state", "lat", "lon").agg(F.count_distinct("description").alias("programs"), F.max("hits").alias("hits"), F.min("description").alias("first"))
+        rows = rows.where(F.upper("state") == spec.state.upper())
+    rows = rows.select("code", "name", "state", "lat", "lon")
     if spec.at is None:
-        return grouped.withColumn("miles", F.lit(None).cast("double")).orderBy(C("hits").desc(), C("programs").desc(), "code").offset(spec.offset).limit(spec.size)
-    grouped = grouped.withColumn("miles", geo.haversine(F.lit(spec.at[0]), F.lit(spec.at[1]), C("lat"), C("lon")))
+        return rows.withColumn("miles", F.lit(None).cast("double"))
     if spec.miles is not None:
-        grouped = grouped.where(geo.in_box(C("lat"), C("lon"), spec.at, spec.miles) & (C("miles") <= spec.miles))
-    return grouped.orderBy(C("miles").asc_nulls_last(), C("hits").desc(), "code").offset(spec.offset).limit(spec.size)
+        rows = rows.where(geo.in_box(C("lat"), C("lon"), spec.at, spec.miles))
+    rows = rows.withColumn("miles", geo.haversine(F.lit(spec.at[0]), F.lit(spec.at[1]), C("lat"), C("lon"))).where("miles is not null")
+    return rows if spec.miles is None else rows.where(C("miles") <= spec.miles)
+
+
+def matching(programs: DataFrame, spec: Spec, every: bool, index: fulltext.Index | None = None) -> DataFrame:
+    """Programs that hold a form of every term, or of any, as a word, or all terms in one word, with
+    rank (BM25, six places, less is better) and hits (terms held). The index finds candidates, and
+    patterns are tried on these. Wrong matches and rows with an excluded marker are left out."""
+    index, text, groups = index or program_index(programs), C("description"), spec.patterns()
+    ranked = index.bm25(spec.prefixes(), every=every, compound=spec.joined()).select("pid", F.round("score", 6).alias("rank"))
+    held = [_any(text, g) for g in groups]
+    good = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), held)
+    if spec.joined():
+        good = good | _any(text, [whole_word(x) for x in spec.joined()])
+    rows = keyed(programs).join(ranked, "pid").where(good).withColumn("hits", reduce(lambda a, b: a + b, [h.cast("int") for h in held]))
+    marks = [*spec.markers, *{m for b, ms in spec.lexicon.markers.items() if any(t.startswith(b) for t in spec.terms) for m in ms}]
+    for m in sorted(marks):
+        rows = rows.where(~F.lower(text).contains(m.lower()))
+    if spec.lexicon.wrong:
+        wrong = programs.sparkSession.createDataFrame(list(spec.lexicon.wrong), programs.select("code", "description").schema)
+        rows = joins.without_pairs(rows, wrong, ["code", "description"])
+    return rows
+
+
+def _by_facility(rows: DataFrame, spec: Spec, order: list) -> DataFrame:
+    """A page of facilities, with the number of all of them and of their programs."""
+    shown = F.when(F.row_number().over(Window.partitionBy("code").orderBy("rank", "description", "ptype")) <= SHOWN, F.struct("rank", "description", "ptype"))
+    rows = rows.withColumn("_shown", shown)
+    grouped = rows.groupBy("code", "name", "state", "miles").agg(
+        F.sort_array(F.collect_list("_shown")).alias("programs"), F.count("*").alias("n_programs"), F.min("rank").alias("best_rank"), F.max("hits").alias("hits")
+    )
+    totals = grouped.agg(F.count("*").alias("total_facilities"), F.sum("n_programs").alias("total_programs"))
+    page = grouped.orderBy(*order, "code").offset(spec.offset).limit(spec.size).crossJoin(F.broadcast(totals))
+    return page.withColumn("remaining", F.greatest(F.lit(0), C("total_facilities") - spec.offset - spec.size)).withColumn("programs", F.transform("programs", lambda p: p.dropFields("rank")))
+
+
+def program_search(programs: DataFrame, facilities: DataFrame, spec: Spec, fallback: DataFrame | None = None, index: fulltext.Index | None = None) -> DataFrame:
+    """Facilities with matching programs, a page of them in order: code, name, state, miles, programs
+    (six of them, best first), n_programs, best_rank, hits, total_facilities, total_programs, remaining.
+
+    The place is settled first. Among what lies there, programs with all terms decide if there are any;
+    else, of several terms, those with any term; where neither gives a row, `fallback`, (description,
+    score) rows of like meaning, is grouped alike. With a place nearer facilities come first; then, of
+    relaxed matches, more terms, then rank or likeness."""
+    near = placed(facilities, spec)
+    index = index or program_index(programs)
+    distance = [C("miles")] if spec.at is not None else []
+    rows = matching(programs, spec, True, index).join(near, "code")
+    more = [(rows, [*distance, "best_rank"])]
+    if len(spec.terms) > 1:
+        more.append((matching(programs, spec, False, index).join(near, "code"), [*distance, C("hits").desc(), "best_rank"]))
+    if fallback is not None:
+        alike = fallback.select("description", (-C("score")).alias("rank"), F.lit(0).alias("hits"))
+        more.append((keyed(programs).join(alike, "description").join(near, "code"), [*distance, "best_rank"]))
+    for rows, order in more[:-1]:
+        if not rows.isEmpty():
+            return _by_facility(rows, spec, order)
+    return _by_facility(*[more[-1][0], spec, more[-1][1]])
 
 
 def semantic_programs(vectors: DataFrame, query: DataFrame, group: str, least: float, k: int) -> DataFrame:
@@ -76,3 +176,22 @@ def semantic_programs(vectors: DataFrame, query: DataFrame, group: str, least: f
     rows = vectors.join(F.broadcast(q)).withColumn("score", F.round(vector.cosine(C("embedding"), C("_q")), 6)).where(C("score") >= least)
     top = rows.orderBy(C("score").desc(), "vec_id").limit(k)
     return top.groupBy(group).agg(F.max("score").alias("score"), F.count("*").alias("n"))
+
+
+def within_results(rows: DataFrame, earlier: DataFrame, key: str = "code") -> DataFrame:
+    """A search within an earlier result: the rows whose key that result holds, whatever its size."""
+    return rows.join(earlier.select(key).distinct(), key, "left_semi")
+
+
+def first_that_answers(stages: list[tuple[str, DataFrame]], proof: DataFrame | None = None, key: str = "code") -> DataFrame:
+    """A chain of fallbacks: the rows of the first stage that has any, with its name as stage. Rows of
+    later stages are said to be verified only if `proof`, say matching programs, has their key."""
+    proven = None if proof is None else proof.select(key).distinct().withColumn("_proof", F.lit(True))
+    last = stages[-1][1]
+    for i, (name, rows) in enumerate(stages):
+        if rows is last or not rows.isEmpty():
+            rows = rows.withColumn("stage", F.lit(name))
+            if i == 0 or proven is None:
+                return rows.withColumn("verified", F.lit(i == 0))
+            return rows.join(proven, key, "left").withColumn("verified", F.coalesce("_proof", F.lit(False))).drop("_proof")
+    return last

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -58,15 +60,20 @@ def zipped_text(spark: SparkSession, path: str, columns: list[str], sep: str = "
 
 
 def ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o, kind) of N-Triples lines; comments and lines of other form are left out."""
-    line = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+    """(s, p, o, kind) of N-Triples lines, kind being iri, blank or literal; comments and lines of other
+    form are left out. Literals lose their escapes, and their language or type."""
+    node = r"<([^>]*)>|(_:[\w.-]+)"
+    line = rf'^\s*(?:{node})\s+<([^>]*)>\s+(?:{node}|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*$'
     got = spark.read.text(path).where(F.regexp_like("value", F.lit(line)))
     part = lambda k: F.regexp_extract("value", line, k)
-    plain = part(4)
-    for a, b in ((r"\\n", "\n"), (r"\\t", "\t"), (r'\\"', '"'), (r"\\\\", r"\\")):
-        plain = F.regexp_replace(plain, a, b)
-    is_iri = F.regexp_like("value", F.lit(r"^\s*<[^>]*>\s+<[^>]*>\s+<"))
-    return got.select(part(1).alias("s"), part(2).alias("p"), F.when(is_iri, part(3)).otherwise(plain).alias("o"), F.when(is_iri, "iri").otherwise("literal").alias("kind"))
+    # A backslash is set aside first, so that the n of an escaped backslash before an n stays one.
+    plain = F.regexp_replace(part(6), r"\\\\", "\x00")
+    for a, b in (("n", "\n"), ("t", "\t"), ("r", "\r"), ('"', '"')):
+        plain = F.regexp_replace(plain, rf"\\{a}", b)
+    plain = F.replace(plain, F.lit("\x00"), F.lit("\\"))
+    kind = F.when(F.regexp_like("value", F.lit(rf"^\s*(?:{node})\s+<[^>]*>\s+<")), "iri").when(part(5) != "", "blank").otherwise("literal")
+    rows = got.select(F.concat(part(1), part(2)).alias("s"), part(3).alias("p"), part(4).alias("i"), part(5).alias("b"), plain.alias("l"), kind.alias("kind"))
+    return rows.select("s", "p", F.when(F.col("kind") == "iri", F.col("i")).when(F.col("kind") == "blank", F.col("b")).otherwise(F.col("l")).alias("o"), "kind")
 
 
 def write_triples(triples: DataFrame, path: str) -> None:
@@ -104,7 +111,7 @@ def _sheet(data: bytes) -> Iterator[list[str]]:
                 continue
             row: list[str] = []
             for c in e.iter(f"{ns}c"):
-                at = column_number(re.match("[A-Za-z]+", c.get("r", "A")).group())
+                at = column_number(re.match("[A-Za-z]+", c.get("r")).group()) if c.get("r") else len(row)
                 row += [""] * (at + 1 - len(row))
                 v, inline = c.find(f"{ns}v"), c.find(f"{ns}is")
                 text = "".join(x.text or "" for x in inline.iter(f"{ns}t")) if inline is not None else (v.text or "" if v is not None else "")
@@ -137,22 +144,96 @@ def xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return files.mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
 
 
-def fetched(keys: DataFrame, key: str, fetch: Callable[[str], str | None], tries: int = 3) -> DataFrame:
-    """(key, payload, error) by a fetcher that is passed in; what fails after some tries is a row
-    with its error. For loading a table, never inside a query."""
+class Later(Exception):
+    """Raised by a fetcher that is told to come back: after so many seconds, if it knows."""
+
+    def __init__(self, seconds: float | None = None):
+        super().__init__("asked to come back later")
+        self.seconds = seconds
+
+
+class Spent(Exception):
+    """Raised by a fetcher whose quota is used up: nothing more is asked for."""
+
+
+def fetched(keys: DataFrame, key: str, fetch: Callable[..., str | None], tries: int = 3, kinds: list[str] | None = None, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(key, kind, payload, error) by a fetcher that is passed in; what fails after some tries is a row
+    with its error. With kinds it is called as fetch(key, kind), and each key has a row a kind.
+
+    Between tries a task waits `wait` seconds, twice as long each time, or as long as `Later` says.
+    After `Spent` a task asks for nothing more: its other rows have the error 'Spent'. For loading a
+    table, never inside a query."""
+
+    def once(args: tuple) -> tuple[str | None, str | None, bool]:
+        error = None
+        for n in range(tries):
+            try:
+                return fetch(*args), None, False
+            except Spent:
+                return None, "Spent", True
+            except Exception as e:  # the fetcher is the caller's: any failure is that row's
+                error = f"{type(e).__name__}: {e}"
+                if n + 1 < tries:
+                    sleep(e.seconds if isinstance(e, Later) and e.seconds is not None else wait * 2**n)
+        return None, error, False
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spent = False
         for frame in frames:
             out = []
             for k in frame[key]:
-                payload = error = None
-                for _ in range(tries):
-                    try:
-                        payload, error = fetch(k), None
-                        break
-                    except Exception as e:  # the fetcher is the caller's: any failure is that row's
-                        error = f"{type(e).__name__}: {e}"
-                out.append((k, payload, error))
-            yield pd.DataFrame(out, columns=[key, "payload", "error"])
-
-    return keys.select(F.col(key).cast("string").alias(key)).mapInPandas(run, f"{key} string, payload string, error string")
+                for kind in kinds or [None]:
+                    payload, error = None, "Spent"
+                    if not spent:
+                        payload, error, spent = once((k,) if kind is None else (k, kind))
+                    out.append((k, kind, payload, error))
+            yield pd.DataFrame(out, columns=[key, "kind", "payload", "error"])
+
+    return keys.select(F.col(key).cast("string").alias(key)).mapInPandas(run, f"{key} string, kind string, payload string, error string")
+
+
+def write_sheets(rows: DataFrame, columns: list[str], where: str) -> int:
+    """The rows as workbooks of one sheet, a file a partition; the number of files."""
+    from .scratch import put
+
+    head = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+
+    def cell(value: object) -> str:
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if value is None else str(value))}</t></is></c>'
+
+    def book(table: Iterator[list]) -> bytes:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/worksheets/sheet1.xml", head + "".join(f"<row>{''.join(map(cell, row))}</row>" for row in table) + "</sheetData></worksheet>")
+        return held.getvalue()
+
+    return _one_file_each(rows.select(*columns), where, "xlsx", lambda frames: book([columns, *[list(r) for f in frames for r in f.itertuples(index=False)]]), put)
+
+
+def write_zipped(rows: DataFrame, columns: list[str], where: str, sep: str = ",", member: str = "data.csv", encode: str = "utf-8-sig") -> int:
+    """The rows as archives of one headed delimited text, a file a partition; the number of files."""
+    import csv as writer
+
+    from .scratch import put
+
+    def archive(frames: Iterator[pd.DataFrame]) -> bytes:
+        text, held = io.StringIO(), io.BytesIO()
+        out = writer.writer(text, delimiter=sep)
+        out.writerow(columns)
+        for frame in frames:
+            out.writerows(frame.itertuples(index=False))
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(member, text.getvalue().encode(encode))
+        return held.getvalue()
+
+    return _one_file_each(rows.select(*columns), where, "zip", archive, put)
+
+
+def _one_file_each(rows: DataFrame, where: str, ending: str, make: Callable[[Iterator[pd.DataFrame]], bytes], put: Callable[[str, bytes], None]) -> int:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        put(f"{where}/part-{TaskContext.get().partitionId():06d}.{ending}", make(frames))
+        yield pd.DataFrame({"n": [1]})
+
+    return rows.mapInPandas(run, "n int").count()

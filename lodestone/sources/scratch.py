@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -12,3 +12,22 @@ def folder(spark: SparkSession, label: str) -> str:
     session has no such setting, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return f"{(root or 'file:///tmp/lodestone-scratch').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in a new shared folder: cuts lineage and outlives executors."""
+    where = folder(frame.sparkSession, label)
+    frame.write.parquet(where)
+    return frame.sparkSession.read.schema(frame.schema).parquet(where)
+
+
+def put(url: str, data: bytes) -> None:
+    """Writes a file whole: under another name first, so that a task that is lost or run twice leaves no part."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(url)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, path)
