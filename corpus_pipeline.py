@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Near-copies and packing are not SQL; tests hold the stages to brute force.
+#: Near-copies and packing are not SQL; tests/llm/test_pipeline.py holds each stage to a plain version.
 ORACLE_SQL = None
 
 

@@ -67,9 +67,9 @@ def _(t):
     return t.facility.where(C("approved") & (C("is_employer") | C("is_school"))).select("code")
 
 
-@query("filter_state", "select code, state from facility where approved and lat is not null and lon is not null and state = upper('Nation_3')", "facility")
+@query("filter_state", "select code, state from facility where approved and lat is not null and lon is not null and state = upper('Nation_20')", "facility")
 def _(t):
-    return dynamic(t.facility, state="Nation_3").select("code", "state")
+    return dynamic(t.facility, state="Nation_20").select("code", "state")
 
 
 SOCS = "(select cip, list(soc order by soc) as socs from crosswalk group by cip)"
