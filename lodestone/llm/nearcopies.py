@@ -34,7 +34,7 @@ from .hashing import U, mix, runs, word_hashes
 RUN, ROUNDS, PARTS, SIMILARITY = 5, 2, 20, 0.85
 SKETCHES = ROUNDS * PARTS
 #: Words are counted in so many bins; nodes to a block; characters hashed at once.
-BINS, BLOCK, AT_ONCE = 128, 512, 2_000_000
+BINS, BLOCK, AT_ONCE = 128, 1024, 2_000_000
 _FACTORS = mix(np.arange(101, 101 + ROUNDS, dtype=np.uint64)) | U(1)
 _SALTS = mix(np.arange(501, 501 + SKETCHES, dtype=np.uint64))
 #: Bits of a hash that order the runs of a part.
@@ -220,7 +220,9 @@ def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFram
     within = F.when(F.col("main"), F.array().cast("array<struct<cross:boolean,i:bigint,j:bigint>>")).otherwise(F.transform(turns(F.col("bo")), lambda j: F.struct(F.lit(False).alias("cross"), F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))))
     whole = F.array(F.struct(F.lit(False).alias("cross"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
     dealt = rows.withColumn("deal", F.explode(F.when(F.col("all") <= BLOCK, whole).otherwise(F.concat(across, within)))).select("sketch", "deal.*", "node", "class", "main")
-    return dealt.join(nodes.select("node", "sketches"), "node").join(words, "node").groupBy("sketch", "cross", "i", "j").applyInArrow(run, "a long, b long")
+    # Words and sketches are put together once a node, so that a node's many rows meet them in one join.
+    held = words.join(nodes.select("node", "sketches"), "node")
+    return dealt.join(held, "node").groupBy("sketch", "cross", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
