@@ -50,6 +50,7 @@ MENUS = {
     "es": ("inicio", "contacto", "buscar", "siguiente", "anterior", "ayuda", "acceder", "carrito", "imprimir", "compartir", "tienda"),
 }
 MENU = tuple(w for ws in MENUS.values() for w in ws)
+BAR = "[|\u00bb\u203a\u00b7\u2022>/]"
 CRUMB, NO_LETTER = "[ \\t]*[|\u00bb\u203a\u00b7\u2022][ \\t]*|[ \\t][>/][ \\t]", "[^a-z\u00df-\u00f6\u00f8-\u00ff]+"
 SYMBOLS = "#*$%&|<>"
 #: What may close a line: sentence marks, then closing quotes, brackets and white space.
@@ -117,7 +118,8 @@ def line_stands(line: Column, r: Rules) -> Column:
 def navigation(line: Column, n: Column, r: Rules) -> Column:
     """Whether a line of n words is a breadcrumb or a row of links, short items between separators, or
     a menu: few words, most of them such as menus have."""
-    crumbs = F.size(F.split(line, CRUMB)) - 1
+    # Most lines have none of the separators, and a look for single characters is cheap.
+    crumbs = F.when(line.rlike(BAR), F.size(F.split(line, CRUMB)) - 1).otherwise(F.lit(0))
     short = (crumbs >= r.crumbs) & (n <= r.crumb_words * (crumbs + 1)) & ~line.startswith("|")
     words_ = F.filter(F.split(F.lower(line), NO_LETTER), lambda w: w != "")
     menu = let(words_, lambda w: 100 * F.size(F.filter(w, lambda x: x.isin(*MENU))) >= r.menu_share * F.size(w))
