@@ -8,8 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are what stands between these characters; the same set in Java, RE2 and Python.
+#: Whether a query's shuffle files go with it.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Words are what stands between these characters; the same set in Java, RE2 and Python.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -40,11 +41,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one is set under /tmp only where the session has none, as in tests."""
+    """spark.checkpoint.dir; one is set under /tmp only where a local session has none, as in tests. On
+    a cluster without the setting this raises: its executors share no folder of their own."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = sc.getCheckpointDir() or "file:///tmp/lodestone-checkpoints"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/lodestone-checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
