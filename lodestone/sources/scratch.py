@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; under /tmp only where the
-    session has no such setting, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(root or 'file:///tmp/lodestone-scratch').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which all executors share; under /tmp only where a
+    local session has no such setting, as in tests. On a cluster without the setting this raises."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/lodestone-scratch"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(frame: DataFrame, label: str) -> DataFrame:
