@@ -311,13 +311,13 @@ def test_repeats_go_whatever_their_share(spark, share):
     passage = prose(900, share) + "\n" + prose(901, share)
     rows = [(0, prose(0, 300) + "\n" + passage), (1, passage + "\n" + prose(1, 200 - 2 * share))]
     rows += [(2, "\n".join(prose(k, 300) if k == 0 else prose(50 + k, 100) for k in range(4))), *((10 + k, prose(50 + k, 100)) for k in range(1, 4))]
-    rows += [(20, "\n".join([prose(70, 30)] * 9)), (30, "\n".join(prose(80 + k, 30) for k in range(10))), (31, "\n".join(prose(80 + k + (k > 8) * 20, 30) for k in range(10)))]
+    rows += [(20, "\n".join([prose(70, 30)] * 9)), (30, "\n".join(prose(80 + k, 30) for k in range(10))), (31, "\n".join(prose(80 + k + (k > 7) * 20, 30) for k in range(10)))]
     out = {r.doc_id: r.text for r in lines.without_repeats(docs(spark, rows)).collect()}
     assert len(out) == len(rows)
     assert out[0] == rows[0][1] and out[1] == prose(1, 200 - 2 * share)
     assert out[2] == "\n".join(prose(50 + k, 100) for k in range(1, 4)) and [out[10 + k] for k in range(1, 4)] == ["", "", ""]
     assert out[20] == prose(70, 30)
-    assert out[31] == rows[-1][1]  # a near-copy of 30, at 0.9
+    assert out[31] == rows[-1][1]  # a near-copy of 30, at 0.8
 
 
 def test_pieces_of_many_documents_go(spark):
@@ -334,7 +334,7 @@ def test_near_copies_by_brute_force(spark):
         rows.append((10 * k, text))
         for j in range(1, 4):
             words = text.split()
-            for e in range(j * (k % 4) * 2):
+            for e in range(j * (k % 4) * 3):
                 words[(e * 17 + j) % len(words)] = f"changed{e}"
             rows.append((10 * k + j, " ".join(words)))
     rows += [(900, ""), (901, None), (902, "one two"), (903, "ONE  two")]
@@ -374,7 +374,7 @@ def test_one_of_each_by_row_not_by_id(spark):
     assert got == Counter({(3, 3, 2): 1, (5, 5, 3): 1, (5, 3, 2): 1, (7, 5, 3): 1, (None, 5, 3): 1, (None, None, 2): 2, (8, 8, 3): 1, (9, 8, 3): 2})
 
 
-@pytest.mark.parametrize(("similarity", "spread", "least"), [(0.95, "random", 0.99), (0.95, "even", 0.99), (0.9, "random", 0.99), (0.9, "even", 0.95), (nearcopies.SIMILARITY, "random", 0.92)])
+@pytest.mark.parametrize(("similarity", "spread", "least"), [(0.95, "random", 0.99), (0.95, "even", 0.99), (0.9, "random", 0.99), (0.9, "even", 0.99), (0.85, "random", 0.97), (nearcopies.SIMILARITY, "random", 0.9)])
 def test_recall_of_sketches(similarity, spread, least):
     import random
 
