@@ -185,14 +185,13 @@ def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFram
         texts = [np.frombuffer(w, "<u4") for w in t["words"].to_pylist()]
         n = np.array([len(w) for w in texts])
         bins = np.array([np.bincount(w % BINS, minlength=BINS) for w in texts])
-        sketches = np.array(t["sketches"].to_pylist(), np.int64)
-        at = int(np.argmax(sketches[0] == key[0].as_py()))
+        earlier = np.array(t["earlier"].to_pylist(), np.int64).reshape(len(n), -1)
         cross, found = key[1].as_py(), []
         for i in np.flatnonzero(main) if cross else range(len(n)):
             others = np.flatnonzero((cls != cls[i]) & ~main) if cross else i + 1 + np.flatnonzero(cls[i + 1 :] != cls[i])
             most = (1 - similarity) * np.maximum(n[i], n[others]) + 1e-9
             ok = np.abs(n[others] - n[i]) <= most
-            ok[ok] = ~((sketches[others[ok], :at] == sketches[i, :at]) & (sketches[i, :at] != 0)).any(axis=1)
+            ok[ok] = ~((earlier[others[ok]] == earlier[i]) & (earlier[i] != 0)).any(axis=1)
             others, most = others[ok], most[ok]
             d = bins[others] - bins[i]
             others = others[np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most]
@@ -221,7 +220,10 @@ def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFram
     dealt = rows.withColumn("deal", F.explode(F.when(F.col("all") <= BLOCK, whole).otherwise(F.concat(across, within)))).select("sketch", "deal.*", "node", "class", "main")
     # Words and sketches are put together once a node, so that a node's many rows meet them in one join.
     held = words.join(nodes.select("node", "sketches"), "node")
-    return dealt.join(held, "node").groupBy("sketch", "cross", "i", "j").applyInArrow(run, "a long, b long")
+    # Only the sketches before the group's own travel, which tell whether two nodes met in an earlier one.
+    earlier = F.slice("sketches", F.lit(1), F.array_position("sketches", F.col("sketch")).cast("int") - 1).alias("earlier")
+    sent = dealt.join(held, "node").select("sketch", "cross", "i", "j", "node", "class", "main", "words", earlier)
+    return sent.groupBy("sketch", "cross", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
