@@ -108,4 +108,41 @@ select doc_id, coalesce(license, dir_license) as license, coalesce(score, dir_sc
 from rows left join near on rows.dir = near.dir and k = 1
 """
 
-SQL = {"op7_license_scan": LICENSES, "op6_decontamination": DECONTAMINATION, "op8_url_filter": URLS, "op10_quality_rules": QUALITY}
+_SOUND = "embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+
+
+def _codebooks(rounds: int = 6) -> str:
+    """Rounds of k-means written out: a part is long rows of components, a codebook likewise."""
+    near = """select part, row, e as entry, d from (select part, row, e, sum((x - c) * (x - c)) as d from p join b{0} using (part, i) group by all)
+  qualify row_number() over (partition by part, row order by d, e) = 1"""
+    out = f"""
+with v as materialized (select row_number() over (order by vec_id) as row, vec_id, label, embedding from embeddings where {_SOUND}),
+p as materialized (select row, cast(i // w as int) as part, i % w as i, cast(floor(4096 * cast(embedding[i + 1] as double)) as bigint) as x
+  from (select row, embedding, len(embedding) // 8 as w, unnest(range(len(embedding))) as i from v)),
+b0 as materialized (select part, row - 1 as e, i, x as c from p where row <= 16)"""
+    for r in range(rounds):
+        out += f""",
+n{r} as materialized ({near.format(r)}),
+m{r} as (select part, entry as e, i, cast(sum(x) as hugeint) as s, cast(count(*) as hugeint) as n from p join n{r} using (part, row) group by all),
+b{r + 1} as materialized (select part, e, i, coalesce(cast((s - ((s % n) + n) % n) / n as bigint), c) as c from b{r} left join m{r} using (part, e, i))"""
+    return out + f""",
+last as materialized ({near.format(rounds)}),
+code as (select row, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from last group by row),
+of_label as (select label, cast(sum(error) as bigint) as label_error from code join v using (row) group by label),
+digest as (select sha256(string_agg(cast(c as varchar), ',' order by part, e, i)) as h from b{rounds})
+select vec_id, code, error, label_error, h as codebooks_sha256 from code join v using (row) join of_label on v.label is not distinct from of_label.label, digest
+"""
+
+
+NEGATIVES = f"""
+with v as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings where label is not null and {_SOUND}),
+s as materialized (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_dot_product(a.x, b.x) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+pos as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as int) as rank, id as negative_id, positive_score, score as negative_score
+from pos join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 3
+"""
+
+SQL = {"op11_pq_trie": _codebooks(), "op13_hard_negatives": NEGATIVES, "op7_license_scan": LICENSES, "op6_decontamination": DECONTAMINATION, "op8_url_filter": URLS, "op10_quality_rules": QUALITY}
