@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, langmodel, licenses, lines, nearcopies, negatives, oracle, packing, quality, shards, toxicity, urls
+from . import codes, decontam, langmodel, licenses, lines, nearcopies, negatives, oracle, packing, quality, shards, toxicity, urls, wrappers
 from .common import shared_dir, table
 
 #: The rules of the url query.
@@ -90,11 +90,16 @@ def op11_pq_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.coded(table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrappers.extract(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mined(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sstable_shards, op3_best_fit_packing, op4_line_dedup, op5_minhash_near_dedup, op6_decontamination, op7_license_scan, op8_url_filter, op9_toxicity, op10_quality_rules, op11_pq_trie, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sstable_shards, op3_best_fit_packing, op4_line_dedup, op5_minhash_near_dedup, op6_decontamination, op7_license_scan, op8_url_filter, op9_toxicity, op10_quality_rules, op11_pq_trie, op12_html_extraction, op13_hard_negatives)}
 ORACLE_SQL = oracle.SQL
