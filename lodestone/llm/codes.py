@@ -36,17 +36,19 @@ def coded(frame: DataFrame, vec_id: str = "vec_id", label: str = "label", vector
 
     Components become floor(4096 * x). Codebooks begin as the parts of the 16 smallest ids (null ids
     last, then by components); fewer rows give fewer entries. Rows whose vector is null or holds a null
-    or non-finite component are left out; so are those whose length is not that of the first of the
-    smallest ids, and all, if that is no multiple of 8: their parts are not defined. Repeated rows count
+    or non-finite component are left out; so are those whose length is not that of the smallest
+    id's vector (empty ones aside), and all, if that is no multiple of 8: their parts are not defined. Repeated rows count
     each. Integers are exact up to 2^62, and so are errors."""
     x = F.col(vector).cast("array<double>")
     sound = F.col(vector).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = frame.where(sound).select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.transform(x, lambda v: F.floor(v * SCALE)).alias("v"))
-    first = [r.v for r in rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(ENTRIES).collect()]
-    length = len(first[0]) if first else 0
+    ordered = F.col("vec_id").asc_nulls_last(), "v"
+    first = rows.where(F.size("v") > 0).orderBy(*ordered).select(F.size("v")).first()
+    length = first[0] if first and first[0] % PARTS == 0 else 0
     width = length // PARTS
-    rows = rows.where((F.size("v") == length) & F.lit(length > 0 and length % PARTS == 0))
-    books = trained(_distinct(rows, width), [[v[p * width : (p + 1) * width] for v in first if len(v) == length] for p in range(PARTS)]) if width else [[]] * PARTS
+    rows = rows.where((F.size("v") == length) & F.lit(length > 0))
+    begin = [r.v for r in rows.orderBy(*ordered).limit(ENTRIES).collect()]
+    books = trained(_distinct(rows, width), [[v[p * width : (p + 1) * width] for v in begin] for p in range(PARTS)]) if width else [[]] * PARTS
     digest = hashlib.sha256(",".join(str(c) for book in books for entry in book for c in entry).encode()).hexdigest()
     schema = rows.select("vec_id", "label").schema.add("code", "string").add("error", "long")
     out = written(rows.mapInArrow(lambda batches: _code(batches, books), schema), "codes")
