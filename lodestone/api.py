@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import geo, vector
 from .functions.text import tokens, variants, whole_word
-from .operators import fulltext, graph, joins, ranking
+from .operators import fulltext, graph, joins, located, ranking
 from .places import candidates, resolve_area
-from .search import Spec, first_that_answers, matching, program_search, within_results
+from .search import Spec, first_that_answers, matching, program_index, program_search, within_results
 
 C = F.col
 
@@ -24,7 +24,8 @@ class RequestError(ValueError):
 class Catalog:
     """facility (code, name, state, approved, is_employer, is_school, lat, lon, zip), program (code,
     ptype, description), zcta (zip, lat, lon), triples (s, p, o), crosswalk (cip, soc), completions
-    (unitid, cip, awlevel, awards), and (url, topic) resources if any."""
+    (unitid, cip, awlevel, awards), and (url, topic) resources if any. Where `name` tells the catalog
+    apart, its indexes are written once, and again when the files behind a table change."""
 
     facility: DataFrame
     program: DataFrame
@@ -33,6 +34,18 @@ class Catalog:
     crosswalk: DataFrame
     completions: DataFrame
     resources: DataFrame | None = None
+    name: str | None = None
+
+    def programs(self) -> fulltext.Index:
+        """The index of programs: the stored one where the catalog has a name."""
+        return program_index(self.program, self.name)
+
+    def entities(self, docs: DataFrame, key: str, fields: list[str]) -> fulltext.Index:
+        """The index of a table of entities by fields, likewise."""
+        if self.name is not None:
+            return fulltext.index_of(docs, key, fields, f"{self.name}#{key}")
+        posts = fulltext.postings(docs, key, fields)
+        return fulltext.Index(posts, fulltext.lengths(posts, key), key)
 
 
 class Engine:
@@ -49,15 +62,13 @@ class Engine:
         except (TypeError, ValueError) as e:
             raise RequestError(str(e)) from e
 
-    def search_entities(self, docs: DataFrame, key: str, fields: list[str], terms: list[str], k: int = 5) -> DataFrame:
-        """The first field all terms, then any term, then any term anywhere: tiers filled up to k."""
+    def search_entities(self, docs: DataFrame, key: str, fields: list[str], terms: list[str], k: int = 5, main: list[str] | None = None, weights: dict[str, float] | None = None, index: fulltext.Index | None = None) -> DataFrame:
+        """key, tier, score: all terms in the main fields (the first, if none are named), then any term
+        there, then any term anywhere, up to k; one reading of the index. Fields weigh one by default."""
         if not terms:
             raise RequestError("no terms")
-        k, posts = max(1, min(int(k), 50)), fulltext.postings(docs, key, fields)
-        groups = [[t] for t in terms]
-        main = posts.where(C("field") == fields[0])
-        score = lambda p, every: fulltext.bm25(p, key, groups, every=every)
-        return ranking.tiered([score(main, True), score(main, False), score(posts, False)], key, ["score"], k)
+        index = index or self.catalog.entities(docs, key, fields)
+        return fulltext.field_tiers(index, terms, main or fields[:1], weights or dict.fromkeys(fields, 1.0), max(1, min(int(k), 50)))
 
     def entity(self, iri: str) -> DataFrame:
         """An entity's facts: each predicate with its values in order."""
@@ -93,6 +104,15 @@ class Engine:
         """The k nearest, of those of an earlier result if one is given."""
         return self._within(lat, lon, miles, employer, among).orderBy("miles", "code").limit(max(1, int(k)))
 
+    def nearby_zip(self, zips: list[str], miles: float = 100.0, k: int = 8, employer: bool | None = None) -> DataFrame:
+        """zip, rank and miles with the k nearest approved facilities of each ZIP; unknown ZIPs have none."""
+        spots = self.catalog.zcta.where(C("zip").isin(*zips)).select("zip", "lat", "lon")
+        rows = self.catalog.facility.where("approved")
+        if employer is not None:
+            rows = rows.where(C("is_employer") if employer else C("is_school"))
+        rows = rows.withColumnsRenamed({"lat": "facility_lat", "lon": "facility_lon", "zip": "facility_zip"})
+        return located.geo_knn_join(spots, rows, max(1, int(k)), "zip", "code", right_lat="facility_lat", right_lon="facility_lon", most=float(miles))
+
     def facility_search(self, lat: float, lon: float, miles: float, vectors: DataFrame, query: list[float], least: float = 0.62, k: int = 20, words: list[str] = (), terms: list[str] = (), among: DataFrame | None = None) -> DataFrame:
         """Facilities in the radius by likeness of their vectors (code, embedding) to the query's and by
         the share of its words in their names; where none is like enough, schools, then the nearest of
@@ -105,13 +125,13 @@ class Engine:
         proof = None
         if terms:
             spec = Spec(list(terms))
-            proof = matching(self.catalog.program, spec, False)
+            proof = matching(self.catalog.program, spec, False, self.catalog.programs())
         found = first_that_answers([("alike", rows), ("school", bare.where("is_school")), ("nearest", bare)], proof)
         return found.drop("is_school").orderBy(C("score").desc_nulls_last(), "miles", "code").limit(max(1, int(k)))
 
     def program_search(self, terms: list[str] | str, fallback: DataFrame | None = None, **options) -> DataFrame:
         spec = Spec.of(terms, **options) if isinstance(terms, str) else Spec(terms, **options)
-        return program_search(self.catalog.program, self.catalog.facility, spec, fallback)
+        return program_search(self.catalog.program, self.catalog.facility, spec, fallback, self.catalog.programs())
 
     def local_training(self, soc: str, lat: float, lon: float, miles: float, names: DataFrame | None = None, k: int = 20) -> DataFrame:
         """Programs that lead to an occupation at institutions in the radius, with the facility whose name
@@ -177,4 +197,4 @@ class Engine:
 
 
 #: The operations that can be called by name.
-OPERATIONS = ("search_entities", "entity", "related", "resolve_location", "nearby", "facility_search", "program_search", "local_training", "crosswalk_search", "find_facility", "details", "official_resources", "stats")
+OPERATIONS = ("search_entities", "entity", "related", "resolve_location", "nearby", "nearby_zip", "facility_search", "program_search", "local_training", "crosswalk_search", "find_facility", "details", "official_resources", "stats")

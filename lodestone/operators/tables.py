@@ -13,11 +13,18 @@ def _picked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 
-def last_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of whole rows, maps aside, null told from empty: it settles what an order leaves open."""
+    return F.xxhash64(*[x for c, kind in rows.dtypes if "map<" not in kind for x in (F.col(c).isNull(), F.col(c))])
+
+
+def last_wins(rows: DataFrame, keys: list[str], seq: str, then: list[str] | None = None) -> DataFrame:
     """Upsert by replacement: of each key the row of the greatest sequence, of any type that has an
-    order. A row without a sequence wins only where its key has no other."""
+    order. A row without a sequence wins only where its key has no other. Of equal sequences the row
+    that is greatest in `then` wins, and last that of the greatest hash, so the result is defined."""
     rest = [c for c in rows.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("o"))).alias("_row")
+    order = [F.col(seq).isNotNull().alias("known"), F.col(seq).alias("o"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(then or [])], row_hash(rows).alias("h")]
+    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import fulltext, tables
 from ..sources import files
 from ..sources.scratch import folder
+from ..sources.snapshots import Store, fingerprint
 from .registry import query
 
 C = F.col
@@ -40,12 +42,52 @@ def _(t):
     return files.ntriples(t.spark, where).select("s", "p", "o")
 
 
-@query("src_fingerprint", "select * from (values ('supplier', true, false), ('part', true, false), ('documents', true, false)) v(name, same, other)")
+@query("src_fingerprint", "select * from (values ('supplier', true, true, false, true), ('part', true, true, false, true)) v(name, same, versioned, after_change, rebuilt)")
 def _(t):
-    """A marker by table: the same as long as its files are, another for another version."""
-    names = ["supplier", "part", "documents"]
-    mark = lambda n, v="1": files.fingerprint(t.spark, f"{t.sf_dir}/{n}.parquet", v)
-    return t.spark.createDataFrame([(n, mark(n) == mark(n), mark(n) == mark(n, "2")) for n in names], "name string, same boolean, other boolean")
+    """A table's mark: the same while its files are, another for another version of what is made of it,
+    another once a row has been added; and whether a store made from it was built anew for that."""
+    out = []
+    for name in ("supplier", "part"):
+        where = folder(t.spark, "marked")
+        source = getattr(t, name)
+        source.write.parquet(where)
+        seen = lambda w=where: t.spark.read.parquet(w)
+        first, again, other = fingerprint(seen()), fingerprint(seen()), fingerprint(seen(), "2")
+        store = Store(t.spark, folder(t.spark, "made"))
+        built = [store.refreshed(fingerprint(seen()), lambda: {"rows": seen().groupBy().count()}) for _ in range(2)]
+        source.limit(1).write.mode("append").parquet(where)
+        built.append(store.refreshed(fingerprint(seen()), lambda: {"rows": seen().groupBy().count()}))
+        grew = store.read().first()[0] == store.read(version=1).first()[0] + 1
+        out.append((name, first == again, first != other, first == fingerprint(seen()), built == [True, False, True] and grew))
+    return t.spark.createDataFrame(out, "name string, same boolean, versioned boolean, after_change boolean, rebuilt boolean")
+
+
+@query("snapshot_upsert_expire", """with base as (select * from cache_log),
+up as (select cache_key, created_at, accessed_at + interval 2 hour as accessed_at from cache_log where cache_key % 3 = 0 union all select cache_key + 100000, created_at, accessed_at from cache_log where cache_key % 5 = 0),
+merged as (select * from (select * from base union all select * from up) where cache_key % 7 <> 0 qualify row_number() over (partition by cache_key order by accessed_at desc) = 1)
+select cache_key, accessed_at, (select count(*) from base) as before from merged where epoch(timestamp '2024-06-01 00:00:00') - epoch(accessed_at) <= 14000000""", "cache_log")
+def _(t):
+    """A stored table through three versions: written, merged with upserts and deletes, expired; the
+    first version is still there to be read."""
+    store, log = Store(t.spark, folder(t.spark, "cache")), t.cache_log
+    store.commit({"rows": log})
+    later = log.where("cache_key % 3 = 0").withColumn("accessed_at", C("accessed_at") + F.expr("INTERVAL 2 HOURS"))
+    new = log.where("cache_key % 5 = 0").withColumn("cache_key", C("cache_key") + 100000)
+    store.merge(later.unionByName(new), ["cache_key"], "accessed_at", log.where("cache_key % 7 = 0").select("cache_key").unionByName(new.where("cache_key % 7 = 0").select("cache_key")))
+    store.changed(lambda rows: tables.unexpired(rows, F.lit("2024-06-01 00:00:00").cast("timestamp"), 14_000_000, "accessed_at"))
+    return store.read().select("cache_key", "accessed_at", F.lit(store.read(version=1).count()).alias("before"))
+
+
+@query("snapshot_index_refresh", "select doc_id from documents where regexp_matches(lower(strip_accents(text)), '(^|[^\\p{L}\\p{N}])inin') union all select doc_id + 1000000 from documents where doc_id % 10 = 0 and regexp_matches(lower(strip_accents(text)), '(^|[^\\p{L}\\p{N}])inin')")
+def _(t):
+    """The index of a table that grows: after the change the same call reads a new version."""
+    where = folder(t.spark, "texts")
+    docs = t.documents.select("doc_id", "text")
+    docs.write.parquet(where)
+    find = lambda: fulltext.index_of(t.spark.read.parquet(where), "doc_id", ["text"], where).matches([["inin"]])
+    before = find()
+    docs.where("doc_id % 10 = 0").withColumn("doc_id", C("doc_id") + 1000000).write.mode("append").parquet(where)
+    return before.unionByName(find()).distinct()
 
 
 @query("src_rest", "select cast(code as varchar) as code, kind, case when code % 7 <> 0 then code end as payload_code, case when code % 7 = 0 then 'OSError: unreachable' end as error from facility, (values ('a'), ('b')) v(kind)", "facility")

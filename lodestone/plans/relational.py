@@ -459,8 +459,5 @@ def _(t):
 @query("upsert_null_sequence", "select user_id, event_id, value from (select user_id, event_id, value, case when event_id % 3 = 0 then null else ts end as seq from events) qualify row_number() over (partition by user_id order by seq desc nulls last, event_id desc) = 1")
 def _(t):
     """A row without a sequence wins only where there is no other; sequences need not be numbers."""
-    seq = F.when(C("event_id") % 3 != 0, C("ts"))
-    rows = t.events.select("user_id", "event_id", "value", F.when(seq.isNotNull(), F.struct(seq.alias("ts"), "event_id")).alias("seq"))
-    known = tables.last_wins(rows.where("seq is not null"), ["user_id"], "seq")
-    none = tables.last_wins(rows.where("seq is null"), ["user_id"], "event_id").join(known.select("user_id"), "user_id", "left_anti")
-    return known.unionByName(none).select("user_id", "event_id", "value")
+    rows = t.events.select("user_id", "event_id", "value", F.when(C("event_id") % 3 != 0, C("ts")).alias("seq"))
+    return tables.last_wins(rows, ["user_id"], "seq", ["event_id"]).drop("seq")

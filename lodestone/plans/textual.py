@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import places
 from ..functions import geo, intent, text, vector
-from ..operators import fulltext, graph, joins, ranking
-from ..search import Spec, program_index, program_search, semantic_programs
+from ..operators import fulltext, graph, joins, located, ranking, similar
+from ..search import ORDERS, Spec, program_index, program_search, semantic_programs
 from .registry import query
 
 C = F.col
@@ -291,6 +294,11 @@ def _(t):
     return _texts(t, True).bm25([["ending"], ["shed"]]).withColumn("score", F.round("score", 6))
 
 
+def _parts(t):
+    """The index of parts by two fields."""
+    return fulltext.index_of(t.part, "p_partkey", ["p_name", "p_type"], t.sf_dir)
+
+
 def _six(t):
     """Parts as records of six text fields."""
     sellers = t.lineitem.join(t.supplier, C("l_suppkey") == C("s_suppkey")).select(C("l_partkey").alias("p_partkey"), "s_name").distinct()
@@ -308,6 +316,43 @@ def _(t):
     return fulltext.postings(_six(t), "p_partkey", SIX)
 
 
+def _leaf(i: int) -> str:
+    return f"-greatest(ln((n - d{i} + 0.5e0) / (d{i} + 0.5e0)), 1e-6) * f{i} * 2.2e0 / (f{i} + 1.2e0 * (0.25e0 + 0.75e0 * len / avgdl))"
+
+
+_WEIGHTS = {"title": 12, "alternates": 9, "description": 3, "tasks": 5, "features": 2, "sellers": 2}
+
+
+def _entity_sql(terms: list[str], k: int) -> str:
+    weight = "case field " + " ".join(f"when '{f}' then {w}e0" for f, w in _WEIGHTS.items()) + " end"
+    inside = "field in ('title', 'alternates')"
+    at = list(enumerate(terms))
+    sums = ", ".join(f"sum(case when starts_with(token, '{x}') and {inside} then tf * {weight} else 0 end) as mf{i}, sum(case when starts_with(token, '{x}') then tf * {weight} else 0 end) as f{i}" for i, x in at)
+    seen = ", ".join(f"cast(count(*) filter (where mf{i} > 0) as double) as md{i}, cast(count(*) filter (where f{i} > 0) as double) as d{i}" for i, _ in at)
+    main, every = (" + ".join(_leaf(i).replace(f"d{i}", f"{m}d{i}").replace(f"f{i}", f"{m}f{i}") for i, _ in at) for m in ("m", ""))
+    tier = f"case when {' and '.join(f'mf{i} > 0' for i, _ in at)} then 0 when {' or '.join(f'mf{i} > 0' for i, _ in at)} then 1 else 2 end"
+    posts = " union all ".join(f"select p_partkey, '{f}' as field, unnest({WORDS.format(f)}) as token from six" for f in SIX)
+    return f"""with six as {_SIX}, posts as materialized (select p_partkey, field, token, count(*) as tf from ({posts}) group by all), lens as (select p_partkey, sum(tf) as len from posts group by all),
+h as materialized (select p_partkey, {sums} from posts group by p_partkey), tot as (select count(*) as n, avg(len) as avgdl from lens), seen as (select {seen} from h),
+s as (select p_partkey, {tier} as tier, round(case when {tier} < 2 then {main} else {every} end, 6) as score from h join lens using (p_partkey), tot, seen where {' or '.join(f'f{i} > 0' for i, _ in at)})
+select p_partkey, cast(tier as int) as tier, score from s order by tier, score, p_partkey limit {k}"""
+
+
+@query("entity_search", _entity_sql(["blue", "brass"], 60))
+def _(t):
+    """Six weighted fields, three tiers, one reading of the written index: both words in title or
+    alternates, then one of them there, then one in any field."""
+    index = fulltext.index_of(_six(t), "p_partkey", SIX, f"{t.sf_dir}#six")
+    return fulltext.field_tiers(index, ["blue", "brass"], ["title", "alternates"], _WEIGHTS, 60)
+
+
+@query("entity_search_any_field", _entity_sql(["zebra", "supplier"], 30))
+def _(t):
+    """No part has the words in title or alternates: the last tier reads the other fields."""
+    index = fulltext.index_of(_six(t), "p_partkey", SIX, f"{t.sf_dir}#six")
+    return fulltext.field_tiers(index, ["zebra", "supplier"], ["title", "alternates"], _WEIGHTS, 30)
+
+
 @query("fts_prefix", f"with {POST} select distinct doc_id from posts where starts_with(token, 'inin')")
 def _(t):
     return _texts(t).matches([["inin"]])
@@ -325,11 +370,7 @@ def _(t):
 
 @query("fts_field_filter", "select p_partkey from part where regexp_matches(lower(p_name), '\\bbl')")
 def _(t):
-    return fulltext.matches(fulltext.postings(t.part, "p_partkey", ["p_name", "p_type"]).where("field = 'p_name'"), "p_partkey", [["bl"]])
-
-
-def _leaf(i: int) -> str:
-    return f"-greatest(ln((n - d{i} + 0.5e0) / (d{i} + 0.5e0)), 1e-6) * f{i} * 2.2e0 / (f{i} + 1.2e0 * (0.25e0 + 0.75e0 * len / avgdl))"
+    return fulltext.matches(_parts(t).postings.where("field = 'p_name'"), "p_partkey", [["bl"]])
 
 
 def _bm25_sql(source: str, key: str, terms: list[str], score: str, where: str, weight: str = "tf", fields: str = "true") -> str:
@@ -358,7 +399,7 @@ PARTS = f"posts as (select p_partkey, field, token, count(*) as tf from (select
 
 @query("bm25_weighted", _bm25_sql(PARTS, "p_partkey", ["bl", "brass"], f"{_leaf(0)} + {_leaf(1)}", "f0 > 0 or f1 > 0", "tf * case when field = 'p_name' then 12e0 else 2e0 end"))
 def _(t):
-    return fulltext.bm25(fulltext.postings(t.part, "p_partkey", ["p_name", "p_type"]), "p_partkey", [["bl"], ["brass"]], weights={"p_name": 12, "p_type": 2}).withColumn("score", F.round("score", 6))
+    return _parts(t).bm25([["bl"], ["brass"]], weights={"p_name": 12, "p_type": 2}).withColumn("score", F.round("score", 6))
 
 
 STOP = ["the", "and", "this"]
@@ -441,9 +482,9 @@ select code, round(2 * 3958.8e0 * asin(sqrt(least(1.0e0, pow(sin(radians(lat - y
 where 2 * 3958.8e0 * asin(sqrt(least(1.0e0, pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2)))) <= 900""", "facility zcta")
 def _(t):
     """The point comes from a one-row lookup; an unknown ZIP gives no rows."""
-    at = t.zcta.agg(F.min_by(F.struct(C("lat").alias("y"), C("lon").alias("x")), "zip").alias("at")).select("at.*")
-    d = geo.haversine(C("y"), C("x"), C("lat"), C("lon"))
-    return t.facility.join(F.broadcast(at), C("lat").between(C("y") - 14, C("y") + 14)).withColumn("miles", d).where("miles <= 900").select("code", F.round("miles", 4).alias("miles"))
+    at = t.zcta.agg(F.min_by(F.struct("lat", "lon"), "zip").alias("at")).select("at.*")
+    rows = t.facility.select("code", C("lat").alias("y"), C("lon").alias("x"))
+    return located.geo_join(at, rows, 900.0, right_lat="y", right_lon="x").select("code", F.round("miles", 4).alias("miles"))
 
 
 @query("zip_fallback", """with m as (select f.code, f.zip, z.lat, row_number() over (partition by f.code order by abs(cast(f.zip as int) - cast(z.zip as int)), z.zip) as k from facility f join zcta z on substr(f.zip, 1, 3) = substr(z.zip, 1, 3))
@@ -641,14 +682,14 @@ def crosswalk_programs(t, soc=None, at=AT, k=20):
 
 def _search_sql(first: str, second: str, miles: float, order: str) -> str:
     """The search of two terms, as SQL: BM25 of descriptions by prefix, whole words, place, then tier."""
-    return f"""with prog as (select *, code || '|' || ptype || '|' || description as pid from program), d as (select pid, unnest({T1.format("description")}) as token from prog),
-posts as (select pid, token, count(*) as tf from d group by all), lens as (select pid, sum(tf) as len from posts group by pid),
-h as (select pid, sum(case when starts_with(token, '{first}') then tf else 0 end) as f0, sum(case when starts_with(token, '{second}') then tf else 0 end) as f1 from posts group by pid),
+    return f"""with prog as materialized (select *, code || '|' || ptype || '|' || description as pid from program), d as (select pid, unnest({T1.format("description")}) as token from prog),
+posts as materialized (select pid, token, count(*) as tf from d group by all), lens as (select pid, sum(tf) as len from posts group by pid),
+h as materialized (select pid, sum(case when starts_with(token, '{first}') then tf else 0 end) as f0, sum(case when starts_with(token, '{second}') then tf else 0 end) as f1 from posts group by pid),
 tot as (select count(*) as n, avg(len) as avgdl from lens), seen as (select cast(count(*) filter (where f0 > 0) as double) as d0, cast(count(*) filter (where f1 > 0) as double) as d1 from h),
 ranked as (select pid, round({_leaf(0)} + {_leaf(1)}, 6) as rank from h join lens using (pid), tot, seen where f0 > 0 or f1 > 0),
-near as (select code, name, {MILES} as miles from facility where approved and lat is not null and {MILES} <= {miles}),
-hit as (select code, ptype, description, name, miles, rank, cast(regexp_matches(description, '(?i)\\b{first}\\w?\\b') as int) + cast(regexp_matches(description, '(?i)\\b{second}\\w?\\b') as int) as hits from prog join ranked using (pid) join near using (code)),
-pick as (select *, row_number() over (partition by code order by rank, description, ptype) as k from hit where hits = 2 or (hits = 1 and not exists (select 1 from hit where hits = 2))),
+near as materialized (select code, name, {MILES} as miles from facility where approved and lat is not null and {MILES} <= {miles}),
+hit as materialized (select code, ptype, description, name, miles, rank, cast(regexp_matches(description, '(?i)\\b{first}\\w?\\b') as int) + cast(regexp_matches(description, '(?i)\\b{second}\\w?\\b') as int) as hits from prog join ranked using (pid) join near using (code)),
+pick as (select *, row_number() over (partition by code order by rank, description, ptype) as k from (select *, max(hits) over () as most from hit where hits > 0) where hits = 2 or most < 2),
 g as (select code, name, miles, count(*) as n_programs, min(rank) as best_rank, max(hits) as hits, string_agg(description, '|' order by rank, description, ptype) filter (where k <= 6) as programs from pick group by all)
 select code, name, programs, n_programs, best_rank, hits, round(miles, 4) as miles, count(*) over () as total_facilities, cast(sum(n_programs) over () as bigint) as total_programs, greatest(0, count(*) over () - 100) as remaining from g order by {order} limit 100"""
 
@@ -669,6 +710,48 @@ def _(t):
     return _found(t, ["blue", "zebra"], 900.0)
 
 
+def _described(t):
+    """Vectors of program descriptions: those of the parts that they name."""
+    part = t.part.select(C("p_partkey").cast("bigint").alias("vec_id"), F.concat("p_name", F.lit(" "), F.lower("p_brand")).alias("description"))
+    return part.join(t.embeddings, "vec_id").select("description", "embedding")
+
+
+@query("program_search_semantic", f"""with q as (select embedding from embeddings where vec_id = 0), v as (select p_name || ' ' || lower(p_brand) as description, max(round({COS.replace('q.embedding', '(select embedding from q)')}, 6)) as score from part join embeddings e on cast(p_partkey as bigint) = e.vec_id group by 1),
+alike as (select description, score from v where score >= 0.05 order by score desc, description limit 200),
+near as (select code, name, {MILES} as miles from facility where approved and lat is not null and upper(country) = 'ASIA' and {MILES} <= 1500),
+hit as (select code, name, miles, ptype, description, -score as rank from program join alike using (description) join near using (code)),
+pick as (select *, row_number() over (partition by code order by rank, description, ptype) as k from hit),
+g as (select code, name, miles, count(*) as n_programs, min(rank) as best_rank, string_agg(description, '|' order by rank, description, ptype) filter (where k <= 6) as programs from pick group by all)
+select code, name, programs, n_programs, best_rank, round(miles, 4) as miles, count(*) over () as total_facilities, cast(sum(n_programs) over () as bigint) as total_programs from g order by g.miles, best_rank, code limit 100""", "program facility")
+def _(t):
+    """No program has a word of the request: those of like meaning are taken, by facility, within a
+    state and a radius."""
+    query = t.embeddings.where("vec_id = 0").select("embedding").first()[0]
+    spec = Spec(["quokka", "zebra"], at=AT, miles=1500.0, state="asia")
+    places_of = t.facility.withColumn("state", C("country"))
+    rows = program_search(t.program, places_of, spec, similar.most_alike(_described(t), query, 200, 0.05), program_index(t.program, t.sf_dir))
+    return rows.select("code", "name", F.array_join(C("programs.description"), "|").alias("programs"), "n_programs", "best_rank", F.round("miles", 4).alias("miles"), "total_facilities", "total_programs")
+
+
+def _orders_sql() -> str:
+    inner = _search_sql("blue", "zebra", 900.0, "g.miles, hits desc, best_rank, code").replace(" limit 100", "")
+    pick = {"distance": "miles, -hits, best_rank, code", "matches": "hits desc, miles, best_rank, code", "rank": "best_rank, miles, -hits, code", "name": "lower(name), name, code"}
+    ranked = ", ".join(f"row_number() over (order by {o}) as r_{m}" for m, o in pick.items())
+    head, _, tail = inner.rpartition("\nselect ")
+    body = tail.replace("round(miles, 4) as miles", "miles")
+    return f"{head},\na as (select *, {ranked} from (select {body}))\n" + " union all ".join(f"select '{m}' as mode, code, best_rank, hits from a where r_{m} <= 7" for m in pick)
+
+
+@query("program_search_orders", _orders_sql(), "program facility")
+def _(t):
+    """The first seven facilities of one request in each order that can be asked for."""
+    index, pages = program_index(t.program, t.sf_dir), []
+    for mode in ORDERS:
+        spec = Spec(["blue", "zebra"], at=AT, miles=900.0, size=7, order=mode)
+        pages.append(program_search(t.program, t.facility, spec, index=index).select(F.lit(mode).alias("mode"), "code", "best_rank", "hits"))
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("search_rank_distance", f"select code, round({MILES}, 4) as miles from facility where lat is not null order by {MILES}, code limit 100", "facility")
 def _(t):
     return ranking.top(t.facility.where("lat is not null").withColumn("miles", _miles(t)), ["miles", "code"], 100).select("code", F.round("miles", 4).alias("miles"))

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from .functions import geo, vector
 from .functions.text import query_terms, variants, whole_word
-from .operators import fulltext, joins
+from .operators import fulltext, joins, ranking
+from .operators.tables import row_hash
+from .sources.scratch import stored
 
 C = F.col
 #: Programs shown of a facility, facilities of a first and of a later page.
 SHOWN, FIRST_PAGE, LATER_PAGE = 6, 100, 50
+#: Orders that a request can ask for: nearest, most terms held, best rank, or name; ties as the search's own.
+ORDERS = ("distance", "matches", "rank", "name")
 
 
 @dataclass(frozen=True)
@@ -34,7 +38,8 @@ class Lexicon:
 
 @dataclass
 class Spec:
-    """A request, checked when it is made: terms, place, radius, page, lexicon, excluded markers."""
+    """A request, checked when it is made: terms, place, radius, page, lexicon, excluded markers, and the
+    order of facilities if it is not to be the search's own: one of `ORDERS`."""
 
     terms: list[str]
     at: tuple[float, float] | None = None
@@ -44,12 +49,17 @@ class Spec:
     size: int | None = None
     markers: list[str] = field(default_factory=list)
     lexicon: Lexicon = Lexicon()
+    order: str | None = None
 
     def __post_init__(self):
         if not self.terms:
             raise ValueError("a search needs a term")
         if self.miles is not None and self.at is None:
             raise ValueError("a radius needs a place")
+        if self.order is not None and self.order not in ORDERS:
+            raise ValueError(f"no such order: {self.order}")
+        if self.order == "distance" and self.at is None:
+            raise ValueError("an order by distance needs a place")
         self.offset = max(0, int(self.offset))
         self.size = (LATER_PAGE if self.offset else FIRST_PAGE) if self.size is None else max(1, int(self.size))
 
@@ -84,19 +94,21 @@ def _any(text: Column, patterns: list[str]) -> Column:
 
 
 def keyed(programs: DataFrame) -> DataFrame:
-    """Programs with their key in an index, and a type if they have none."""
+    """Programs with their key in an index, a hash of the row, and a type if they have none. Equal rows
+    are one program."""
     if "ptype" not in programs.columns:
         programs = programs.withColumn("ptype", F.lit(None).cast("string"))
-    return programs.withColumn("pid", F.concat_ws("|", C("code").cast("string"), "ptype", "description"))
+    return programs.withColumn("pid", row_hash(programs.select("code", "ptype", "description"))).dropDuplicates(["pid"])
 
 
 def program_index(programs: DataFrame, name: str | None = None, stemmed: bool = False) -> fulltext.Index:
-    """The index of descriptions; with a name it is written once and read afterwards."""
+    """The index of descriptions with the programs themselves; with a name it is written once, and again
+    when the programs' files change, and read otherwise."""
     rows = keyed(programs)
     if name is not None:
-        return fulltext.index_of(rows, "pid", ["description"], name, stemmed)
+        return fulltext.index_of(rows, "pid", ["description"], name, stemmed, rows=True)
     posts = fulltext.postings(rows, "pid", ["description"], stemmed)
-    return fulltext.Index(posts, fulltext.lengths(posts, "pid"), "pid", stemmed)
+    return fulltext.Index(posts, fulltext.lengths(posts, "pid"), "pid", stemmed, rows)
 
 
 def placed(facilities: DataFrame, spec: Spec) -> DataFrame:
@@ -114,24 +126,39 @@ def placed(facilities: DataFrame, spec: Spec) -> DataFrame:
     return rows if spec.miles is None else rows.where(C("miles") <= spec.miles)
 
 
-def matching(programs: DataFrame, spec: Spec, every: bool, index: fulltext.Index | None = None) -> DataFrame:
-    """Programs that hold a form of every term, or of any, as a word, or all terms in one word, with
-    rank (BM25, six places, less is better) and hits (terms held). The index finds candidates, and
-    patterns are tried on these. Wrong matches and rows with an excluded marker are left out."""
-    index, text, groups = index or program_index(programs), C("description"), spec.patterns()
-    ranked = index.bm25(spec.prefixes(), every=every, compound=spec.joined()).select("pid", F.round("score", 6).alias("rank"))
-    held = [_any(text, g) for g in groups]
-    good = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), held)
-    if spec.joined():
-        good = good | _any(text, [whole_word(x) for x in spec.joined()])
-    rows = keyed(programs).join(ranked, "pid").where(good).withColumn("hits", reduce(lambda a, b: a + b, [h.cast("int") for h in held]))
+def tiers(programs: DataFrame, spec: Spec, index: fulltext.Index | None = None, near: DataFrame | None = None) -> DataFrame:
+    """Programs that hold a form of every term (tier 0), or of any (1), as a word, or all terms in one
+    word (0), with rank (BM25 of the tier, six places, less is better) and hits (terms held). The index
+    finds candidates for both tiers at once, and patterns are tried on these. Wrong matches and rows
+    with an excluded marker are left out. near: facilities (code and more) that programs are to be of,
+    joined before patterns are tried."""
+    index, text = index or program_index(programs), C("description")
+    ranked = index.tiers(spec.prefixes(), compound=spec.joined())
+    held = [_any(text, g) for g in spec.patterns()]
+    joined = _any(text, [whole_word(x) for x in spec.joined()]) if spec.joined() else F.lit(False)
+    rows = index.rows if index.rows is not None else keyed(programs)
+    rows = (rows if near is None else rows.join(near, "code")).join(ranked, "pid")
+    rows = rows.withColumns({**{f"_held{i}": h for i, h in enumerate(held)}, "_joined": joined})
+    holds = [f"_held{i}" for i in range(len(held))]
+    loose = f"(loose IS NOT NULL AND ({' OR '.join([*holds, '_joined'])}))"
+    strict = f"(strict IS NOT NULL AND (({' AND '.join(holds)}) OR _joined))"
+    rows = rows.withColumn("tier", F.expr(f"CASE WHEN {strict} THEN 0 WHEN {loose} THEN 1 END")).where("tier IS NOT NULL")
+    rank = {"rank": "round(CASE WHEN tier = 0 THEN strict ELSE loose END, 6)", "hits": " + ".join(f"int({h})" for h in holds), "_loose": f"CASE WHEN {loose} THEN round(loose, 6) END"}
+    rows = rows.withColumns({c: F.expr(x) for c, x in rank.items()})
     marks = [*spec.markers, *{m for b, ms in spec.lexicon.markers.items() if any(t.startswith(b) for t in spec.terms) for m in ms}]
     for m in sorted(marks):
         rows = rows.where(~F.lower(text).contains(m.lower()))
     if spec.lexicon.wrong:
         wrong = programs.sparkSession.createDataFrame(list(spec.lexicon.wrong), programs.select("code", "description").schema)
         rows = joins.without_pairs(rows, wrong, ["code", "description"])
-    return rows
+    return rows.drop("strict", "loose", "_joined", *[f"_held{i}" for i in range(len(held))])
+
+
+def matching(programs: DataFrame, spec: Spec, every: bool, index: fulltext.Index | None = None) -> DataFrame:
+    """The programs of `tiers` with every term, or with any, as a search by that tier alone ranks them."""
+    rows = tiers(programs, spec, index)
+    rows = rows.where("tier = 0") if every else rows.withColumn("rank", C("_loose")).where(C("rank").isNotNull())
+    return rows.drop("tier", "_loose")
 
 
 def _by_facility(rows: DataFrame, spec: Spec, order: list) -> DataFrame:
@@ -139,10 +166,10 @@ def _by_facility(rows: DataFrame, spec: Spec, order: list) -> DataFrame:
     shown = F.when(F.row_number().over(Window.partitionBy("code").orderBy("rank", "description", "ptype")) <= SHOWN, F.struct("rank", "description", "ptype"))
     rows = rows.withColumn("_shown", shown)
     grouped = rows.groupBy("code", "name", "state", "miles").agg(
-        F.sort_array(F.collect_list("_shown")).alias("programs"), F.count("*").alias("n_programs"), F.min("rank").alias("best_rank"), F.max("hits").alias("hits")
+        F.sort_array(F.collect_list("_shown")).alias("programs"), F.count("*").alias("n_programs"), F.min("rank").alias("best_rank"), F.max("hits").alias("hits"), F.min("tier").alias("tier")
     )
     totals = grouped.agg(F.count("*").alias("total_facilities"), F.sum("n_programs").alias("total_programs"))
-    page = grouped.orderBy(*order, "code").offset(spec.offset).limit(spec.size).crossJoin(F.broadcast(totals))
+    page = grouped.orderBy(*order, "code").offset(spec.offset).limit(spec.size).drop("tier").crossJoin(F.broadcast(totals))
     return page.withColumn("remaining", F.greatest(F.lit(0), C("total_facilities") - spec.offset - spec.size)).withColumn("programs", F.transform("programs", lambda p: p.dropFields("rank")))
 
 
@@ -151,23 +178,24 @@ def program_search(programs: DataFrame, facilities: DataFrame, spec: Spec, fallb
     (six of them, best first), n_programs, best_rank, hits, total_facilities, total_programs, remaining.
 
     The place is settled first. Among what lies there, programs with all terms decide if there are any;
-    else, of several terms, those with any term; where neither gives a row, `fallback`, (description,
-    score) rows of like meaning, is grouped alike. With a place nearer facilities come first; then, of
-    relaxed matches, more terms, then rank or likeness."""
+    else, of several terms, those with any term: the matches of both are written once, by one plan, and
+    the least tier among them is one row. Where neither gives a row, `fallback`, (description, score) rows of like meaning, is grouped alike. With a
+    place nearer facilities come first; then, of relaxed matches, more terms, then rank or likeness;
+    or first by the request's own order."""
     near = placed(facilities, spec)
     index = index or program_index(programs)
-    distance = [C("miles")] if spec.at is not None else []
-    rows = matching(programs, spec, True, index).join(near, "code")
-    more = [(rows, [*distance, "best_rank"])]
-    if len(spec.terms) > 1:
-        more.append((matching(programs, spec, False, index).join(near, "code"), [*distance, C("hits").desc(), "best_rank"]))
-    if fallback is not None:
-        alike = fallback.select("description", (-C("score")).alias("rank"), F.lit(0).alias("hits"))
-        more.append((keyed(programs).join(alike, "description").join(near, "code"), [*distance, "best_rank"]))
-    for rows, order in more[:-1]:
-        if not rows.isEmpty():
-            return _by_facility(rows, spec, order)
-    return _by_facility(*[more[-1][0], spec, more[-1][1]])
+    found = stored(tiers(programs, spec, index, near).drop("_loose"), "matches")
+    rows = ranking.cascade(found if len(spec.terms) > 1 else found.where("tier = 0"))
+    if fallback is not None and rows.isEmpty():
+        alike = fallback.select("description", (-C("score")).alias("rank"))
+        own = index.rows if index.rows is not None else keyed(programs)
+        if spec.lexicon.wrong:
+            wrong = programs.sparkSession.createDataFrame(list(spec.lexicon.wrong), programs.select("code", "description").schema)
+            own = joins.without_pairs(own, wrong, ["code", "description"])
+        rows = own.join(alike, "description").join(near, "code").withColumns({"hits": F.lit(0), "tier": F.lit(2)})
+    order = [*([C("miles")] if spec.at is not None else []), F.when(C("tier") == 1, -C("hits")).otherwise(0), C("best_rank")]
+    first = {"distance": [C("miles")], "matches": [C("hits").desc()], "rank": [C("best_rank")], "name": [F.lower("name"), C("name")]}
+    return _by_facility(rows, spec, [*first.get(spec.order, []), *order])
 
 
 def semantic_programs(vectors: DataFrame, query: DataFrame, group: str, least: float, k: int) -> DataFrame:

@@ -46,8 +46,8 @@ def test_bm25_equals_sqlite(spark):
 
 def test_stemmed_prefix_index_over_matches_and_words_verify(spark, tmp_path):
     rows = spark.createDataFrame([(1, "Diving school"), (2, "Divemaster"), (3, "Diversity office"), (4, "Café cooking")], "id int, t string")
-    fulltext.write_index(rows, "id", ["t"], str(tmp_path))
-    posts = spark.read.parquet(f"{tmp_path}/postings")
+    index = fulltext.write_index(rows, "id", ["t"], str(tmp_path))
+    posts = index.postings
     assert {r.id for r in fulltext.matches(posts, "id", [["diving"]], stemmed=True).collect()} == {1, 2, 3}
     assert {r.id for r in fulltext.matches(posts, "id", [["cafe"]], stemmed=True).collect()} == {4}
     exact = rows.where(F.col("t").rlike(text.whole_word("diving")))
