@@ -34,29 +34,47 @@ def overlap(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, text)) / F.greatest(F.size(q), F.lit(1))
 
 
-def _index_words(text: str | None, stemmed: bool) -> list[str]:
-    from .stem import stem
+def _plain_letters() -> tuple[str, str]:
+    """Letters that are one letter and marks, and those letters, from the Unicode tables."""
+    found = {}
+    for i in range(0x80, 0x30000):
+        bare = [c for c in unicodedata.normalize("NFD", chr(i)) if not unicodedata.category(c).startswith("M")]
+        if len(bare) == 1 and bare[0] != chr(i):
+            found[chr(i)] = bare[0]
+    return "".join(found), "".join(found.values())
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", text or "") if not unicodedata.category(c).startswith("M"))
-    found = re.findall(r"[^\W_]+", plain.lower())
-    return [stem(w) for w in found] if stemmed else found
+
+MARKED, BARE = _plain_letters()
+
+
+def fold(c: Column) -> Column:
+    """Lower case without marks, of letters of any script; worked out in the JVM. Syllables of Hangul,
+    which are several letters and no marks, stay whole."""
+    return F.lower(F.translate(F.regexp_replace(c, r"\p{M}+", ""), MARKED, BARE))
+
+
+def index_tokens(c: Column) -> Column:
+    """The words that an index holds of a text: runs of letters and digits of any script, in lower case
+    and without their marks."""
+    return F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def index_words(text: str | None, stemmed: bool = False) -> list[str]:
-    """The words that an index holds of a text: runs of letters and digits of any script, in lower
-    case and without their marks, stemmed if asked."""
-    return _index_words(text, stemmed)
+    """`index_tokens` of one text, say a query, stemmed if asked."""
+    from .stem import stem
 
+    plain = "".join(c for c in (text or "") if not unicodedata.category(c).startswith("M")).translate(str.maketrans(MARKED, BARE))
+    found = re.findall(r"[^\W_]+", plain.lower())
+    return [stem(w) for w in found] if stemmed else found
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def index_tokens(texts: pd.Series) -> pd.Series:
-    """`index_words` of a column; run where an index is built, not where it is read."""
-    return texts.map(lambda t: _index_words(t, False))
 
+@F.pandas_udf(T.StringType())
+def stems(words: pd.Series) -> pd.Series:
+    """The stems of words, each worked out once a batch."""
+    from .stem import stem
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed_tokens(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _index_words(t, True))
+    known = {w: stem(w) for w in words.unique()}
+    return words.map(known)
 
 
 def number(c: Column) -> Column:
@@ -159,11 +177,21 @@ def query_terms_col(text: Column, stop: list[str], least: int = 3, allowed: list
     return F.filter(ok, keep)
 
 
-def autolink(text: Column, labels: dict[str, str]) -> Column:
-    """Each label in the text, longest first and case aside, as a link to its address."""
-    out = text
-    for k, label in enumerate(sorted(labels, key=lambda x: (-len(x), x))):
-        out = F.regexp_replace(out, rf"(?i)(?<![\w\x00])({re.escape(label)})(?![\w\x00])", f"\x00{k}\x00$1\x00")
-    for k, label in enumerate(sorted(labels, key=lambda x: (-len(x), x))):
-        out = F.regexp_replace(out, f"\x00{k}\x00([^\x00]*)\x00", f"[$1]({labels[label]})".replace("\\", "\\\\"))
-    return out
+def canonical_json(c: Column) -> Column:
+    """A JSON text in one form: keys in order at every depth, no spaces, numbers as they are short, other
+    than ASCII escaped. Null where the text is no JSON."""
+    text = F.to_json(F.try_parse_json(c))
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(ch: Column) -> Column:
+        n = F.ascii(ch)
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(F.lit(0x3FF))))
+        return F.when(n < 0x80, ch).when(n < 0x10000, unit(n)).otherwise(pair)
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(text, ""), escaped), "")).otherwise(text)
+
+
+def versioned_key(c: Column, version: str) -> Column:
+    """SHA-256 of a JSON text in its one form with the version of what answers it: equal for payloads
+    that differ in the order of keys and in spaces alone."""
+    return F.sha2(F.concat(F.lit('{"payload":'), canonical_json(c), F.lit(',"version":"' + version.replace("\\", "\\\\").replace('"', '\\"') + '"}')), 256)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
-from ..functions.text import index_tokens, stemmed_tokens
+from ..functions.text import index_tokens, stems
 from ..sources.scratch import folder
 from ..sources.snapshots import Store, fingerprint
 
@@ -46,10 +46,11 @@ class Index:
 
 def postings(docs: DataFrame, key: str, fields: list[str], stemmed: bool = False) -> DataFrame:
     """(key, field, token, tf) of the fields' words, of any script, without their marks."""
-    cut, parts = stemmed_tokens if stemmed else index_tokens, []
-    for f in fields:
-        parts.append(docs.select(F.col(key), F.lit(f).alias("field"), F.explode(cut(F.coalesce(F.col(f), F.lit("")))).alias("token")))
-    return reduce(DataFrame.unionByName, parts).groupBy(key, "field", "token").agg(F.count("*").alias("tf"))
+    parts = [docs.select(F.col(key), F.lit(f).alias("field"), F.explode(index_tokens(F.coalesce(F.col(f), F.lit("")))).alias("token")) for f in fields]
+    counted = reduce(DataFrame.unionByName, parts).groupBy(key, "field", "token").agg(F.count("*").alias("tf"))
+    if not stemmed:
+        return counted
+    return counted.withColumn("token", stems("token")).groupBy(key, "field", "token").agg(F.sum("tf").alias("tf"))
 
 
 def write_index(docs: DataFrame, key: str, fields: list[str], path: str, stemmed: bool = True, rows: bool = False, mark: str | None = None) -> Index:

@@ -5,6 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
+from ..sources.snapshots import Store, fingerprint
+
+_STORES: dict[tuple, str] = {}
+
+
+def store_of(triples: DataFrame, name: str) -> DataFrame:
+    """The triples as a stored table with a folder for each predicate, subjects in order within: a
+    pattern reads its own predicates' folders and no others. Written by the first call of the session for
+    what `name` tells apart, again when the files behind the triples change, and read otherwise; triples
+    that read no files are given back as they are."""
+    spark, mark = triples.sparkSession, fingerprint(triples)
+    if mark is None:
+        return triples
+    path = _STORES.setdefault((spark.sparkContext.applicationId, name), folder(spark, "triples"))
+    store = Store(spark, path)
+    store.refreshed(mark, lambda: {"triples": triples.select("s", "p", "o").repartitionByRange("p", "s").sortWithinPartitions("p", "s")}, by="p")
+    return store.read("triples")
+
 
 def pattern(triples: DataFrame, s: str, p: str | list[str], o: str) -> DataFrame:
     """The bindings of one pattern. '?x' is a variable; several predicates are alternatives."""

@@ -144,9 +144,13 @@ def _(t):
     return near_pairs(labels.withColumn("ts", F.array_distinct(text.tokens(C("label")))))
 
 
-@query("cache_key", "select event_id, sha256('{\"k\":\"' || event_type || '\",\"v\":' || user_id || '}') as key from events")
+@query("cache_key", """select event_id, sha256('{"payload":{"a":{"m":' || user_id || ',"z":["x",null,true]},"k":' || regexp_extract(props, '[0-9]+', 0) || ',"t":"' || event_type || '\\u00e9"},"version":"v2"}') as key from events""")
 def _(t):
-    return t.events.select("event_id", F.sha2(F.to_json(F.struct(C("event_type").alias("k"), C("user_id").alias("v"))), 256).alias("key"))
+    """Payloads written with keys in two orders, nested and spaced: one key of both, with a version."""
+    k = F.get_json_object("props", "$.k")
+    one = F.format_string('{"t" : "%sé", "k": %s,\n"a":{"z":["x", null, true], "m":%s}}', C("event_type"), k, C("user_id").cast("string"))
+    two = F.format_string('{"a":{"m":%s,"z":["x",null,true]},"k":%s,"t":"%s\\u00e9"}', C("user_id").cast("string"), k, C("event_type"))
+    return t.events.select("event_id", text.versioned_key(F.when(C("event_id") % 2 == 0, one).otherwise(two), "v2").alias("key"))
 
 
 @query("retain_note", "select conv_id, turn, case when turn % 3 <> 0 and regexp_matches(m, '(?i)\\b(i|i''m|i''d|my|me)\\b') and trim(m) not in ('a', 'My note') then list_append(['a', 'My note'], trim(m)[1:240]) else ['a', 'My note'] end as notes from (select conv_id, turn, case cast(turn % 4 as int) when 1 then ' My goal: ' || text when 2 then 'My note' else text end as m from conversations)")
@@ -157,10 +161,16 @@ def _(t):
     return t.conversations.select("conv_id", "turn", intent.retained(F.array(F.lit("a"), F.lit("My note")), m, F.lit("same"), after).alias("notes"))
 
 
-@query("autolink")
+@query("autolink", """with label as materialized (select min(w) as label from (select distinct unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) as w from benchmark) where length(w) > 4 group by lower(w)),
+piece as (select conv_id, turn, generate_subscripts(ps, 1) as i, unnest(ps) as p from (select conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') as ps from conversations))
+select conv_id, turn, string_agg(case when label is null then p else '[' || p || '](https://example.org/' || label || ')' end, '' order by i) as x from piece left join label on lower(p) = lower(label) group by conv_id, turn""")
 def _(t):
-    labels = {"the": "https://example.org/the", "the and": "https://example.org/both", "and": "https://example.org/and"}
-    return t.conversations.select("conv_id", "turn", text.autolink(C("text"), labels).alias("x"))
+    """The longer words of the benchmark, from a table, as links in all turns."""
+    from ..operators.linking import autolinked
+
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("w")).where(F.length("w") > 4)
+    labels = words.groupBy(F.lower("w")).agg(F.min("w").alias("label")).select("label", F.concat(F.lit("https://example.org/"), "label").alias("url"))
+    return autolinked(t.conversations.select("conv_id", "turn", C("text").alias("x")).where("x <> ''"), "x", labels, ["conv_id", "turn"])
 
 
 @query("group_ordered", "select o_custkey, list(o_orderkey order by o_orderdate, o_orderkey) as orders from orders group by o_custkey")
@@ -242,20 +252,46 @@ def _(t):
     return parsed(t.pages, "html").select("page_id", "page.title", F.size("page.text").alias("runs"), F.size("page.links").alias("links"))
 
 
-@query("link_classify")
+_LINK = """link as (select page_id, url as page, generate_subscripts(hs, 1) as pos, unnest(hs) as href, trim(regexp_replace(unnest(ls), '\\s+', ' ', 'g')) as label
+  from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as ls from pages))"""
+_EDGE = "(^|[^\\p{{L}}\\p{{N}}_])({})([^\\p{{L}}\\p{{N}}_]|$)"
+
+
+@query("link_classify", f"""with {_LINK}, p as (select *, case when regexp_matches(lower(label), '{_EDGE.format('la|the')}') then 2 when regexp_matches(lower(href), '{_EDGE.format('la|the')}') then 1 else 0 end as priority from link where not regexp_matches(lower(href || ' ' || label), '{_EDGE.format('login')}'))
+select page_id, href as url, label, priority from p where priority > 0 qualify row_number() over (partition by page_id order by priority desc, pos) = 1""")
+def _(t):
+    """The best link of each page by wanted and unwanted words."""
+    from ..sources.web import classified, parsed
+
+    return classified(parsed(t.pages, "html"), "page_id", ["la", "the"], ["login"])
+
+
+@query("admission_links", f"""with {_LINK}, asked as (select page_id, page, pos, case when pos % 3 = 0 then '/apply/' || page_id when pos % 3 = 1 then 'http://jobs.example.com/apply' else 'admissions' end as href, label from link),
+abs as (select *, regexp_extract(page, '^[a-z]+://[^/?#]*', 0) as site, regexp_replace(regexp_extract(page, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as dir from asked),
+target as (select page_id, pos, label, case when href[1:1] = '/' then site || href when href[1:4] = 'http' then href else site || dir || href end as url, case when pos % 3 = 0 then 2 else 1 end as priority, site from abs where pos % 3 <> 1)
+select page_id, url, case when label = '' then 'Apply' else label end as label, cast(priority as int) as priority from target qualify row_number() over (partition by page_id order by priority desc, pos) = 1""")
 def _(t):
-    from ..sources.web import admission_links, classified, parsed
+    """Links of pages made to point to admission pages of the site and to an employment page elsewhere."""
+    from ..sources.web import admission_links, parsed
 
-    links = parsed(t.pages, "html")
-    return classified(links, "page_id", ["la", "the"], ["login"]).unionByName(admission_links(links, "page_id"))
+    to = lambda x, i: F.struct(F.when((i + 1) % 3 == 0, F.concat(F.lit("/apply/"), C("page_id").cast("string"))).when((i + 1) % 3 == 1, "http://jobs.example.com/apply").otherwise("admissions").alias("url"), x["label"].alias("label"))
+    pages = parsed(t.pages, "html").withColumn("page", F.struct(F.transform("page.links", to).alias("links")))
+    return admission_links(pages, "page_id")
 
 
-@query("url_join")
+@query("url_join", f"""with {_LINK}, base as (select page_id, href, regexp_extract(page, '^[a-z]+:', 0) as scheme, regexp_extract(page, '^[a-z]+://[^/?#]*', 0) as site, regexp_extract(page, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(page, '^[a-z]+://[^?#]*(\\?[^#]*)', 1) as q from link),
+d as (select *, regexp_replace(path, '[^/]*$', '') as dir, regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') as up from base)
+select page_id, href as link, site || href as target from d union all select page_id, '..' || href, site || up || href[2:] from d union all select page_id, '.' || href || '/x/../.', site || dir || href[2:] || '/' from d
+union all select page_id, '?q=' || href, site || path || '?q=' || href from d union all select page_id, '#' || href, site || path || q || '#' || href from d union all select page_id, '//other.example/a/../b' || href, scheme || '//other.example/b' || href from d union all select page_id, '/../../' || href[2:], site || href from d""")
 def _(t):
-    from ..sources.web import joined, parsed
+    """Every link of every page in seven forms, as seen from its page; no Python but the parser's."""
+    from ..functions.urls import resolved
+    from ..sources.web import parsed
 
-    links = parsed(t.pages, "html").select("page_id", "url", F.explode("page.links").alias("l"))
-    return links.select("page_id", joined(C("url"), C("l.url")).alias("target"))
+    links = parsed(t.pages, "html").select("page_id", "url", F.explode("page.links.url").alias("l"))
+    tail = F.expr("substr(l, 2)")
+    forms = [C("l"), F.concat(F.lit(".."), "l"), F.concat(F.lit("."), "l", F.lit("/x/../.")), F.concat(F.lit("?q="), "l"), F.concat(F.lit("#"), "l"), F.concat(F.lit("//other.example/a/../b"), "l"), F.concat(F.lit("/../../"), tail)]
+    return links.select("page_id", "url", F.explode(F.array(*forms)).alias("link")).select("page_id", "link", resolved(C("url"), C("link")).alias("target"))
 
 
 @query("greedy_dedupe")
@@ -288,12 +324,6 @@ def _(t):
     return _texts(t).postings.groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
 
-@query("fts_stemmed")
-def _(t):
-    """Documents by a word's stem, from the stemmed index."""
-    return _texts(t, True).bm25([["ending"], ["shed"]]).withColumn("score", F.round("score", 6))
-
-
 def _parts(t):
     """The index of parts by two fields."""
     return fulltext.index_of(t.part, "p_partkey", ["p_name", "p_type"], t.sf_dir)
@@ -379,6 +409,12 @@ def _bm25_sql(source: str, key: str, terms: list[str], score: str, where: str, w
     return f"with {source}, h as (select {key}, {sums} from posts group by {key}), tot as (select count(*) as n, avg(len) as avgdl from lens), seen as (select {seen} from h) select {key}, round({score}, 6) as score from h join lens using ({key}), tot, seen where {where}"
 
 
+@query("fts_stemmed", _bm25_sql(POST, "doc_id", ["end", "shed"], f"{_leaf(0)} + {_leaf(1)}", "f0 > 0 or f1 > 0"))
+def _(t):
+    """Documents by a word's stem, from the stemmed index."""
+    return _texts(t, True).bm25([["ending"], ["shed"]]).withColumn("score", F.round("score", 6))
+
+
 @query("bm25", _bm25_sql(POST, "doc_id", ["inin", "whst"], f"{_leaf(0)} + {_leaf(1)}", "f0 > 0 or f1 > 0"))
 def _(t):
     return _texts(t).bm25([["inin"], ["whst"]]).withColumn("score", F.round("score", 6))
@@ -586,51 +622,56 @@ def _(t):
     return t.triples
 
 
+def _graph(t):
+    """The stored triples, by predicate."""
+    return graph.store_of(t.triples, t.sf_dir)
+
+
 @query("graph_bgp", "select a.s as supplier, b.o as region from triples a join triples b on a.o = b.s where a.p = 'inNation' and b.p = 'inRegion'", "triples")
 def _(t):
-    return graph.match(t.triples, [("?supplier", "inNation", "?n"), ("?n", "inRegion", "?region")]).select("supplier", "region")
+    return graph.match(_graph(t), [("?supplier", "inNation", "?n"), ("?n", "inRegion", "?region")]).select("supplier", "region")
 
 
 @query("graph_alt_path", "select s, o from triples where p in ('title', 'name')", "triples")
 def _(t):
-    return graph.pattern(t.triples, "?s", ["title", "name"], "?o")
+    return graph.pattern(_graph(t), "?s", ["title", "name"], "?o")
 
 
 @query("graph_filter_in", "select s from triples where p = 'inRegion' and o in ('r/1', 'r/2')", "triples")
 def _(t):
-    return graph.pattern(t.triples, "?s", "inRegion", "?o").where(C("o").isin("r/1", "r/2")).select("s")
+    return graph.pattern(_graph(t), "?s", "inRegion", "?o").where(C("o").isin("r/1", "r/2")).select("s")
 
 
 @query("graph_count", "select count(*) as n from triples where p = 'inNation'", "triples")
 def _(t):
-    return graph.pattern(t.triples, "?s", "inNation", "?o").agg(F.count("*").alias("n"))
+    return graph.pattern(_graph(t), "?s", "inNation", "?o").agg(F.count("*").alias("n"))
 
 
 @query("graph_distinct", "select distinct o from triples where p = 'inNation' order by o limit 10", "triples")
 def _(t):
-    return graph.pattern(t.triples, "?s", "inNation", "?o").select("o").distinct().orderBy("o").limit(10)
+    return graph.pattern(_graph(t), "?s", "inNation", "?o").select("o").distinct().orderBy("o").limit(10)
 
 
 @query("graph_group_max", "select b.o as region, max(t.o) as name from triples a join triples b on a.o = b.s and b.p = 'inRegion' join triples t on t.s = a.s and t.p = 'name' where a.p = 'inNation' group by b.o order by region limit 12", "triples")
 def _(t):
-    rows = graph.match(t.triples, [("?s", "inNation", "?n"), ("?n", "inRegion", "?region"), ("?s", "name", "?name")])
+    rows = graph.match(_graph(t), [("?s", "inNation", "?n"), ("?n", "inRegion", "?region"), ("?s", "name", "?name")])
     return rows.groupBy("region").agg(F.max("name").alias("name")).orderBy("region").limit(12)
 
 
 @query("graph_related", "select b.s as other, t.o as title from triples a join triples b on a.o = b.o and a.s <> b.s and b.p = 'inRegion' join triples t on t.s = b.s and t.p = 'title' where a.p = 'inRegion' and a.s = 'n/3' order by title limit 8", "triples")
 def _(t):
-    rows = graph.match(t.triples, [("n/3", "inRegion", "?r"), ("?other", "inRegion", "?r"), ("?other", "title", "?title")]).where("other <> 'n/3'")
+    rows = graph.match(_graph(t), [("n/3", "inRegion", "?r"), ("?other", "inRegion", "?r"), ("?other", "title", "?title")]).where("other <> 'n/3'")
     return rows.select("other", "title").orderBy("title").limit(8)
 
 
 @query("graph_union", "select s, o from triples where p = 'title' union all select s, o from triples where p = 'name'", "triples")
 def _(t):
-    return graph.pattern(t.triples, "?s", "title", "?o").unionByName(graph.pattern(t.triples, "?s", "name", "?o"))
+    return graph.pattern(_graph(t), "?s", "title", "?o").unionByName(graph.pattern(_graph(t), "?s", "name", "?o"))
 
 
 @query("iri_tail", "select s, regexp_extract(s, '[^/#]+$', 0) as tail from triples where p = 'title'", "triples")
 def _(t):
-    return graph.pattern(t.triples, "?s", "title", "?o").select("s", graph.tail(C("s")).alias("tail"))
+    return graph.pattern(_graph(t), "?s", "title", "?o").select("s", graph.tail(C("s")).alias("tail"))
 
 
 @query("entity_facts", """with x as (select a.o as s, t.o as name from triples a join triples t on t.s = a.s and t.p = 'name' where a.p = 'inNation'),
@@ -639,9 +680,9 @@ select n.s, n.o as title, (select list(name order by name) from x where x.s = n.
 from triples n join r on r.s = n.s where n.p = 'title'""", "triples")
 def _(t):
     """All entities' facts in one plan: each facet is a pattern, gathered by entity."""
-    own = graph.match(t.triples, [("?s", "title", "?title"), ("?s", "inRegion", "?r"), ("?r", "title", "?region")]).select("s", "title", "region")
-    sold = graph.match(t.triples, [("?x", "inNation", "?s"), ("?x", "name", "?name")]).groupBy("s").agg(F.sort_array(F.collect_list("name")).alias("suppliers"), F.count("*").alias("n_suppliers"))
-    facts = t.triples.groupBy("s").agg(F.count("*").alias("n_facts"))
+    own = graph.match(_graph(t), [("?s", "title", "?title"), ("?s", "inRegion", "?r"), ("?r", "title", "?region")]).select("s", "title", "region")
+    sold = graph.match(_graph(t), [("?x", "inNation", "?s"), ("?x", "name", "?name")]).groupBy("s").agg(F.sort_array(F.collect_list("name")).alias("suppliers"), F.count("*").alias("n_suppliers"))
+    facts = _graph(t).groupBy("s").agg(F.count("*").alias("n_facts"))
     rows = own.join(sold, "s", "left").join(facts, "s", "left")
     return rows.select("s", "title", "suppliers", F.coalesce("n_suppliers", F.lit(0).cast("bigint")).alias("n_suppliers"), F.slice("suppliers", 1, 3).alias("first_suppliers"), "region", "n_facts")
 
@@ -649,9 +690,9 @@ def _(t):
 @query("entity_by_code", "select s, o as title, regexp_extract(o, '^([^_]*)_', 1) as category, regexp_extract(o, '_(.*)$', 1) as part from triples where p = 'title' and s = (select max(s) from triples where p = 'inRegion')", "triples")
 def _(t):
     """An entity by its code, with the two sides of its category."""
-    code = graph.pattern(t.triples, "?s", "inRegion", "?r").agg(F.max("s").alias("s"))
+    code = graph.pattern(_graph(t), "?s", "inRegion", "?r").agg(F.max("s").alias("s"))
     halves = F.split("title", "_", 2)
-    return graph.pattern(t.triples, "?s", "title", "?title").join(F.broadcast(code), "s").withColumns({"category": F.get(halves, F.lit(0)), "part": F.get(halves, F.lit(1))})
+    return graph.pattern(_graph(t), "?s", "title", "?title").join(F.broadcast(code), "s").withColumns({"category": F.get(halves, F.lit(0)), "part": F.get(halves, F.lit(1))})
 
 
 @query("point_lookup_norm", "select code from facility where regexp_replace(trim(lower(name)), '[ ]+', ' ', 'g') = 'supplier#000000005'", "facility")

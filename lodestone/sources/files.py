@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import time
 import zipfile
@@ -76,18 +77,6 @@ def ntriples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("s", "p", F.when(F.col("kind") == "iri", F.col("i")).when(F.col("kind") == "blank", F.col("b")).otherwise(F.col("l")).alias("o"), "kind")
 
 
-def write_triples(triples: DataFrame, path: str) -> None:
-    """Triples by predicate, so that a pattern's predicate prunes folders."""
-    triples.write.mode("overwrite").partitionBy("p").parquet(path)
-
-
-def fingerprint(spark: SparkSession, path: str, version: str = "1") -> str:
-    """Names, sizes and times of a path's files and a version, as one hash: equal if nothing changed."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").cast("long").alias("t"))
-    row = files.agg(F.sum(F.xxhash64("path", "length", "t").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
-    return f"{version}-{row.n}-{row.h or 0}"
-
-
 def column_number(letters: str) -> int:
     """A is 0, Z is 25, AA is 26."""
     n = 0
@@ -156,13 +145,14 @@ class Spent(Exception):
     """Raised by a fetcher whose quota is used up: nothing more is asked for."""
 
 
-def fetched(keys: DataFrame, key: str, fetch: Callable[..., str | None], tries: int = 3, kinds: list[str] | None = None, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def fetched(keys: DataFrame, key: str, fetch: Callable[..., str | None], tries: int = 3, kinds: list[str] | None = None, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep, stop: str | None = None) -> DataFrame:
     """(key, kind, payload, error) by a fetcher that is passed in; what fails after some tries is a row
     with its error. With kinds it is called as fetch(key, kind), and each key has a row a kind.
 
     Between tries a task waits `wait` seconds, twice as long each time, or as long as `Later` says.
-    After `Spent` a task asks for nothing more: its other rows have the error 'Spent'. For loading a
-    table, never inside a query."""
+    After `Spent` a task asks for nothing more: its other rows have the error 'Spent'. With `stop`, the
+    address of a file in a shared folder, it puts that file there, and all tasks, which look for it
+    before they ask, end alike. For loading a table, never inside a query."""
 
     def once(args: tuple) -> tuple[str | None, str | None, bool]:
         error = None
@@ -178,20 +168,64 @@ def fetched(keys: DataFrame, key: str, fetch: Callable[..., str | None], tries:
         return None, error, False
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .scratch import put, there
+
         spent = False
         for frame in frames:
             out = []
             for k in frame[key]:
                 for kind in kinds or [None]:
                     payload, error = None, "Spent"
+                    spent = spent or (stop is not None and there(stop))
                     if not spent:
                         payload, error, spent = once((k,) if kind is None else (k, kind))
+                        if spent and stop is not None:
+                            put(stop, b"")
                     out.append((k, kind, payload, error))
             yield pd.DataFrame(out, columns=[key, "kind", "payload", "error"])
 
     return keys.select(F.col(key).cast("string").alias(key)).mapInPandas(run, f"{key} string, kind string, payload string, error string")
 
 
+def loaded(keys: DataFrame, key: str, fetch: Callable[..., str | None], where: str, kinds: list[str] | None = None, retry: int = 3, **options) -> tuple[DataFrame, bool]:
+    """A load that stops and goes on. Attempts are kept at `where`, a shared folder: a run asks only for
+    pairs of key and kind that have neither an answer nor `retry` failures there, and adds its own. Once a
+    fetcher says `Spent`, no task of the run asks for more, and what was not asked for is left to the
+    next run. Gives (key, kind, payload, error), one row a pair that was ever asked for: its answer, or
+    the last error; and whether the quota was used up."""
+    spark = keys.sparkSession
+    wanted = keys.select(F.col(key).cast("string").alias(key)).distinct().withColumn("kind", F.explode(F.array(*map(F.lit, kinds))) if kinds else F.lit(None).cast("string"))
+    schema = f"`{key}` string, kind string, payload string, error string, run bigint"
+    attempts, none = f"{where}/attempts", spark.createDataFrame([], schema)
+    from .snapshots import exists
+
+    before = spark.read.schema(schema).parquet(attempts) if exists(spark, attempts) else none
+    pair = [key, F.coalesce("kind", F.lit("")).alias("_kind")]
+    tried = before.groupBy(*pair).agg(F.count_if(F.col("error").isNull()).alias("answers"), F.count("*").alias("n"))
+    done = tried.where((F.col("answers") > 0) | (F.col("n") >= retry)).select(key, "_kind")
+    left = wanted.withColumn("_kind", F.coalesce("kind", F.lit(""))).join(done, [key, "_kind"], "left_anti")
+    run = (before.agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]) + 1
+    stop = f"{where}/stops/{run:06d}"
+    asked = fetched(left.select(F.to_json(F.struct(F.col(key).alias("k"), "kind"), {"ignoreNullFields": "false"}).alias("pair")), "pair", _Pair(fetch), stop=stop, **options)
+    pair_of = F.from_json("pair", "k string, kind string")
+    asked = asked.where("error IS NULL OR error <> 'Spent'").select(pair_of["k"].alias(key), pair_of["kind"].alias("kind"), "payload", "error", F.lit(run).cast("bigint").alias("run"))
+    asked.write.mode("append").parquet(attempts)
+    every = spark.read.schema(schema).parquet(attempts)
+    best = F.max_by(F.struct("kind", "payload", "error"), F.struct(F.col("error").isNull(), "run")).alias("b")
+    return every.groupBy(*pair).agg(best).select(key, "b.*"), exists(spark, stop)
+
+
+class _Pair:
+    """A fetcher of (key, kind) called with both as one text."""
+
+    def __init__(self, fetch: Callable[..., str | None]):
+        self.fetch = fetch
+
+    def __call__(self, pair: str) -> str | None:
+        x = json.loads(pair)
+        return self.fetch(x["k"]) if x["kind"] is None else self.fetch(x["k"], x["kind"])
+
+
 def write_sheets(rows: DataFrame, columns: list[str], where: str) -> int:
     """The rows as workbooks of one sheet, a file a partition; the number of files."""
     from .scratch import put

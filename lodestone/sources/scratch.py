@@ -36,3 +36,11 @@ def put(url: str, data: bytes) -> None:
     with store.open_output_stream(part) as out:
         out.write(data)
     store.move(part, path)
+
+
+def there(url: str) -> bool:
+    """Whether a file is there, as a task sees it."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(url)
+    return store.get_file_info(path).type != fs.FileType.NotFound

@@ -51,9 +51,10 @@ class Store:
         finally:
             stream.close()
 
-    def commit(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], fingerprint: str | None = None, after: int | None = None) -> dict:
+    def commit(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], fingerprint: str | None = None, after: int | None = None, by: str | None = None) -> dict:
         """A new version of these tables, written in order; one may be made from those before it as they
-        were written, by a function of them. after: the version that they were made from, the last if not
+        were written, by a function of them. by: a column whose values are folders, which a filter on it
+        prunes. after: the version that they were made from, the last if not
         given; where another one has followed it by then, Conflict is raised and nothing changes."""
         if after is None:
             after = (self.versions() or [0])[-1]
@@ -61,8 +62,9 @@ class Store:
         done: dict[str, DataFrame] = {}
         for name, frame in tables.items():
             frame = frame(done) if callable(frame) else frame
-            frame.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-            done[name] = self.spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+            writer = frame.write.option("compression", "zstd")
+            (writer.partitionBy(by) if by in frame.columns else writer).parquet(f"{folder}/{name}")
+            done[name] = self.spark.read.schema(frame.schema).parquet(f"{folder}/{name}").select(*frame.columns)
         made = {"version": after + 1, "folder": folder, "fingerprint": fingerprint, "tables": {n: f.schema.jsonValue() for n, f in done.items()}}
         final = self._name(f"{self.path}/manifests/{after + 1:012d}.json")
         draft = self._name(f"{self.path}/manifests/.{uuid.uuid4().hex}")
@@ -78,14 +80,15 @@ class Store:
         found = self.manifest(version)
         if found is None or table not in found["tables"]:
             raise KeyError(f"no table {table!r} in {self.path}")
-        return self.spark.read.schema(StructType.fromJson(found["tables"][table])).parquet(f"{found['folder']}/{table}")
+        schema = StructType.fromJson(found["tables"][table])
+        return self.spark.read.schema(schema).parquet(f"{found['folder']}/{table}").select(*[f"`{c}`" for c in schema.names])
 
-    def refreshed(self, fingerprint: str, build: Callable[[], dict[str, DataFrame]]) -> bool:
+    def refreshed(self, fingerprint: str, build: Callable[[], dict[str, DataFrame]], by: str | None = None) -> bool:
         """Builds a new version where the last was made from something else; whether it did."""
         last = self.manifest()
         if last is not None and last["fingerprint"] == fingerprint:
             return False
-        self.commit(build(), fingerprint, after=last["version"] if last else 0)
+        self.commit(build(), fingerprint, after=last["version"] if last else 0, by=by)
         return True
 
     def changed(self, change: Callable[[DataFrame], DataFrame], table: str = "rows") -> dict:
@@ -122,6 +125,12 @@ class Store:
         return len(gone)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def fingerprint(frame: DataFrame, *versions: str) -> str | None:
     """A mark of the files that a frame reads (names, sizes, times) and of its plan; None where it reads
     no files, so that nothing can be said. Folders are listed, no row is read."""

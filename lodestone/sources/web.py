@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.urls import resolved
 
 PAGE = "title string, text array<string>, links array<struct<url:string,label:string>>"
 
@@ -63,23 +63,14 @@ def parsed(pages: DataFrame, html: str = "html", to: str = "page") -> DataFrame:
     return pages.withColumn(to, parse(html))
 
 
-@F.pandas_udf(T.StringType())
-def joined(base: pd.Series, link: pd.Series) -> pd.Series:
-    """A link's address as seen from its page; null where either is malformed."""
-
-    def one(b, u):
-        try:
-            return urljoin(b or "", u or "")
-        except ValueError:
-            return None
-
-    return pd.Series([one(b, u) for b, u in zip(base, link, strict=True)])
+#: Whole words, of letters of any script.
+_WORD = r"(?iu)(?<![\p{{L}}\p{{N}}_])({})(?![\p{{L}}\p{{N}}_])"
 
 
 def classified(pages: DataFrame, key: str, wanted: list[str], unwanted: list[str], page: str = "page") -> DataFrame:
     """The best link of each page: labels with a wanted word come first, then addresses with one;
     those with an unwanted word are left out; ties go to the first on the page."""
-    word = lambda ws: r"(?i)\b(" + "|".join(ws) + r")\b"
+    word = lambda ws: _WORD.format("|".join(ws))
     links = pages.select(key, F.posexplode(F.col(f"{page}.links")).alias("pos", "link")).select(key, "pos", "link.*")
     p = F.when(F.col("label").rlike(word(wanted)), 2).when(F.col("url").rlike(word(wanted)), 1).otherwise(0)
     links = links.where(~F.concat_ws(" ", "url", "label").rlike(word(unwanted))).withColumn("priority", p).where("priority > 0")
@@ -91,7 +82,7 @@ def classified(pages: DataFrame, key: str, wanted: list[str], unwanted: list[str
 ADMISSION = r"(?i)\bapply\b|\bapplication\b|\badmission|\benroll|\brequest\s+info|\bget\s+started\b|\bhow\s+to\s+apply\b"
 EMPLOYMENT = r"(?i)careers?\.\w|jobs?\.\w|/careers?/|/jobs?/|/employment|human[\s-]?resources|\bhiring\b|\bjob\s+opening|\bwork(?:ing)?\s+at\b|\bstaff\s+position|\bfaculty\s+position"
 #: Words of names that tell no institution from another.
-NAME_STOP = ("academy", "and", "at", "campus", "center", "college", "community", "for", "in", "inc", "institute", "international", "llc", "main", "of", "school", "technical", "technology", "the", "training", "university")
+NAME_STOP = ("academy", "and", "at", "campus", "center", "college", "communications", "community", "for", "in", "inc", "institute", "international", "llc", "main", "of", "school", "technical", "technology", "the", "training", "university")
 
 
 def path_of(url: Column) -> Column:
@@ -116,7 +107,7 @@ def admission_links(pages: DataFrame, key: str, url: str = "url", page: str = "p
     from ..functions.text import host, same_site
 
     links = pages.select(key, F.col(url).alias("_page"), F.posexplode(F.col(f"{page}.links")).alias("pos", "link"))
-    links = links.select(key, "_page", "pos", F.col("link.label").alias("label"), joined(F.col("_page"), F.col("link.url")).alias("url"))
+    links = links.select(key, "_page", "pos", F.col("link.label").alias("label"), resolved(F.col("_page"), F.col("link.url")).alias("url"))
     text = F.concat_ws(" ", "label", "url")
     links = links.where(same_site(host(F.col("url")), host(F.col("_page"))) & (path_of(F.col("url")) != path_of(F.col("_page"))))
     links = links.where(~text.rlike(EMPLOYMENT) & text.rlike(ADMISSION)).withColumn("priority", F.when(text.rlike(r"(?i)\bapply\b"), 2).otherwise(1))

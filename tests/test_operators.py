@@ -10,12 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.api import Catalog, Engine, RequestError
-from lodestone.functions import geo, intent, text, vector
+from lodestone.functions import geo, intent, text, urls, vector
 from lodestone.functions.stem import stem
 from lodestone.operators import dedupe, fulltext, graph, joins, ranking, tables
 from lodestone.places import candidates, resolve_area
 from lodestone.search import Lexicon, Spec, matching, program_search
-from lodestone.sources import files, web
+from lodestone.sources import files, snapshots, web
 
 
 def one(spark, c):
@@ -255,8 +255,6 @@ def test_text_rules(spark):
     assert one(spark, text.json_block(F.lit("no"))) is None
     assert one(spark, text.same_site(F.lit("a.b.org"), F.lit("b.org"))) and not one(spark, text.same_site(F.lit("ab.org"), F.lit("b.org")))
     assert one(spark, text.percent_encode(F.lit("a b/é"))) == "a%20b%2F%C3%A9"
-    linked = one(spark, text.autolink(F.lit("The Data school and data"), {"data": "u1", "data school": "u2"}))
-    assert linked == "The [Data school](u2) and [data](u1)"
     assert one(spark, text.round_even(F.lit("2.5"))) == 2 and one(spark, text.number(F.lit("x"))) is None
 
 
@@ -291,8 +289,8 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="lacks"):
         files.xlsx(spark, str(tmp_path / "d.xlsx"), ["Other"]).collect()
     assert files.column_number("A") == 0 and files.column_number("AA") == 26
-    before = files.fingerprint(spark, str(tmp_path / "a.csv"))
-    assert before == files.fingerprint(spark, str(tmp_path / "a.csv")) != files.fingerprint(spark, str(tmp_path / "a.csv"), "2")
+    before = snapshots.fingerprint(spark.read.csv(str(tmp_path / "a.csv")))
+    assert before == snapshots.fingerprint(spark.read.csv(str(tmp_path / "a.csv"))) != snapshots.fingerprint(spark.read.csv(str(tmp_path / "a.csv")), "2")
     assert files.optional(spark, str(tmp_path / "none.parquet"), "a int").count() == 0
 
     def fetch(k):
@@ -329,7 +327,7 @@ def test_pages(spark):
     assert got[1].title == "My & page" and got[1].text[:2] == ["Hello", "you"] and got[2].links == []
     assert [tuple(x) for x in got[1].links] == [("/apply", "Apply now"), ("http://x.y/login", "Login apply")]
     assert [tuple(r) for r in web.classified(pages, "id", ["apply"], ["login"]).collect()] == [(1, "/apply", "Apply now", 2)]
-    assert one(spark, web.joined(F.lit("http://a.b/c/d"), F.lit("../e"))) == "http://a.b/e"
+    assert one(spark, urls.resolved(F.lit("http://a.b/c/d"), F.lit("../e"))) == "http://a.b/e"
 
 
 def test_graph_patterns_need_shared_variables(spark):
