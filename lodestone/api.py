@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,29 @@ class RequestError(ValueError):
     """A request that the engine cannot answer: an unknown name or a value out of range."""
 
 
+def coerced(value: object, kind: str) -> object:
+    """A value as what an annotation names: whole and other numbers, truth and lists from text."""
+    names = [x.strip() for x in kind.split("|")]
+    if value is None or (isinstance(value, str) and not value.strip() and "None" in names):
+        return None
+    if isinstance(value, str) and "str" not in names:
+        text = value.strip()
+        if "bool" in names and text.lower() in ("true", "false", "yes", "no", "1", "0"):
+            return text.lower() in ("true", "yes", "1")
+        if "int" in names or "float" in names:
+            number = float(text)
+            if "int" in names and "float" not in names:
+                if number != int(number):
+                    raise ValueError(f"{value!r} is no whole number")
+                return int(number)
+            return number
+        if names[0].startswith("list["):
+            return [x.strip() for x in text.split(",") if x.strip()]
+    if isinstance(value, float) and "int" in names and "float" not in names and value == int(value):
+        return int(value)
+    return value
+
+
 @dataclass
 class Catalog:
     """facility (code, name, state, approved, is_employer, is_school, lat, lon, zip), program (code,
@@ -53,12 +77,14 @@ class Engine:
         self.catalog = catalog
 
     def call(self, operation: str, **arguments) -> DataFrame:
-        """An operation by name; unknown names and arguments raise RequestError."""
+        """An operation by name; unknown names and arguments raise RequestError. Arguments that come as
+        text, or as one value for a list, are made what the operation takes; what cannot be is refused."""
         method = getattr(self, operation, None) if operation in OPERATIONS else None
         if method is None:
             raise RequestError(f"unknown operation {operation!r}")
         try:
-            return method(**arguments)
+            kinds = inspect.signature(method).parameters
+            return method(**{k: coerced(v, str(kinds[k].annotation)) if k in kinds else v for k, v in arguments.items()})
         except (TypeError, ValueError) as e:
             raise RequestError(str(e)) from e
 
@@ -155,14 +181,14 @@ class Engine:
         return rows if k is None else rows.orderBy(C("miles").asc_nulls_last(), C("awards").desc(), "unitid", "cip").limit(k)
 
     def find_facility(self, code: int | None = None, name: str | None = None) -> DataFrame:
-        """By code, or by name: equal once normal, else the best share of tokens."""
+        """By code, or by name: equal once normal, else one that holds it, or the best share of tokens."""
         f = self.catalog.facility
         if code is not None:
             return f.where(C("code") == code)
         if not name:
             raise RequestError("a code or a name is needed")
         asked = f.sparkSession.createDataFrame([(0, name)], "q int, asked string")
-        best = joins.best_token_match(asked, f, "q", "asked", "code", "name")
+        best = joins.find_name(asked, f, "q", "asked", "code", "name")
         return f.join(F.broadcast(best.select("code")), "code", "left_semi")
 
     def details(self, code: int, terms: list[str] = (), k: int = 6, mode: str = "sample", required: list[str] = ()) -> DataFrame:

@@ -1,8 +1,4 @@
-"""Joins by name, tokens, text and distance.
-
-Inequality joins meet a small side: one that is checked to be within `MOST` rows is broadcast;
-larger ones are first joined on a key that every match shares.
-"""
+"""Joins by name, tokens and text: candidates meet on a word that every match shares, the rarest of them."""
 
 from __future__ import annotations
 
@@ -11,13 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize, tokens
 
-MOST = 50_000
-
-
-def is_small(frame: DataFrame, most: int = MOST) -> bool:
-    return frame.limit(most + 1).count() <= most
-
-
 def keys_in(rows: DataFrame, values: DataFrame, on: str) -> DataFrame:
     """Rows whose key is among the values: an IN-list of any length."""
     return rows.join(values.select(on).distinct(), on, "left_semi")
@@ -69,14 +58,50 @@ def best_token_match(queries: DataFrame, names: DataFrame, query_key: str, query
     return best.select(F.col("q").alias(query_key), F.col("b.n").alias(name_key), (-F.col("b.s")).alias("score"))
 
 
+def find_name(queries: DataFrame, names: DataFrame, query_key: str, query: str, name_key: str, name: str, least: float = 0.75) -> DataFrame:
+    """(query_key, name_key, kind, score): the one name that a query means. A name equal to it, case and
+    signs aside, comes first; else of the names that hold the whole query, sharing a token with it, or
+    `least` of its tokens, that with the greatest share; then the shorter name, then the least key.
+
+    An equal name meets by itself. One that holds a query of three tokens or more has all tokens between
+    the first and the last, and one that holds two has one of both; a share is met on the rarest tokens,
+    as in `best_token_match`. So common words join nothing unless a query has no others."""
+    q = queries.select(F.col(query_key).alias("q"), normalize(F.col(query)).alias("x")).where("x <> ''").withColumn("qs", F.split("x", " "))
+    n = names.select(F.col(name_key).alias("n"), normalize(F.col(name)).alias("y"), F.length(name).alias("len")).withColumn("nt", F.array_distinct(F.split("y", " ")))
+    same = q.join(n, F.col("x") == F.col("y")).groupBy("q").agg(F.min(F.struct("len", "n")).alias("b"))
+    same = same.select("q", F.col("b.n").alias("n"), F.lit("equal").alias("kind"), F.lit(1.0).alias("score"))
+    rest = q.join(same.select("q"), "q", "left_anti")
+    held = n.select("n", F.explode("nt").alias("t"))
+    often = held.groupBy("t").agg(F.count("*").alias("often"))
+    place = F.posexplode("qs").alias("i", "t")
+    asked = rest.select("q", F.size("qs").alias("m"), place).groupBy("q", "m", "t").agg(F.max((F.col("i") > 0) & (F.col("i") < F.col("m") - 1)).alias("inner"))
+    ranked = asked.join(often, "t", "left").groupBy("q", "m").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "t", "inner"))).alias("ts"))
+    probes = F.size("ts") - F.ceil(F.size("ts") * F.lit(least) - 1e-9).cast("int") + 1
+    within = F.slice(F.filter("ts", lambda s: s["inner"]), 1, 1)
+    by_part = F.when(F.col("m") == 2, F.col("ts")).otherwise(within)
+    rare = ranked.select("q", F.explode(F.array_union(F.slice(F.col("ts.t"), F.lit(1), probes), F.transform(by_part, lambda s: s["t"]))).alias("t"))
+    pairs = rare.join(held, "t").select("q", "n").distinct().join(rest, "q").join(n, "n")
+    qt = F.array_distinct("qs")
+    scored = pairs.withColumn("score", F.size(F.array_intersect(qt, "nt")) / F.size(qt))
+    good = scored.where((F.col("score") >= least) | ((F.col("score") > 0) & F.contains("y", "x")))
+    best = good.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "len", "n", (~F.contains("y", "x")).alias("apart"))).alias("b"))
+    best = best.select("q", F.col("b.n").alias("n"), F.when(F.col("b.apart"), "share").otherwise("contained").alias("kind"), (-F.col("b.s")).alias("score"))
+    return same.unionByName(best).withColumnsRenamed({"q": query_key, "n": name_key})
+
+
 def named_in_text(rows: DataFrame, names: DataFrame, text: Column, name: str) -> DataFrame:
-    """Rows joined with the names that their text holds as whole words, each pair once a row: a name
-    is looked for where its first word is, so names may be many. A name without a word is in no text."""
+    """Rows joined with the names that their text holds as whole words, each pair once a row: a name is
+    looked for where that of its words is which fewest texts hold, so names may be many and begin with
+    common words. A name without a word, or with one that no text holds, is in no text."""
+    texts = rows.withColumn("_text", normalize(text)).withColumn("_word", F.explode(F.array_distinct(F.split("_text", " "))))
+    often = texts.groupBy("_word").agg(F.count("*").alias("_n"))
     words = F.split(normalize(F.col(name)), " ")
-    named = names.withColumns({"_words": words, "_first": F.get(words, F.lit(0))}).where(F.col("_first") != "")
-    texts = rows.withColumn("_text", normalize(text)).withColumn("_first", F.explode(F.array_distinct(F.split("_text", " "))))
-    held = F.contains(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
-    return texts.join(named, "_first").where(held).drop("_text", "_first", "_words")
+    given = names.withColumn("_said", F.array_join(words, " ")).where("_said <> ''")
+    spread = given.select("_said").distinct().withColumn("_word", F.explode(F.array_distinct(F.split("_said", " "))))
+    rarest = spread.join(often, "_word").groupBy("_said").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    named = given.join(rarest, "_said")
+    held = F.contains(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")), F.concat(F.lit(" "), F.col("_said"), F.lit(" ")))
+    return texts.join(named, "_word").where(held).drop("_text", "_word", "_said")
 
 
 def verified(leads: DataFrame, details: DataFrame, key: str, matching: Column) -> DataFrame:

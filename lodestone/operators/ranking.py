@@ -29,14 +29,6 @@ def tiered(tiers: list[DataFrame], key: str, order: list[str], k: int) -> DataFr
     return best.select(key, "b.*").orderBy("tier", *order, key).limit(k)
 
 
-def first_tier(tiers: list[DataFrame]) -> DataFrame:
-    """The first of the frames that has a row, else the last: looked at one by one."""
-    for t in tiers[:-1]:
-        if not t.isEmpty():
-            return t
-    return tiers[-1]
-
-
 def cascade(rows: DataFrame, tier: str = "tier") -> DataFrame:
     """The rows of the least tier that has any, as one plan: the least tier is one broadcast row."""
     least = rows.agg(F.min(tier).alias("_least"))
@@ -63,3 +55,13 @@ def pinned(rows: DataFrame, keys: list[str], required: str, score: str, position
     """Per group the required rows, then the best others, k at most."""
     w = Window.partitionBy(*keys).orderBy(F.col(required).desc(), F.col(score).desc(), position)
     return rows.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= k)
+
+
+def grouped_with_rest(rows: DataFrame, group: str, order: list[str], item: Column, keys: list[str] = ()) -> DataFrame:
+    """Items by group in order, groups in the order of their first item, and those without a group (null
+    or empty) each by itself after all groups: position (from 1), group, items. By `keys` if given."""
+    whole = F.nullif(F.trim(F.col(group)), F.lit(""))
+    alone = F.when(whole.isNull(), F.struct(*order))
+    gathered = rows.groupBy(*keys, whole.alias("_group"), alone.alias("_alone")).agg(F.min(F.struct(*order)).alias("_first"), F.sort_array(F.collect_list(F.struct(*order, item.alias("_item")))).alias("_items"))
+    place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_group").isNull(), "_first"))
+    return gathered.select(*keys, place.alias("position"), F.col("_group").alias(group), F.transform("_items", lambda x: x["_item"]).alias("items"))

@@ -245,6 +245,39 @@ def _(t):
     return joins.best_token_match(t.part.where(C("p_partkey") % 20 == 0), names, "p_partkey", "p_name", "description", "description")
 
 
+@query(
+    "find_name",
+    """with q as (select p_partkey as q, case p_partkey % 4 when 0 then upper(p_name) when 1 then p_name || ' ' || lower(p_brand) when 2 then p_name || ' ' || left(lower(p_brand), 8) else p_name || ' unheard' end as x from part),
+qn as (select q, x, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) as x2 from q), n as (select description as n, length(description) as l, trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')) as y from (select distinct description from program)),
+s as (select q, n, l, x2 = y as same, contains(y, x2) as inside, cast(len(list_intersect(list_distinct(string_split(x2, ' ')), list_distinct(string_split(y, ' ')))) as double) / len(list_distinct(string_split(x2, ' '))) as score from qn, n),
+k as (select *, row_number() over (partition by q order by same desc, score desc, l, n) as k from s where same or score >= 0.75 or (inside and score > 0))
+select q as p_partkey, n as description, case when same then 'equal' when inside then 'contained' else 'share' end as kind, score from k where k = 1""",
+    "program",
+)
+def _(t):
+    """Every part's name in four forms, as asked by somebody: in capitals, whole, cut short, and with a
+    word too many; against all descriptions."""
+    form = F.when(C("p_partkey") % 4 == 0, F.upper("p_name")).when(C("p_partkey") % 4 == 1, F.concat_ws(" ", "p_name", F.lower("p_brand"))).when(C("p_partkey") % 4 == 2, F.concat_ws(" ", "p_name", F.left(F.lower("p_brand"), F.lit(8))))
+    asked = t.part.select("p_partkey", form.otherwise(F.concat("p_name", F.lit(" unheard"))).alias("x"))
+    return joins.find_name(asked, t.program.select("description").distinct(), "p_partkey", "x", "description", "description")
+
+
+@query("join_name_equal", "select s_suppkey as code, n.s_suppkey as other, 'equal' as kind from supplier s join (select s_suppkey, s_name from supplier) n using (s_suppkey)")
+def _(t):
+    """Names written in two ways meet as equals."""
+    other = t.supplier.select(C("s_suppkey").alias("other"), F.lower(F.replace("s_name", F.lit("#"), F.lit(" - "))).alias("name"))
+    return joins.name_match(t.supplier.select(C("s_suppkey").alias("code"), "s_name"), other, "code", "s_name", "other", "name")
+
+
+@query("group_resources", """with r as (select page_id, url, case when page_id % 3 = 0 then '' when page_id % 3 = 1 then null else regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) end as host from pages),
+g as (select host, min(page_id) as first, list(url order by page_id) as items from r where host <> '' group by host union all select null, page_id, [url] from r where coalesce(host, '') = '')
+select cast(row_number() over (order by host is null, first) as int) as position, host, items from g""")
+def _(t):
+    """Addresses by group in the order of first appearance, then those without a group, one by one."""
+    host = F.when(C("page_id") % 3 == 0, "").when(C("page_id") % 3 == 2, F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
+    return ranking.grouped_with_rest(t.pages.select("page_id", "url", host.alias("host")), "host", ["page_id"], C("url"))
+
+
 @query("text_contains_join", "select conv_id, turn, word from conversations, (values ('the'), ('and'), ('this')) v(word) where contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || word || ' ')")
 def _(t):
     words = t.spark.createDataFrame([("the",), ("and",), ("this",)], "word string")

@@ -150,3 +150,44 @@ def test_an_index_of_programs_holds_them(spark, catalog):
     p, _ = catalog
     index = program_index(p)
     assert index.rows.count() == 7 and index.lengths.count() == 7
+
+
+def test_arguments_are_coerced(spark):
+    from lodestone.api import RequestError, coerced
+
+    assert coerced("37.5", "float") == 37.5 and coerced(" 7 ", "int") == 7 and coerced("7", "int | None") == 7 and coerced("", "int | None") is None
+    assert coerced("yes", "bool | None") is True and coerced("a, b", "list[str]") == ["a", "b"] and coerced("a, b", "list[str] | str") == "a, b" and coerced(3.0, "int") == 3
+    from lodestone.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    e = Engine(Catalog(t.facility, t.program, t.zcta, t.triples, t.crosswalk, t.completions))
+    assert e.call("nearby", lat="37.0", lon="-95", miles="5000", k="3").count() == 3
+    for wrong in ({"lat": "north", "lon": 1}, {"lat": 1.0, "lon": 2.0, "k": "2.5"}):
+        with pytest.raises(RequestError):
+            e.call("nearby", **wrong)
+
+
+def test_find_name_by_all_rules(spark):
+    import random
+    import re
+
+    from lodestone.operators import joins
+
+    r = random.Random(4)
+    words = ["the", "tech", "technical", "state", "art", "arts", "college", "of", "north"]
+    names = [" ".join(r.choice(words) for _ in range(r.randint(1, 5))) for _ in range(60)] + ["", None]
+    asked = [" ".join(r.choice([*words, "col", "echnical"]) for _ in range(r.randint(1, 5))) for _ in range(60)] + ["", None, "THE-ARTS"]
+    norm = lambda x: " ".join(re.findall("[a-z0-9]+", (x or "").lower()))
+    want = {}
+    for i, q in enumerate(asked):
+        x, best = norm(q), None
+        for j, name in enumerate(names):
+            y = norm(name)
+            share = len(set(x.split()) & set(y.split())) / max(1, len(set(x.split())))
+            if x and (x == y or share >= 0.75 or (share > 0 and x in y)):
+                best = min(filter(None, [best, (x != y, -share, len(name), j)]))
+        if best:
+            want[i] = (best[3], -best[1])
+    a = spark.createDataFrame(list(enumerate(asked)), "q int, x string")
+    b = spark.createDataFrame(list(enumerate(names)), "n int, y string")
+    assert {r.q: (r.n, r.score) for r in joins.find_name(a, b, "q", "x", "n", "y").collect()} == want
