@@ -35,6 +35,21 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def under(frame: DataFrame, id: str) -> DataFrame:
+    """The frame with its column `id` under the caller's name; a result column that has that name, case
+    aside, gets an underscore before its own."""
+    out, taken = [F.col("id").alias(id)], {id.lower(), *(c.lower() for c in frame.columns if c != "id" and c.lower() != id.lower())}
+    for c in frame.columns:
+        if c == "id":
+            continue
+        name = c
+        while name.lower() == id.lower() or (name != c and name.lower() in taken):
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(F.col(f"`{c}`").alias(name))
+    return frame.select(*out)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the shared checkpoint folder, which every executor reaches."""
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"

@@ -131,8 +131,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
     )
 
 
-def without(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """The documents, in their own columns, that overlap with no benchmark item."""
-    (leaked,) = fresh(docs, "leaked_id")
-    bad = overlaps(docs, benchmark, id=id, **options).select(F.col("doc_id").alias(leaked)).distinct()
-    return docs.join(bad, F.col(f"`{id}`").eqNullSafe(F.col(leaked)), "left_anti")
+def without(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, in their own columns, that overlap with no benchmark item. Each row goes or stays by
+    its own text: rows that share an id with a leaking one, or have none like it, are not drawn along."""
+    own, leaked = fresh(docs, "own_key", "leaked_key")
+    key = F.xxhash64(F.col(f"`{id}`").isNull(), F.col(f"`{id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    keyed = docs.withColumn(own, key)
+    bad = overlaps(keyed, benchmark, id=own, text=text, **options).select(F.col("doc_id").alias(leaked)).distinct()
+    return keyed.join(bad, F.col(own) == F.col(leaked), "left_anti").drop(own)

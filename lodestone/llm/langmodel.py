@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import tidy, under, written
 from .hashing import U, mix, pack, pack_counts, runs, unpack, unpack_counts, word_hashes
 
 CHUNK_CHARS, BUCKET_CHARS = 8_000_000, 6_000_000
@@ -183,7 +183,7 @@ def fit_and_score(docs: DataFrame, train: Column, id: str = "doc_id", text: str
     """Scores of all texts under the model of the rows where `train` holds, and the model.
 
     Columns: `id`, n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-one
-    unigrams), score: log10 probability of the text and its end. A null text counts as empty and has
+    unigrams), score: log10 probability of the text and its end; one named like `id` has an underscore before. A null text counts as empty and has
     the end token; rows that share an id or have none are scored each. Without a training row every
     token has the uniform chance. An empty table gives no rows.
     EM's held-out rows are training rows whose text hashes to `held_tenths` tenths, so copies of a
@@ -252,4 +252,4 @@ def fit_and_score(docs: DataFrame, train: Column, id: str = "doc_id", text: str
         rows.select("chunk", "id", "text").groupBy("chunk").cogroup(asked.select("chunk", "bucket", "n", "train").groupBy("chunk"))
         .applyInArrow(score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     )
-    return scores.withColumn("train_tokens", F.lit(tokens).cast("long")).withColumnRenamed("id", id), model
+    return under(scores.withColumn("train_tokens", F.lit(tokens).cast("long")), id), model

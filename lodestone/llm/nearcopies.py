@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, under, written
 from .components import components
 from .editing import edit_distance
 from .hashing import U, mix, runs, word_hashes
@@ -231,11 +231,12 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
 
     Texts are compared by their words, A-Z lower-cased. Texts of equal words are of one class; so
     are all null, empty and blank texts. Rows that share an id are classed each by its text; null ids
-    are not the least unless a class has no other. An empty table gives no rows.
+    are not the least unless a class has no other. An empty table gives no rows. A result column named
+    like `id` has an underscore before its name.
     A text's node is a 64-bit hash of its words: of n different texts about n^2 / 2^65 pairs agree.
     """
     rows = _classed(docs, id, text, similarity)
-    return rows.select(F.col("id").alias(id), F.col("first.id").alias("class_id"), "class_size", "n_words")
+    return under(rows.select("id", F.col("first.id").alias("class_id"), "class_size", "n_words"), id)
 
 
 def _classed(docs: DataFrame, id: str, text: str, similarity: float) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import under
+
 #: Labelled texts that the fit sees at most and their characters in all, features that carry weights,
 #: a feature's least documents.
 FIT_DOCS, FIT_CHARS, VOCABULARY, LEAST_DOCS = 12_000, 60_000_000, 3_000, 5
@@ -162,8 +164,8 @@ def loss(w: np.ndarray, b: float, y: np.ndarray, rest: np.ndarray, doc: np.ndarr
 def scored(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text", at_least: float = 0.5) -> DataFrame:
     """`id`, score (0 to 1), and spans: start, end and score of the offending sentences, in order.
 
-    A null or empty text has no sentence and scores 0. Rows that share an id are scored each.
-    The model is a few thousand weights and goes with the tasks.
+    A null or empty text has no sentence and scores 0. Rows that share an id are scored each. A result
+    column named like `id` has an underscore before its name. The model is a few thousand weights and goes with the tasks.
     """
     vocabulary, weights, bias = {f: k for k, f in enumerate(model["weights"])}, list(model["weights"].values()), model["bias"]
 
@@ -193,4 +195,4 @@ def scored(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[id].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, score double, spans array<struct<start:int,end:int,score:double>>")
-    return out.withColumnRenamed("id", id)
+    return under(out, id)

@@ -54,6 +54,23 @@ def test_stages_take_odd_and_empty_tables(spark, odd, stage):
     assert f(spark, empty(spark), "").count() == 0
 
 
+def test_decontamination_takes_rows_by_themselves(spark):
+    """A leaking row draws along no clean one of its id, nor the rows that have no id as it has none."""
+    leak, clean = prose(5, 60), [prose(20 + i, 50) for i in range(4)]
+    rows = [(1, leak), (1, clean[0]), (None, leak), (None, clean[1]), (None, None), (2, clean[2]), (2, clean[2]), (3, f"{clean[3]} {leak}"), (3, clean[3])]
+    out = decontam.without(docs(spark, rows).withColumn("own_key", F.lit(1)), spark.createDataFrame([(9, leak)], BENCH))
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, clean[0]), (0, clean[1]), (0, ""), (2, clean[2]), (2, clean[2]), (3, clean[3])])
+
+
+@pytest.mark.parametrize("name", ["score", "class_id", "n_words", "SCORE", "id"])
+def test_an_id_named_like_a_result(spark, name):
+    rows = docs(spark, [(1, prose(1, 30)), (2, prose(1, 30)), (None, None)]).withColumnRenamed("doc_id", name)
+    every = [nearcopies.classes(rows, id=name), langmodel.fit_and_score(rows, F.lit(True), id=name)[0], toxicity.scored(rows, {"weights": {"alpha": 1.0}, "bias": -2.0}, id=name)]
+    for out in every:
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and out.columns[0] == name
+        assert sorted((r[name] is None, r[name] or 0) for r in out.select(f"`{name}`").collect()) == [(False, 1), (False, 2), (True, 0)]
+
+
 def test_decontamination_takes_odd_tables(spark, odd):
     bench = spark.createDataFrame([(1, prose(5, 60)), (2, None), (3, ""), (4, "two words"), (5, prose(5, 60))], BENCH)
     out = decontam.without(odd, bench)
