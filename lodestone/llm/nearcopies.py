@@ -18,6 +18,7 @@ two classes one for the rest of the task. No group is dropped or capped, and non
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,6 +176,11 @@ def _lengths_fit(similarity: float):
     return F.abs(n - m) <= (1 - similarity) * F.greatest(n, m) + 1e-9
 
 
+def _zone(similarity: float) -> float:
+    """The width of a zone of lengths, in logarithms: a little over the most that two alike differ by."""
+    return 1.000001 * min(50.0, max(1e-3, -math.log(max(similarity, 1e-9))))
+
+
 def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join classes which share a group still: every pair of a group whose classes
     differ is tried in the first sketch that the two share, until a link makes their classes one, so
@@ -203,9 +209,15 @@ def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFram
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = shared.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    # Lengths of a link differ by a factor at most, so that they lie in one zone of lengths or in two
+    # neighbours: a node none of whose zones, in its group, holds another class has no one to be tried with.
+    rows = rows.withColumn("zone", F.floor(F.log("n") / _zone(similarity)))
+    zones = rows.groupBy("sketch", "zone").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    reach = zones.withColumn("zone", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1))).groupBy("sketch", "zone").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = written(rows.join(reach.where("lo <> hi").select("sketch", "zone"), ["sketch", "zone"]).select("sketch", "least", "node", "class"), "near_lengths")
     mixed = (
         rows.groupBy("sketch")
-        .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.when(F.col("node") == F.col("least"), F.col("class"))).alias("of"), F.count("*").alias("all"))
+        .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.coalesce(F.max(F.when(F.col("node") == F.col("least"), F.col("class"))), F.min("class")).alias("of"), F.count("*").alias("all"))
         .where("lo <> hi")
     )
     sides = rows.join(mixed, "sketch").withColumn("main", F.col("class") == F.col("of"))
