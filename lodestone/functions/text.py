@@ -56,7 +56,7 @@ def fold(c: Column) -> Column:
 def index_tokens(c: Column) -> Column:
     """The words that an index holds of a text: runs of letters and digits of any script, in lower case
     and without their marks."""
-    return F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def index_words(text: str | None, stemmed: bool = False) -> list[str]:
