@@ -10,8 +10,9 @@ sketch; edits laid out so that no five words in a row stay, as every fifth word,
 
 How the work is dealt. Texts of equal words are one node. In a group of one sketch every node is
 aligned with the group's least node first, which settles a group of copies in as many alignments as
-it has nodes. Pairs of a group that still lie in different classes are then tried, all of them: the
-group's nodes are cut into blocks and pairs of blocks are tasks' work; a bound on the edits from word
+it has nodes. Pairs of a group that still lie in different classes are then tried, all of them: a large
+group's nodes are dealt by zones of length, as alike texts lie in one zone or in two neighbours, and a
+zone of more nodes than a block holds is cut into blocks whose pairs are tasks' work; a bound on the edits from word
 counts (no pair of the wanted similarity fails it) leaves few pairs to align, and a link found makes
 two classes one for the rest of the task. No group is dropped or capped, and none is one task's.
 """
@@ -187,14 +188,14 @@ def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFram
     a task gives out fewer links than it has nodes."""
 
     def run(key, t):
-        cls, main, node = t["class"].to_numpy().copy(), t["main"].to_numpy(zero_copy_only=False), t["node"].to_numpy()
+        cls, core, node = t["class"].to_numpy().copy(), t["core"].to_numpy(zero_copy_only=False), t["node"].to_numpy()
         texts = [np.frombuffer(w, "<u4") for w in t["words"].to_pylist()]
         n = np.array([len(w) for w in texts])
         bins = np.array([np.bincount(w % BINS, minlength=BINS) for w in texts])
         earlier = np.array(t["earlier"].to_pylist(), np.int64).reshape(len(n), -1)
-        cross, found = key[1].as_py(), []
-        for i in np.flatnonzero(main) if cross else range(len(n)):
-            others = np.flatnonzero((cls != cls[i]) & ~main) if cross else i + 1 + np.flatnonzero(cls[i + 1 :] != cls[i])
+        cross, found, place = key[2].as_py(), [], np.arange(len(n))
+        for i in np.flatnonzero(core):
+            others = np.flatnonzero((cls != cls[i]) & (~core if cross else ~core | (place > i)))
             most = (1 - similarity) * np.maximum(n[i], n[others]) + 1e-9
             ok = np.abs(n[others] - n[i]) <= most
             ok[ok] = ~((earlier[others[ok]] == earlier[i]) & (earlier[i] != 0)).any(axis=1)
@@ -214,28 +215,34 @@ def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFram
     rows = rows.withColumn("zone", F.floor(F.log("n") / _zone(similarity)))
     zones = rows.groupBy("sketch", "zone").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
     reach = zones.withColumn("zone", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1))).groupBy("sketch", "zone").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    rows = written(rows.join(reach.where("lo <> hi").select("sketch", "zone"), ["sketch", "zone"]).select("sketch", "least", "node", "class"), "near_lengths")
-    mixed = (
-        rows.groupBy("sketch")
-        .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.coalesce(F.max(F.when(F.col("node") == F.col("least"), F.col("class"))), F.min("class")).alias("of"), F.count("*").alias("all"))
-        .where("lo <> hi")
+    rows = written(rows.join(reach.where("lo <> hi").select("sketch", "zone"), ["sketch", "zone"]).select("sketch", "zone", "node", "class"), "near_lengths")
+    sizes = rows.groupBy("sketch", "zone").agg(F.count("*").alias("own"))
+    beside = lambda step, name: sizes.select("sketch", (F.col("zone") - step).alias("zone"), F.col("own").alias(name))
+    sizes = sizes.join(beside(-1, "before"), ["sketch", "zone"], "left").join(beside(1, "after"), ["sketch", "zone"], "left").join(sizes.groupBy("sketch").agg(F.sum("own").alias("all")), "sketch")
+    rows = rows.join(sizes.fillna(0, ["before", "after"]), ["sketch", "zone"])
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+    mine = F.pmod(F.xxhash64("node"), blocks("own"))
+    turns = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    to = lambda zone, cross, i, j, core: F.struct(zone.alias("zone"), cross.alias("cross"), i.alias("i"), j.alias("j"), core.alias("core"))
+    yes, no, nil = F.lit(True), F.lit(False), F.lit(0).cast("long")
+    zone = F.col("zone")
+    # In a zone's own task its nodes meet one another and those of the zone before; a zone that with
+    # the one before has more than a block is cut into blocks, and pairs of them are tasks.
+    home = F.concat(
+        F.transform(turns(blocks("own")), lambda j: to(zone, j != mine, F.least(mine, j), F.greatest(mine, j), mine <= j)),
+        F.transform(turns(blocks("before")), lambda j: to(zone, yes, -j - 1, mine, yes)),
     )
-    sides = rows.join(mixed, "sketch").withColumn("main", F.col("class") == F.col("of"))
-    sides = written(sides.select("sketch", "node", "class", "all", "main"), "sides")
-    counts = sides.groupBy("sketch").agg(F.count_if("main").alias("m"), F.count_if(~F.col("main")).alias("o"))
-    rows = sides.join(counts, "sketch").withColumns({"bm": F.ceil(F.col("m") / BLOCK), "bo": F.ceil(F.col("o") / BLOCK)})
-    i = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("bm")).otherwise(F.col("bo")))
-    turns = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    across = F.transform(turns(F.when(F.col("main"), F.col("bo")).otherwise(F.col("bm"))), lambda j: F.struct(F.lit(True).alias("cross"), F.when(F.col("main"), i).otherwise(j).alias("i"), F.when(F.col("main"), j).otherwise(i).alias("j")))
-    within = F.when(F.col("main"), F.array().cast("array<struct<cross:boolean,i:bigint,j:bigint>>")).otherwise(F.transform(turns(F.col("bo")), lambda j: F.struct(F.lit(False).alias("cross"), F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))))
-    whole = F.array(F.struct(F.lit(False).alias("cross"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    dealt = rows.withColumn("deal", F.explode(F.when(F.col("all") <= BLOCK, whole).otherwise(F.concat(across, within)))).select("sketch", "deal.*", "node", "class", "main")
+    home = F.when(F.col("own") + F.col("before") <= BLOCK, F.array(to(zone, no, nil, nil, yes))).otherwise(home)
+    next_ = F.when(F.col("own") + F.col("after") <= BLOCK, F.array(to(zone + 1, no, nil, nil, no))).otherwise(F.transform(turns(blocks("after")), lambda j: to(zone + 1, yes, -mine - 1, j, no)))
+    next_ = F.when(F.col("after") > 0, next_).otherwise(F.slice(next_, 1, 0))
+    whole = F.array(to(F.lit(-1).cast("long"), no, nil, nil, yes))
+    dealt = rows.withColumn("deal", F.explode(F.when(F.col("all") <= BLOCK, whole).otherwise(F.concat(home, next_)))).select("sketch", "deal.*", "node", "class")
     # Words and sketches are put together once a node, so that a node's many rows meet them in one join.
     held = words.join(nodes.select("node", "sketches"), "node")
     # Only the sketches before the group's own travel, which tell whether two nodes met in an earlier one.
     earlier = F.slice("sketches", F.lit(1), F.array_position("sketches", F.col("sketch")).cast("int") - 1).alias("earlier")
-    sent = dealt.join(held, "node").select("sketch", "cross", "i", "j", "node", "class", "main", "words", earlier)
-    return sent.groupBy("sketch", "cross", "i", "j").applyInArrow(run, "a long, b long")
+    sent = dealt.join(held, "node").select("sketch", "zone", "cross", "i", "j", "node", "class", "core", "words", earlier)
+    return sent.groupBy("sketch", "zone", "cross", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -622,3 +622,21 @@ def test_repeat_words_by_brute_force(spark):
         want.append(len({i + j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(5)}))
     got = quality.judged(docs(spark, list(enumerate(texts)))).select("doc_id", "quality.n_repeat_words").collect()
     assert [r.n_repeat_words for r in sorted(got)] == want
+
+
+def test_near_copies_in_groups_larger_than_a_block(spark, monkeypatch):
+    """Many different texts of many lengths around one passage, pairs of near-copies among them: the
+    classes are the same however small the blocks are."""
+    passage, rows = prose(900, 40, 100), []
+    for i in range(24):
+        words = f"{prose(1000 + i, 12 + 7 * (i % 8), 100)} {passage} {prose(2000 + i, 10, 100)}".split()
+        rows.append((2 * i, " ".join(words)))
+        if i % 3 == 0:
+            words[5] = words[-5] = "changed"
+            rows.append((2 * i + 1, " ".join(words)))
+    frame = docs(spark, rows)
+    want = {r.doc_id: r.class_id for r in nearcopies.classes(frame).collect()}
+    assert all(want[2 * i + 1] == want[2 * i] for i in range(0, 24, 3))
+    for block in (3, 7):
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        assert {r.doc_id: r.class_id for r in nearcopies.classes(frame).collect()} == want
