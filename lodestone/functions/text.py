@@ -50,7 +50,8 @@ MARKED, BARE = _plain_letters()
 def fold(c: Column) -> Column:
     """Lower case without marks, of letters of any script; worked out in the JVM. Syllables of Hangul,
     which are several letters and no marks, stay whole."""
-    return F.lower(F.translate(F.regexp_replace(c, r"\p{M}+", ""), MARKED, BARE))
+    # A text of as many bytes as characters is ASCII and has no marks.
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.lower(F.translate(F.regexp_replace(c, r"\p{M}+", ""), MARKED, BARE)))
 
 
 def index_tokens(c: Column) -> Column:
