@@ -8,7 +8,6 @@ those alone. Cells with very many right rows are split, and what looks into them
 
 from __future__ import annotations
 
-from functools import reduce
 from math import degrees, pi
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +18,8 @@ from ..sources.scratch import stored
 
 #: Right rows of a cell that one task takes; half the way round the globe, in miles.
 PART, FARTHEST = 20_000, pi * MILES + 1
+#: Points of a square that is not cut further, the most cuts (a metre or two), and squares of a level that are broadcast.
+LEAF, DEEPEST, SENT = 16, 24, 100_000
 
 
 def _wide(lat: Column, d: float) -> Column:
@@ -90,27 +91,89 @@ def geo_join(left: DataFrame, right: DataFrame, miles: float, lat: str = "lat",
     return pairs.where(F.col(distance) <= miles).drop("_lat", "_lon", "_rlat", "_rlon", "_cell", "_part")
 
 
+def _squares(lat: Column, lon: Column) -> list[Column]:
+    """Row and column of a point in the finest grid of the tree, from the south pole and the date line."""
+    turned = (lon + 540) - F.floor((lon + 540) / 360) * 360
+    most = F.lit(2**DEEPEST - 1)
+    return [F.least(F.floor((lat + 90) * (2**DEEPEST / 180)), most).alias("_x"), F.least(F.floor(turned * (2**DEEPEST / 360)), most).alias("_y")]
+
+
+def _upper(level: str = "_level") -> list[str]:
+    """A square of the finest grid as one of a level's."""
+    return [f"shiftright({c}, {DEEPEST} - {level}) AS {c}" for c in ("_x", "_y")]
+
+
+def _tree(points: DataFrame) -> DataFrame:
+    """(_level, _x, _y, _n, _inner): squares of latitude and longitude, each cut into four while it holds
+    more than LEAF points, with their number of points."""
+    squares = points.groupBy("_x", "_y").agg(F.count("*").alias("_n")).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST))))
+    counted = squares.selectExpr("_level", *_upper(), "_n").groupBy("_level", "_x", "_y").agg(F.sum("_n").alias("_n"))
+    nodes = stored(counted.withColumn("_inner", (F.col("_n") > LEAF) & (F.col("_level") < DEEPEST)), "squares")
+    above = nodes.where("_inner").selectExpr("_level + 1 AS _level", "_x AS _px", "_y AS _py")
+    below = nodes.withColumns({"_px": F.expr("shiftright(_x, 1)"), "_py": F.expr("shiftright(_y, 1)")}).join(above, ["_level", "_px", "_py"], "left_semi")
+    return stored(nodes.where("_level = 0").unionByName(below.select(*nodes.columns)), "tree")
+
+
+def _bounds() -> tuple[Column, Column]:
+    """Miles from a point that no place of a node's square is nearer than, nor farther."""
+    size = F.pow(F.lit(0.5), F.col("_level"))
+    south, west = F.col("_x") * size * 180 - 90, F.col("_y") * size * 360
+    north, east, turned = south + size * 180, west + size * 360, F.pmod(F.col("_lon") + 540, F.lit(360.0))
+    around = lambda x: F.least(F.abs(turned - x), 360 - F.abs(turned - x))
+    opposite = F.pmod(turned + 180, F.lit(360.0))
+    low, high = F.greatest(south - F.col("_lat"), F.col("_lat") - north, F.lit(0.0)), F.greatest(F.abs(F.col("_lat") - south), F.abs(F.col("_lat") - north))
+    short = F.when(turned.between(west, east), 0.0).otherwise(F.least(around(west), around(east)))
+    long = F.when(opposite.between(west, east), 180.0).otherwise(F.greatest(around(west), around(east)))
+    narrow = F.cos(F.radians(F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(90.0))))
+    wide = F.when((south <= 0) & (north >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs(south), F.abs(north)))))
+
+    def miles(up: Column, across: Column, cosine: Column) -> Column:
+        a = F.pow(F.sin(F.radians(up) / 2), 2) + F.cos(F.radians("_lat")) * cosine * F.pow(F.sin(F.radians(across) / 2), 2)
+        return 2 * MILES * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+    return miles(low, short, narrow), miles(high, long, wide)
+
+
 def geo_knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str, right_key: str, lat: str = "lat", lon: str = "lon", right_lat: str | None = None, right_lon: str | None = None, most: float = FARTHEST, distance: str = "miles") -> DataFrame:
     """Of each left row its k nearest right rows within `most` miles, by distance, then by right key, with
-    `rank` from 1. Rings grow threefold: a row that finds k within a ring is done, as nothing outside
-    is nearer; the others go on to the next ring. The first ring is one in which the densest degree
-    holds a few times k rows, so no ring holds many more than are wanted. `left_key` tells left rows
+    `rank` from 1. Right rows lie in a tree of squares; all left rows go down it together, a level at a
+    time, and keep the squares that can hold one of their k nearest: those not farther than a distance
+    within which other squares hold k. So a row is compared with the rows of a few squares, however
+    unevenly the right rows lie. Of right rows at one place k are enough. `left_key` tells left rows
     apart."""
     right_lat, right_lon = right_lat or lat, right_lon or lon
-    square = F.struct(F.floor(right_lat), F.floor(right_lon))
-    densest = right.where(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull()).groupBy(square.alias("s")).count().agg(F.max("count")).first()[0]
-    ring = max(0.05, min(most, 69.0 * (4.0 * k / max(densest or 1, 1) / pi) ** 0.5))
-    waiting, found = left.where(F.col(lat).between(-90, 90) & F.col(lon).isNotNull()), []
-    nearest = Window.partitionBy(left_key).orderBy(distance, right_key)
-    while True:
-        near = geo_join(waiting, right, ring, lat, lon, right_lat, right_lon, distance, densest or 0)
-        near = stored(near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "nearest")
-        if ring >= most:
-            found.append(near)
-            return reduce(DataFrame.unionByName, found)
-        done = near.where(F.col("rank") == k).select(left_key)
-        found.append(near.join(done, left_key, "left_semi"))
-        waiting = stored(waiting.join(done, left_key, "left_anti"), "waiting")
-        if waiting.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        ring = min(most, ring * 3)
+    here = left.where(F.col(lat).between(-90, 90) & F.col(lon).isNotNull()).select(F.col(left_key).alias("_q"), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
+    there = right.where(F.col(right_lat).between(-90, 90) & F.col(right_lon).isNotNull()).withColumns({"_rlat": F.col(right_lat).cast("double"), "_rlon": F.col(right_lon).cast("double")})
+    kept = [c for c in right.columns if not (right_lat == lat and c == lat) and not (right_lon == lon and c == lon)]
+    at_place = F.row_number().over(Window.partitionBy("_rlat", "_rlon").orderBy(right_key))
+    there = there.withColumn("_k", at_place).where(F.col("_k") <= k).select(F.struct(*kept).alias("_row"), "_rlat", "_rlon", *_squares(F.col("_rlat"), F.col("_rlon")))
+    there = stored(there, "points")
+    tree = _tree(there)
+    levels = {r["_level"]: r["count"] for r in tree.groupBy("_level").count().collect()}
+    deepest = max(levels, default=0)
+    sent = lambda frame, rows: F.broadcast(frame) if rows <= SENT else frame
+    leaves = sent(tree.where("NOT _inner").select("_level", "_x", "_y"), sum(levels.values()))
+    spread = there.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).selectExpr("_level", *_upper(), "_row", "_rlat", "_rlon")
+    spread = stored(spread.join(leaves, ["_level", "_x", "_y"]), "leaves")
+    near, far = _bounds()
+    # Dealt by number: the rows are few bytes, but each goes down the tree.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    root = tree.where("_level = 0").first()
+    waiting = here.withColumns({c: F.lit(root[c] if root else 0).cast(kind) for c, kind in tree.dtypes})
+    waiting = stored(waiting if root else waiting.limit(0), "asked").repartition(tasks, "_q")
+    own = Window.partitionBy("_q")
+    upward = own.orderBy("_far", "_level", "_x", "_y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for level in range(1, deepest + 1):
+        below = tree.where(F.col("_level") == level).selectExpr("shiftright(_x, 1) AS _px", "shiftright(_y, 1) AS _py", "_level AS _l", "_x AS _cx", "_y AS _cy", "_n AS _cn", "_inner AS _ci")
+        inside = F.col("_inner") & (F.col("_x") == F.col("_px")) & (F.col("_y") == F.col("_py"))
+        waiting = waiting.withColumns({c: F.when(F.col("_inner"), F.col(c)).otherwise(-F.col(c) - 1) for c in ("_x", "_y")})
+        waiting = waiting.join(sent(below, levels[level]), inside, "left")
+        own_square = {c: F.when(F.col("_l").isNotNull(), F.col(n)).otherwise(F.col(c) if c[1] not in "xy" else -F.col(c) - 1) for c, n in (("_level", "_l"), ("_x", "_cx"), ("_y", "_cy"), ("_n", "_cn"), ("_inner", "_ci"))}
+        waiting = waiting.select("_q", "_lat", "_lon", *[x.alias(c) for c, x in own_square.items()]).withColumns({"_near": near, "_far": far})
+        enough = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(own)
+        waiting = waiting.withColumn("_held", F.sum("_n").over(upward)).withColumn("_enough", F.least(enough, F.lit(float(most))))
+        waiting = waiting.where(F.col("_near") <= F.col("_enough") * (1 + 1e-9) + 1e-6).select("_q", "_lat", "_lon", "_level", "_x", "_y", "_n", "_inner")
+    pairs = waiting.select("_q", "_lat", "_lon", "_level", "_x", "_y").join(spread, ["_level", "_x", "_y"])
+    pairs = pairs.select("_q", "_row.*", haversine(F.col("_lat"), F.col("_lon"), F.col("_rlat"), F.col("_rlon")).alias(distance)).where(F.col(distance) <= most)
+    ranked = pairs.withColumn("rank", F.row_number().over(own.orderBy(distance, right_key))).where(F.col("rank") <= k)
+    return left.join(ranked, F.col("_q").eqNullSafe(left[left_key])).drop("_q")

@@ -1,12 +1,13 @@
 """Steps that once grew faster than their input: what they hold, send and give, on small rows."""
 
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import joins
+from lodestone.operators import joins, located
 
 
 def sent(frame) -> set[str]:
@@ -36,3 +37,28 @@ def test_texts_are_not_broadcast(spark, monkeypatch, tmp_path, most):
     want = sorted((n, w) for n, y in rows for w in names if y is not None and clean(w) and f" {clean(w)} " in f" {clean(y)} ")
     assert got.columns == ["n", "y", "w"] and sorted((r.n, r.w) for r in got.collect()) == want
     assert not sent(got) & {"_text", "y"}
+
+
+def test_nearest_of_rows_far_from_a_crowd(spark, monkeypatch):
+    """Rows far from where all others lie are compared with few of them, and find the right ones."""
+    def geo_miles(lat1, lon1, lat2, lon2):
+        a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+        return 2 * 3958.8 * math.asin(math.sqrt(min(1.0, a)))
+
+    rng = random.Random(2)
+    crowd = [(i, 25 + abs(rng.gauss(0, 0.2)), -120 + rng.gauss(0, 0.2)) for i in range(4000)] + [(4000 + i, 25.0, -120.0) for i in range(50)] + [(5000, 48.0, 179.99)]
+    alone = [(i, 48 + rng.random(), rng.uniform(-70, -60)) for i in range(20)] + [(100, 48.1, -179.99), (101, -89.9, 10.0)]
+    a, b = spark.createDataFrame(alone, "a int, lat double, lon double"), spark.createDataFrame(crowd, "b int, y double, x double")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(*at):
+        seen.add(1)
+        return geo_miles(*at)
+
+    monkeypatch.setattr(located, "haversine", lambda *at: counted(*at))
+    got = located.geo_knn_join(a, b, 3, "a", "b", right_lat="y", right_lon="x")
+    held = {(r.a, r["rank"], r.b) for r in got.collect()}
+    assert got.columns == ["a", "lat", "lon", "b", "y", "x", "miles", "rank"]
+    assert held == {(i, k + 1, j) for i, *p in alone for k, (_, j) in enumerate(sorted((geo_miles(*p, *q), j) for j, *q in crowd)[:3])}
+    assert seen.value < 0.1 * len(alone) * len(crowd)
