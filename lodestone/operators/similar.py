@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers of a block's matrix: 32 MB of doubles travel with a pass.
-BLOCK = 4 << 20
+#: Numbers of a block's matrix: 8 MB of doubles travel with a pass. Queries and rows whose scores are held
+#: at once: 8 MB.
+BLOCK, ASKED, ROWS = 1 << 20, 512, 2048
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -50,26 +51,33 @@ def topk_batch(rows: DataFrame, queries: DataFrame, k: int, least: float, key: s
 def _pass(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, k: int, least: float, same: bool) -> Iterator[pa.RecordBatch]:
     """The k best rows of a task for each query of a block."""
     width = matrix.shape[1]
-    scores, keys = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+    scores, keys = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
     for batch in batches:
-        flat = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        own = batch["key"].to_numpy(zero_copy_only=False)
-        sound = np.isfinite(flat).all(1) & (flat != 0).any(1)
-        flat, own = flat[sound], own[sound].astype(np.int64)
-        for at in range(0, len(own), 8192):
-            part = own[at : at + 8192]
-            got = np.round(matrix @ _unit(flat[at : at + 8192]).T, 6)
-            got[got < least] = -np.inf
-            if not same:
-                got[ids[:, None] == part] = -np.inf
-            scores = np.concatenate([scores, got], 1)
-            keys = np.concatenate([keys, np.broadcast_to(part, got.shape)], 1)
-            order = np.lexsort((keys, -scores), axis=1)[:, :k]
-            scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+        for start in range(0, batch.num_rows, ROWS):
+            few = batch.slice(start, ROWS)
+            flat = few["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            own = few["key"].to_numpy(zero_copy_only=False)
+            sound = np.isfinite(flat).all(1) & (flat != 0).any(1)
+            unit, own = _unit(flat[sound]).T, own[sound].astype(np.int64)
+            for at in range(0, len(ids) if len(own) else 0, ASKED):
+                _keep(scores[at : at + ASKED], keys[at : at + ASKED], ids[at : at + ASKED], np.round(matrix[at : at + ASKED] @ unit, 6), own, least, same)
     q, i = np.nonzero(scores > -np.inf)
     yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[q, i]), pa.array(scores[q, i])], ["q", "key", "score"])
 
 
+def _keep(scores: np.ndarray, keys: np.ndarray, ids: np.ndarray, got: np.ndarray, own: np.ndarray, least: float, same: bool) -> None:
+    """Puts into some queries' lists, in place, the new scores that are among their best."""
+    k = scores.shape[1]
+    good = (got >= least) & (got >= scores[:, -1:])
+    if not same:
+        good &= ids[:, None] != own
+    for q in np.flatnonzero(good.any(1)):
+        new = np.flatnonzero(good[q])
+        both, whose = np.concatenate([scores[q], got[q, new]]), np.concatenate([keys[q], own[new]])
+        order = np.lexsort((whose, -both))[:k]
+        scores[q], keys[q] = both[order], whose[order]
+
+
 def most_alike(texts: DataFrame, query: list[float], k: int = 200, least: float = 0.68, text: str = "description", vector: str = "embedding") -> DataFrame:
     """(text, score) of the k distinct texts most like one query vector, at least so like it, as a search's
     fallback by meaning takes them; of texts that repeat, the best. Ties go by the text itself."""

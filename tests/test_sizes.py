@@ -4,10 +4,12 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import joins, located
+from lodestone.operators import joins, located, similar
 
 
 def sent(frame) -> set[str]:
@@ -62,3 +64,24 @@ def test_nearest_of_rows_far_from_a_crowd(spark, monkeypatch):
     assert got.columns == ["a", "lat", "lon", "b", "y", "x", "miles", "rank"]
     assert held == {(i, k + 1, j) for i, *p in alone for k, (_, j) in enumerate(sorted((geo_miles(*p, *q), j) for j, *q in crowd)[:3])}
     assert seen.value < 0.1 * len(alone) * len(crowd)
+
+
+def test_scores_of_few_queries_and_rows_at_once(monkeypatch):
+    """A task's memory does not grow with queries times rows, and its lists are right."""
+    r, k = np.random.default_rng(3), 4
+    v = np.round(r.normal(size=(3000, 8)), 1)
+    v[::7] = v[0]
+    ids, unit = np.arange(1000), v / np.sqrt((v * v).sum(1, keepdims=True))
+    largest, rounded = [0], np.round
+    monkeypatch.setattr(similar, "ASKED", 64, raising=False)
+    monkeypatch.setattr(similar, "ROWS", 128, raising=False)
+    monkeypatch.setattr(similar.np, "round", lambda x, n: (largest.append(x.size), rounded(x, n))[1])
+    rows = [pa.record_batch([pa.array(np.arange(a, a + 1500)), pa.array(list(v[a : a + 1500]))], ["key", "v"]) for a in (0, 1500)]
+    got = [x for b in similar._pass(iter(rows), ids, unit[:1000], k, 0.3, False) for x in b.to_pylist()]
+    monkeypatch.undo()
+    want = set()
+    for q in range(1000):
+        scores = np.round(unit[q : q + 1] @ unit.T, 6)[0]
+        want |= {(q, int(i)) for i in sorted((i for i in np.flatnonzero(scores >= 0.3) if i != q), key=lambda i: (-scores[i], i))[:k]}
+    assert {(x["q"], x["key"]) for x in got} == want and len(got) == len(want)
+    assert max(largest) <= 64 * 128
