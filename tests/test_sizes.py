@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import joins, located, similar
+from lodestone.operators import fulltext, joins, located, similar
 
 
 def sent(frame) -> set[str]:
@@ -85,3 +85,16 @@ def test_scores_of_few_queries_and_rows_at_once(monkeypatch):
         want |= {(q, int(i)) for i in sorted((i for i in np.flatnonzero(scores >= 0.3) if i != q), key=lambda i: (-scores[i], i))[:k]}
     assert {(x["q"], x["key"]) for x in got} == want and len(got) == len(want)
     assert max(largest) <= 64 * 128
+
+
+def test_a_word_of_all_rows_is_in_many_files(spark, tmp_path):
+    """The postings of one word are not one task's, and an index is dealt once."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.range(400).select("id", F.lit("the red").alias("a"), F.concat(F.lit("the w"), "id").alias("b"))
+        index = fulltext.write_index(docs, "id", ["a", "b"], str(tmp_path / "index"), stemmed=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.postings.where("token = 'the'").select(F.input_file_name()).distinct().count() > 1
+    got = {tuple(r) for r in index.postings.select("id", "field", "token", "tf").collect()}
+    assert got == {x for i in range(400) for x in ((i, "a", "the", 1), (i, "a", "red", 1), (i, "b", "the", 1), (i, "b", f"w{i}", 1))}
