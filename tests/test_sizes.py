@@ -98,3 +98,29 @@ def test_a_word_of_all_rows_is_in_many_files(spark, tmp_path):
     assert index.postings.where("token = 'the'").select(F.input_file_name()).distinct().count() > 1
     got = {tuple(r) for r in index.postings.select("id", "field", "token", "tf").collect()}
     assert got == {x for i in range(400) for x in ((i, "a", "the", 1), (i, "a", "red", 1), (i, "b", "the", 1), (i, "b", f"w{i}", 1))}
+
+
+def most_joined(frame) -> int:
+    """The most rows that a join of a plan made when it ran."""
+    frame.collect()
+    most, waiting = 0, [frame._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName() or node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage")):
+            node = node.plan()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+@pytest.mark.parametrize("find", [joins.best_token_match, joins.find_name])
+def test_equal_names_are_asked_once(spark, find):
+    queries = spark.createDataFrame([(i, "red gear bolt" + " Bolt" * (i % 2)) for i in range(600)], "q int, x string")
+    names = spark.createDataFrame([(i, "Gear, Bolt red nut" if i % 3 else "gear bolt RED nut!") for i in range(300)], "n int, y string")
+    got = find(queries, names, "q", "x", "n", "y")
+    rows = got.collect()
+    assert len(rows) == 600 and {r.n for r in rows} == {0} and {r.score for r in rows} == {1.0}
+    assert most_joined(got) <= 1200
