@@ -124,3 +124,20 @@ def test_equal_names_are_asked_once(spark, find):
     rows = got.collect()
     assert len(rows) == 600 and {r.n for r in rows} == {0} and {r.score for r in rows} == {1.0}
     assert most_joined(got) <= 1200
+
+
+def test_zip_fallback_tries_no_pairs(spark):
+    from lodestone.plans import catalog
+
+    rng = random.Random(4)
+    z = {f"{rng.randrange(12000, 12900):05d}": rng.random() for _ in range(200)}
+    f = [(i, f"{rng.randrange(12000, 13100):05d}") for i in range(800)]
+    views = {"zcta": spark.createDataFrame([(a, b, 0.0) for a, b in z.items()], "zip string, lat double, lon double"), "facility": spark.createDataFrame(f, "code int, zip string")}
+
+    class Given:
+        zcta, facility = views["zcta"], views["facility"]
+
+    got = catalog.QUERIES["zip_fallback"].__closure__[0].cell_contents(Given)
+    want = {i: z[min((abs(int(a) - int(x)), x) for x in z if x[:3] == a[:3])[1]] for i, a in f if any(x[:3] == a[:3] for x in z)}
+    assert {r.code: r.lat for r in got.collect()} == want
+    assert most_joined(got) <= 2 * len(f)
