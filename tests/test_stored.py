@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.api import Catalog, Engine
 from lodestone.operators import fulltext, tables
-from lodestone.search import Spec, matching, program_index, program_search, tiers
+from lodestone.search import Spec, matching, program_index, program_pages, program_search, tiers
 from lodestone.sources.snapshots import Conflict, Store, fingerprint
 
 
@@ -152,6 +152,35 @@ def test_an_index_of_programs_holds_them(spark, catalog):
     assert index.rows.count() == 7 and index.lengths.count() == 7
 
 
+def test_programs_of_one_description_are_indexed_once(spark, catalog):
+    """Words are kept by description, while ranks count each program."""
+    p, f = catalog
+    index = program_index(p)
+    assert index.postings.where("token = 'blue'").count() == 2 and {(r.description, r.copies) for r in index.texts.collect()} >= {("blue widget", 3), ("green", 1)}
+    each = p.distinct().withColumn("pid", F.xxhash64(F.col("ptype").isNull(), "code", "ptype", "description"))
+    posts = fulltext.postings(each, "pid", ["description"])
+    for every in (True, False):
+        spec = Spec(["blue", "widget"])
+        scores = fulltext.bm25(posts, "pid", spec.prefixes(), every=every, compound=spec.joined())
+        want = {(r.code, r.ptype, r.description): round(r.score, 6) for r in each.join(scores, "pid").collect()}
+        assert {(r.code, r.ptype, r.description): r["rank"] for r in matching(p, spec, every).collect()} == want
+    specs = [Spec(["blue", "zebra"], at=(40.0, -100.0), order=o) for o in ("name", "distance")]
+    assert [[r.code for r in x.collect()] for x in program_pages(p, f, specs)] == [[2, 1], [1, 2]]
+    with pytest.raises(ValueError):
+        program_pages(p, f, [Spec(["blue"]), Spec(["green"])])
+
+
+def test_program_view_keeps_nulls(spark):
+    from lodestone.plans.tables import Tables
+
+    class Given(Tables):
+        part = spark.createDataFrame([(1, "a", "X", None), (2, "a", "X", None), (3, None, "X", "T"), (4, "b", "Y", "T"), (5, "c", "Y", "T")], "p_partkey long, p_name string, p_brand string, p_type string")
+        lineitem = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (8, 2), (8, 4), (8, 4), (9, 6)], "l_suppkey long, l_partkey long")
+
+    got = [tuple(r) for r in Given(spark, "").program.collect()]
+    assert len(got) == 4 and set(got) == {(7, None, "a x"), (7, "T", None), (8, None, "a x"), (8, "T", "b y")}
+
+
 def test_arguments_are_coerced(spark):
     from lodestone.api import RequestError, coerced
 
