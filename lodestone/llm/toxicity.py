@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import under
+from .common import under, written
 
 #: Labelled texts that the fit sees at most and their characters in all, features that carry weights,
 #: a feature's least documents.
@@ -84,9 +84,9 @@ def _bags(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 all_ = [sorted({k for w in WORD.findall(s) for k in of(w)}) for s in SENTENCE.findall(text.lower())]
                 bags.append([b for b in all_ if b])
                 rest.append(len(all_) - len(bags[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(bags, pa.list_(pa.list_(pa.int32()))), pa.array(rest, pa.int64())], names=["toxic", "bags", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(bags, pa.list_(pa.list_(pa.int32()))), pa.array(rest, pa.int64())], names=["key", "toxic", "bags", "rest"])
 
-    return texts.select("toxic", "text").mapInArrow(run, "toxic int, bags array<array<int>>, rest long")
+    return texts.select("key", "toxic", "text").mapInArrow(run, "key long, toxic int, bags array<array<int>>, rest long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> dict:
@@ -99,12 +99,14 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id}`").alias("id"), t.alias("text"), F.xxhash64(F.col(f"`{id}`"), t).alias("key")).join(known, "id")
-    chosen = rows.select("key", F.length("text").cast("long").alias("chars")).distinct().orderBy("key").limit(fit_docs)
+    key = F.xxhash64(F.col(f"`{id}`"), t)
+    # Ids, keys and lengths are dealt to meet their labels; texts stay where they are read until the few are known.
+    rows = docs.select(F.col(f"`{id}`").alias("id"), key.alias("key"), F.length(t).cast("long").alias("chars")).join(known, "id")
+    chosen = rows.select("key", "chars", "toxic").distinct().orderBy("key").limit(fit_docs)
     # The window is over the bounded sample's keys and lengths.
     sofar = F.sum("chars").over(Window.orderBy("key"))
-    chosen = chosen.withColumn("sofar", sofar).where(F.col("sofar") <= fit_chars).select("key")
-    sample = rows.join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"])
+    chosen = chosen.withColumn("sofar", sofar).where(F.col("sofar") <= fit_chars).select("key", "toxic")
+    sample = written(docs.select(key.alias("key"), t.alias("text")).join(F.broadcast(chosen), "key").dropDuplicates(["key"]), "labelled")
     n = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
     pos, neg = float(n.pos or 0), float(n.n - (n.pos or 0))
     if not pos or not neg:
@@ -120,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         .limit(VOCABULARY)
     )
     vocabulary = {r.feature: k for k, r in enumerate(chosen.select("feature").collect())}
-    return _learn(_bags(sample, vocabulary).toArrow(), vocabulary)
+    # In the order of keys, so that sums do not hang on how the sample was dealt.
+    return _learn(_bags(sample, vocabulary).toArrow().sort_by("key"), vocabulary)
 
 
 def _learn(t: pa.Table, vocabulary: dict[str, int]) -> dict:

@@ -1,6 +1,7 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -596,6 +597,30 @@ def test_toxicity_fit_of_odd_rows(spark, odd):
     assert few["weights"] == {}  # no text is within the bound
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_toxicity_fit_deals_no_texts(spark):
+    """Only the sample's texts are dealt, however many there are."""
+    rng = random.Random(3)
+    rows = [(i, ("awful " if i % 2 else "fine ") + prose(i, 12)) for i in range(40)]
+    rest = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=8000))) for i in range(40, 400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, None) for i in range(40, 400)], "doc_id long, toxic int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        model = toxicity.fit(docs(spark, rows + rest), labels)
+        assert shuffled(spark) - before < 500_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert model == toxicity.fit(docs(spark, rows), labels)
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     out = toxicity.scored(odd, {"weights": {"^bad$": 3.0}, "bias": -8.0}).collect()
     assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
