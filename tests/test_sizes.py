@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,20 @@ def test_a_word_of_all_rows_is_in_many_files(spark, tmp_path):
     assert got == {x for i in range(400) for x in ((i, "a", "the", 1), (i, "a", "red", 1), (i, "b", "the", 1), (i, "b", f"w{i}", 1))}
 
 
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_words_are_counted_where_they_are_read(spark, tmp_path, monkeypatch, stemmed):
+    """Rows of different keys are not dealt; what is counted is the same, and rows that share a key are one document."""
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choices(["dive", "Diving", "dived", "Été", "中文", "x1", "ΣΑΣ"], k=rng.randrange(0, 40))), rng.choice([None, "", "red dives"])) for i in range(300)] + [(None, "dive dive", "red")]
+    docs = spark.createDataFrame(texts, "id int, a string, b string")
+    monkeypatch.setattr(fulltext, "AT_ONCE", 100)
+    assert "Exchange" not in fulltext.counted_in_place(docs, "id", ["a", "b"], stemmed)._jdf.queryExecution().executedPlan().toString()
+    for rows, name in ((docs, "one"), (docs.union(docs.limit(9)), "two")):
+        index = fulltext.write_index(rows, "id", ["a", "b"], str(tmp_path / name), stemmed)
+        got = Counter(tuple(r) for r in index.postings.select("id", "field", "token", "tf").collect())
+        assert got == Counter(tuple(r) for r in fulltext.postings(rows, "id", ["a", "b"], stemmed).collect()) and max(got.values()) == 1
+
+
 def most_joined(frame) -> int:
     """The most rows that a join of a plan made when it ran."""
     frame.collect()
