@@ -213,10 +213,10 @@ def _rest(shared: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFram
     # Lengths of a link differ by a factor at most, so that they lie in one zone of lengths or in two
     # neighbours: a node none of whose zones, in its group, holds another class has no one to be tried with.
     rows = rows.withColumn("zone", F.floor(F.log("n") / _zone(similarity)))
-    zones = rows.groupBy("sketch", "zone").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    # All nodes of a zone pass or none does, so that zones are chosen and counted before nodes meet them, once.
+    zones = rows.groupBy("sketch", "zone").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("own"))
     reach = zones.withColumn("zone", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1))).groupBy("sketch", "zone").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    rows = written(rows.join(reach.where("lo <> hi").select("sketch", "zone"), ["sketch", "zone"]).select("sketch", "zone", "node", "class"), "near_lengths")
-    sizes = rows.groupBy("sketch", "zone").agg(F.count("*").alias("own"))
+    sizes = written(zones.select("sketch", "zone", "own").join(reach.where("lo <> hi").select("sketch", "zone"), ["sketch", "zone"]), "zones")
     beside = lambda step, name: sizes.select("sketch", (F.col("zone") - step).alias("zone"), F.col("own").alias(name))
     sizes = sizes.join(beside(-1, "before"), ["sketch", "zone"], "left").join(beside(1, "after"), ["sketch", "zone"], "left").join(sizes.groupBy("sketch").agg(F.sum("own").alias("all")), "sketch")
     rows = rows.join(sizes.fillna(0, ["before", "after"]), ["sketch", "zone"])
