@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,17 +48,30 @@ class _Page(HTMLParser):
             self.stack[-1][1].append(run)
 
 
+#: Pages that a task holds as Python's own strings at once; the rest of a batch is Arrow's.
+AT_ONCE = 64
+_KIND = pa.struct([("title", pa.string()), ("text", pa.list_(pa.string())), ("links", pa.list_(pa.struct([("url", pa.string()), ("label", pa.string())])))])
+
+
+def _structs(texts: list[str | None]) -> pa.Array:
+    out = []
+    for text in texts:
+        p = _Page()
+        p.feed(text or "")
+        out.append({"title": p.title, "text": p.text, "links": p.links})
+    return pa.array(out, _KIND)
+
+
+def parse_batch(html: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_structs(html.slice(i, AT_ONCE).to_pylist()) for i in range(0, max(len(html), 1), AT_ONCE)])
+
+
 def parsed(pages: DataFrame, html: str = "html", to: str = "page") -> DataFrame:
     """The pages with a struct of title, runs of visible text, and links with their labels."""
 
-    @F.pandas_udf(PAGE)
-    def parse(html: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in html:
-            p = _Page()
-            p.feed(text or "")
-            out.append((p.title, p.text, p.links))
-        return pd.DataFrame(out, columns=["title", "text", "links"])
+    @F.arrow_udf(PAGE)
+    def parse(html: pa.Array) -> pa.Array:
+        return parse_batch(html)
 
     return pages.withColumn(to, parse(html))
 

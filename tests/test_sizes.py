@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import fulltext, joins, located, similar
+from lodestone.sources import web
 
 
 def sent(frame) -> set[str]:
@@ -101,6 +103,22 @@ def test_a_word_of_all_rows_is_in_many_files(spark, tmp_path):
     assert got == {x for i in range(400) for x in ((i, "a", "the", 1), (i, "a", "red", 1), (i, "b", "the", 1), (i, "b", f"w{i}", 1))}
 
 
+def test_few_pages_are_parsed_at_once(spark, monkeypatch):
+    """A batch's pages are held as Arrow's, and parsed a few at a time."""
+    pages = [f"<title>t{i}</title><a href='/{i}'>x {i}</a><a>y</a>" for i in range(web.AT_ONCE * 2 + 5)] + [None, ""]
+    got = web.parsed(spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1), "html").orderBy("i").collect()
+    assert [(r.page.title, r.page.text, [tuple(x) for x in r.page.links]) for r in got[:-2]] == [(f"t{i}", [f"x {i}", "y"], [(f"/{i}", f"x {i}")]) for i in range(len(pages) - 2)]
+    assert [(r.page.title, r.page.text, r.page.links) for r in got[-2:]] == [("", [], [])] * 2
+    tracemalloc.start()
+    html = "<p>some words</p>" * 100
+    web._structs([html] * web.AT_ONCE)
+    few = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    parse = web.parse_batch(pa.array([html] * (web.AT_ONCE * 8)))
+    assert len(parse) == web.AT_ONCE * 8 and tracemalloc.get_traced_memory()[1] < 2 * few
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("stemmed", [False, True])
 def test_words_are_counted_where_they_are_read(spark, tmp_path, monkeypatch, stemmed):
     """Rows of different keys are not dealt; what is counted is the same, and rows that share a key are one document."""
