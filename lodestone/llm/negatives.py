@@ -9,13 +9,16 @@ limit are the window's first.
 
 How the work is dealt. Anchors are a stated set, each of which is compared with all rows. Rows are
 dealt by the hash of their id to blocks of about `ROWS`, anchors to blocks of about `ANCHORS`, and a
-pair of blocks is one piece of work; its scores are worked out `STRIP` anchors at a time. What a pair
-keeps is a few numbers an anchor. Lists of one block of anchors are merged `FAN_IN` at a time, level
-by level, so no task holds more than so many, however many rows there are.
+pair of blocks is one piece of work; its scores are worked out `STRIP` anchors at a time. A task reads
+some files of blocks of rows and meets each with about `SIDE` blocks of anchors; neither is dealt by key
+or broadcast. What a task keeps is a few numbers an anchor. Lists of one block of anchors are merged
+`FAN_IN` at a time, level by level, so no task holds more than so many, however many rows there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 POSITIVES, NEGATIVES = 5, 3
-ROWS, ANCHORS, STRIP, FAN_IN = 4096, 1024, 128, 32
+ROWS, ANCHORS, STRIP, SIDE, FAN_IN = 4096, 1024, 128, 4, 32
 #: Stands for no row; scores are cut to what lies above it and below 2^62.
 NONE = -(1 << 62)
 
@@ -50,22 +53,23 @@ def mined(frame: DataFrame, anchors: Column, vec_id: str = "vec_id", label: str
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     if not asking:
         return frame.sparkSession.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
-    blocks = -(-n // ROWS)
+    blocks, anchor_blocks = -(-n // ROWS), -(-asking // ANCHORS)
     base = written(_blocks(rows, blocks), "row_blocks")
-    asks = written(_blocks(rows.where("asks"), -(-asking // ANCHORS)), "anchor_blocks").withColumnsRenamed({"block": "anchors", **{c: f"a_{c}" for c in ("n", "ids", "labels", "matrix")}})
+    asks = written(_blocks(rows.where("asks"), anchor_blocks), "anchor_blocks").withColumnsRenamed({"block": "anchors", **{c: f"a_{c}" for c in ("n", "ids", "labels", "matrix")}})
 
     def against(side: DataFrame, best) -> DataFrame:
-        """Every block of anchors with every block of rows, and the lists of each merged."""
-        pairs = side.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("bigint")).join(base, "block")
-        lists, left = written(pairs.groupBy("block", "anchors").applyInArrow(best, _LISTS), "lists"), blocks
+        """Every block of anchors with every block of rows, and the lists of each merged. The hint keeps
+        the matrices of either side from being broadcast, however small their files are."""
+        pairs = base.hint("shuffle_replicate_nl").crossJoin(side.repartition(-(-anchor_blocks // SIDE)))
+        lists, left = written(pairs.mapInArrow(lambda batches: _kept(batches, best), _LISTS), "lists"), blocks
         while left > 1:
             lists = lists.withColumn("block", F.expr(f"block div {FAN_IN}")).groupBy("anchors", "block").applyInArrow(_merged, _LISTS)
             left = -(-left // FAN_IN)
         return lists.select("anchors", F.col("scores").alias("p_scores"), F.col("ids").alias("p_ids"))
 
-    with_positives = written(asks.join(against(asks, _positives), "anchors"), "anchors")
+    with_positives = written(asks.hint("merge").join(against(asks, _positives), "anchors"), "anchors")
     slots = against(with_positives, lambda pair: _slots(pair, high)).select("anchors", F.col("p_scores").alias("s_scores"), F.col("p_ids").alias("s_ids"))
-    return with_positives.select("anchors", "a_n", "a_ids", "p_scores", "p_ids").join(slots, "anchors").groupBy("anchors").applyInArrow(
+    return with_positives.select("anchors", "a_n", "a_ids", "p_scores", "p_ids").hint("merge").join(slots, "anchors").groupBy("anchors").applyInArrow(
         lambda got: _windows(got, low, high), "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
     )
 
@@ -118,6 +122,18 @@ def _lists(pair: pa.Table, scores: np.ndarray, ids: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["anchors", "block", "k", "scores", "ids"])
 
 
+def _kept(batches: Iterator[pa.RecordBatch], best: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """A task's pairs of blocks: one list for each block of anchors, under the first of their blocks of rows."""
+    lists: dict[int, pa.Table] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            got = best(pa.Table.from_batches([batch.slice(i, 1)]))
+            key = got["anchors"][0].as_py()
+            lists[key] = _merged(pa.concat_tables([lists[key], got])) if key in lists else got
+    for got in lists.values():
+        yield from got.to_batches()
+
+
 def _positives(pair: pa.Table) -> pa.Table:
     """Of one pair of blocks, each anchor's best other rows of its label: one slot."""
     (ids, labels, matrix), (a_ids, a_labels, a_matrix) = _read(pair), _read(pair, "a_")

@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,30 @@ def test_negatives_equal_a_plain_version(spark, monkeypatch, rows):
     assert want and sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_negatives_send_no_blocks_to_all(spark, monkeypatch):
+    """Blocks of anchors, once for each block of rows, were broadcast where their file was small; beyond this
+    limit Spark refuses to."""
+    monkeypatch.setattr(negatives, "ROWS", 2)
+    monkeypatch.setattr(negatives, "ANCHORS", 8)
+    rows = some(90) + some(90)[::4]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64k")
+    try:
+        got = negatives.mined(vectors(spark, rows), F.col("vec_id") % 4 == 0).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(tuple(r) for r in got) == plain_negatives(rows)
+
+
+def test_negatives_keep_one_list_of_a_task():
+    """A task's pairs, those of two blocks of anchors with five blocks of rows, leave a list for each block of anchors."""
+    one = lambda anchors, block: pa.record_batch({"anchors": [anchors], "block": [block]})
+    best = lambda pair: negatives._lists(pair, np.array([[[pair["block"][0].as_py() % 3, negatives.NONE]]]), np.array([[[pair["block"][0].as_py(), 0]]]))
+    got = pa.Table.from_batches(negatives._kept((one(a, b) for b in (7, 4, 5, 2, 9) for a in (0, 1)), best))
+    assert got["anchors"].to_pylist() == [0, 1] and set(got["block"].to_pylist()) <= {7, 4, 5, 2, 9}
+    for scores, ids in zip(got["scores"], got["ids"]):
+        assert np.frombuffer(scores.as_py(), np.int64).tolist() == [2, 2] and np.frombuffer(ids.as_py(), np.int64).tolist() == [2, 5]
+
+
 def test_negatives_of_nothing(spark):
     for rows in ([], [(3, [1.0], 1)], [(4, [1.0], 1)], ODD):
         assert negatives.mined(vectors(spark, rows), F.col("vec_id") % 4 == 0).count() == 0
